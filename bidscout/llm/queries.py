@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontaminate import OP8_SQL, op8_decontaminate
+from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .token_count import op3_token_count
 
 QUERIES = {
+    "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_token_count": op3_token_count,
     "op5_chat_format": op5_chat_format,
 }
 
 ORACLES = {
+    "op8_decontaminate": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
+    "op2_exact_dedup": OP2_SQL,
     "op5_chat_format": OP5_SQL,
 }
