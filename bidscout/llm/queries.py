@@ -6,9 +6,11 @@ from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .mixture import op1_mix_sources
 from .token_count import op3_token_count
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
