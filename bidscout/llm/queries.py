@@ -7,6 +7,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
+from .quality import op10_quality
 from .token_count import op3_token_count
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op10_quality": op10_quality,
     "op3_token_count": op3_token_count,
     "op5_chat_format": op5_chat_format,
 }
