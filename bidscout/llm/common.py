@@ -58,3 +58,33 @@ def words_of(text: Column) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
+
+
+#: Words of 64 bits in a sieve: its broadcast has that many rows of two numbers at most.
+SIEVE_WORDS = 1 << 20
+
+
+def sieve(keys: DataFrame, h: Column) -> DataFrame:
+    """word, bits: a bit set of bounded size for the hashes h (long) of keys.
+
+    It lets through whatever is in keys, and little else while keys are fewer
+    than its bits; beyond that it lets through more, and what follows it has
+    more to do, but nothing is lost.
+    """
+    word, bit = _place(h)
+    bits = keys.select(word.alias("word"), bit.alias("bit"))
+    return bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    mixed = F.xxhash64(h)
+    return F.pmod(mixed, F.lit(SIEVE_WORDS)), F.shiftrightunsigned(mixed, 58).cast("int")
+
+
+def sifted(df: DataFrame, h: Column, bits: DataFrame, name: str) -> DataFrame:
+    """df with the boolean column name: whether the sieve lets the row through. No shuffle of df."""
+    word, bit = _place(h)
+    own = bits.select(F.col("word").alias(f"{name}_word"), F.col("bits").alias(f"{name}_bits"))
+    met = df.join(F.broadcast(own), word == F.col(f"{name}_word"), "left")
+    passes = F.coalesce(F.getbit(F.col(f"{name}_bits"), bit) == 1, F.lit(False))
+    return met.withColumn(name, passes).drop(f"{name}_word", f"{name}_bits")

@@ -7,6 +7,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
+from .near_join import op6_near_join
 from .quality import op10_quality
 from .token_count import op3_token_count
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op10_quality": op10_quality,
+    "op6_near_join": op6_near_join,
     "op3_token_count": op3_token_count,
     "op5_chat_format": op5_chat_format,
 }
