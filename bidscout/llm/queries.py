@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_extract import op4_html_extract
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
 from .near_join import op6_near_join
@@ -19,6 +20,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op6_near_join": op6_near_join,
     "op3_token_count": op3_token_count,
+    "op4_html_extract": op4_html_extract,
     "op5_chat_format": op5_chat_format,
 }
 
