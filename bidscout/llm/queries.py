@@ -10,10 +10,12 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
 from .near_join import op6_near_join
 from .quality import op10_quality
+from .repeats import op7_suffix_dedup
 from .token_count import op3_token_count
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_line_dedup": op9_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
