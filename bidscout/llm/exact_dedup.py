@@ -4,7 +4,8 @@
    its bytes says so. The digests of its chunks are its recipe. One narrow row
    for each document leaves this step; documents whose recipe no other has are
    settled by it.
-2. The texts of the others are read once more. Their chunks are deduplicated on
+2. The texts of the others are read once more, through a sieve of bounded size
+   that is broadcast, so that long documents without copies aren't moved. Their chunks are deduplicated on
    (digest, bytes); a digest that stands for one byte string is a verified
    identifier, and one that stands for several (a collision) is extended by the bytes.
 3. The ordered identifier lists are compared: equal lists, equal texts.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import SPACES, cut, sieve, sifted, table
 
 WINDOW = 16
 LEAST, MEAN_BITS, MOST = 256, 10, 16_384
@@ -110,11 +111,14 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = strong) ->
     rows = keyed.mapInArrow(recipes, f"doc_id {id_type.simpleString()}, raw long, points long, mark binary, text_sha256 string")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "recipes")
     shared = rows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
-    shared = rows.join(shared, "mark", "left_semi").select("row", "doc_id", "raw", "points")
+    shared = rows.join(cut(shared, "marks"), "mark", "left_semi").select("row", "doc_id", "raw", "points")
     shared = cut(shared, "shared")
 
     wanted = shared.select(F.col("doc_id").alias("w_id"), F.col("raw").alias("w_raw")).distinct()
-    texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("raw") == F.col("w_raw")), "left_semi")
+    # texts that no other can equal are left where they are; only the rest is shuffled
+    bits = cut(sieve(wanted, F.xxhash64("w_id", "w_raw")), "sieve")
+    maybe = sifted(keyed, F.xxhash64("doc_id", "raw"), bits, "maybe").filter("maybe").drop("maybe")
+    texts = maybe.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("raw") == F.col("w_raw")), "left_semi")
     texts = cut(texts.dropDuplicates(["doc_id", "raw"]), "texts")
 
     def explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
