@@ -1 +1,328 @@
-"""Queries."""
+"""Queries over page texts, feeds and replies, which are built from offers in the query."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import caches as K
+from ..sources import feeds as D
+from ..sources import pages as P
+from ..sources.views import CANDIDATES_SQL, candidates, order_lines, table
+from .registry import query
+
+SQL = "WITH " + CANDIDATES_SQL + ", o AS (SELECT *, CAST(price AS DECIMAL(12,2)) AS p, CAST(price AS DECIMAL(12,2)) + 10 AS p10 FROM cands)"
+
+
+def _usd(c) -> F.Column:
+    return F.concat(F.lit("$"), c.cast("decimal(12,2)").cast("string"))
+
+
+def _offers(spark, sf_dir) -> DataFrame:
+    """Offers with p (price as decimal) and url made unique by the offer's id."""
+    c = candidates(spark, sf_dir)
+    return c.withColumn("p", F.col("price").cast("decimal(12,2)")).withColumn("url", F.concat_ws("/", "url", "offer_id"))
+
+
+def text_pages(df: DataFrame) -> DataFrame:
+    """A page text by kind (disc_seq modulo 4): sale, member price, login, plain."""
+    kind = F.col("disc_seq") % 4
+    plain = F.concat(F.lit("# "), F.col("description"), F.lit("\nYour price: "), _usd(F.col("p")), F.lit(" Add to cart"))
+    text = (
+        F.when(kind == 0, F.concat(F.lit("# "), F.col("description"), F.lit("\nWas: "), _usd(F.col("p") + 10), F.lit(" Now: "), _usd(F.col("p"))))
+        .when(kind == 1, F.concat(F.lit("# "), F.col("description"), F.lit("\nYOUR PRICE "), _usd(F.col("p") + 10), F.lit(" VIP PRICE "), _usd(F.col("p"))))
+        .when(kind == 2, F.concat(F.lit("# "), F.col("description"), F.lit("\nLog in to see price. Out of stock")))
+        .otherwise(plain)
+    )
+    return df.withColumn("text", text).withColumn("kind", kind)
+
+
+@query("p15_prefer_sale_price", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 0 THEN p END AS sale FROM o")
+def p15(spark, sf_dir):
+    df = text_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", T.sale_price((F.col("p") + 10).cast("decimal(12,2)"), F.col("text")).alias("sale"))
+
+
+@query("p14_prefer_public_price", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 1 THEN p10 ELSE p END AS price FROM o")
+def p14(spark, sf_dir):
+    df = text_pages(_offers(spark, sf_dir))
+    pub, vip = T.public_price(F.col("text")), T.member_price(F.col("text"))
+    switch = F.coalesce((F.abs(vip - F.col("p")) < 0.005) & (pub != vip), F.lit(False))
+    return df.select("offer_id", F.when(switch, pub).otherwise(F.col("p")).cast("decimal(13,2)").alias("price"))
+
+
+@query("p10_reject_login_gated", SQL + " SELECT offer_id, disc_seq % 4 = 2 AND marketplace IS NULL AS rejected FROM o")
+def p10(spark, sf_dir):
+    df = text_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", T.login_gated(F.col("text"), F.col("marketplace").isNotNull()).alias("rejected"))
+
+
+@query("p32_price_grounded", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 2 THEN true WHEN disc_seq % 8 >= 4 THEN p > 250 AND disc_seq % 4 <> 3 AND abs(p10 - (p + 5)) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR abs(-5) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR (disc_seq % 4 IN (0, 1) AND 5 <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02)) ELSE true END AS grounded FROM o WHERE NOT (p = floor(p) AND disc_seq % 8 >= 4)")
+def p32(spark, sf_dir):
+    df = text_pages(_offers(spark, sf_dir)).filter("NOT (p = floor(p) AND disc_seq % 8 >= 4)")
+    asked = F.when(F.col("disc_seq") % 8 >= 4, F.col("p") + 5).otherwise(F.col("p")).cast("double")
+    return df.select("offer_id", T.grounded(asked, F.col("text")).alias("grounded"))
+
+
+@query("p28_flag_out_of_stock", SQL + " SELECT offer_id, disc_seq % 4 = 2 AS gone, CASE WHEN disc_seq % 4 = 2 AND match_type = 'exact' THEN 'approximate' ELSE match_type END AS match_type FROM o")
+def p28(spark, sf_dir):
+    from ..operators.matching import flag_out_of_stock
+
+    df = text_pages(_offers(spark, sf_dir)).withColumns({"page_text": F.col("text"), "in_stock": F.lit(None).cast("boolean"), "aggregator": F.lit(False), "out_of_stock": F.lit(False)})
+    return flag_out_of_stock(df).select("offer_id", F.col("out_of_stock").alias("gone"), "match_type")
+
+
+@query("p27_flag_unseen_price", SQL + " SELECT offer_id, price_unreliable OR (disc_seq % 4 = 2 AND NOT price_locked) AS unreliable FROM o")
+def p27(spark, sf_dir):
+    from ..operators.matching import flag_unseen_price
+
+    df = text_pages(_offers(spark, sf_dir)).withColumn("page_text", F.concat(F.col("text"), F.repeat(F.lit(" filler"), 40))).withColumn("price_structured", F.lit(False))
+    return flag_unseen_price(df).select("offer_id", F.col("price_unreliable").alias("unreliable"))
+
+
+@query("p33_fallback_price", SQL + " SELECT offer_id, CASE disc_seq % 4 WHEN 0 THEN p WHEN 1 THEN p10 ELSE p END AS price FROM o WHERE disc_seq % 4 <> 2")
+def p33(spark, sf_dir):
+    df = text_pages(_offers(spark, sf_dir))
+    found = P.fallback_price(df.select(F.col("offer_id").alias("url"), "text").distinct())
+    return df.select("offer_id").join(found.withColumnRenamed("url", "offer_id"), "offer_id").select("offer_id", F.col("price").cast("decimal(13,2)").alias("price"))
+
+
+@query("p34_mask_wrong_pack", SQL + " SELECT offer_id, CASE WHEN disc_seq % 2 = 0 AND ordered_pack <> ordered_pack * 2 THEN (ordered_pack * 2) || '-pack $— ' || ordered_pack || '-pack $' || p ELSE 'one ' || ordered_pack || '-pack $' || p END AS masked FROM o")
+def p34(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    own, other = F.col("ordered_pack").cast("string"), (F.col("ordered_pack") * 2).cast("string")
+    text = F.when(F.col("disc_seq") % 2 == 0, F.concat(other, F.lit("-pack "), _usd(F.col("p") + 10), F.lit(" "), own, F.lit("-pack "), _usd(F.col("p")))).otherwise(F.concat(F.lit("one "), own, F.lit("-pack "), _usd(F.col("p"))))
+    return df.select("offer_id", T.without_wrong_packs(text, F.col("ordered_pack")).alias("masked"))
+
+
+@query("p13_strip_cross_sell", SQL + " SELECT offer_id, 500 + 5 AS kept FROM o")
+def p13(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    text = F.concat(F.lit("Related products\n"), F.repeat(F.lit("x"), 487), F.lit("\n"), F.lit("\nRelated products\n"), F.col("description"))
+    return df.select("offer_id", F.char_length(T.without_cross_sell(text)).alias("kept"))
+
+
+@query("p8_pack_from_page", SQL + " SELECT offer_id, CASE disc_seq % 3 WHEN 0 THEN 1 WHEN 1 THEN ordered_pack ELSE ordered_pack * 2 END AS pack FROM o")
+def p8(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    text = F.when(F.col("disc_seq") % 3 == 0, F.lit("Sold as single unit")).when(F.col("disc_seq") % 3 == 1, F.concat(F.lit("Pack of "), F.col("ordered_pack").cast("string"))).otherwise(F.concat((F.col("ordered_pack") * 2).cast("string"), F.lit(" per box")))
+    return df.select("offer_id", T.pack_from_text(text).alias("pack"))
+
+
+@query("p7_volume_compat", SQL + " SELECT offer_id, CASE disc_seq % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS same FROM o")
+def p7(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    k = F.col("disc_seq") % 4
+    page = F.when(k == 0, "bottle 2L").when(k == 1, "bottle 5 l").when(k == 2, "2010ml refill").otherwise("bottle")
+    return df.select("offer_id", T.volume_compat(F.lit("Solution 2000 ml"), page).alias("same"))
+
+
+@query("s11_flatten_storefront_feed", SQL + " SELECT domain, pos, title, price FROM (SELECT domain, page_name AS title, CASE WHEN p > 0 THEN p END AS price, row_number() OVER (PARTITION BY domain ORDER BY disc_seq, offer_id) - 1 AS pos FROM o) WHERE title IS NOT NULL")
+def s11(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    product = F.struct("disc_seq", "offer_id", F.col("page_name").alias("title"), F.concat(F.lit("h"), F.col("offer_id")).alias("handle"), F.array(F.struct(F.lit("0").alias("price")), F.struct(F.col("p").cast("string").alias("price"))).alias("variants"))
+    feed = df.groupBy("domain").agg(F.to_json(F.struct(F.array_sort(F.collect_list(product)).alias("products"))).alias("body"))
+    return D.flatten_storefront(feed).select("domain", F.col("pos").cast("long").alias("pos"), "title", F.col("price").cast("decimal(12,2)").alias("price"))
+
+
+@query("s12_flatten_search_hits", SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY disc_seq % 3, disc_seq, offer_id) AS n FROM o) SELECT sku, n AS disc_seq, domain, p AS price FROM h")
+def s12(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    hit = F.struct("disc_seq", "offer_id", F.col("page_name").alias("title"), F.lit("https://www.google.com/url").alias("link"), F.col("url").alias("product_link"), F.concat(F.lit("for "), _usd(F.col("p"))).alias("snippet"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col("disc_seq") % 3 == k, hit))).alias(n) for k, n in enumerate(("organic_results", "shopping_results", "ads"))]
+    bodies = df.groupBy(F.col("sku").alias("query_id")).agg(*lists).select("query_id", F.to_json(F.struct("organic_results", "shopping_results", "ads")).alias("body"))
+    return D.flatten_hits(bodies).select(F.col("query_id").alias("sku"), F.col("disc_seq").cast("long").alias("disc_seq"), "domain", "price")
+
+
+@query("s13_flatten_product_sellers", SQL + " SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) AS seller_no, site AS seller, p AS price FROM o WHERE p > 0 AND page_name IS NOT NULL QUALIFY seller_no <= 5")
+def s13(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    seller = F.struct("disc_seq", "offer_id", F.col("site").alias("name"), F.when(F.col("page_name").isNotNull(), F.col("url")).otherwise("").alias("link"), _usd(F.col("p")).alias("total_price"))
+    bodies = df.groupBy(F.col("sku").alias("product_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(seller)).alias("sellers"))).alias("body"))
+    return D.flatten_sellers(bodies).select(F.col("product_id").alias("sku"), F.col("seller_no").cast("long").alias("seller_no"), "seller", "price")
+
+
+@query("s14_flatten_marketplace_hits", SQL + ", h AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) - 1 AS pos FROM o) SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY pos) AS hit_no, p AS price FROM h WHERE pos < 12 AND disc_seq % 3 <> 0 QUALIFY hit_no <= 6")
+def s14(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    k = F.col("disc_seq") % 3
+    hit = F.struct("disc_seq", "offer_id", F.when(k == 0, F.col("url")).when(k == 1, "https://www.amazon.com/dp/B000000001").alias("link"), F.when(k == 2, "B000000002").alias("asin"), F.struct(F.col("p").cast("string").alias("value")).alias("price"))
+    bodies = df.groupBy(F.col("sku").alias("query_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(hit)).alias("results"))).alias("body")).withColumn("marketplace", F.lit("amazon"))
+    return D.flatten_marketplace(bodies).select(F.col("query_id").alias("sku"), F.col("hit_no").cast("long").alias("hit_no"), "price")
+
+
+@query("s31_parse_verdicts", SQL + " SELECT offer_id, url || '/' || offer_id AS url, p AS price, CASE WHEN disc_seq % 5 <> 4 THEN pack_qty END AS pack_quantity, match_type, confidence FROM o WHERE disc_seq % 5 <> 4 OR true")
+def s31(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    one = F.struct(F.lit(1).alias("page"), _usd(F.col("p")).alias("price"), F.when(F.col("disc_seq") % 5 == 4, F.lit("several")).otherwise(F.col("pack_qty").cast("string")).alias("pack_quantity"), "match_type", F.col("confidence").cast("string").alias("confidence"))
+    body = F.to_json(one)
+    k = F.col("disc_seq") % 4
+    reply = F.when(k == 0, F.concat(F.lit('```json\n{"results": ['), body, F.lit("]}\n```"))).when(k == 1, F.concat(F.lit("["), body, F.lit("]"))).when(k == 2, F.concat(F.lit("Here it is: "), body, F.lit(" as asked"))).otherwise(F.concat(F.lit('{"data": ['), body, F.lit("]}")))
+    out = D.parse_verdicts(df.select(F.col("offer_id").alias("key"), F.array("url").alias("urls"), reply.alias("reply")))
+    return out.select(F.col("key").alias("offer_id"), "url", "price", "pack_quantity", "match_type", "confidence")
+
+
+def _html(df: DataFrame) -> DataFrame:
+    """A page's html by kind (disc_seq modulo 5): JSON-LD, meta, microdata, script, none."""
+    k, p = F.col("disc_seq") % 5, F.col("p").cast("string")
+    ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("page_name").alias("name"), F.array(F.struct(p.alias("price"), F.lit("USD").alias("priceCurrency")), F.struct((F.col("p") + 1).cast("string").alias("price"), F.lit("USD").alias("priceCurrency")), F.struct(F.lit("0.01").alias("price"), F.lit("EUR").alias("priceCurrency"))).alias("offers")))
+    body = (
+        F.when(k == 0, F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")))
+        .when(k == 1, F.concat(F.lit('<meta content="'), p, F.lit('" property="product:price:amount">')))
+        .when(k == 2, F.concat(F.lit('<span itemprop="price">$'), p, F.lit("</span>")))
+        .when(k == 3, F.concat(F.lit('<script>x = {"price": '), p, F.lit("}</script>")))
+        .otherwise("<p>Call us</p>")
+    )
+    stock = F.when(F.col("out_of_stock"), '<link itemprop="availability" href="https://schema.org/OutOfStock">').otherwise("")
+    return df.withColumn("html", F.concat(F.lit("<html><head><style>p {}</style></head><body><p>A &amp; B</p>"), body, stock, F.lit("</body></html>")))
+
+
+@query("s15_extract_structured_offers", SQL + " SELECT DISTINCT offer_id, p AS price, CAST(disc_seq % 5 + 1 AS INTEGER) AS tier, disc_seq % 5 <> 0 AS single_offer FROM o WHERE disc_seq % 5 < 4 AND (disc_seq % 5 < 3 OR p >= 0.5) AND p <= 100000")
+def s15(spark, sf_dir):
+    pages = _html(_offers(spark, sf_dir)).select(F.col("offer_id").alias("url"), "html").distinct()
+    return P.structured_offers(pages).select(F.col("url").alias("offer_id"), "price", "tier", "single_offer")
+
+
+@query("s17_structured_stock", SQL + " SELECT offer_id, out_of_stock AS gone FROM o")
+def s17(spark, sf_dir):
+    return _html(_offers(spark, sf_dir)).select("offer_id", P.structured_gone(F.col("html")).alias("gone"))
+
+
+@query("s18_listing_condition", SQL + " SELECT DISTINCT offer_id, CASE WHEN disc_seq % 2 = 0 THEN 'New' ELSE 'Used' END AS condition FROM o")
+def s18(spark, sf_dir):
+    df = _offers(spark, sf_dir).withColumn("html", F.when(F.col("disc_seq") % 2 == 0, '{"itemCondition": "https://schema.org/NewCondition"}').otherwise("<p>Condition: <b>Used</b></p>"))
+    return P.listing_condition(df.select(F.col("offer_id").alias("url"), "html").distinct()).select(F.col("url").alias("offer_id"), "condition")
+
+
+@query("s19_html_to_text", SQL + " SELECT offer_id, 'A & B' || CASE disc_seq % 5 WHEN 2 THEN ' $' || p WHEN 4 THEN ' Call us' ELSE '' END AS page_text FROM o")
+def s19(spark, sf_dir):
+    return P.html_to_text(_html(_offers(spark, sf_dir))).select("offer_id", "page_text")
+
+
+@query("s19_pages_text")
+def s19_pages(spark, sf_dir):
+    return P.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "page_text")
+
+
+@query("s16_extract_variant_records", SQL + " SELECT DISTINCT offer_id, 1 AS pos, 'A' || sku AS sku, CAST(p AS DECIMAL(13,2)) AS price FROM o UNION ALL SELECT DISTINCT offer_id, 2, 'B]' || sku, p10 FROM o")
+def s16(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    one = lambda pre, price: F.struct(F.concat(F.lit(pre), F.col("sku").cast("string")).alias("sku"), price.cast("string").alias("price"), F.col("page_name").alias("title"))
+    body = F.to_json(F.array(one("A", F.col("p")), one("B]", F.col("p") + 10), one("A", F.col("p"))))
+    escaped = F.replace(body, F.lit('"'), F.lit("&quot;"))
+    html_ = F.when(F.col("disc_seq") % 2 == 0, F.concat(F.lit('<script>{"variants": '), body, F.lit("}</script>"))).otherwise(F.concat(F.lit('<form data-product_variations="'), escaped, F.lit('"></form>')))
+    out = P.variant_records(df.select(F.col("offer_id").alias("url"), html_.alias("html")).distinct())
+    return out.select(F.col("url").alias("offer_id"), "pos", "sku", F.col("price").cast("decimal(13,2)").alias("price"))
+
+
+SELLERS = SQL + """, s AS (SELECT sku, site, out_of_stock AS gone, CASE WHEN disc_seq % 3 = 0 THEN p + 4 ELSE p END AS total, lower(replace(site, '#', '-')) AS slug, disc_seq, offer_id,
+  row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) AS n FROM o)"""
+
+
+def seller_pages(df: DataFrame) -> DataFrame:
+    """For each sku a page (url: the sku) with a table of its sellers, with vendor links."""
+    slug = F.lower(F.replace("site", F.lit("#"), F.lit("-")))
+    row = F.concat(F.lit("["), F.col("site"), F.lit("](https://www.shop.example/vendor/"), slug, F.lit("/1)\n"), F.when(F.col("out_of_stock"), "Backordered.").otherwise("Stocked."), F.lit("\n**"), _usd(F.col("p")), F.lit("**/ea + FREE Standard Shipping\n"), F.when(F.col("disc_seq") % 3 == 0, "Heavy shipping surcharge $4.00\n").otherwise("1 @ $0.01\n"), F.lit("Add to Cart\n"))
+    rows = df.groupBy("sku").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("disc_seq", "offer_id", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+    return rows.select(F.col("sku").cast("string").alias("url"), F.concat(F.lit("Vendor options\n\n"), "body").alias("text"))
+
+
+@query("s20_parse_seller_tables", SELLERS + " SELECT sku, n AS seller_no, CAST(total AS DECIMAL(12,2)) AS total, CASE WHEN gone THEN 'Backordered' END AS status FROM s")
+def s20(spark, sf_dir):
+    out = P.seller_rows(seller_pages(_offers(spark, sf_dir)))
+    return out.select(F.col("url").cast("long").alias("sku"), (F.col("seller_no") + 1).cast("long").alias("seller_no"), "total", "status")
+
+
+@query(
+    "s21_aggregator_price",
+    SELLERS
+    + """, h AS (SELECT s.sku, o.p AS headline FROM s JOIN o USING (offer_id) WHERE n = 1 GROUP BY ALL), x AS (SELECT s.*, headline, NOT gone AND CAST(total AS DOUBLE) BETWEEN CAST(headline AS DOUBLE) * 0.30 AND CAST(headline AS DOUBLE) * 1.05 AS likely FROM s JOIN h USING (sku))
+SELECT sku, count(*) FILTER (NOT gone) AS n_rows, CAST(coalesce(CASE WHEN CAST(min(total) FILTER (NOT gone) AS DOUBLE) < CAST(any_value(headline) AS DOUBLE) * 0.30 THEN min(total) FILTER (likely) END, min(total) FILTER (NOT gone)) AS DECIMAL(12,2)) AS price FROM x GROUP BY sku HAVING count(*) FILTER (NOT gone) > 0""",
+)
+def s21(spark, sf_dir):
+    pages = seller_pages(_offers(spark, sf_dir))
+    out = P.aggregator_price(P.seller_rows(pages), pages)
+    return out.select(F.col("url").cast("long").alias("sku"), "n_rows", "price")
+
+
+@query("j10_serve_cached_verdicts", SQL + " SELECT offer_id, sha1(concat_ws('|', 'v1', url || '/' || offer_id, lower(coalesce(variant, '')), ordered_pack::VARCHAR)) AS key FROM o")
+def j10(spark, sf_dir):
+    return K.verdict_key(_offers(spark, sf_dir), "v1").select("offer_id", "key")
+
+
+@query("j12_match_variant_by_id", SQL + " SELECT sku, arg_min(p, disc_seq * 2) AS price FROM o GROUP BY sku HAVING count(*) = count(DISTINCT disc_seq)")
+def j12(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    lone = df.groupBy("sku").agg((F.count("*") == F.count_distinct("disc_seq")).alias("lone")).filter("lone").select("sku")
+    variants = df.join(lone, "sku").select(F.col("sku").alias("page"), F.col("disc_seq").alias("pos"), F.concat(F.lit("P-"), F.col("sku").cast("string")).alias("v"), F.col("p").alias("price")).withColumnRenamed("v", "sku")
+    wanted = lone.select(F.col("sku").alias("page"), F.concat(F.lit("p"), F.col("sku").cast("string")).alias("number"))
+    return K.match_variant_by_id(wanted, variants).select(F.col("page").alias("sku"), "price")
+
+
+@query("j13_match_variant_by_size", SQL + " SELECT sku, arg_min(p, (disc_seq, offer_id)) AS price FROM o GROUP BY sku HAVING count(*) >= 2")
+def j13(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sku").orderBy("disc_seq", "offer_id")
+    df = _offers(spark, sf_dir).withColumn("n", F.row_number().over(w))
+    variants = df.select(F.col("sku").alias("page"), F.concat(F.lit("Bottle 33 oz no. "), F.col("n").cast("string"), F.lit(" end")).alias("title"), F.col("p").alias("price"))
+    wanted = order_lines(spark, sf_dir).select(F.col("sku").alias("page"), F.lit("no. 1 end").alias("size"))
+    return K.match_variant_by_size(wanted, variants).select(F.col("page").alias("sku"), "price")
+
+
+@query("p47_apply_enrichment", "WITH lines0 AS (SELECT p_partkey AS sku, concat_ws(' ', p_name, p_type, p_size || '/Bx') AS description, p_size AS pack, p_name FROM part) SELECT sku, CASE WHEN sku % 3 = 0 THEN p_name ELSE description END AS product_name, CASE WHEN sku % 3 = 0 THEN 7 ELSE pack END AS ordered_pack FROM lines0")
+def p47(spark, sf_dir):
+    from ..operators.matching import apply_enrichment
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"))
+    parsed = part.filter("sku % 3 != 2").select("sku", F.when(F.col("sku") % 3 == 0, F.col("product_name")).alias("product_name"), F.lit(" ").alias("search_query"), F.when(F.col("sku") % 3 == 0, "7").otherwise("many").alias("pack_qty"))
+    return apply_enrichment(order_lines(spark, sf_dir), parsed).select("sku", "product_name", "ordered_pack")
+
+
+@query("p22_confirm_by_mpn", SQL + " SELECT offer_id, mpn_confirmed OR NOT variant_conflict AND contains(regexp_replace(lower(concat_ws(' ', url || '/' || offer_id, page_name, 'x')), '[^a-z0-9]', '', 'g'), 'products' || sku) AS confirmed FROM o")
+def p22(spark, sf_dir):
+    from ..operators.matching import confirm_by_mpn
+
+    df = _offers(spark, sf_dir).withColumn("mpn", F.concat(F.lit("Products-"), F.col("sku").cast("string"))).withColumn("title", F.lit("x"))
+    return confirm_by_mpn(df).select("offer_id", F.col("mpn_confirmed").alias("confirmed"))
+
+
+@query("p23_confirm_locked", SQL + " SELECT offer_id, CASE WHEN price_locked AND NOT variant_conflict AND NOT coalesce(name_match, false) AND page_name IS NOT NULL AND coalesce(pack_qty = ordered_pack, true) THEN true ELSE name_match END AS name_match FROM o")
+def p23(spark, sf_dir):
+    from ..operators.matching import confirm_locked
+
+    return confirm_locked(_offers(spark, sf_dir).withColumn("title", F.col("description"))).select("offer_id", "name_match")
+
+
+@query("p17_range_low_fallback", SQL + """ , x AS (SELECT *, price_unreliable AND NOT coalesce(contains(rejected_reason, 'login'), false) AND coalesce(name_match, false) AND coalesce(brand_match, false) AND floor(unit_price * 0.5 * 100 + 0.5) / 100 BETWEEN unit_price * 0.05 AND unit_price * 3.0 AS rescued FROM o)
+SELECT offer_id, CASE WHEN rescued THEN floor(unit_price * 0.5 * 100 + 0.5) / 100 WHEN NOT price_unreliable THEN price END AS price, CASE WHEN rescued AND match_type = 'rejected' THEN 'approximate' ELSE match_type END AS match_type FROM x""")
+def p17(spark, sf_dir):
+    from ..operators.matching import price_outcome
+    from ..sources.views import cents
+
+    df = _offers(spark, sf_dir).withColumn("range_low", cents(F.col("unit_price") * 0.5)).withColumn("price", F.when(~F.col("price_unreliable"), F.col("price")))
+    return price_outcome(df).select("offer_id", "price", "match_type")
+
+
+@query("p18_rescue_login_rejects", SQL + " SELECT offer_id, CASE WHEN rejected_reason = 'login required' AND price_locked THEN 'unverified' ELSE match_type END AS match_type, CASE WHEN rejected_reason = 'login required' AND price_locked THEN coalesce(page_name, description) ELSE page_name END AS page_name FROM o")
+def p18(spark, sf_dir):
+    from ..operators.matching import rescue_gated
+
+    df = _offers(spark, sf_dir).withColumns({"price_structured": F.lit(False), "structured_name": F.lit(None).cast("string"), "title": F.col("description")})
+    return rescue_gated(df).select("offer_id", "match_type", "page_name")
+
+
+@query("j16_merge_seed_hits", SQL + " SELECT offer_id, CASE WHEN is_seed OR NOT is_seed THEN price END AS price FROM o")
+def j16(spark, sf_dir):
+    df = _offers(spark, sf_dir)
+    seeds = df.filter("is_seed").select("offer_id", "url", F.lit(None).cast("double").alias("price")).distinct()
+    hits = df.select("offer_id", "url", "price")
+    return K.merge_seed_hits(seeds, hits, ["price"]).select("offer_id", "price")
+
+
+@query("j18_purge_cache", SQL + ", u AS (SELECT DISTINCT url, sku FROM o) SELECT url FROM (SELECT DISTINCT url FROM u) WHERE url NOT IN (SELECT url FROM u WHERE sku IN (1, 2, 3))")
+def j18(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    cache = c.groupBy("sku").agg(F.collect_set("url").alias("urls"))
+    return K.purge(cache, c.select("url").distinct(), [1, 2, 3])[1]
