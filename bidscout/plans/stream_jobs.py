@@ -1 +1,85 @@
-"""Queries."""
+"""Batch twins of the streaming jobs, over the events table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.views import table
+from ..streaming import jobs as J
+from .registry import query
+
+EVENTS = """WITH e AS (SELECT user_id AS job_id, ts, event_id AS seq, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value,
+  CASE event_type WHEN 'signup' THEN 'upload_complete' WHEN 'view' THEN 'step_start' WHEN 'click' THEN 'step_complete' WHEN 'purchase' THEN CASE WHEN event_id % 50 = 0 THEN 'pipeline_complete' ELSE 'step_warning' END
+    ELSE CASE WHEN event_id % 40 = 0 THEN 'pipeline_error' ELSE 'quota_limit' END END AS event, event_type FROM events),
+v AS (SELECT *, CASE WHEN event IN ('step_start', 'step_complete', 'step_warning') THEN k % 7 END AS step,
+  CASE WHEN event = 'quota_limit' THEN CASE k % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'search' ELSE 'pages' END END AS service FROM e)
+"""
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress events of jobs: a user's events, renamed."""
+    return as_job_events(table(spark, sf_dir, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    t, i = F.col("event_type"), F.col("event_id")
+    event = F.when(t == "signup", "upload_complete").when(t == "view", "step_start").when(t == "click", "step_complete").when(t == "purchase", F.when(i % 50 == 0, "pipeline_complete").otherwise("step_warning")).otherwise(F.when(i % 40 == 0, "pipeline_error").otherwise("quota_limit"))
+    df = events.select(F.col("user_id").alias("job_id"), "ts", i.alias("seq"), event.alias("event"), k.alias("k"))
+    step = F.when(F.col("event").isin("step_start", "step_complete", "step_warning"), F.col("k") % len(J.STEPS))
+    service = F.when(F.col("event") == "quota_limit", F.get(F.array(F.lit("model"), F.lit("search"), F.lit("pages")), F.col("k") % 3))
+    return df.withColumn("step", step).withColumn("service", service).withColumn("message", F.lit(None).cast("string")).drop("k")
+
+
+@query("st1_job_state")
+def st1(spark, sf_dir):
+    return J.job_state(job_events(spark, sf_dir))
+
+
+@query("st2_activity_feed", EVENTS + """SELECT job_id, seq, coalesce(service, 'pipeline') AS service, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS k FROM v QUALIFY k <= 200""")
+def st2(spark, sf_dir):
+    return J.activity_feed(job_events(spark, sf_dir)).select("job_id", "seq", "service", "k")
+
+
+@query("st3_quota_alerts", EVENTS + "SELECT job_id, service, seq FROM v WHERE event = 'quota_limit' QUALIFY row_number() OVER (PARTITION BY job_id, service ORDER BY ts, seq) = 1")
+def st3(spark, sf_dir):
+    return J.quota_alerts(job_events(spark, sf_dir)).select("job_id", "service", "seq")
+
+
+@query("st4_rolling_usage", "SELECT event_id AS call_id, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM events")
+def st4(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), F.col("event_type").alias("model"), "ts", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("tokens"))
+    return J.rolling_usage(calls, 3600).select("call_id", "used")
+
+
+@query("st5_progress_percent")
+def st5(spark, sf_dir):
+    return J.progress_percent(J.job_state(job_events(spark, sf_dir)))
+
+
+@query("st6_upsert_latest_event", EVENTS + "SELECT job_id, seq, event FROM v QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) = 1")
+def st6(spark, sf_dir):
+    from ..operators.caches import upsert_latest
+
+    e = job_events(spark, sf_dir).select("job_id", "ts", "seq", "event")
+    return upsert_latest(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1"), ["job_id"], ["ts", "seq"]).select("job_id", "seq", "event")
+
+
+@query(
+    "st7_job_lifecycle",
+    EVENTS
+    + """, x AS (SELECT job_id, min(ts) AS started, min((ts, seq, event)) FILTER (event IN ('pipeline_complete', 'pipeline_error')) AS fin FROM v GROUP BY job_id)
+SELECT job_id, started, CASE WHEN fin IS NULL THEN 'running' WHEN fin[3] = 'pipeline_complete' THEN 'complete' ELSE 'failed' END AS status, CAST(floor((epoch_us(fin[1]) - epoch_us(started)) / 1000000) AS BIGINT) AS seconds FROM x""",
+)
+def st7(spark, sf_dir):
+    return J.lifecycle(job_events(spark, sf_dir)).select("job_id", "started", "status", "seconds")
+
+
+@query("a13_usage_summary", "SELECT user_id AS run_id, count(*) AS calls, count(*) FILTER (event_type = 'view') AS skipped, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS credits, bool_or(event_type = 'error' AND event_id % 40 = 0) AS exhausted FROM events GROUP BY 1")
+def a13(spark, sf_dir):
+    from ..operators.aggregates import usage_summary
+
+    e = table(spark, sf_dir, "events")
+    calls = e.select(F.col("user_id").alias("run_id"), (F.col("event_type") == "view").alias("skipped"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("credits"), ((F.col("event_type") == "error") & (F.col("event_id") % 40 == 0)).alias("exhausted"))
+    return usage_summary(calls)
