@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import cut, sha256_hex, table
 
@@ -67,7 +68,7 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return gone.select(F.col("doc_id").alias("r_id"), F.col("raw").alias("r_raw"), "places")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The text without the lines at the places given."""
     for text, places in parts:
