@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import more_jobs, offer_jobs, order_jobs, page_jobs, stream_jobs, url_jobs  # noqa: E402, F401
+from . import client_jobs, more_jobs, offer_jobs, order_jobs, page_jobs, stream_jobs, url_jobs  # noqa: E402, F401

@@ -177,3 +177,13 @@ def test_order_of_rows_does_not_matter(spark, sf):
     a = S.select_options(c).select("sku", "option_no", "offer_id")
     b = S.select_options(c.orderBy(F.rand(3)).repartition(7)).select("sku", "option_no", "offer_id")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_reports_are_overwritten_by_order(spark, tmp_path):
+    from bidscout.operators.reports import latest_run, write_reports
+
+    rows = lambda *r: spark.createDataFrame(list(r), "reference string, sku int")
+    write_reports({"a": rows(("x", 1), ("y", 2))}, str(tmp_path))
+    write_reports({"a": rows(("x", 3))}, str(tmp_path))
+    assert {(r.sku, r.reference) for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {(3, "x"), (2, "y")}
+    assert {tuple(r) for r in latest_run(rows(("x", 1), ("x", 2), ("y", 2)), rows(("x", 3))).collect()} == {("x", 3), ("y", 2)}
