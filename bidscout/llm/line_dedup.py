@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, sha256_hex, table
+from .common import SPACES, cut, sha256_hex, table
 
 MIN_SITES = 16
 LG_K = 10
@@ -38,7 +38,7 @@ MARGIN = 5 * 1.04 / 2 ** (LG_K / 2)
 def exploded(docs: DataFrame) -> DataFrame:
     """doc_id, raw (hash of the text), site, at (place of the line, from 0), line (16 bytes; blank lines are left out)."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("raw"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(SPACES)))
     return lines.filter("line != ''").withColumn("line", F.unhex(F.md5("line")))
 
 
