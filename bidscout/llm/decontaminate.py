@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, table
+from .common import cut, free_name, sha256_hex, sieve, sifted, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,9 +73,15 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
     sought = F.broadcast(sought) if sum(seen.values()) <= BROADCAST_WINDOWS else sought
     found = places.join(sought, "key").filter("prefix = p")
     found = found.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("at", "length", "words", "items")).alias("maybe"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("raw").alias("f_raw"), "maybe")
-    joined = docs.withColumn("raw", raw).join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("raw") == F.col("f_raw")), "left").drop("f_id", "f_raw")
-    joined = joined.withColumn("w", word_array(F.col("text")))
+    found = cut(found.select(F.col("doc_id").alias("f_id"), F.col("raw").alias("f_raw"), "maybe"), "candidates")
+    # only texts with candidates are shuffled to them, behind a sieve; the others stay where they are
+    bits = cut(sieve(found, F.xxhash64("f_id", "f_raw")), "sieve")
+    own = free_name(docs, "asked")
+    sifted_ = sifted(docs.withColumn("raw", raw), F.xxhash64("doc_id", "raw"), bits, own)
+    met = sifted_.filter(own).join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("raw") == F.col("f_raw")), "left").drop("f_id", "f_raw", own)
+    rest = sifted_.filter(~F.col(own)).drop(own).withColumn("maybe", F.lit(None).cast(found.schema["maybe"].dataType))
+    # exploded, so that no optimizer rule repeats the words' extraction for each candidate or below a filter
+    joined = met.unionByName(rest).withColumn("w", F.explode(F.array(word_array(F.col("text")))))
     sure = F.filter("maybe", lambda h: F.array_join(F.slice(F.col("w"), h["at"] + 1, h["length"]), " ") == h["words"])
     none = F.array().cast("array<struct<at:int,length:int,items:array<string>>>")
     return joined.withColumn("found", F.coalesce(F.transform(sure, lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length"), h["items"].alias("items"))), none)).drop("maybe")
