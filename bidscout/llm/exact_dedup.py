@@ -146,7 +146,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[bytes], bytes] = strong) ->
     members = cut(members, "members")
     first = F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"))
     groups = members.groupBy("names").agg(F.count("*").alias("group_size"), F.min(first).alias("first"))
-    groups = groups.select("names", "group_size", "first.keep_id", "first.keep_row")
+    # written, so that the join below has no aggregate above its shuffle and AQE can split a hot list
+    groups = cut(groups.select("names", "group_size", "first.keep_id", "first.keep_row"), "groups")
     grouped = members.select("row", "names").join(groups, "names").select("row", "group_size", "keep_id", "keep_row")
 
     out = rows.select("row", "doc_id", "text_sha256").join(grouped, "row", "left")
