@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, words_of
 
 #: Rows of a block, about.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Documents of a source that are kept for its landing.
 LANDING = 10
 #: Sources whose sums the driver may hold.

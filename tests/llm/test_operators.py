@@ -42,7 +42,7 @@ def test_flight_keeps_both_totals():
     assert out.sum() == pytest.approx(prob.sum()) and (out * size).sum() == pytest.approx((prob * size).sum())
 
 
-@pytest.mark.parametrize("block", [7, 20_000])
+@pytest.mark.parametrize("block", [7, 2_000])
 def test_mix(spark, corpus, docs, none, block, monkeypatch):
     monkeypatch.setattr(mixture, "BLOCK", block)
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("size"))
