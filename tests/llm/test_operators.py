@@ -313,6 +313,13 @@ def test_lines(corpus, docs, none, least):
     assert got.filter("removed_lines > 0 AND n_chars != char_length(text)").count() == 0
 
 
+def test_boilerplate_of_some_sites(spark):
+    passage, few, *own = (" ".join(f"{k}x{i}" for i in range(60)) for k in range(26))
+    rows = [(i, f"{own[i]}\n{passage}" if i < 11 else f"{few}\n{own[i]}" if i < 15 else own[i], f"s{i % 20}") for i in range(24)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: (own[i], 1) if 0 < i < 11 else (t, 0) for i, t, _ in rows}
+
+
 # 10 quality -----------------------------------------------------------------
 
 
