@@ -43,24 +43,31 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
 
 
-def fuzzy_match(lines: DataFrame, catalog: DataFrame, top: int = 2, least: int = 3) -> DataFrame:
-    """lines (sku, text), catalog (item, title) -> sku, item, hits: shared words, `least` and a third of the line's at least; the top of each line.
+def fuzzy_match(lines: DataFrame, catalog: DataFrame, shops: DataFrame, top: int = 2, least: int = 3, first: int = 12) -> DataFrame:
+    """lines (sku, text, anchors), catalog (shop, item, title), shops (sku, shop, place) -> sku, shop, item, hits.
+
+    The top items of each line and shop by shared words, of which there are `least`
+    and a third of the line's (rounded down) at least, one of them an anchor if the
+    line has any. A line is looked up in the first of its shops, by place.
 
     An inverted index, with the line's rarest words only: whoever shares `least` of
     its n words shares one of the n - least + 1 rarest. Common words meet no one.
     """
-    b = catalog.select("item", T.tokens(F.col("title")).alias("words"))
-    index = b.select("item", F.explode("words").alias("t"))
+    place = Window.partitionBy("sku").orderBy("place", "shop")
+    asked = shops.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= first).select("sku", "shop")
+    b = catalog.select("shop", "item", T.tokens(F.col("title"), 2).alias("words"))
+    index = b.select("shop", "item", F.explode("words").alias("t"))
     often = index.groupBy("t").agg(F.count("*").alias("often"))
-    a = lines.select("sku", T.tokens(F.col("text")).alias("words")).filter(F.size("words") >= least)
+    a = lines.select("sku", T.tokens(F.col("text"), 2).alias("words"), "anchors").filter(F.size("words") >= least)
     ranked = a.select("sku", F.explode("words").alias("t")).join(often, "t", "left").groupBy("sku").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t"))).alias("r"))
     rare = ranked.select("sku", F.explode(F.slice("r", F.lit(1), F.size("r") - least + 1)).alias("x")).select("sku", "x.t")
-    pairs = rare.join(index, "t").select("sku", "item").distinct()
-    met = pairs.join(a, "sku").join(b.withColumnRenamed("words", "other"), "item")
-    met = met.select("sku", "item", F.size("words").alias("n"), F.size(F.array_intersect("words", "other")).cast("long").alias("hits"))
-    met = met.filter((F.col("hits") >= least) & (F.col("hits") >= F.col("n") / 3))
-    w = Window.partitionBy("sku").orderBy(F.desc("hits"), "item")
-    return met.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top).select("sku", "item", "hits")
+    pairs = rare.join(asked, "sku").join(index, ["shop", "t"]).select("sku", "shop", "item").distinct()
+    met = pairs.join(a, "sku").join(b.withColumnRenamed("words", "other"), ["shop", "item"])
+    met = met.withColumn("hits", F.size(F.array_intersect("words", "other")).cast("long"))
+    anchored = (F.size("anchors") == 0) | F.arrays_overlap("anchors", "other")
+    met = met.filter((F.col("hits") >= F.greatest(F.lit(least), F.floor(F.size("words") / 3))) & anchored)
+    w = Window.partitionBy("sku", "shop").orderBy(F.desc("hits"), "item")
+    return met.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top).select("sku", "shop", "item", "hits")
 
 
 def merge_seed_hits(seeds: DataFrame, hits: DataFrame, fill: list[str]) -> DataFrame:

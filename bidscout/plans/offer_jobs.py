@@ -11,6 +11,7 @@ from ..operators import caches as K
 from ..operators import matching as M
 from ..operators import reports as P
 from ..operators import selection as S
+from ..operators import urls as J
 from ..sources.views import CANDIDATES_SQL, LINES_SQL, candidates, order_lines, table
 from .registry import query
 
@@ -387,15 +388,28 @@ def j1(spark, sf_dir):
 
 @query(
     "j11_fuzzy_storefront_match",
-    """WITH x AS (SELECT p_partkey AS sku, regexp_extract_all(lower(concat_ws(' ', p_name, p_type, replace(p_brand, '#', ''), 's' || p_size)), '[a-z0-9]+') AS w FROM part),
-t AS (SELECT DISTINCT sku, unnest(w) AS tok FROM x), n AS (SELECT sku, count(*) AS n FROM t GROUP BY sku),
-m AS (SELECT a.sku, b.sku AS item, count(*) AS hits FROM t a JOIN t b USING (tok) GROUP BY ALL)
-SELECT m.sku, item, hits FROM m JOIN n USING (sku) WHERE hits >= 4 AND hits >= n / 3.0 QUALIFY row_number() OVER (PARTITION BY m.sku ORDER BY hits DESC, item) <= 2""",
+    """WITH x AS (SELECT p_partkey AS sku, lower(concat_ws(' ', p_name, p_type, replace(p_brand, '#', ''), 's' || p_size)) AS s FROM part),
+t AS (SELECT DISTINCT sku, unnest(regexp_extract_all(s, '[a-z0-9]{2,}')) AS tok FROM x), n AS (SELECT sku, count(*) AS n FROM t GROUP BY sku),
+a AS (SELECT sku, tok FROM t WHERE len(tok) >= 4 AND NOT regexp_matches(tok, '^\\d+$') AND tok NOT IN (PLAIN)),
+g AS (SELECT p_partkey AS sku, s_suppkey AS shop FROM part, supplier EXCEPT SELECT l_partkey, l_suppkey FROM lineitem),
+f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY sku ORDER BY shop) <= 12),
+c AS (SELECT DISTINCT l_suppkey AS shop, l_partkey AS item FROM lineitem),
+m AS (SELECT a.sku, b.sku AS item, count(*) AS hits FROM t a JOIN t b USING (tok) GROUP BY ALL HAVING count(*) >= 3),
+k AS (SELECT m.* FROM m JOIN n USING (sku) WHERE hits >= greatest(3, n // 3) AND (sku NOT IN (SELECT sku FROM a) OR EXISTS (SELECT 1 FROM a JOIN t USING (tok) WHERE a.sku = m.sku AND t.sku = m.item)))
+SELECT k.sku, shop, item, hits FROM k JOIN c USING (item) JOIN f USING (sku, shop) QUALIFY row_number() OVER (PARTITION BY k.sku, shop ORDER BY hits DESC, item) <= 2""".replace("PLAIN", ", ".join(f"'{x}'" for x in J.PLAIN_WORDS)),
 )
 def j11(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     text = F.concat_ws(" ", "p_name", "p_type", F.replace("p_brand", F.lit("#"), F.lit("")), F.concat(F.lit("s"), F.col("p_size").cast("string")))
-    return K.fuzzy_match(part.select(F.col("p_partkey").alias("sku"), text.alias("text")), part.select(F.col("p_partkey").alias("item"), text.alias("title")), least=4)
+    lines = part.select(F.col("p_partkey").alias("sku"), text.alias("text"), J.anchors(text).alias("anchors"))
+    sold = li.select(F.col("l_suppkey").alias("shop"), F.col("l_partkey").alias("item")).distinct()
+    catalog = sold.join(part.select(F.col("p_partkey").alias("item"), text.alias("title")), "item")
+    site = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"), F.lit(".example"))
+    sites = table(spark, sf_dir, "supplier").select(site("s_suppkey").alias("domain"))
+    seen = sold.select(F.col("item").alias("sku"), F.concat(F.lit("https://"), site("shop"), F.lit("/")).alias("url"))
+    shop = F.regexp_extract("domain", r"^s(\d+)\.", 1).cast("long")
+    shops = J.supplier_gap(seen, sites, lines).select("sku", shop.alias("shop"), shop.alias("place"))
+    return K.fuzzy_match(lines, catalog, shops).select("sku", "shop", "item", "hits")
 
 
 @query(

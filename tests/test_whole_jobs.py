@@ -2,6 +2,7 @@
 
 from oracle import SF, assert_same, connect
 
+from bidscout.operators import caches as K
 from bidscout.operators import urls as J
 from bidscout.plans.registry import ORACLES, QUERIES
 
@@ -27,3 +28,12 @@ def test_gap_has_no_cross_join(spark, monkeypatch):
     assert "Cross" not in plan(got) and "broadcast" not in plan(got)
     want = sorted((k, f"s{i}.example") for k in range(10) for i in range(8) if i != k % 8)
     assert sorted((r.sku, r.domain) for r in got.collect()) == want
+
+
+def test_storefront_by_shop(spark):
+    words = [f"w{i}" for i in range(11)]
+    lines = spark.createDataFrame([(1, " ".join(words), ["w0"])], "sku long, text string, anchors array<string>")
+    catalog = [(s, 10 * s + i, "w0 w1 w2") for s in range(1, 15) for i in range(3)] + [(1, 99, "w3 w4 w5 w6"), (2, 98, "w0 w1")]
+    shops = spark.createDataFrame([(1, s, s) for s in range(1, 15)], "sku long, shop long, place long")
+    got = K.fuzzy_match(lines, spark.createDataFrame(catalog, "shop long, item long, title string"), shops)
+    assert sorted(map(tuple, got.collect())) == [(1, s, 10 * s + i, 3) for s in range(1, 13) for i in range(2)]
