@@ -89,14 +89,15 @@ def match_variant_by_id(wanted: DataFrame, variants: DataFrame) -> DataFrame:
     """wanted (page, number), variants (page, pos, sku, price): the variant of the page with the wanted number.
 
     Equal numbers first, then the number with a descriptor after it, then behind
-    a vendor's prefix; a digit may not touch the number. The first in page order wins.
+    a vendor's prefix; a digit may not touch the number. The first in page order wins, of equal
+    places the least sku and price.
     """
     met = wanted.join(variants, "page")
     n, s = F.lower("number"), F.lower("sku")
     plain = T.normal_id(F.col("number"))
     kind = F.when(T.normal_id(F.col("sku")) == plain, 0).when(F.startswith(s, n) & F.rlike(F.substring(s, F.length(n) + 1, F.lit(1)), F.lit("[^a-z0-9-]")), 1).when(F.endswith(s, n) & F.rlike(F.substring(s, F.lit(1), F.length(s) - F.length(n)), F.lit("[a-z]-?$|^[a-z0-9]+-$")), 2)
     met = met.withColumn("kind", kind).filter("kind IS NOT NULL")
-    return met.groupBy("page", "number").agg(F.min_by(F.struct("sku", "price"), F.struct("kind", "pos")).alias("v"), F.min("kind").alias("kind")).select("page", "number", "v.*", "kind")
+    return met.groupBy("page", "number").agg(F.min_by(F.struct("sku", "price"), F.struct("kind", "pos", "sku", "price")).alias("v"), F.min("kind").alias("kind")).select("page", "number", "v.*", "kind")
 
 
 def match_variant_by_size(wanted: DataFrame, variants: DataFrame) -> DataFrame:

@@ -89,9 +89,14 @@ def t7(spark, sf_dir):
     return candidates(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("price_locked OR k <= 4").select("sku", "offer_id")
 
 
-@query("t10_discovery_cap", "WITH " + CANDIDATES_SQL + " SELECT sku, least(count(DISTINCT url), 10) AS urls FROM cands GROUP BY sku")
+@query("t10_discovery_cap", "WITH " + CANDIDATES_SQL + " SELECT sku, least(count(DISTINCT url), 40) AS urls FROM cands GROUP BY sku")
 def t10(spark, sf_dir):
-    return candidates(spark, sf_dir).groupBy("sku").agg(F.size(F.slice(F.array_sort(F.collect_set("url")), 1, 10)).cast("long").alias("urls"))
+    from ..operators.verdicts import cached_discovery
+
+    now = F.lit("2026-01-01").cast("timestamp")
+    cache = candidates(spark, sf_dir).groupBy("sku").agg(F.array_sort(F.collect_set("url")).alias("urls")).withColumn("ts", now)
+    hits, _ = cached_discovery(order_lines(spark, sf_dir), cache, now)
+    return hits.groupBy("sku").agg(F.count("*").alias("urls"))
 
 
 @query("j17_skip_equivalency_skus", "WITH " + CANDIDATES_SQL + " SELECT sku, count(*) AS n FROM cands WHERE sku % 5 <> 0 GROUP BY sku")

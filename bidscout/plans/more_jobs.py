@@ -96,9 +96,9 @@ def t3(spark, sf_dir):
     return J.market_shortlist(hits).select("sku", "marketplace", "offer_id", "hit_no")
 
 
-@query("u3_evidence_rows", "WITH " + CANDIDATES_SQL + ", c AS (SELECT * FROM cands WHERE NOT out_of_stock AND mpn_confirmed) SELECT sku, offer_id, site FROM c UNION ALL SELECT sku, NULL, 'no candidate' FROM lines WHERE sku NOT IN (SELECT sku FROM c)")
+@query("u3_evidence_rows", "WITH " + CANDIDATES_SQL + " SELECT sku, offer_id, site FROM cands UNION ALL SELECT sku, NULL, 'no candidate' FROM lines WHERE sku NOT IN (SELECT sku FROM cands)")
 def u3(spark, sf_dir):
-    c = candidates(spark, sf_dir).filter("NOT out_of_stock AND mpn_confirmed")
+    c = candidates(spark, sf_dir)
     return J.evidence_rows(order_lines(spark, sf_dir), c.filter("marketplace IS NULL"), c.filter("marketplace IS NOT NULL"))
 
 

@@ -58,9 +58,9 @@ def p10(spark, sf_dir):
     return df.select("offer_id", T.login_gated(F.col("text"), F.col("marketplace").isNotNull()).alias("rejected"))
 
 
-@query("p32_price_grounded", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 2 THEN true WHEN disc_seq % 8 >= 4 THEN p > 250 AND disc_seq % 4 <> 3 AND abs(p10 - (p + 5)) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR abs(-5) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR (disc_seq % 4 IN (0, 1) AND 5 <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02)) ELSE true END AS grounded FROM o WHERE NOT (p = floor(p) AND disc_seq % 8 >= 4)")
+@query("p32_price_grounded", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 2 THEN true WHEN disc_seq % 8 >= 4 THEN p > 250 AND disc_seq % 4 <> 3 AND abs(p10 - (p + 5)) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR abs(-5) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR (disc_seq % 4 IN (0, 1) AND 5 <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02)) ELSE true END AS grounded FROM o")
 def p32(spark, sf_dir):
-    df = text_pages(_offers(spark, sf_dir)).filter("NOT (p = floor(p) AND disc_seq % 8 >= 4)")
+    df = text_pages(_offers(spark, sf_dir))
     asked = F.when(F.col("disc_seq") % 8 >= 4, F.col("p") + 5).otherwise(F.col("p")).cast("double")
     return df.select("offer_id", T.grounded(asked, F.col("text")).alias("grounded"))
 
@@ -251,12 +251,11 @@ def j10(spark, sf_dir):
     return K.verdict_key(_offers(spark, sf_dir), "v1").select("offer_id", "key")
 
 
-@query("j12_match_variant_by_id", SQL + " SELECT sku, arg_min(p, disc_seq * 2) AS price FROM o GROUP BY sku HAVING count(*) = count(DISTINCT disc_seq)")
+@query("j12_match_variant_by_id", SQL + " SELECT sku, arg_min(p, (disc_seq, p)) AS price FROM o GROUP BY sku")
 def j12(spark, sf_dir):
     df = _offers(spark, sf_dir)
-    lone = df.groupBy("sku").agg((F.count("*") == F.count_distinct("disc_seq")).alias("lone")).filter("lone").select("sku")
-    variants = df.join(lone, "sku").select(F.col("sku").alias("page"), F.col("disc_seq").alias("pos"), F.concat(F.lit("P-"), F.col("sku").cast("string")).alias("v"), F.col("p").alias("price")).withColumnRenamed("v", "sku")
-    wanted = lone.select(F.col("sku").alias("page"), F.concat(F.lit("p"), F.col("sku").cast("string")).alias("number"))
+    variants = df.select(F.col("sku").alias("page"), F.col("disc_seq").alias("pos"), F.concat(F.lit("P-"), F.col("sku").cast("string")).alias("v"), F.col("p").alias("price")).withColumnRenamed("v", "sku")
+    wanted = df.select("sku").distinct().select(F.col("sku").alias("page"), F.concat(F.lit("p"), F.col("sku").cast("string")).alias("number"))
     return K.match_variant_by_id(wanted, variants).select(F.col("page").alias("sku"), "price")
 
 
