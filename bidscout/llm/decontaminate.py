@@ -2,18 +2,23 @@ r"""Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 Words are runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z. A
 window is `window` consecutive words of a benchmark item; an item with fewer
-words, but not none, is one window. Everything is DataFrame functions:
+words, but not none, is one window. Everything is DataFrame functions, in one
+pass over the texts:
 
 1. Benchmark windows are keyed by a hash of their first words and broadcast if
-   their number is below a limit, else joined by a shuffle.
-2. Documents' words are hashed at each position and looked up; what is found is
-   a candidate, gathered by document.
-3. Candidates are verified on the words themselves, and the hit words counted.
+   their bytes, which are counted first, are below a limit; else they are joined
+   by a shuffle, behind a sieve of their keys.
+2. A document's words are cut once and hashed once each; hashes of neighbours are
+   combined, by doubling, to the hash of the words from each place on.
+3. What is found is verified on the words themselves, in the same task.
+4. Documents that are hit, or their spans, are removed behind a sieve: the others
+   aren't shuffled.
 
 Defined cases: null and empty texts have no words and aren't contaminated; a
 null item text has no windows; a null item_id is the empty string; repeated
 rows give repeated results; with an empty benchmark nothing is hit; further
-columns of docs are kept by decontaminate().
+columns of docs are kept by decontaminate(); null doc_ids are told apart by
+their texts.
 """
 
 from __future__ import annotations
@@ -21,84 +26,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, sha256_hex, sieve, sifted, table
+from .common import cut, sha256_hex, sieve, sifted, table
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE, NEITHER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that make a key; shorter windows are keyed by all of theirs.
 PREFIX = 8
-#: Windows that are broadcast at most (about 200 bytes each).
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows, with the names of their items, that are broadcast at most.
+BROADCAST_BYTES = 200_000_000
 
 
-def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
+def lowered(text: Column) -> Column:
+    """text with A-Z lower-cased and nothing else; the quicker function is right where all characters are ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _key(words: Column, at: Column, length: int) -> Column:
-    """Of length words from place at, which counts from 0."""
-    return F.xxhash64(F.lit(length), *(F.get(words, at + i) for i in range(length)))
+def word_array(text: Column) -> Column:
+    return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), OTHERS), "")
 
 
-def _keys_of(length: int):
-    return lambda at: _key(F.col("w"), at, length)
+def _key(words: str, at: Column, length: int) -> Column:
+    """Of length words from place at, which counts from 0."""
+    return F.xxhash64(F.lit(length), *(F.get(F.col(words), at + i) for i in range(length)))
 
 
 def benchmark_windows(bench: DataFrame, window: int = 13) -> DataFrame:
     """key, prefix (words in the key), words (of the window, joined by spaces), length, items array<string>."""
-    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), word_array(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    items = items.withColumn("length", F.least(F.size("w"), F.lit(window)))
-    at = items.select("item", "w", "length", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("length"))).alias("at"))
-    prefix = F.least(F.col("length"), F.lit(min(PREFIX, window)))
+    most = min(PREFIX, window)
+    items = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.explode(F.array(word_array(F.col("text")))).alias("w")).filter(F.size("w") > 0)
+    items = items.withColumn("length", F.least(F.size("w"), F.lit(window))).withColumn("prefix", F.least("length", F.lit(most)))
+    at = items.select("item", "w", "length", "prefix", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("length"))).alias("at"))
     key = F.lit(None).cast("long")
-    for n in range(1, min(PREFIX, window) + 1):
-        key = F.when(prefix == n, _key(F.col("w"), F.col("at"), n)).otherwise(key)
-    cut = at.select("item", "length", prefix.alias("prefix"), key.alias("key"), F.array_join(F.slice("w", F.col("at") + 1, F.col("length")), " ").alias("words"))
-    return cut.groupBy("key", "prefix", "words", "length").agg(F.collect_set("item").alias("items"))
-
-
-def hits(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
-    """docs and its columns, with w (words), raw (hash of the text) and found: array<struct<at, length, items>>, verified."""
-    windows = benchmark_windows(bench, window)
-    # at most PREFIX different numbers, and one count
-    seen = {r["prefix"]: r["n"] for r in windows.groupBy("prefix").agg(F.count("*").alias("n")).collect()}
-    raw = F.xxhash64(F.coalesce("text", F.lit("")))
-    w = docs.select("doc_id", raw.alias("raw"), word_array(F.col("text")).alias("w"))
-    places = None
-    for n in sorted(seen) or [1]:
-        keys = F.transform(F.sequence(F.lit(0), F.size("w") - n), _keys_of(n))
-        part = w.filter(F.size("w") >= n).select("doc_id", "raw", F.posexplode(keys).alias("at", "key"), F.lit(n).alias("prefix"))
-        places = part if places is None else places.unionByName(part)
-    sought = windows.withColumnRenamed("prefix", "p")
-    sought = F.broadcast(sought) if sum(seen.values()) <= BROADCAST_WINDOWS else sought
-    found = places.join(sought, "key").filter("prefix = p")
-    found = found.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("at", "length", "words", "items")).alias("maybe"))
-    found = cut(found.select(F.col("doc_id").alias("f_id"), F.col("raw").alias("f_raw"), "maybe"), "candidates")
-    # only texts with candidates are shuffled to them, behind a sieve; the others stay where they are
-    bits = cut(sieve(found, F.xxhash64("f_id", "f_raw")), "sieve")
-    own = free_name(docs, "asked")
-    sifted_ = sifted(docs.withColumn("raw", raw), F.xxhash64("doc_id", "raw"), bits, own)
-    met = sifted_.filter(own).join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("raw") == F.col("f_raw")), "left").drop("f_id", "f_raw", own)
-    rest = sifted_.filter(~F.col(own)).drop(own).withColumn("maybe", F.lit(None).cast(found.schema["maybe"].dataType))
-    # exploded, so that no optimizer rule repeats the words' extraction for each candidate or below a filter
-    joined = met.unionByName(rest).withColumn("w", F.explode(F.array(word_array(F.col("text")))))
-    sure = F.filter("maybe", lambda h: F.array_join(F.slice(F.col("w"), h["at"] + 1, h["length"]), " ") == h["words"])
-    none = F.array().cast("array<struct<at:int,length:int,items:array<string>>>")
-    return joined.withColumn("found", F.coalesce(F.transform(sure, lambda h: F.struct(h["at"].alias("at"), h["length"].alias("length"), h["items"].alias("items"))), none)).drop("maybe")
+    for n in range(1, most + 1):
+        key = F.when(F.col("prefix") == n, _key("w", F.col("at"), n)).otherwise(key)
+    at = at.select("item", "length", "prefix", key.alias("key"), F.array_join(F.slice("w", F.col("at") + 1, F.col("length")), " ").alias("words"))
+    return at.groupBy("key", "prefix", "words", "length").agg(F.collect_set("item").alias("items"))
+
+
+def found_windows(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
+    """docs (doc_id, text) -> a row for each of them (at = -1) and for each verified window: doc_id, raw (hash of the text), n_words, at, length, items."""
+    windows = cut(benchmark_windows(bench, window), "windows")
+    size = F.octet_length("words") + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16) + 100
+    # at most PREFIX rows
+    seen = {r["prefix"]: r["bytes"] for r in windows.groupBy("prefix").agg(F.sum(size).alias("bytes")).collect()}
+    lengths = sorted(seen) or [1]
+    w = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), word_array(F.col("text")).alias("w"))
+    # a row for the text (at = -1) and one for each word. The outer form, as no filter on the number
+    # of words is then pushed to the scan, which would cut the words a second time
+    places = w.select("doc_id", "raw", "w", F.size("w").alias("n_words"), F.posexplode_outer(F.concat(F.array(F.lit("")), "w")).alias("pos", "word"))
+    places = places.withColumn("at", F.col("pos") - 1).drop("pos", "word")
+    keys = [F.when((F.col("at") >= 0) & (F.col("at") + n <= F.col("n_words")), _key("w", F.col("at"), n)) for n in lengths]
+    if len(keys) == 1:
+        places = places.withColumn("of", F.lit(0)).withColumn("key", keys[0])
+    else:
+        places = places.select("*", F.posexplode(F.array(*keys)).alias("of", "key"))
+    every = (F.col("at") < 0) & (F.col("of") == 0)
+    verified = lambda said: F.coalesce(F.array_join(F.slice(said, 1, F.col("length")), " ") == F.col("words"), F.lit(False))
+    columns = ("doc_id", "raw", "n_words", "at", "length", "items")
+    if sum(seen.values()) <= BROADCAST_BYTES:
+        met = places.join(F.broadcast(windows), "key", "left")
+        met = met.filter(every | F.col("prefix").isNotNull() & verified(F.slice("w", F.col("at") + 1, F.col("length")))).select(*columns)
+    else:
+        bits = cut(sieve(windows, F.col("key")), "sieve")
+        maybe = sifted(places.filter("key IS NOT NULL"), F.col("key"), bits, "maybe").filter("maybe")
+        maybe = maybe.select("doc_id", "raw", "n_words", "at", "key", F.slice("w", F.col("at") + 1, F.lit(window)).alias("said"))
+        met = maybe.join(windows, "key").filter(verified(F.col("said"))).select(*columns)
+        met = met.unionByName(w.select("doc_id", "raw", F.size("w").alias("n_words"), F.lit(-1).alias("at")), allowMissingColumns=True)
+    return cut(met, "found")
+
+
+def hit_documents(found: DataFrame) -> DataFrame:
+    """h_id, h_raw, n_words, covered array<int> (the words that are hit), items array<string> (sorted) of each document with windows."""
+    inside = found.filter("at >= 0").groupBy("doc_id", "raw").agg(F.max("n_words").alias("n_words"), F.collect_set(F.struct("at", "length")).alias("runs"), F.collect_set("items").alias("items"))
+    covered = F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
+    return inside.select(F.col("doc_id").alias("h_id"), F.col("raw").alias("h_raw"), "n_words", covered.alias("covered"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13) -> DataFrame:
     """For every row of docs: doc_id, n_words, n_hit, n_items, items array<string> (sorted), contaminated."""
-    h = hits(docs.select("doc_id", "text"), bench, window)
-    covered = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
-    h = h.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
-    return h.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+    found = found_windows(docs.select("doc_id", "text"), bench, window)
+    hit = hit_documents(found).select("h_id", "h_raw", F.size("covered").cast("long").alias("hit"), "items")
+    every = found.filter("at < 0").select("doc_id", "raw", F.col("n_words").cast("long").alias("n_words"))
+    met = every.join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("raw") == F.col("h_raw")), "left")
+    met = met.select("doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return met.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def without_words(text: Column, n_words: Column, covered: Column) -> Column:
+    """text without the words at the places covered and what stands between two neighbours of them; linear in its length.
+
+    A text is gap, word, gap, ..., word, gap. What stays are stretches between runs of covered words.
+    """
+    gaps, words = F.split(text, ANY_CASE), F.array_remove(F.split(text, NEITHER), "")
+    first = F.sort_array(F.array_except(covered, F.transform(covered, lambda x: x + 1)))
+    last = F.sort_array(F.array_except(covered, F.transform(covered, lambda x: x - 1)))
+    # a stretch is from the word after a run (or 0) up to the word before the next run (or the last)
+    stretch = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(last, lambda x: x + 1)), F.concat(first, F.array(n_words)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    made = F.struct(gaps.alias("gaps"), words.alias("words"), stretch.alias("stretch"))
+
+    def joined(x: Column) -> Column:
+        parts = F.transform(
+            x["stretch"],
+            lambda s: F.array_join(F.flatten(F.zip_with(F.slice(x["gaps"], s["a"] + 1, s["b"] - s["a"] + 1), F.slice(x["words"], s["a"] + 1, s["b"] - s["a"]), lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))), ""),
+        )
+        return F.array_join(parts, "")
+
+    # made is bound to a lambda's variable, so that it is computed once for a text
+    return F.get(F.transform(F.array(made), joined), 0)
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 13, spans: bool = False) -> DataFrame:
     """docs without contaminated documents, with its columns.
 
@@ -106,45 +147,27 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 13, spans: bo
     between them, from the text instead (n_chars, if there, follows).
     """
     columns = docs.columns
+    bad = hit_documents(found_windows(docs.select("doc_id", "text"), bench, window))
+    bad = cut(bad.filter(contaminated(F.size("covered"), F.col("n_words"))).select("h_id", "h_raw", "n_words", *(["covered"] if spans else [])), "contaminated")
+    bits = cut(sieve(bad, F.xxhash64("h_id", "h_raw")), "sieve")
     # names of our own can't clash with further columns
-    inner = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    h = hits(inner, bench, window)
-    covered = F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
-    h = h.withColumn("covered", covered)
-    bad = contaminated(F.size("covered"), F.size("w"))
+    inner = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    inner = sifted(inner, F.xxhash64("doc_id", "raw"), bits, "maybe")
+    rest = inner.filter("NOT maybe").select("row.*")
+    met = inner.filter("maybe").join(bad, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("raw") == F.col("h_raw")), "left")
     if not spans:
-        return h.filter(~bad).select("row.*")
-    # a text is gap, word, gap, word, ..., gap; words that are hit go, and gaps between two of them
-    text = F.coalesce("text", F.lit(""))
-    lowered = F.translate(text, UPPER, LOWER)
-    gaps = F.split(lowered, WORDS)
-    h = h.withColumn("gaps", gaps).withColumn("hit", F.map_from_arrays("covered", "covered"))
-    piece = lambda i: F.when(F.array_contains("covered", i), F.lit(0)).otherwise(F.lit(1))
-    at = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
-    fold = F.aggregate(
-        F.sequence(F.lit(0), F.size("w")),
-        at,
-        lambda a, i: F.struct(
-            (a["next"] + F.char_length(F.get("gaps", i)) + F.coalesce(F.char_length(F.get("w", i)), F.lit(0))).alias("next"),
-            F.concat(
-                a["out"],
-                F.when((i > 0) & (piece(i - 1) == 0) & (piece(i) == 0), "").otherwise(F.substring(text, a["next"], F.char_length(F.get("gaps", i)))),
-                F.when(piece(i) == 0, "").otherwise(F.coalesce(F.substring(text, a["next"] + F.char_length(F.get("gaps", i)), F.char_length(F.get("w", i))), F.lit(""))),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    cleaned = F.when(bad, fold).otherwise(F.col("text"))
-    out = h.withColumn("cleaned", cleaned)
+        return rest.unionByName(met.filter("n_words IS NULL").select("row.*"))
+    is_bad = F.col("n_words").isNotNull()
+    met = met.withColumn("cleaned", F.when(is_bad, without_words(F.col("row.text"), F.col("n_words"), F.col("covered"))).otherwise(F.col("row.text")))
     names = []
     for c in columns:
         if c == "text":
             names.append(F.col("cleaned").alias("text"))
         elif c == "n_chars":
-            names.append(F.when(bad, F.char_length("cleaned").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
+            names.append(F.when(is_bad, F.char_length("cleaned").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars"))
         else:
             names.append(F.col(f"row.`{c}`").alias(c))
-    return out.select(*names)
+    return rest.unionByName(met.select(*names))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,9 +222,30 @@ def test_suffix_arrays():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
-@pytest.mark.parametrize("group", [1, 2_000])
-def test_repeats(corpus, docs, none, group, monkeypatch):
+def test_repeated_strings():
+    r = random.Random(9)
+    for _ in range(300):
+        core, wide, group = "c", r.choice([1, 2, 5, 25]), set()
+        for _ in range(r.randint(1, 7)):
+            b, a = (bytes(r.choice(b"ab") for _ in range(r.randint(0, wide - 1))) for _ in range(2))
+            group.add((b, a, r.randint(1, 3), wide))
+        group = [g for g in {(g[0], g[1]): g for g in group}.values() if len(g[0]) + len(g[1]) + 1 >= wide]
+        if not group:
+            continue
+        seen = collections.Counter((k - len(b), (b + core.encode() + a)[k : k + wide]) for b, a, n, _ in group for k in range(len(b) + len(a) + 2 - wide) for _ in range(n))
+        want = [{k for k in range(len(b) + len(a) + 2 - wide) if seen[k - len(b), (b + core.encode() + a)[k : k + wide]] > 1} for b, a, *_ in group]
+        got = [{k for x, y in runs for k in range(x, y + 1)} for runs in repeats.repeated_in([group, [(b"", b"", 2, 1)], group])]
+        assert got[: len(group)] == got[len(group) + 1 :] == want and got[len(group)] == {0}
+
+
+def test_nothing_is_repeated_without_the_array(docs):
+    assert repeats.remove_repeats(docs, order=lambda text: []).filter("n_removed > 0").isEmpty()
+
+
+@pytest.mark.parametrize("group,slice_", [(1, 1_000), (2_000, 400_000)])
+def test_repeats(corpus, docs, none, group, slice_, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(repeats, "SLICE", slice_)
     texts = [(c[0], (c[1] or "").encode()) for c in corpus]
     seen = collections.Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199))
     want = []
@@ -269,7 +290,7 @@ def brute_hits(corpus, items):
     return counted(out)
 
 
-def test_contamination(spark, corpus, docs, none):
+def test_contamination(spark, corpus, docs, none, monkeypatch):
     bench, items = benchmark_of(spark, corpus)
     got = decontaminate.contamination(docs, bench).collect()
     want = brute_hits(corpus, items)
@@ -280,10 +301,40 @@ def test_contamination(spark, corpus, docs, none):
     spans = decontaminate.decontaminate(docs, bench, spans=True)
     assert spans.count() == len(corpus)
     assert decontaminate.contamination(spans, bench).filter("contaminated").count() == 0
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert counted((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()) == want
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.filter("false")).filter("n_hit > 0").count() == 0
 
 
+def without_spans(text, item, n=13):
+    """text without the words that item's windows hit, and without what stands between two of these."""
+    words = [(m[0], *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    low, own = [bench_words(w)[0] for w, *_ in words], bench_words(item)
+    windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+    hit = {k + i for k in range(len(low) - n + 1) if tuple(low[k : k + n]) in windows for i in range(n)}
+    out, at = "", 0
+    for k, (_, a, b) in enumerate(words):
+        if k in hit:
+            out += "" if k - 1 in hit else text[at:a]
+            at = b
+        else:
+            out, at = out + text[at:b], b
+    return out + text[at:]
+
+
+def test_spans_of_long_texts(spark, corpus):
+    r = random.Random(8)
+    item = " ".join(f"W{i}" for i in range(40))
+    long = " ".join(r.choice([item, "\"Quote, (of) it!", " ".join(item.split()[7:30]), "É end. "]) for _ in range(20_000))
+    texts = [long, f"({item})", f"a {item} b {item} c", "nothing of it", None, item.lower() + "!"]
+    df = spark.createDataFrame([(i, t, len(t or ""), 1) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, covered int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminate(df, bench, spans=True).collect()}
+    want = {i: t and without_spans(t, item) for i, t in enumerate(texts)}
+    assert got == {i: (t, len(t or "")) for i, t in want.items()}
+
+
 # 9 lines --------------------------------------------------------------------
 
 
