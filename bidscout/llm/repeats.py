@@ -6,19 +6,25 @@ A byte goes if a 200-byte string (window) covers it that starts anywhere else to
    windows have equal anchors at equal places. Consecutive windows with one anchor
    are a region. Grams that are the anchor of one region only settle its windows:
    they are unique. A bounded sieve and a join leave the other regions.
-2. Regions that are equal as a whole, on 128 bits, are repeated as a whole.
-3. What is left are regions in which a repeat begins or ends. They are cut into
-   blocks of windows, which all contain a common core. Blocks with equal cores
-   form a group, in which a block is short: bytes before the core, the core as one
-   symbol, bytes after it. A suffix array over a group's blocks (Lyndon grouping,
-   suffix_array.py) brings equal windows together.
-4. Groups of more blocks than GROUP aren't gathered: their windows are counted by
-   aggregation, which is exact too.
-5. The repeated windows of a document are joined to its text, and their bytes go.
-
-A task holds slices of SLICE bytes and groups of at most GROUP short blocks.
-Hashes of grams only choose what is looked at; equality is decided on 128-bit
-hashes of bytes (regions, cores) and on the bytes around cores.
+2. A region that others equal as a whole, on 128 bits, is one symbol of a text. So
+   are its copies.
+3. Where an anchor has unequal regions, a repeat begins or ends in them. They are
+   cut into blocks of windows, which all contain a common core. Blocks with equal
+   cores form a group; a block is the bytes before the core, the core as one
+   symbol, and the bytes after it. Neighbouring columns in which all of a group
+   agree become one symbol.
+4. A suffix array over these texts (Lyndon grouping, suffix_array.py) brings equal
+   windows together: a window is repeated if the one before or behind it in the
+   order is equal to it. What occurs several times stands in a text twice.
+5. Of a core with more than GROUP different blocks (a passage in very many
+   surroundings) the windows are counted by aggregation instead, which is exact too
+   and has no large group.
+6. The repeated windows of a document are joined to its text, and their bytes go.
+
+A task holds slices of SLICE bytes, of longer texts too (slices overlap by a
+window), and groups of at most GROUP short blocks. Hashes of grams only choose what
+is looked at; equality is decided on 128-bit hashes of bytes (regions, cores) and on
+the bytes around cores.
 
 Defined cases: null text is empty; texts under 200 bytes have no windows; of two
 equal texts of 200 bytes or more nothing is left, and repeated rows are equal
@@ -28,10 +34,11 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,16 +48,16 @@ from .near_join import groups_of, run_starts
 from .suffix_array import suffix_array
 
 WINDOW, GRAM, BLOCK = 200, 50, 25
-SLICE = 2_000_000
-#: Blocks of a group that one task gathers; larger groups are counted instead.
+#: Bytes that a task hashes at once; below 2**PLACE.
+SLICE, PLACE = 400_000, 20
+#: Blocks of a core that one task sorts; of a core with more, windows are counted.
 GROUP = 2_000
-#: Symbols of a suffix array.
+#: Symbols of a suffix array, about.
 TEXT = 100_000
 
 _table = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _factors = np.random.default_rng(8).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-
 def gram_hashes(data: np.ndarray, length: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the length bytes from each place on, by doubling."""
     h, size, out, done = _table[data], 1, None, 0
@@ -79,195 +86,235 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - more], x[more:]) if more else x
 
 
-def regions(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For texts: (place in texts, first window, last window, anchor, hash of the anchor's gram) of each region."""
-    found: list[list[np.ndarray]] = []
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column, not copied, and where each text begins (one more: the end). Null is empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), ends
+
+
+def slices(ends: np.ndarray, window: int = WINDOW, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(the first text, where its part and those of the next texts begin, their lengths): of at most `most` bytes in all.
+
+    A longer text is several parts that overlap by window - 1 bytes.
+    """
+    size = np.diff(ends)
     i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE):
-            size += len(texts[j])
-            j += 1
-        part = texts[i:j]
-        lengths = np.array([len(t) for t in part], dtype=np.int64)
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
-        if size >= window:
-            data = np.frombuffer(b"".join(part), dtype=np.uint8)
-            h = gram_hashes(data, gram)
-            bits = np.uint64(max(24, int(len(h)).bit_length()))
-            low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-            best = (sliding_min(low, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-            count = np.maximum(lengths - window + 1, 0)
-            doc = np.repeat(np.arange(len(part)), count)
-            at = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + starts[doc]
-            anchor = best[at]
-            new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.empty(0, np.int64)
-            last = np.r_[new[1:], len(doc)] - 1
-            d = doc[new]
-            found.append([d + i, at[new] - starts[d], at[last] - starts[d], anchor[new] - starts[d], h[anchor[new]].view(np.int64)])
+    while i < len(size):
+        if size[i] > most:
+            step = most - window + 1
+            for a in range(0, int(size[i]) - window + 1, step):
+                yield i, ends[i : i + 1] + a, np.minimum(size[i : i + 1] - a, most)
+            i += 1
+            continue
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, side="right")) - 1)
+        yield i, ends[i:j], size[i:j]
         i = j
-    if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def regions(column: pa.Array, window: int = WINDOW, gram: int = GRAM, most: int = SLICE) -> Iterator[tuple[np.ndarray, ...]]:
+    """For slices of texts: (text, first window, last window, anchor, hash of the anchor's gram, 128-bit name of its bytes) of each region."""
+    data, ends = bytes_of(column)
+    whole = memoryview(data)
+    place = np.uint64(PLACE)
+    for first, starts, lengths in slices(ends, window, most):
+        count = np.maximum(lengths - window + 1, 0)
+        if not count.any():
+            continue
+        begin = int(starts[0])
+        h = gram_hashes(data[begin : int(starts[-1] + lengths[-1])], gram)
+        low = (h >> place << place) | np.arange(len(h), dtype=np.uint64)
+        best = (sliding_min(low, window - gram + 1) & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int32)
+        doc = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        at = (np.arange(len(doc), dtype=np.int64) + np.repeat(starts - begin - (np.cumsum(count) - count), count)).astype(np.int32)
+        anchor = best[at]
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+        last = np.r_[new[1:], len(doc)] - 1
+        lo, hi, anchor, doc = at[new].astype(np.int64), at[last].astype(np.int64), anchor[new].astype(np.int64), doc[new]
+        names = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip((lo + begin).tolist(), (hi + begin + window).tolist(), strict=True)]
+        shift = begin - ends[first + doc]
+        yield first + doc, lo + shift, hi + shift, anchor + shift, h[anchor].view(np.int64), names
 
 
 def _bytes(column) -> list[bytes]:
     return [(t or "").encode("utf-8") for t in column.to_pylist()]
 
 
-def blocks_of(text: bytes, first: int, last: int, anchor: int, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> Iterator[tuple[bytes, int, int, bytes, bytes]]:
-    """(name of the core, first window, last window, bytes before the core, bytes after it) of each block of a region."""
+def blocks_of(text: bytes, first: int, last: int, anchor: int, window: int = WINDOW, block: int = BLOCK) -> Iterator[tuple[bytes, int, bytes, bytes]]:
+    """(name of the core, first window, bytes before the core, bytes after it) of each block of a region."""
     for b in range((anchor - last) // block, (anchor - first) // block + 1):
         high = anchor - block * b
         low = high - block + 1
         core = text[high : low + window]
         lo, hi = max(low, first), min(high, last)
         if lo <= hi:
-            yield xxhash.xxh3_128_digest(core + bytes([b])), lo, hi, text[lo:high], text[low + window : hi + window]
-
-
-def repeated_in(groups: list[list[tuple[int, int, bytes, bytes, int]]], block: int = BLOCK) -> list[list[tuple[int, int]]]:
-    """Groups of distinct blocks (first window, last window, before, after, how many documents' blocks it stands for)
-    -> for each block, in order, the places (from its first window) of windows that are repeated, as runs."""
+            yield xxhash.xxh3_128_digest(core + bytes([b])), lo, text[lo:high], text[low + window : hi + window]
+
+
+def merged_columns(group: list[tuple[bytes, bytes]], window: int) -> tuple[np.ndarray, list[tuple[int, int]], list[list[tuple[int, int, int]]]]:
+    """Strings (before, after a common symbol) of a group, in few symbols.
+
+    Two neighbouring columns are one symbol if all strings that have them agree in
+    both, unless a string begins or ends between them, or a window that begins or
+    ends between them would be told apart by it. So windows that begin in one symbol
+    are alike: either all or none of them are repeated.
+
+    -> symbols by string and column; the columns (from, to) of each string; for each
+    string its kinds of windows, by column: (first window, last window, symbols of a window).
+    """
+    left = max(len(b) for b, _ in group)
+    width = left + 1 + max(len(a) for _, a in group)
+    begin = np.array([left - len(b) for b, _ in group])
+    end = np.array([left + 1 + len(a) for _, a in group])
+    chars = np.frombuffer(b"".join(bytes(left - len(b)) + b + b"\0" + a + bytes(width - left - 1 - len(a)) for b, a in group), np.uint8).reshape(len(group), width)
+    at = np.arange(width)
+    has = (at >= begin[:, None]) & (at < end[:, None])
+    differ = np.where(has, chars, 255).min(axis=0) < np.where(has, chars, 0).max(axis=0)
+    edge = np.zeros(width + window + 2, dtype=bool)
+    edge[:width] |= differ
+    edge[1 : width + 1] |= differ
+    edge[begin] = edge[end] = edge[end + 1] = True
+    cuts = edge[: width + 1].copy()
+    cuts |= edge[window : window + width + 1]
+    if width >= window:
+        cuts[window:] |= edge[: width + 1 - window]
+    cuts = np.flatnonzero(cuts)
+    number = np.arange(len(cuts) - 1)
+    symbols = number * 257 + np.where(differ[cuts[:-1]], chars[:, cuts[:-1]].astype(np.int64), 256)
+    till = np.searchsorted(cuts, cuts + window)
+    columns, kinds = [], []
+    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+        i, j = int(np.searchsorted(cuts, b)), int(np.searchsorted(cuts, e))
+        columns.append((i, j))
+        own = []
+        for k in range(i, j):
+            c = int(cuts[k])
+            if c > e - window:
+                break
+            own.append((c - b, min(int(cuts[k + 1]) - 1, e - window) - b, int(till[k]) - k))
+        kinds.append(own)
+    return symbols, columns, kinds
+
+
+def repeated_in(groups: list[list[tuple[bytes, bytes, int, int]]], order: Callable[[list[int]], list[int]] = suffix_array) -> list[list[tuple[int, int]]]:
+    """Groups of distinct strings (before, after a common symbol, number of occurrences, symbols of a window)
+    -> for each string, in order, the windows (from its first) that are repeated, as runs, by a suffix array."""
     text: list[int] = []
-    windows: dict[int, tuple[int, int]] = {}  # start in text -> (block, place)
-    many: list[bool] = []
-    for g, group in enumerate(groups):
-        for lo, hi, before, after, count in group:
-            # the windows of one block: block - 1 symbols around the core
-            for k in range(hi - lo + 1):
-                windows[len(text) + k] = (len(many), k)
-            text += [b + 2 for b in before]
-            text.append(1000 + g)
-            text += [b + 2 for b in after]
-            text.append(1)
-            many.append(count > 1)
+    owner: list[int] = []  # by place in text: the string
+    kind: list[int] = []  # its kind of window; -1: no window begins there
+    span: list[int] = []
+    kinds_of: list[list[tuple[int, int, int]]] = []
+    base = 2
+    for group in groups:
+        symbols, columns, kinds = merged_columns([(b, a) for b, a, _, _ in group], group[0][3])
+        for row, (i, j), own, (_, _, times, _) in zip((symbols + base).tolist(), columns, kinds, group, strict=True):
+            for _ in range(min(times, 2)):
+                text += row[i:j]
+                text.append(1)
+                owner += [len(kinds_of)] * (j - i + 1)
+                kind += [*range(len(own)), *[-1] * (j - i + 1 - len(own))]
+                span += [*(n for _, _, n in own), *[0] * (j - i + 1 - len(own))]
+            kinds_of.append(own)
+        base += 257 * symbols.shape[1]
     text.append(0)
-    order = [s for s in suffix_array(text) if s in windows]
-    hit: list[set[int]] = [set(range(hi - lo + 1)) if m else set() for m, (lo, hi, *_) in zip(many, (x for g in groups for x in g), strict=True)]
-    for s, r in zip(order, order[1:], strict=False):
-        if text[s : s + block] == text[r : r + block]:
-            for x in (s, r):
-                own, k = windows[x]
-                hit[own].add(k)
-    return [_runs(sorted(h)) for h in hit]
-
-
-def _runs(places: list[int]) -> list[tuple[int, int]]:
+    span.append(0)
+    hit: list[set[int]] = [set() for _ in kinds_of]
+    begins = [s for s in order(text) if span[s]]
+    for s, r in zip(begins, begins[1:], strict=False):
+        n = span[s]
+        if n == span[r] and text[s : s + n] == text[r : r + n]:
+            hit[owner[s]].add(kind[s])
+            hit[owner[r]].add(kind[r])
+    return [_runs([own[k][:2] for k in sorted(h)]) for own, h in zip(kinds_of, hit, strict=True)]
+
+
+def _runs(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for p in places:
-        if out and out[-1][1] == p - 1:
-            out[-1] = (out[-1][0], p)
+    for a, b in found:
+        if out and out[-1][1] >= a - 1:
+            out[-1] = (out[-1][0], b)
         else:
-            out.append((p, p))
+            out.append((a, b))
     return out
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] = suffix_array) -> DataFrame:
     """docs (doc_id, text) -> doc_id, raw, lo, hi: runs of repeated windows, by their first bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), "text")
+    most = SLICE
 
-    def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(regions(_bytes(part.column(0)))[4])], names=["h"])
+            for row, lo, hi, anchor, h, names in regions(part.column(2), most=most):
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(h), pa.array(names, pa.binary())], names=["doc_id", "raw", "lo", "hi", "anchor", "h", "name"])
 
-    often = keyed.select("text").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    often = cut(often, "often")
+    every = cut(keyed.mapInArrow(cut_up, f"doc_id {kind}, raw long, lo long, hi long, anchor long, h long, name binary"), "every")
+    often = cut(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     bits = cut(sieve(often, F.col("h")), "sieve")
-
-    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = _bytes(part.column(2))
-            row, lo, hi, anchor, h = regions(texts)
-            names = [xxhash.xxh3_128_digest(texts[r][a : b + WINDOW]) for r, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-            of = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(h), pa.array(names, pa.binary())], names=["doc_id", "raw", "lo", "hi", "anchor", "h", "name"])
-
-    found = keyed.mapInArrow(whole, f"doc_id {kind}, raw long, lo long, hi long, anchor long, h long, name binary")
-    found = sifted(found, F.col("h"), bits, "maybe").filter("maybe").drop("maybe").join(often, "h", "left_semi")
+    found = sifted(every, F.col("h"), bits, "maybe").filter("maybe").drop("maybe").join(often, "h", "left_semi")
     found = cut(found, "regions")
-    names = cut(found.groupBy("h", "name").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "raw", "lo")).alias("one")), "names")
-    full = found.join(names.filter("n > 1").select("name"), "name", "left_semi").select("doc_id", "raw", "lo", "hi")
-    # open: regions with an anchor that other regions have, unequal to all; of equal ones, one takes part for all
+    # equal regions are one kind; one of them takes part for all
+    place = ("doc_id", "raw", "lo", "hi", "anchor")
+    names = cut(found.groupBy("h", "name").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in place)), "names")
     several = names.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-    part = names.join(several, "h", "left_semi").select("name", F.col("n").alias("copies"), "one")
-    part = cut(part, "open")
-    asked = found.join(part, "name").filter((F.col("copies") == 1) | F.col("one").eqNullSafe(F.struct("doc_id", "raw", "lo")))
-    asked = asked.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("lo", "hi", "anchor", "copies")).alias("open"))
+    asked = names.join(several, "h", "left_semi").groupBy("doc_id", "raw").agg(F.collect_set(F.struct("lo", "hi", "anchor", "copies")).alias("open"))
     asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("raw").alias("a_raw"), "open"), "asked")
     bits = cut(sieve(asked, F.xxhash64("a_id", "a_raw")), "sieve")
     texts = sifted(keyed, F.xxhash64("doc_id", "raw"), bits, "maybe").filter("maybe").drop("maybe")
     texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("raw") == F.col("a_raw"))).select("doc_id", "raw", "text", "open").dropDuplicates(["doc_id", "raw"])
 
     def cores(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            cols: list[list] = [[] for _ in range(8)]
+        kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        for part in (p.slice(i, 64) for p in parts for i in range(0, p.num_rows, 64)):
+            cols: list[list] = [[] for _ in range(7)]
             for i, (text, open_) in enumerate(zip(_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
-                for r in sorted(open_, key=lambda r: r["lo"]):
-                    for core, lo, hi, before, after in blocks_of(text, r["lo"], r["hi"], r["anchor"]):
-                        for c, v in zip(cols, (i, core, lo, hi, before, after, r["copies"], xxhash.xxh3_128_digest(core + bytes([len(before)]) + before + after)), strict=True):
+                for r in open_:
+                    for core, lo, before, after in blocks_of(text, r["lo"], r["hi"], r["anchor"]):
+                        for c, v in zip(cols, (i, core, lo, before, after, r["copies"], xxhash.xxh3_128_digest(core + bytes([len(before)]) + before + after)), strict=True):
                             c.append(v)
             of = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(of), part.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols[1:], (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True))],
-                names=["doc_id", "raw", "core", "lo", "hi", "before", "after", "copies", "same"],
-            )
-
-    made = cut(texts.mapInArrow(cores, f"doc_id {kind}, raw long, core binary, lo long, hi long, before binary, after binary, copies long, same binary"), "blocks")
-    # equal blocks are one kind; a kind with several blocks, or of a repeated region, is repeated as a whole
-    kinds = made.groupBy("core", "same").agg(F.sum("copies").alias("blocks"))
-    kinds = cut(kinds, "kinds")
-    again = made.filter("copies = 1").join(kinds.filter("blocks > 1").select("same"), "same", "left_semi").select("doc_id", "raw", "lo", "hi")
-    many = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "cores")
-    # one block of each kind goes on (with all kinds of its core); only lone ones get an answer
-    lone = made.join(kinds.select("same", "blocks"), "same").join(many, "core")
-    once = F.struct("doc_id", "raw", "lo")
-    first = lone.groupBy("core", "same", "kinds").agg(F.min(F.struct(once.alias("at"), "lo", "hi", "before", "after")).alias("b"), F.max("blocks").alias("blocks"))
-    first = cut(first.select("core", "kinds", "blocks", F.col("b.at.doc_id").alias("doc_id"), F.col("b.at.raw").alias("raw"), "b.lo", "b.hi", "b.before", "b.after"), "first")
-
-    small = first.filter(F.col("kinds") <= GROUP).withColumn("group", F.xxhash64("core")).repartition("core").sortWithinPartitions("core")
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names=["doc_id", "raw", "core", "lo", "before", "after", "copies", "same"])
+
+    made = cut(texts.mapInArrow(cores, f"doc_id {kind}, raw long, core binary, lo long, before binary, after binary, copies long, same binary"), "blocks")
+    # equal blocks are one kind
+    kinds = cut(made.groupBy("core", "same").agg(F.sum("copies").alias("times"), F.first("before").alias("before"), F.first("after").alias("after")), "kinds")
+    hot = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > GROUP).select("core"), "hot")
+    none = F.lit(b"")
+    alike = names.filter("copies > 1").select(F.col("name").alias("core"), F.col("name").alias("same"), F.col("copies").alias("times"), none.alias("before"), none.alias("after"), F.lit(1).alias("wide"))
+    small = kinds.join(hot, "core", "left_anti").withColumn("wide", F.lit(BLOCK)).unionByName(alike).repartition("core").sortWithinPartitions("core")
 
     def sort(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups_of(parts, ["core"], TEXT // 50):
+        for t in groups_of(parts, ["core"], GROUP):
             starts = [*run_starts(t, ["core"]).tolist(), t.num_rows]
-            rows = list(zip(t["lo"].to_pylist(), t["hi"].to_pylist(), t["before"].to_pylist(), t["after"].to_pylist(), t["blocks"].to_pylist(), strict=True))
+            rows = list(zip(t["before"].to_pylist(), t["after"].to_pylist(), t["times"].to_pylist(), t["wide"].to_pylist(), strict=True))
             out: tuple[list, list, list] = ([], [], [])
             held: list[tuple[int, int]] = []
             size = 0
-
-            def flush() -> None:
-                answers = repeated_in([rows[a:b] for a, b in held])
-                at = [k for a, b in held for k in range(a, b)]
-                for k, runs in zip(at, answers, strict=True):
-                    if rows[k][4] == 1:
-                        for x, y in runs:
-                            out[0].append(k)
-                            out[1].append(rows[k][0] + x)
-                            out[2].append(rows[k][0] + y)
-                held.clear()
-
             for a, b in zip(starts, starts[1:], strict=False):
-                if b - a > 1:
+                if b - a > 1 or rows[a][2] > 1:
                     held.append((a, b))
-                    size += sum(len(r[2]) + len(r[3]) + 2 for r in rows[a:b])
-                    if size >= TEXT:
-                        flush()
-                        size = 0
-            if held:
-                flush()
-            of = pa.array(out[0], pa.int64())
-            yield from pa.table([t["doc_id"].take(of), t["raw"].take(of), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["doc_id", "raw", "lo", "hi"]).to_batches()
-
-    sorted_ = small.select("core", "doc_id", "raw", "lo", "hi", "before", "after", "blocks").mapInArrow(sort, f"doc_id {kind}, raw long, lo long, hi long")
-    # large groups: a window is its core and what is around it; k counts from the block's first window
-    large = first.filter(F.col("kinds") > GROUP).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hi") - F.col("lo"))))
-    taken = F.length("before") - F.col("k")
-    large = large.withColumn("pre", F.expr("substring(before, cast(k + 1 as int))")).withColumn("post", F.expr(f"substring(after, 1, cast({BLOCK - 1} - (length(before) - k) as int))")).withColumn("left", taken)
-    large = large.select("core", "left", "pre", "post", "blocks", "doc_id", "raw", (F.col("lo") + F.col("k")).alias("lo"))
-    counted = large.groupBy("core", "left", "pre", "post").agg(F.sum("blocks").alias("n")).filter("n > 1")
-    counted = large.filter("blocks = 1").join(counted, ["core", "left", "pre", "post"], "left_semi").select("doc_id", "raw", "lo", F.col("lo").alias("hi"))
-    return full.unionByName(again).unionByName(sorted_).unionByName(counted)
+                    size += sum(len(r[0]) + len(r[1]) + 2 for r in rows[a:b])
+                if held and (size >= TEXT or b == t.num_rows):
+                    at = [k for x, y in held for k in range(x, y)]
+                    for k, runs in zip(at, repeated_in([rows[x:y] for x, y in held], order), strict=True):
+                        for x, y in runs:
+                            for c, v in zip(out, (k, x, y), strict=True):
+                                c.append(v)
+                    held, size = [], 0
+            yield from pa.table([t["same"].take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["same", "x", "y"]).to_batches()
+
+    answers = cut(small.select("core", "same", "before", "after", "times", "wide").mapInArrow(sort, "same binary, x long, y long"), "answers")
+    # cores with very many blocks: a window is its core and what is around it
+    large = kinds.join(hot, "core", "left_semi").withColumn("k", F.explode(F.sequence(F.lit(0), F.length("before") + F.length("after") + 1 - BLOCK)))
+    large = large.withColumn("pre", F.expr("substring(before, k + 1)")).withColumn("post", F.expr(f"substring(after, 1, {BLOCK - 1} - (length(before) - k))"))
+    counted = large.groupBy("core", "pre", "post").agg(F.sum("times").alias("n")).filter("n > 1").select("core", "pre", "post")
+    counted = large.join(counted, ["core", "pre", "post"], "left_semi").select("same", F.col("k").cast("long").alias("x"), F.col("k").cast("long").alias("y"))
+    full = found.join(answers.select(F.col("same").alias("name")), "name", "left_semi").select("doc_id", "raw", "lo", "hi")
+    part = made.filter("copies = 1").join(answers.unionByName(counted), "same").select("doc_id", "raw", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
+    return full.unionByName(part)
 
 
 def covered(runs: list[dict], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -281,11 +328,11 @@ def covered(runs: list[dict], window: int = WINDOW) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, order: Callable[[list[int]], list[int]] = suffix_array) -> DataFrame:
     """docs (doc_id, text) -> for every row: doc_id, n_bytes, n_removed, n_spans, kept binary (the bytes left)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = cut(repeated_windows(docs), "windows")
+    runs = cut(repeated_windows(docs, order), "windows")
     runs = runs.groupBy("doc_id", "raw").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     runs = cut(runs.select(F.col("doc_id").alias("r_id"), F.col("raw").alias("r_raw"), "runs"), "runs")
     bits = cut(sieve(runs, F.xxhash64("r_id", "r_raw")), "sieve")

@@ -1,4 +1,4 @@
-"""Suffix arrays by Lyndon grouping, linear but for sorting the members of groups.
+"""Suffix arrays by Lyndon grouping, linear in the text once its symbols are numbered.
 
 A suffix is its longest Lyndon prefix followed by the next smaller suffix. So
 suffixes with one Lyndon prefix form a group, groups are ordered by their
@@ -8,7 +8,8 @@ Phase 1 finds the groups. It starts with one group for each symbol and takes
 groups from the highest down. A group that is taken is final; the suffix before
 each of its members that is in no higher group (found by previous-smaller
 pointers) gets its prefix extended by that of the group, as often as the group
-follows it, and moves to a new group above its old one.
+follows it, and moves to a new group above its old one. Members stay in text
+order by themselves: pointers from later members lead to no earlier places.
 
 Phase 2 emits the order: from the smallest suffix on, each suffix puts those
 whose next smaller suffix it is at the next free place of their groups. Nothing
@@ -38,7 +39,7 @@ def suffix_array(text: list[int]) -> list[int]:
 
     g = len(symbols) - 1
     while g >= 0:
-        own = sorted(i for i in members[g] if group[i] == g)
+        own = [i for i in members[g] if group[i] == g]
         members[g] = []
         taken[g] = True
         follows: dict[int, int] = {}
@@ -49,30 +50,29 @@ def suffix_array(text: list[int]) -> list[int]:
             before[i] = p
             if p >= 0:
                 follows[p] = follows.get(p, 0) + 1
-        if follows:
-            moved: dict[tuple[int, int], list[int]] = {}
-            for p, times in follows.items():
-                key = (group[p], times)
-                if key in moved:
-                    moved[key].append(p)
-                else:
-                    moved[key] = [p]
-            # of one old group those that are followed more often are higher
-            for old, times in sorted(moved, key=lambda k: (k[0], -k[1])):
-                new = len(length)
-                length.append(length[old] + times * length[g])
-                taken.append(False)
-                found = moved[old, times]
-                members.append(found)
-                for p in found:
-                    group[p] = new
-                # right above the old group
-                up = above[old]
-                below.append(old)
-                above.append(up)
-                above[old] = new
-                if up >= 0:
-                    below[up] = new
+        # of one old group those that are followed more often are higher: they are dealt out
+        # from the most often followed down, each time right above the old group
+        dealt: list[list[int]] = [[] for _ in range(max(follows.values(), default=0) + 1)]
+        for p, times in follows.items():
+            dealt[times].append(p)
+        for times in range(len(dealt) - 1, 0, -1):
+            new_of: dict[int, int] = {}
+            for p in dealt[times]:
+                old = group[p]
+                new = new_of.get(old)
+                if new is None:
+                    new_of[old] = new = len(length)
+                    length.append(length[old] + times * length[g])
+                    taken.append(False)
+                    members.append([])
+                    up = above[old]
+                    below.append(old)
+                    above.append(up)
+                    above[old] = new
+                    if up >= 0:
+                        below[up] = new
+                members[new].append(p)
+                group[p] = new
         g = below[g]
 
     # the places of each group, from the lowest group up
