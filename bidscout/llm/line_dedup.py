@@ -1,8 +1,9 @@
 r"""Line dedup by distinct-site spread.
 
-For each line a HyperLogLog sketch of the sites (sources) that have it merges by
-aggregation. Lines whose estimate lies within a margin of the threshold get an
-exact distinct count; the others are decided by the estimate. A line on at
+For each line that is on enough rows a HyperLogLog sketch of the sites (sources)
+that have it merges by aggregation. Only lines whose estimate lies within a margin
+of the threshold are paired with their sites, for an exact distinct count; the
+others are decided by the estimate. A line on at
 least min_sites sites is boilerplate: it is removed everywhere but at its first
 occurrence, in the smallest doc_id that has it, so that no text is lost.
 
@@ -11,7 +12,7 @@ ends, by a 128-bit hash; blank lines are never boilerplate.
 
 Pre-aggregation in each map task makes a hot line one row for each task; the
 rows of documents meet the boilerplate lines in a join that AQE can broadcast
-(few lines) or split (hot lines).
+(few lines) or split (hot lines). Texts that lose no line stay where they are.
 
 Defined cases: a null source is a site of its own; null text has no lines and
 stays null; null doc_ids come last; repeated rows (doc_id, text) keep or lose
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import SPACES, cut, sha256_hex, table
+from .common import SPACES, cut, sha256_hex, sieve, sifted, table
 
 #: Lines of documents that are merely copied are on a few sites (3 at most for lines of over 50
 #: words in sf0.1's documents), boilerplate is on 8 or more of its 20 (from 11 for those lines).
@@ -45,30 +46,35 @@ def exploded(docs: DataFrame) -> DataFrame:
     return lines.filter("line != ''").withColumn("line", F.unhex(F.md5("line")))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """line, first_id, first_at: the lines on at least min_sites sites and where each stays."""
+def frequent(docs: DataFrame, min_sites: int) -> DataFrame:
+    """exploded(), of lines that are on so many rows at least: others can't be on so many sites."""
     lines = exploded(docs)
+    often = cut(lines.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("line"), "often")
+    bits = cut(sieve(often, F.xxhash64("line")), "sieve")
+    maybe = sifted(lines, F.xxhash64("line"), bits, "maybe").filter("maybe").drop("maybe")
+    return cut(maybe.join(often, "line", "left_semi"), "frequent")
+
+
+def boilerplate(rows: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """rows: of frequent(). line, first_id, first_raw, first_at: the lines on at least min_sites sites and where each stays."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("raw").alias("raw"), F.col("at").alias("at"))
-    # a line on few rows can't be on many sites: sketches are made only for the others
-    often = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter(F.col("n") >= min_sites)
-    often = cut(often, "often")
-    sketched = lines.join(often.select("line"), "line", "left_semi").groupBy("line", "site").agg(F.count("*").alias("rows"))
-    sketched = cut(sketched, "line-sites")
-    spread = sketched.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
-    spread = cut(spread.filter(F.col("sites") >= min_sites * (1 - MARGIN)), "spread")
-    near = spread.filter(F.col("sites") <= min_sites * (1 + MARGIN)).select("line")
-    exact = sketched.join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
-    wide = spread.filter(F.col("sites") > min_sites * (1 + MARGIN)).select("line").unionByName(exact.select("line"))
-    return often.join(wide, "line", "left_semi").select("line", F.col("first.doc_id").alias("first_id"), F.col("first.raw").alias("first_raw"), F.col("first.at").alias("first_at"))
+    sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(place).alias("first"))
+    spread = cut(sketches.select("line", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites * (1 - MARGIN)), "spread")
+    # lines and sites are paired only for lines whose estimate doesn't decide
+    near = F.col("sites") <= min_sites * (1 + MARGIN)
+    pairs = rows.join(spread.filter(near).select("line"), "line", "left_semi").select("line", "site").distinct()
+    exact = pairs.groupBy("line").agg(F.count("*").alias("exact")).filter(F.col("exact") >= min_sites)
+    wide = spread.filter(~near).unionByName(spread.filter(near).join(exact, "line", "left_semi"))
+    return wide.select("line", F.col("first.doc_id").alias("first_id"), F.col("first.raw").alias("first_raw"), F.col("first.at").alias("first_at"))
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """r_id, r_raw, places array<int>: for each document that loses lines, which."""
-    bad = cut(boilerplate(docs, min_sites), "boilerplate")
-    lines = exploded(docs).join(bad, "line")
+    rows = frequent(docs, min_sites)
+    lines = rows.join(cut(boilerplate(rows, min_sites), "boilerplate"), "line")
     stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw")) & (F.col("at") == F.col("first_at"))
     gone = lines.filter(~stays).groupBy("doc_id", "raw").agg(F.collect_set("at").alias("places"))
-    return gone.select(F.col("doc_id").alias("r_id"), F.col("raw").alias("r_raw"), "places")
+    return cut(gone.select(F.col("doc_id").alias("r_id"), F.col("raw").alias("r_raw"), "places"), "removals")
 
 
 @F.pandas_udf(StringType())
@@ -88,11 +94,13 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs, all rows and columns, with boilerplate lines removed from text; n_chars, if there, follows; adds removed_lines."""
     columns = docs.columns
     gone = removals(docs.select("doc_id", "text", "source"), min_sites)
+    bits = cut(sieve(gone, F.xxhash64("r_id", "r_raw")), "sieve")
+    # only texts that lose lines are shuffled, and go through Python
     inner = docs.select("doc_id", "text", F.xxhash64("text").alias("raw"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    joined = inner.join(gone, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("raw") == F.col("r_raw")), "left")
-    # only texts that lose lines go through Python
-    changed = joined.filter("places IS NOT NULL").withColumn("text", without("text", "places"))
-    same = joined.filter("places IS NULL")
+    inner = sifted(inner, F.xxhash64("doc_id", "raw"), bits, "maybe")
+    met = inner.filter("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("raw") == F.col("r_raw")), "left").select("text", "row", "places")
+    changed = met.filter("places IS NOT NULL").withColumn("text", without("text", "places"))
+    same = met.filter("places IS NULL").unionByName(inner.filter("NOT maybe").select("text", "row", F.lit(None).cast("array<int>").alias("places")))
     both = changed.unionByName(same)
     names = []
     for c in columns:
