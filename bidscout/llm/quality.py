@@ -1,6 +1,7 @@
 """Quality classifier: a sparse ensemble of rules over text statistics.
 
-1. Statistics of whole texts are Spark columns (STATISTICS).
+1. Statistics of whole texts (STATISTICS) are counted in numpy arrays of their
+   bytes, in parts of a bounded size; Arrow hands over batches of texts.
 2. A random forest is grown on the labelled rows; each path from a root to a
    node is a rule, a conjunction of bounds on statistics.
 3. A logistic regression with a lasso penalty weighs the rules; most weights are 0.
@@ -10,7 +11,7 @@ Training reads every labelled row (narrow: numbers only) and is distributed; the
 driver holds the forest's nodes and the weights, whose number is set by TREES
 and DEPTH, not by the data. Scoring is a projection.
 
-Defined cases: null text is the empty text, and it gets a score; labels other
+Defined cases: a word of more than PART bytes counts once for each part; null text is the empty text, and it gets a score; labels other
 than 0 and 1, or null, aren't learnt from; a document labelled twice counts
 twice; with labels of one class only (or none) the score is that class's share
 (0.5 for none); an empty table gives no rows; further columns are kept by
@@ -20,53 +21,130 @@ keep_good().
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import cut, sieve, sifted, table
+from .common import bytes_of, cut, sieve, sifted, table
 
-TREES, DEPTH, LASSO, SEED = 16, 3, 0.001, 11
+TREES, DEPTH, LASSO, SEED = 24, 4, 0.001, 11
 GOOD = 0.7
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
+STATISTICS = ("chars", "words", "word_length", "longest", "symbols", "bars", "shouts", "capitals", "digits", "stops", "marks", "foreign", "lines", "distinct", "pairs", "repeated")
+#: Bytes that are counted at once.
+PART = 1 << 18
+
+_rng = np.random.default_rng(3)
+_mixed = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_base = 0x9E3779B97F4A7C15
+_power = np.cumprod(np.r_[np.uint64(1), np.full(PART, _base, np.uint64)], dtype=np.uint64)
+_inverse = np.cumprod(np.r_[np.uint64(1), np.full(PART, pow(_base, -1, 2**64), np.uint64)], dtype=np.uint64)
+# classes of bytes
+LETTER, SPACE, NEWLINE, DIGIT, CAPITAL, SYMBOL, BAR, SHOUT, STOP, MARK, LEAD, REST = range(12)
+_class = np.full(256, MARK, np.uint8)
+for _kind, _chars in ((LETTER, b"abcdefghijklmnopqrstuvwxyz"), (SPACE, b" \t\x0b\x0c\r"), (NEWLINE, b"\n"), (DIGIT, b"0123456789"), (CAPITAL, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (SYMBOL, b"#$%&*@^~=+<>{}[]\\_"), (BAR, b"|"), (SHOUT, b"!"), (STOP, b".,;:?"), (REST, bytes(range(0x80, 0xC0))), (LEAD, bytes(range(0xC0, 0x100)))):
+    _class[list(_chars)] = _kind
+
+
+def parts_of(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, the text that each is of) of at most PART bytes; a longer text is cut at white space, if there is any."""
+    i, n = 0, len(ends) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + PART, side="right")) - 1)
+        a, b = int(ends[i]), int(ends[j])
+        if b - a <= PART:
+            yield data[a:b], np.repeat(np.arange(i, j), np.diff(ends[i : j + 1]))
+        else:
+            while a < b:
+                to = min(a + PART, b)
+                if to < b:
+                    blank = np.flatnonzero((_class[data[a:to]] == SPACE) | (_class[data[a:to]] == NEWLINE))
+                    to = a + int(blank[-1]) + 1 if len(blank) else to
+                yield data[a:to], np.full(to - a, i)
+                a = to
+        i = j
+
+
+def counted(column: pa.Array) -> dict[str, np.ndarray]:
+    """The statistics of each text."""
+    data, ends = bytes_of(column)
+    n = len(ends) - 1
+    classes, accents = np.zeros((n, 12)), np.zeros(n)
+    words, repeated, longest, distinct, pairs = (np.zeros(n) for _ in range(5))
+    of_long: dict[int, tuple[list, list]] = {}
+    for part, text in parts_of(data, ends):
+        if not len(part):
+            continue
+        kind = _class[part]
+        low, high = int(text[0]), int(text[-1]) + 1
+        classes[low:high] += np.bincount((text - low) * 12 + kind, minlength=12 * (high - low)).reshape(-1, 12)
+        accent = np.flatnonzero((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97))
+        accents[low:high] += np.bincount(text[accent] - low, minlength=high - low)
+        blank = (kind == SPACE) | (kind == NEWLINE)
+        begins = np.r_[True, blank[:-1] | (text[1:] != text[:-1])] & ~blank
+        stops = np.r_[blank[1:] | (text[1:] != text[:-1]), True] & ~blank
+        first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        sums = np.r_[np.uint64(0), np.cumsum(_mixed[part] * _power[: len(part)], dtype=np.uint64)]
+        word = (sums[last] - sums[first]) * _inverse[first] + (last - first).astype(np.uint64)
+        of = text[first] - low
+        words[low:high] += np.bincount(of, minlength=high - low)
+        np.maximum.at(longest, text[first], last - first)
+        near = of[1:] == of[:-1]
+        repeated[low:high] += np.bincount(of[1:][near & (word[1:] == word[:-1])], minlength=high - low)
+        two, of_two = (word[:-1] * np.uint64(31) ^ word[1:])[near], of[1:][near]
+        if ends[low + 1] - ends[low] > PART:
+            own = of_long.setdefault(low, ([], []))
+            own[0].append(np.unique(word))
+            own[1].append(np.unique(two))
+            continue
+        for out, hashes, at in ((distinct, word, of), (pairs, two, of_two)):
+            _, unique = np.unique(hashes + at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
+            out[low:high] += np.bincount(at[unique], minlength=high - low)
+    for i, (one, two) in of_long.items():
+        distinct[i], pairs[i] = len(np.unique(np.concatenate(one))), len(np.unique(np.concatenate(two)))
+    chars = classes.sum(axis=1) - classes[:, REST]
+
+    def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.divide(part, whole, out=np.zeros(n), where=whole > 0)
+
+    return {
+        "chars": chars,
+        "words": words,
+        "word_length": share(chars, words),
+        "longest": longest,
+        "symbols": share(classes[:, SYMBOL], chars),
+        "bars": share(classes[:, BAR], words),
+        "shouts": share(classes[:, SHOUT], words),
+        "capitals": share(classes[:, CAPITAL] + accents, chars),
+        "digits": share(classes[:, DIGIT], chars),
+        "stops": share(classes[:, STOP], words),
+        "marks": share(classes[:, MARK], chars),
+        "foreign": share(classes[:, LEAD], chars),
+        "lines": share(classes[:, NEWLINE], words),
+        "distinct": share(distinct, words),
+        "pairs": share(pairs, words),
+        "repeated": share(repeated, words),
+    }
 
 
-def _count(t: Column, pattern: str) -> Column:
-    return F.regexp_count(t, F.lit(pattern))
+@F.arrow_udf(StructType([StructField(k, DoubleType()) for k in STATISTICS]))
+def statistics(text: pa.Array) -> pa.Array:
+    found = counted(text)
+    return pa.StructArray.from_arrays([pa.array(found[k]) for k in STATISTICS], names=list(STATISTICS))
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the struct column stats."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n = F.char_length(t)
-    # words are split once; the statistics of a row are made in one place, below
-    # what reads them, so that no optimizer rule repeats them for each rule
-    base = docs.withColumn("w", F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    words = F.size("w")
-    repeated = F.size(F.filter("w", lambda x, i: x == F.get(F.col("w"), i - 1)))
-    stats = {
-        "chars": n,
-        "words": words,
-        "word_length": _share(n, words),
-        "symbols": _share(_count(t, r"[#$%&*@^~=+<>{}\[\]\\_]"), n),
-        "bars": _share(n - F.char_length(F.replace(t, F.lit("|"))), words),
-        "shouts": _share(n - F.char_length(F.replace(t, F.lit("!"))), words),
-        "capitals": _share(_count(t, r"\p{Lu}"), n),
-        "digits": _share(_count(t, r"[0-9]"), n),
-        "stops": _share(_count(t, r"[.,;:?]"), words),
-        "lines": _share(n - F.char_length(F.replace(t, F.lit("\n"))), words),
-        "distinct": _share(F.size(F.array_distinct("w")), words),
-        "repeated": _share(repeated, words),
-    }
-    made = F.struct(*(c.cast("double").alias(k) for k, c in stats.items()))
-    return base.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(made)).alias("stats"))
+    # not deterministic to the optimizer, so that it doesn't repeat it where it is read
+    return docs.withColumn("stats", statistics.asNondeterministic()(F.col(text)))
 
 
-STATISTICS = ("chars", "words", "word_length", "symbols", "bars", "shouts", "capitals", "digits", "stops", "lines", "distinct", "repeated")
 #: (statistic, whether above the bound, the bound)
 Bound = tuple[str, bool, float]
 

@@ -38,12 +38,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, sieve, sifted, table
+from .common import bytes_of, cut, sieve, sifted, table
 from .near_join import groups_of, run_starts
 from .suffix_array import suffix_array
 
@@ -86,14 +85,6 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - more], x[more:]) if more else x
 
 
-def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, not copied, and where each text begins (one more: the end). Null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    _, ends, data = column.buffers()
-    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), ends
-
-
 def slices(ends: np.ndarray, window: int = WINDOW, most: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(the first text, where its part and those of the next texts begin, their lengths): of at most `most` bytes in all.
 

@@ -140,6 +140,64 @@ def test_pages(spark):
     assert html_extract.extract(pages_of(spark).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<div class="post hentry tag-spark"><p>Main text.</p></div>', "Main text."),
+        ('<div class="more-info"><p>The story.</p></div><p>End</p>', "The story. End"),
+        ('<div class="form-group legal"><p>A law.</p></div>', "A law."),
+        ('<p title="a>Hello</p><p>x</p>', "Hello x"),
+        ("<p title='a>Hello</p><p>x</p>", "Hello x"),
+        ('<div class="a>b"><p>in</p></div>out', "in out"),
+        ('<div class="site-footer">no</div><div id="comments-list">no</div><div class="share-price">yes</div>', "yes"),
+        ("<div>" * 20_000 + "deep" + "</div>" * 20_000, "deep"),
+        ("<p>" + "word " * 300_000, "word " * 299_999 + "word"),
+        ('<a "' * 2_000 + ">t", "t"),
+        ("<b>" * 5 + "x</i></b></div>y", "xy"),
+    ],
+)
+def test_main_text_of(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_importance_by_brute_force(spark):
+    import math
+
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        menu = "<div class=x><ul>" + "".join(f"<li>Menu {k}</li>" for k in range(r.choice([3, 3, 4]))) + "</ul></div>"
+        box = f"<div class=y>{r.choice(['Buy now', 'Buy now', 'Try it'])}</div>" if r.random() < 0.8 else ""
+        rows.append((i, f"http://h{i % 3}.example/", f"{menu}<div id=m><h1>T{i}</h1><p>{r.random()}</p></div>{box}<div class=z>Always the same</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = collections.defaultdict(lambda: ([], []))
+    for i, _, page in rows:
+        for place, (above, shown, own) in html_extract.places(page).items():
+            seen[f"h{i % 3}.example", place][0].append(shown)
+            if own:
+                seen[f"h{i % 3}.example", place][1].append(own)
+
+    def entropy(found):
+        n = len(found)
+        return 1.0 if n == 1 else sum(-c / n * math.log(c / n) for c in collections.Counter(found).values()) / math.log(n) if n else 0.0
+
+    want = {k: (len(shown), max(entropy(shown), entropy(own))) for k, (shown, own) in seen.items()}
+    placed = html_extract.page_places(df)
+    got = {(x.host, x.place): (x.pages, x.importance) for x in html_extract.style_trees(placed).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    above = {(f"h{i % 3}.example", p): a for i, _, page in rows for p, (a, *_) in html_extract.places(page).items()}
+    good = {k for k, (n, x) in want.items() if x >= html_extract.LEAST_IMPORTANCE or n < html_extract.LEAST_PAGES}
+    for k in list(good):
+        while above.get(k):
+            k = (k[0], above[k])
+            good.add(k)
+    low = {(x.host, x.place) for x in html_extract.noise(placed).collect()}
+    assert low == set(want) - good and low
+    texts = {x.text for x in html_extract.extract(df).collect()}
+    # what all pages have goes by the tree alone: no name says that it is noise
+    assert not any("Always the same" in t for t in texts) and all("T" in t for t in texts)
+
+
 def test_a_site_of_equal_articles_keeps_them(spark):
     page = "<nav>menu</nav><article><p>The same.</p></article>"
     df = spark.createDataFrame([(i, "http://a.example/", f"<i>{i}</i>" + page) for i in range(9)], "page_id long, url string, html string")
@@ -385,11 +443,33 @@ def test_quality(spark):
     assert auc > 0.9 and sum((s >= 0.7) == (q == 1) for s, q in out) / len(out) > 0.9
 
 
+def test_statistics_of_texts(corpus, monkeypatch):
+    import pyarrow as pa
+
+    texts = [c[1] for c in corpus] + ["É|é!! #1, ok. a a b a a b\n\tÀ" * 3, "x" * 5000, " " * 3000]
+    for part in (100, 1 << 18):
+        monkeypatch.setattr(quality, "PART", part)
+        got = quality.counted(pa.array(texts))
+        for i, t in enumerate(t or "" for t in texts):
+            words = t_words = WORD.findall(t)
+            if part == 100 and any(len(w.encode()) > part for w in words):
+                continue  # words of over a part count for each part
+            n, w = max(len(t), 1), max(len(words), 1)
+            want = {"chars": len(t), "words": len(words), "word_length": len(t) / w if words else 0, "longest": max((len(x.encode()) for x in words), default=0), "bars": t.count("|") / w, "shouts": t.count("!") / w}
+            want |= {"digits": sum(c in "0123456789" for c in t) / n, "capitals": sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in t) / n, "lines": t.count("\n") / w if words else 0}
+            want |= {"distinct": len(set(words)) / w, "foreign": sum(ord(c) > 127 for c in t) / n}
+            if part > 100 or len(t.encode()) <= part:
+                want |= {"repeated": sum(a == b for a, b in zip(words, t_words[1:])) / w, "pairs": len(set(zip(words, words[1:]))) / w}
+            assert {k: float(got[k][i]) for k in want} == pytest.approx(want), (i, part)
+
+
 def test_quality_cases(spark, docs, none):
     label = lambda q: docs.filter("doc_id IS NOT NULL").select("doc_id", F.lit(q).alias("quality")).distinct()
     for q, want in ((1, 1), (0, 0), (None, 0)):
         got = quality.scored(docs.drop("score"), quality.train(docs, label(q)))
         assert {r.predicted for r in got.collect()} == {want} and got.count() == docs.count()
+    twice = label(1).unionByName(label(1)).unionByName(label(0).filter("doc_id < 20"))  # repeated labels
+    assert quality.scored(docs.drop("score"), quality.train(docs, twice)).count() == docs.count()
     kept = quality.keep_good(docs, label(1))
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert quality.scored(none.drop("score"), quality.RuleModel(0.0)).count() == 0
