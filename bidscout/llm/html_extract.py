@@ -11,15 +11,17 @@ there, and which texts.
   way: a text that all pages share has 0, texts of their own have 1.
 * A branch is as important as the more important of the two, its own or below it.
 
-Branches of low importance on enough pages are removed. So are branches that
-HTML itself or their style names as not the article (nav, footer, script, forms,
-adverts, notices, comments and so on): what a site says in its markup is known
-from one page, and menus or adverts that differ from page to page have high
-entropy. Where a page has an article or main element, the text is taken from there.
+The tree sees every branch of every page, head and scripts included, and its
+branches of low importance on enough pages are removed first. It can't know what
+is no article but differs on each page, or is on too few pages: menus, adverts,
+notices or comments like that have high entropy. For these what a page says in its
+markup decides (nav, footer, script, form, role, and class names that are wholly
+such names). Where a page has an article or main element, the text is from there.
 
 A page sends a row for each of its places, not its text, to be counted; counts
 are pre-aggregated, so that a hot host is spread over tasks. What comes back to a
-page is the list of its own places that are to go.
+page is the list of its own places that are to go. A place is a hash of its own
+name and of its parent's place, so that depth costs nothing.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or
 unreadable url are a host of their own (""); broken markup is read as it stands;
@@ -61,22 +63,38 @@ CLOSES = {
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPES = frozenset("ul ol dl table article section div body html td th".split())
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar|side|aside|rail|widgets?|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|more|teaser|comments?|disqus|replies|reply|respond|pagination|pager|skip|toolbar|copyright|legal|disclaimer|tags?|search\w*|form)(?:$|[\s_-])",
-    re.I,
+#: Words of class names and ids of what isn't the article.
+NOT_ARTICLE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner banners nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead footer foot sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations teaser teasers comment comments disqus replies reply respond pagination pager skip toolbar copyright disclaimer".split()
 )
-NOT_AN_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|teaser|comments?|replies|reply)(?:$|[\s_-])", re.I)
+#: Words that such a name may have beside them ("promo-box", "site-footer"); with any other word it says nothing ("tag-spark", "share-price").
+BESIDE = frozenset("area bar block bottom box center column container content entry form global group heading holder icons inner item items left link links list main outer page panel post primary region right row section secondary side site slot top unit wrap wrapper".split())
+#: An article element is one unless it is of these.
+NOT_AN_ARTICLE = frozenset("ad ads advert advertisement sponsor sponsored promo related recommended teaser comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 
 
+_words = re.compile(r"[a-z]+")
+
+
+def names_noise(names: str, noise: frozenset[str] = NOT_ARTICLE) -> bool:
+    """Whether one of the class names (or ids) is made of a word of noise and of nothing that says otherwise."""
+    for name in names.lower().split():
+        words = _words.findall(name)
+        if any(w in noise for w in words) and all(w in noise or w in BESIDE for w in words):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "place", "parts", "out")
+    __slots__ = ("tag", "name", "place", "above", "parts", "out")
 
-    def __init__(self, tag: str, place: str, out: bool):
-        self.tag, self.place, self.out = tag, place, out
+    def __init__(self, tag: str, name: str, above: int, out: bool):
+        self.tag, self.name, self.above, self.out = tag, name, above, out
+        self.place = mark(f"{above}>{name}") if name else 0
         self.parts: list = []  # text, or nodes
 
 
@@ -84,11 +102,35 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /") else {}
 
 
+def unwanted(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether the markup itself says that an element isn't of the main text."""
+    if tag in NOT_TEXT or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return True
+    if set(attributes.get("role", "").lower().split()) & ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
+        return True
+    if tag in ("html", "body", "main"):
+        return False
+    return any(names_noise(attributes.get(k, ""), NOT_AN_ARTICLE if tag == "article" else NOT_ARTICLE) for k in ("class", "id"))
+
+
 def parse(source: str) -> Node:
     """The tree of block elements; inline elements are part of their block's text."""
-    root = Node("#", "", False)
+    root = Node("#", "", 0, False)
     stack, at = [root], 0
+    opened: dict[str, int] = {}  # how many of a tag are on the stack
     hidden: list[str] = []  # inline elements that aren't text
+
+    def close(k: int) -> None:
+        for n in stack[k:]:
+            opened[n.tag] -= 1
+        del stack[k:]
+
+    def child(tag: str, attributes: dict[str, str]) -> Node:
+        style = " ".join(sorted(attributes.get("class", "").lower().split())) + "#" + attributes.get("id", "").lower() + "@" + attributes.get("role", "").lower()
+        node = Node(tag, f"{tag}.{style}", stack[-1].place, stack[-1].out or unwanted(tag, attributes))
+        stack[-1].parts.append(node)
+        return node
+
     while at < len(source):
         m = TAG.search(source, at)
         text = source[at : m.start() if m else len(source)]
@@ -106,41 +148,43 @@ def parse(source: str) -> Node:
             if hidden:
                 if tag == hidden[-1]:
                     hidden.pop()
-            elif tag not in INLINE and any(n.tag == tag for n in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            elif tag not in INLINE and opened.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         attributes = _attributes(m[3])
         if tag in RAW:  # all up to its end tag is its own
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source) if tag in ("script", "style", "textarea", "title") else at
+            if end or tag in ("script", "style", "textarea", "title"):
+                if not hidden:
+                    child(tag, attributes).parts.append(source[at : end.start() if end else len(source)])
+                at = end.end() if end else len(source)
             continue
         if hidden:
             if tag == hidden[-1]:
                 hidden.append(tag)
             continue
-        unwanted = tag in NOT_TEXT or bool(set(attributes.get("role", "").lower().split()) & ROLES) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""))) or any((NOT_AN_ARTICLE if tag == "article" else NOT_ARTICLE).search(attributes.get(k, "")) for k in ("class", "id")) and tag not in ("html", "body", "main")
         if tag in VOID:
             if tag in ("br", "hr"):
                 stack[-1].parts.append("\n")
             continue
         if tag in INLINE:
-            if unwanted and not m[3].rstrip().endswith("/"):
+            if unwanted(tag, attributes) and not m[3].rstrip().endswith("/"):
                 hidden.append(tag)
             continue
         ends = CLOSES.get(tag, frozenset()) | (CLOSES["p"] if tag in ENDS_P else frozenset())
-        if ends:
+        if ends and any(opened.get(x) for x in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
-        style = " ".join(sorted(attributes.get("class", "").lower().split())) + "#" + attributes.get("id", "").lower() + "@" + attributes.get("role", "").lower()
-        node = Node(tag, f"{stack[-1].place}>{tag}.{style}" if len(stack) < 200 else stack[-1].place, stack[-1].out or unwanted)
-        stack[-1].parts.append(node)
+        node = child(tag, attributes)
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -173,7 +217,7 @@ def blocks(root: Node, gone: frozenset[int] = frozenset()) -> list[str]:
             held.append(x)
         elif what == "end":
             flush()
-        elif not x.out and not (gone and mark(x.place) in gone):
+        elif not x.out and x.place not in gone:
             flush()
             todo.append(("end", None))
             todo += reversed([("in", p) if isinstance(p, Node) else ("text", p) for p in x.parts])
@@ -201,7 +245,7 @@ def article(root: Node) -> list[Node]:
 def main_text(source: str, gone: frozenset[int] = frozenset()) -> str:
     """The text of a page's article. Where a site's articles are all alike, what it repeats is the article and stays."""
     tops = article(parse(source))
-    found = [b for top in tops for b in blocks(top, frozenset() if mark(top.place) in gone else gone)]
+    found = [b for top in tops for b in blocks(top, frozenset() if top.place in gone else gone)]
     if not found and gone:
         found = [b for top in tops for b in blocks(top)]
     return " ".join(found)
@@ -213,16 +257,14 @@ def mark(text: str) -> int:
 
 def places(source: str) -> dict[int, tuple[int, int, int]]:
     """place -> (its parent's place, its presentation, its content) on one page; a place that repeats is taken together."""
-    found: dict[int, list] = {}
+    found: dict[int, tuple[int, list, list]] = {}
     for node in _walk(parse(source)):
-        if not node.place or node.out:
+        if not node.name:
             continue
-        kids = [p for p in node.parts if isinstance(p, Node)]
-        own = squeeze(" ".join(p for p in node.parts if isinstance(p, str)))
-        at = found.setdefault(mark(node.place), [mark(node.place.rpartition(">")[0]), [], []])
-        at[1].append(",".join(k.place.rpartition(">")[2] for k in kids))
-        at[2].append(own)
-    return {k: (parent, mark("|".join(shown)), mark("\n".join(own)) if any(own) else 0) for k, (parent, shown, own) in found.items()}
+        _, shown, own = found.setdefault(node.place, (node.above, [], []))
+        shown.append("\0".join(p.name for p in node.parts if isinstance(p, Node)))
+        own.append(squeeze(" ".join(p for p in node.parts if isinstance(p, str))))
+    return {k: (above, mark("\1".join(shown)), mark("\1".join(own)) if any(own) else 0) for k, (above, shown, own) in found.items()}
 
 
 def host_of(url):
@@ -266,16 +308,18 @@ def style_trees(rows: DataFrame) -> DataFrame:
 def noise(rows: DataFrame, least: float = LEAST_IMPORTANCE, pages: int = LEAST_PAGES) -> DataFrame:
     """host, place of the branches that are of low importance, themselves and all below them."""
     tree = cut(style_trees(rows), "trees")
-    links = cut(rows.select("host", "place", "parent").distinct(), "links")
+    # what is above an important place is kept. After a round with pointers over n levels all within
+    # 2n - 1 levels is, and pointers over 2n levels follow, so that the rounds are the log of the depth
+    up = cut(rows.select("host", "place", F.col("parent").alias("above")).distinct(), "above")
     good = cut(tree.filter((F.col("importance") >= least) | (F.col("pages") < pages)).select("host", "place"), "good")
-    # a place above an important one is kept: the good spread towards the root, level by level
     while True:
-        up = links.join(good, ["host", "place"]).select("host", F.col("parent").alias("place")).distinct()
-        more = cut(up.join(good, ["host", "place"], "left_anti"), "more")
+        reached = up.join(good, ["host", "place"], "left_semi").select("host", F.col("above").alias("place")).filter("place != 0").distinct()
+        more = cut(reached.join(good, ["host", "place"], "left_anti"), "more")
         if more.isEmpty():
-            break
+            return tree.select("host", "place").join(good, ["host", "place"], "left_anti")
         good = cut(good.unionByName(more), "good")
-    return tree.select("host", "place").join(good, ["host", "place"], "left_anti")
+        next_ = up.select("host", F.col("place").alias("above"), F.col("above").alias("further"))
+        up = cut(up.join(next_, ["host", "above"]).select("host", "place", F.col("further").alias("above")), "above")
 
 
 def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
