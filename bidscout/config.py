@@ -17,3 +17,8 @@ SHORTLIST, RESERVE, DOMAIN_CAP = 14, 6, 2
 ATTEMPTED, PAID = 24, 12
 MARKETPLACES = ("amazon", "walmart")
 PLAUSIBLE_LOW, PLAUSIBLE_HIGH = 0.30, 1.05  # of a headline price
+HOUSE_BRANDS = ("brand#11", "brand#22")  # lower case
+REPORT_MARKETS = {"amazon": "AMAZON", "walmart": "WALMART"}
+# Words that don't tell products of a kind apart, and how names state a pack.
+GENERIC_STOP = ("the", "and", "for", "with", "non", "sterile", "premium", "brand", "dental", "dentistry", "absorbable", "disposable")
+STATED_PACK = r"(?i)\b(\d{2,5})\s*[-/]?\s*(?:bx|box|pk|pack|ct|count|ca|case)\b"

@@ -6,6 +6,8 @@ match_type, the four criteria (null: not judged), and the flags.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,6 +165,33 @@ def marketplace_eligible() -> Column:
     return price_match_eligible() & (brand_confirmed() | true("mpn_confirmed"))
 
 
+def house_brand() -> Column:
+    """The line is of a house brand, which nobody else sells."""
+    low = F.lower(F.coalesce(c("brand"), F.lit("")))
+    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in C.HOUSE_BRANDS), F.lit(False))
+
+
+def generic_eligible() -> Column:
+    """For house brands: another product of the same kind, grade and pack at a sane price, whatever its name and brand.
+
+    The pack is the listing's, or one that its name or url states. All grades of the
+    description (#2) and most of its words must be in the listing's name.
+    """
+    name = F.coalesce(*(F.nullif(c(k), F.lit("")) for k in ("page_name", "title", "structured_name")))
+    stated = F.regexp_extract(F.concat_ws(" ", name, c("url")), C.STATED_PACK, 1).try_cast("int")
+    pack = F.coalesce(F.coalesce(c("pack_qty"), stated) == F.nullif(c("ordered_pack"), F.lit(0)), F.lit(False))
+    barred = gated() | true("out_of_stock") | true("price_unreliable")
+    page, ordered = F.lower(F.concat_ws(" ", name, c("title"))), F.lower(F.coalesce(c("description"), F.lit("")))
+    close = lambda x: F.regexp_replace(x, r"\s", "")
+    grades = F.forall(F.regexp_extract_all(ordered, F.lit(r"#\s*\d+"), F.lit(0)), lambda g: F.contains(close(page), close(g)))
+    stop = F.array(*(F.lit(w) for w in (*C.GENERIC_STOP, *" ".join(C.HOUSE_BRANDS).split())))
+    tokens = F.filter(F.regexp_extract_all(ordered, F.lit("[a-z0-9#]+"), F.lit(0)), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    words = F.filter(tokens, lambda t: F.rlike(t, F.lit("^[a-z]+$")))
+    share = lambda found: F.try_divide(F.size(F.filter(found, lambda t: F.contains(page, t))), F.size(found))
+    alike = F.coalesce(share(words) >= C.GENERIC_WORDS, F.lit(True)) & F.coalesce(share(tokens) >= C.GENERIC_TOKENS, F.lit(False))
+    return name.isNotNull() & sane_price() & ~barred & pack & grades & alike
+
+
 def savings_band(pct: Column) -> Column:
     return F.when(pct > 10, "green").when(pct >= 5, "yellow")
 

@@ -60,12 +60,17 @@ def select_options(cands: DataFrame, options: int = C.OPTIONS, key: str = "sku")
     return _first(pool, [key], [~F.col("leads"), *order], options, "option_no").drop("leads")
 
 
-def equivalents(cands: DataFrame, most: int = 2, key: str = "sku") -> DataFrame:
-    """Cross-brand alternatives below the unit price: the first of each domain as found, then the cheapest."""
+def is_equivalent() -> Column:
+    """A cross-brand alternative below the unit price, of the same pack as far as is known."""
     same_pack = (F.col("pack_qty") == F.col("ordered_pack")) | F.coalesce(F.col("pack_qty"), F.lit(0)).isin(0) | F.coalesce(F.col("ordered_pack"), F.lit(0)).isin(0)
     barred = R.true("out_of_stock") | R.true("variant_conflict") | R.pack_conflict() | R.true("price_unreliable") | R.gated()
-    ok = (F.col("price") < F.col("unit_price")) & (F.col("price") >= F.col("unit_price") * C.SANE_LOW) & F.col("page_name").isNotNull() & ~barred & same_pack
-    found = _first(cands.filter(ok), [key, "domain"], [], name="domain_rank").drop("domain_rank")
+    priced = F.coalesce((F.col("price") < F.col("unit_price")) & (F.col("price") >= F.col("unit_price") * C.SANE_LOW), F.lit(False))
+    return priced & F.col("page_name").isNotNull() & ~barred & same_pack
+
+
+def equivalents(cands: DataFrame, most: int = 2, key: str = "sku") -> DataFrame:
+    """Alternatives: the first of each domain as found, then the cheapest."""
+    found = _first(cands.filter(is_equivalent()), [key, "domain"], [], name="domain_rank").drop("domain_rank")
     return _first(found, [key], [F.col("price")], most, "equivalent_no")
 
 

@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import reports as P
 from ..operators import selection as S
 from ..operators import urls as J
+from ..operators import verdicts as E
 from ..sources.views import CANDIDATES_SQL, LINES_SQL, candidates, order_lines, table
 from .registry import query
 
@@ -133,9 +134,56 @@ def p40(spark, sf_dir):
     return candidates(spark, sf_dir).select("offer_id", R.gated().alias("gated"), R.dead().alias("dead"), R.brand_confirmed().alias("brand_ok"), R.reviewable().alias("reviewable"), R.exact_candidate().alias("exact_cand"))
 
 
-@query("p41_marketplace_eligible", SQL + "SELECT offer_id, eligible AND (brand_ok OR mpn_confirmed) AS market_ok FROM r WHERE marketplace IS NOT NULL")
+# Generic listings of house brands: gx has generic_ok and house for each row of s.
+GENERIC = r""", g1 AS (SELECT *, lower(coalesce(nullif(page_name, ''), '')) AS page, lower(coalesce(description, '')) AS low,
+  contains(lower(coalesce(brand, '')), 'brand#11') OR contains(lower(coalesce(brand, '')), 'brand#22') AS house,
+  coalesce(pack_qty, try_cast(nullif(regexp_extract(concat_ws(' ', nullif(page_name, ''), url), '(?i)\b(\d{2,5})\s*[-/]?\s*(?:bx|box|pk|pack|ct|count|ca|case)\b', 1), '') AS INTEGER)) AS gpack FROM s),
+g2 AS (SELECT *, list_filter(regexp_extract_all(low, '[a-z0-9#]+'), lambda t: len(t) > 1 AND t NOT IN ('the', 'and', 'for', 'with', 'non', 'sterile', 'premium', 'brand', 'dental', 'dentistry', 'absorbable', 'disposable', 'brand#11', 'brand#22')) AS toks,
+  len(list_filter(regexp_extract_all(low, '#\s*\d+'), lambda g: NOT contains(regexp_replace(page, '\s', '', 'g'), regexp_replace(g, '\s', '', 'g')))) = 0 AS graded FROM g1),
+g3 AS (SELECT *, list_filter(toks, lambda t: regexp_matches(t, '^[a-z]+$')) AS words FROM g2),
+gx AS (SELECT *, nullif(page_name, '') IS NOT NULL AND sane AND NOT (gated OR out_of_stock OR price_unreliable) AND coalesce(gpack = nullif(ordered_pack, 0), false) AND graded
+  AND (len(words) = 0 OR len(list_filter(words, lambda t: contains(page, t))) / len(words) >= 0.6) AND len(toks) > 0 AND len(list_filter(toks, lambda t: contains(page, t))) / greatest(len(toks), 1) >= 0.55 AS generic_ok,
+  concat_ws(' · ', CASE WHEN pack_mismatch THEN 'PACK MISMATCH (page ' || coalesce(nullif(pack_qty, 0)::VARCHAR, '?') || ' vs ordered ' || coalesce(nullif(ordered_pack, 0)::VARCHAR, '?') || ')' END,
+  CASE WHEN size_form_match = false THEN 'SIZE/VOLUME MISMATCH' END, CASE WHEN variant_unverified OR name_match IS NOT DISTINCT FROM false THEN 'VARIANT MISMATCH (ordered: ' || coalesce(variant, 'specified') || ')' END,
+  CASE WHEN gated THEN 'LOGIN-GATED price' END, CASE WHEN dead THEN 'DEAD/EXPIRED listing' END) AS mismatch,
+  nm AND sm AND pm AND NOT bm AND coalesce(brand, '') <> '' AS is_generic FROM g3)
+"""
+
+# The rows of report 1 by kind: options, ref, eq, bo, mk over the regular listings and those of marketplaces.
+REPORT = (
+    SQL
+    + GENERIC
+    + """, reg AS (SELECT * FROM gx WHERE marketplace IS NULL),
+pool AS (SELECT * FROM reg WHERE poolable QUALIFY row_number() OVER (PARTITION BY sku, domain ORDER BY tier, out_of_stock, price_unreliable, price, disc_seq, offer_id) = 1),
+lead AS (SELECT *, eligible AND row_number() OVER (PARTITION BY sku ORDER BY NOT eligible, price, tier, out_of_stock, price_unreliable, disc_seq, offer_id) = 1 AS leads FROM pool),
+options AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY NOT leads, tier, out_of_stock, price_unreliable, price, disc_seq, offer_id) AS no FROM lead QUALIFY no <= 3),
+best AS (SELECT sku, min(price) AS least FROM options GROUP BY sku),
+ref AS (SELECT *, 1 AS no FROM reg WHERE eligible AND price >= unit_price AND sku NOT IN (SELECT sku FROM options) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price, disc_seq, offer_id) = 1),
+eqd AS (SELECT * FROM reg WHERE price < unit_price AND price >= unit_price * 0.05 AND page_name IS NOT NULL AND NOT (out_of_stock OR variant_conflict OR pack_conflict OR price_unreliable OR gated)
+  AND (pack_qty = ordered_pack OR coalesce(pack_qty, 0) = 0 OR coalesce(ordered_pack, 0) = 0) AND sku NOT IN (SELECT sku FROM options) QUALIFY row_number() OVER (PARTITION BY sku, domain ORDER BY disc_seq, offer_id) = 1),
+eq AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY price, disc_seq, offer_id) AS no FROM eqd QUALIFY no <= 2),
+late AS (SELECT *, 1 AS no FROM reg WHERE out_of_stock AND price > 0 QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price, disc_seq, offer_id) = 1),
+bo AS (SELECT late.* FROM late JOIN best USING (sku) WHERE price < least),
+mc AS (SELECT *, CASE WHEN eligible AND (brand_ok OR mpn_confirmed) THEN 0 WHEN house AND (eligible OR generic_ok) THEN 1 ELSE 2 END AS mclass, CASE marketplace WHEN 'amazon' THEN 1 ELSE 2 END AS no FROM gx WHERE marketplace IN ('amazon', 'walmart')),
+mk AS (SELECT * FROM mc WHERE mclass < 2 QUALIFY row_number() OVER (PARTITION BY sku, marketplace ORDER BY mclass, CASE WHEN mclass = 0 THEN NOT is_seed END, price, disc_seq, offer_id) = 1),
+ms AS (SELECT sku, marketplace, coalesce(nullif(mismatch, ''), rejected_reason, 'not the same product and pack') AS why FROM mc WHERE page_name IS NOT NULL OR rejected_reason IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY sku, marketplace ORDER BY -score, disc_seq, offer_id) = 1),
+kinds AS (SELECT *, 'OPTION' AS row_kind FROM (SELECT * EXCLUDE (leads) FROM options) UNION ALL BY NAME SELECT *, 'REFERENCE' AS row_kind FROM ref UNION ALL BY NAME SELECT *, 'EQUIVALENT' AS row_kind FROM eq
+  UNION ALL BY NAME SELECT *, 'BACKORDER' AS row_kind FROM bo UNION ALL BY NAME SELECT *, 'MARKET' AS row_kind FROM mk),
+labels AS (SELECT *, CAST(unit_price AS DECIMAL(12,2)) - CAST(price AS DECIMAL(12,2)) AS each, CASE WHEN out_of_stock THEN 'OUT OF STOCK (' || score || '%)' WHEN gated THEN 'GATED (' || score || '%)' WHEN price_unreliable THEN 'UNVERIFIED PRICE (' || score || '%)'
+  WHEN is_generic THEN 'GENERIC EQUIVALENT (' || score || '%)' WHEN bulk THEN 'BULK VALUE (' || score || '%)'
+  WHEN match_type = 'unverified' AND coalesce(name_match, brand_match, size_form_match, pack_match) IS NULL AND price IS NOT NULL THEN 'UNVERIFIED'
+  WHEN nm AND sm AND pm AND brand_ok AND variant_unverified THEN 'EXACT · VARIANT UNVERIFIED (' || score || '%)' WHEN nm AND sm AND pm AND brand_ok THEN 'EXACT (' || score || '%)'
+  WHEN match_type IN ('exact', 'approximate') THEN 'APPROXIMATE (' || score || '%)' ELSE 'POSSIBLE (' || score || '%)' END AS lab,
+  CASE WHEN is_generic THEN 'Generic Alternative' WHEN marketplace IS NOT NULL THEN 'Marketplace' WHEN contains(domain, 'dent') THEN 'Dental Supplier' ELSE 'Other' END AS source FROM kinds)
+"""
+)
+
+
+@query("p41_marketplace_eligible", SQL + GENERIC + "SELECT offer_id, eligible AND (brand_ok OR mpn_confirmed) AS market_ok, house, generic_ok FROM gx WHERE marketplace IS NOT NULL")
 def p41(spark, sf_dir):
-    return candidates(spark, sf_dir).filter("marketplace IS NOT NULL").select("offer_id", R.marketplace_eligible().alias("market_ok"))
+    c = P.complete(candidates(spark, sf_dir)).filter("marketplace IS NOT NULL")
+    return c.select("offer_id", R.marketplace_eligible().alias("market_ok"), R.house_brand().alias("house"), R.generic_eligible().alias("generic_ok"))
 
 
 @query("p42_match_score", SQL + "SELECT offer_id, score FROM r")
@@ -322,36 +370,87 @@ def j14(spark, sf_dir):
     return P.exclude_shown(c, S.select_options(c)).select("offer_id")
 
 
+OPTION_REASON = """concat_ws(' · ', CASE WHEN price >= unit_price THEN 'no saving' END, CASE WHEN price_unreliable THEN 'price needs confirmation' END, CASE WHEN out_of_stock THEN 'out of stock' END,
+  CASE WHEN bulk THEN 'larger pack for less: ' || pack_qty || ' instead of ' || ordered_pack WHEN is_generic THEN 'generic equivalent of the same pack' WHEN nm AND sm AND pm AND brand_ok THEN 'all criteria match'
+  ELSE concat_ws('; ', 'matches: ' || nullif(concat_ws(', ', CASE WHEN bm THEN 'brand' END, CASE WHEN nm THEN 'product name' END, CASE WHEN sm THEN 'form/spec' END, CASE WHEN pm THEN 'pack size' END), ''),
+    'differs: ' || nullif(concat_ws(', ', CASE WHEN NOT brand_match THEN 'brand' END, CASE WHEN NOT name_match THEN 'product name' END, CASE WHEN NOT size_form_match THEN 'form/spec' END, CASE WHEN NOT pack_match THEN 'pack size' END), '')) END)"""
+
+
+def _reported(spark, sf_dir):
+    """Listings with a backorder of those that are out of stock."""
+    late = F.array(F.struct("price", F.lit("Backordered").alias("status"), F.col("site").alias("vendor")))
+    return candidates(spark, sf_dir).withColumn("backorder", F.when(F.col("out_of_stock"), late))
+
+
 @query(
     "r1_price_match",
-    OPTIONS
-    + """, ref AS (SELECT * FROM r WHERE eligible AND price >= unit_price AND sku NOT IN (SELECT sku FROM options) QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price, disc_seq, offer_id) = 1)
-SELECT sku, 'OPTION' AS row_kind, option_no AS row_no, offer_id FROM options
-UNION ALL SELECT sku, 'REFERENCE', 1, offer_id FROM ref
-UNION ALL SELECT sku, 'NO SUPPLIER MATCH', 1, NULL FROM lines WHERE sku NOT IN (SELECT sku FROM options) AND sku NOT IN (SELECT sku FROM ref)""",
+    REPORT
+    + f""", t AS (SELECT sku, row_kind, CAST(no AS INTEGER) AS row_no, offer_id, description, qty, unit_price, price AS found_price,
+  CASE row_kind WHEN 'OPTION' THEN lab WHEN 'REFERENCE' THEN 'REFERENCE — ' || lab WHEN 'EQUIVALENT' THEN CASE WHEN confidence > 0 THEN 'EQUIVALENT (' || confidence || '%)' ELSE 'EQUIVALENT' END WHEN 'MARKET' THEN upper(marketplace) ELSE row_kind END AS score_label,
+  site, CASE WHEN row_kind = 'MARKET' THEN CASE WHEN NOT (eligible AND (brand_ok OR mpn_confirmed)) THEN 'Generic/Equivalent' ELSE 'Marketplace' END ELSE source END AS source_type, url,
+  CASE row_kind WHEN 'OPTION' THEN {OPTION_REASON} WHEN 'REFERENCE' THEN 'no cheaper supplier: $' || CAST(-each AS DECIMAL(12,2)) || ' above the unit price' WHEN 'BACKORDER' THEN 'BACKORDERED via ' || site
+    WHEN 'EQUIVALENT' THEN 'another brand of the same kind, verify' || CASE WHEN pack_qty IS NULL THEN ' · pack not confirmed' ELSE '' END
+    ELSE CASE WHEN NOT (eligible AND (brand_ok OR mpn_confirmed)) THEN 'generic equivalent, verify before substituting · ' ELSE '' END || '$' || CAST(abs(each) AS DECIMAL(12,2)) || CASE WHEN each > 0 THEN ' below the unit price' ELSE ' above the unit price, for reference' END END AS note,
+  CASE WHEN row_kind IN ('OPTION', 'BACKORDER', 'EQUIVALENT') OR (row_kind = 'MARKET' AND each > 0) THEN each END AS saved FROM labels
+UNION ALL SELECT sku, 'NO SUPPLIER MATCH', 1, NULL, description, qty, unit_price, NULL, 'NO SUPPLIER MATCH', NULL, 'Other', NULL, 'no public listing passed', NULL FROM lines WHERE sku NOT IN (SELECT sku FROM options) AND sku NOT IN (SELECT sku FROM ref)
+UNION ALL SELECT l.sku, 'MARKET', m.no, NULL, l.description, l.qty, l.unit_price, NULL, upper(m.name), m.name, 'Marketplace', NULL,
+  'not found: ' || CASE WHEN (l.sku, m.name) NOT IN (SELECT (sku, marketplace) FROM mc) THEN 'no listing found' WHEN ms.why IS NULL THEN 'listings found, none could be read' ELSE 'closest listing: ' || ms.why END, NULL
+  FROM lines l CROSS JOIN (VALUES (1, 'amazon'), (2, 'walmart')) m(no, name) LEFT JOIN ms ON ms.sku = l.sku AND ms.marketplace = m.name WHERE (l.sku, m.name) NOT IN (SELECT (sku, marketplace) FROM mk))
+SELECT sku, row_kind, row_no, offer_id, description, qty, unit_price, found_price, score_label, site, source_type, url, note, unit_price AS list_price, found_price AS best_price,
+  CAST(saved AS DECIMAL(12,2)) AS saved_each, CAST(saved * qty AS DECIMAL(14,2)) AS saved_total, CAST(NULL AS VARCHAR) AS mpn, CAST(NULL AS VARCHAR) AS pack_condition FROM t""",
 )
 def r1(spark, sf_dir):
-    return P.price_match(order_lines(spark, sf_dir), candidates(spark, sf_dir)).select("sku", "row_kind", "row_no", "offer_id")
+    return P.price_match(order_lines(spark, sf_dir), _reported(spark, sf_dir))
+
+
+def _findings(spark, sf_dir):
+    """Of every second line an equivalent, its neighbour; close for every third line."""
+    lines = order_lines(spark, sf_dir)
+    entries = lines.filter("sku % 2 = 1").select("sku", (F.col("sku") - 1).alias("equivalent"))
+    levels = lines.filter("sku % 3 = 0").select("sku", F.lit("close").alias("level"))
+    return E.equivalency_findings(lines, entries, candidates(spark, sf_dir), levels)
+
+
+FINDINGS = """, few AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) AS k FROM s WHERE price IS NOT NULL QUALIFY k <= 3), cheap AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price, k) = 1),
+found AS (SELECT l.sku, l.description, l.unit_price, l.sku - 1 AS equivalent, CASE WHEN l.sku % 3 = 0 THEN 'close' ELSE 'possible_alternative' END AS level, c.offer_id, c.price, c.site, c.url FROM lines l LEFT JOIN cheap c ON c.sku = l.sku - 1 WHERE l.sku % 2 = 1)
+"""
 
 
 @query(
     "r2_alternates",
-    OPTIONS
-    + """SELECT offer_id, CASE match_type WHEN 'exact' THEN 0 WHEN 'approximate' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END AS alt_tier FROM p WHERE price IS NOT NULL AND NOT gated AND NOT coalesce(contains(lower(rejected_reason), 'sanity'), false)
-  AND NOT EXISTS (SELECT 1 FROM options o WHERE o.sku = p.sku AND o.url = p.url) QUALIFY row_number() OVER (PARTITION BY sku, url ORDER BY disc_seq, offer_id) = 1""",
+    REPORT
+    + FINDINGS
+    + """, shown AS (SELECT sku, url FROM options UNION SELECT sku, url FROM ref),
+u AS (SELECT * FROM reg WHERE sku NOT IN (SELECT sku FROM found WHERE level = 'close') QUALIFY row_number() OVER (PARTITION BY sku, url ORDER BY disc_seq, offer_id) = 1),
+v AS (SELECT *, CASE WHEN price IS NOT NULL AND NOT gated AND NOT coalesce(contains(lower(rejected_reason), 'sanity'), false) THEN CASE match_type WHEN 'exact' THEN 0 WHEN 'approximate' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END
+  WHEN price IS NULL AND NOT gated THEN 8 END AS alt_tier FROM u WHERE NOT EXISTS (SELECT 1 FROM shown o WHERE o.sku = u.sku AND o.url = u.url)),
+w AS (SELECT * FROM v WHERE alt_tier IS NOT NULL)
+SELECT sku, description, unit_price, CAST(equivalent AS VARCHAR) AS equivalent, site, 'Generic/Equivalent' AS source_type, price, url, 'CLOSE (table)' AS score_label, 'equivalency table' AS basis,
+  CAST(CAST(unit_price AS DECIMAL(12,2)) - CAST(price AS DECIMAL(12,2)) AS DECIMAL(12,2)) AS saved_each, -1 AS alt_tier, offer_id FROM found WHERE level = 'close'
+UNION ALL SELECT sku, description, unit_price, page_name, site, CASE WHEN is_generic THEN 'Generic Alternative' WHEN contains(domain, 'dent') THEN 'Dental Supplier' ELSE 'Other' END, price, url,
+  CASE alt_tier WHEN 8 THEN 'NOT PRICED' ELSE ['EXACT', 'APPROXIMATE', 'POSSIBLE', 'UNVERIFIED'][alt_tier + 1] || ' (' || score || '%)' END,
+  CASE alt_tier WHEN 8 THEN 'found but not priced' ELSE concat_ws(' · ', nullif(mismatch, ''), rejected_reason) END, CAST(CAST(unit_price AS DECIMAL(12,2)) - CAST(price AS DECIMAL(12,2)) AS DECIMAL(12,2)), alt_tier, offer_id FROM w
+UNION ALL SELECT sku, description, unit_price, NULL, NULL, 'Other', NULL, NULL, 'POSSIBLE (0%)', 'no usable public listing found', NULL, 9, NULL FROM lines
+  WHERE sku NOT IN (SELECT sku FROM w) AND sku NOT IN (SELECT sku FROM reg WHERE eligible) AND sku NOT IN (SELECT sku FROM found WHERE level = 'close')""",
 )
 def r2(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    return P.alternates(c, S.select_options(c)).select("offer_id", "alt_tier")
+    return P.alternates(order_lines(spark, sf_dir), candidates(spark, sf_dir), _findings(spark, sf_dir))
 
 
 @query(
     "r3_evidence",
-    SQL + """SELECT offer_id, CASE name_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS name_yn, CASE brand_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS brand_yn,
-  CASE size_form_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS size_yn, CASE pack_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS pack_yn, score FROM r""",
+    SQL + """SELECT sku, description, unit_price, CAST(NULL AS VARCHAR) AS title, site, CASE WHEN nm AND sm AND pm AND NOT bm AND coalesce(brand, '') <> '' THEN 'Generic Alternative' WHEN marketplace IS NOT NULL THEN 'Marketplace' WHEN contains(domain, 'dent') THEN 'Dental Supplier' ELSE 'Other' END AS source_type,
+  url, price, pack_qty, CAST(NULL AS VARCHAR) AS pack_condition, match_type, score, confidence, CASE name_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS name_yn, CASE brand_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS brand_yn,
+  CASE size_form_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS size_yn, CASE pack_match WHEN true THEN 'Y' WHEN false THEN 'N' ELSE '' END AS pack_yn, rejected_reason AS notes, offer_id FROM r
+UNION ALL SELECT sku, description, unit_price, 'no public candidate found', NULL, 'Other', NULL, NULL, NULL, NULL, 'none', 0, 0, '', '', '', '', NULL, NULL FROM lines WHERE sku NOT IN (SELECT sku FROM r)""",
 )
 def r3(spark, sf_dir):
-    return P.evidence(candidates(spark, sf_dir)).select("offer_id", "name_yn", "brand_yn", "size_yn", "pack_yn", "score")
+    return P.evidence(order_lines(spark, sf_dir), candidates(spark, sf_dir))
+
+
+@query("r4_equivalency_table", SQL + FINDINGS + "SELECT sku, description, equivalent, replace(level, '_', ' ') AS level, site, url, price, CASE WHEN level IN ('exact', 'close') THEN 'alternates' ELSE 'evidence only, manual review' END AS routed_to FROM found")
+def r4(spark, sf_dir):
+    return P.equivalency_table(order_lines(spark, sf_dir), _findings(spark, sf_dir))
 
 
 @query("r5_flagged_sites", SQL + "SELECT sku, site, count(*) AS listings FROM p WHERE gated GROUP BY ALL")
