@@ -10,6 +10,7 @@ from ..operators import verdicts as J
 from ..sources import pages as P
 from ..sources.views import CANDIDATES_SQL, candidates, order_lines
 from .offer_jobs import SQL
+from .page_jobs import PHRASES, _offers, phrase_pages
 from .registry import query
 
 ORDERED = "CASE disc_seq % 6 WHEN 0 THEN 'Gel mint' WHEN 1 THEN 'Gel teal' WHEN 2 THEN 'Bond A3' WHEN 3 THEN 'Brush X' WHEN 4 THEN 'Bond kit' ELSE 'Gel blue orange' END"
@@ -117,8 +118,9 @@ def p16(spark, sf_dir):
     return P.apply_seller_lock(c.withColumn("url", F.col("site")), found).select("offer_id", "price", F.col("price_locked").alias("locked"))
 
 
-@query("p11_reject_category_pages", SQL + "SELECT offer_id, disc_seq % 3 < 2 AS listing FROM p")
+@query(
+    "p11_reject_category_pages",
+    PHRASES + r" SELECT offer_id, regexp_matches(lower(text), '\bproducts?\s+per\s+page\b|\bshop\s+by\s+price\b|\bitems?\s+\d+\s*[-–]\s*\d+\s+of\s+\d+\b') OR (regexp_matches(lower(text), '\bfilter\s+(?:products?|results)\b') AND regexp_matches(lower(text), '\bsort\s+by\b')) AS listing FROM pp",
+)
 def p11(spark, sf_dir):
-    k = F.col("disc_seq") % 3
-    text = F.when(k == 0, "Items 1 - 16 of 40").when(k == 1, "Filter products. Sort by price").otherwise("Sort by newest review")
-    return candidates(spark, sf_dir).select("offer_id", T.is_listing(text).alias("listing"))
+    return phrase_pages(_offers(spark, sf_dir)).select("offer_id", T.is_listing(F.col("text")).alias("listing"))

@@ -38,24 +38,91 @@ def text_pages(df: DataFrame) -> DataFrame:
     return df.withColumn("text", text).withColumn("kind", kind)
 
 
-@query("p15_prefer_sale_price", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 0 THEN p END AS sale FROM o")
+# Page texts put together of phrases, which the rules and their SQL read each for themselves:
+# {p} the price, {q} ten more, {n} the pack, {d} the description, {x} filler of 30 characters.
+HEADS = (
+    "# {d}\nPack of {n}, {p} each", "Contains: {n} per Package. {p}", "Sold individually. Price: {p}", "{n}/Bx of gloves {p}", "{n} count, was: {q} now: {p}", "Regular price: {q} | Now {p}", "Reg: {q} - now: {p}",
+    "Was {p} now {q}", "A single unit {p}", "1 per box {p}", "Nothing to see here", "Your price: {p} VIP price {q}", "~~{q}~~ {p} special", "YOUR PRICE {q}\nmember price: {p}", "9999 pcs or {n}-pk", "MSRP {q}, our price {p}, list {q}",
+)
+MIDDLES = (
+    "Log in to see price", "Sign in for your pricing", "Sign in for your contract pricing", "Register to view our cost", "login and reveal pricing", "Create an account to see the price", "Log in for member price {p}",
+    "In stock. Add to cart", "please log in", "request a quote", "Items 1 - 16 of 40", "Filter products. Sort by price", "Sort by newest review", "Shop by price", "compare {q}", "today {p}", "Refill 500 ml", "2 L bottle", "Flask of 1010ml",
+)
+ENDS = (
+    "Related products {q}", "* You may also like: {q}", "## Customers who bought this", "Related:", "related sizes are fine {q}", "> Compare with similar items", "Productos relacionados", "best sellers for you", "best seller", "More like this", "the end",
+)
+LONG = 15
+
+
+def _filled(phrases, i, spark: bool):
+    """A phrase by number with its places filled."""
+    values = {"{p}": "p", "{q}": "q", "{n}": "ordered_pack", "{d}": "description"}
+    if spark:
+        out = F.get(F.array(*map(F.lit, phrases)), i.cast("int"))
+        for k, c in values.items():
+            out = F.replace(out, F.lit(k), F.concat(F.lit("$"), F.col(c).cast("string")) if k in "{p}{q}" else F.col(c).cast("string"))
+        return out
+    quoted = ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in phrases)
+    out = f"([{quoted}])[CAST({i} + 1 AS INTEGER)]"
+    for k, c in values.items():
+        out = f"replace({out}, '{k}', {'chr(36) || ' if k in '{p}{q}' else ''}CAST({c} AS VARCHAR))"
+    return out
+
+
+def phrase_pages(df: DataFrame) -> DataFrame:
+    """head, middle, text (head, middle, filler for some, an end)."""
+    o, k = F.col("disc_seq"), F.col("sku")
+    df = df.withColumn("q", F.col("p") + 10)
+    df = df.withColumn("head", _filled(HEADS, o % len(HEADS), True)).withColumn("middle", _filled(MIDDLES, (o + k) % len(MIDDLES), True))
+    filler = F.when(o % 3 != 0, F.repeat(F.lit("filler of thirty characters..\n"), LONG)).otherwise("")
+    return df.withColumn("text", F.concat("head", F.lit("\n"), "middle", F.lit("\n"), filler, _filled(ENDS, (o + 2 * k) % len(ENDS), True), F.lit("\nlast line {d}")))
+
+
+PHRASES = (
+    SQL
+    + f""", o2 AS (SELECT *, p + 10 AS q FROM o), o3 AS (SELECT *, {_filled(HEADS, f'disc_seq % {len(HEADS)}', False)} AS head, {_filled(MIDDLES, f'(disc_seq + sku) % {len(MIDDLES)}', False)} AS middle FROM o2),
+pp AS (SELECT *, head || chr(10) || middle || chr(10) || CASE WHEN disc_seq % 3 <> 0 THEN repeat('filler of thirty characters..' || chr(10), {LONG}) ELSE '' END || {_filled(ENDS, f'(disc_seq + 2 * sku) % {len(ENDS)}', False)} || chr(10) || 'last line {{d}}' AS text FROM o3)
+"""
+)
+
+
+def _lit(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+@query(
+    "p15_prefer_sale_price",
+    PHRASES
+    + f""", f AS (SELECT offer_id, q, regexp_extract(text, {_lit(T.WAS_NOW)}, 1) AS was, regexp_extract(text, {_lit(T.WAS_NOW)}, 2) AS now FROM pp)
+SELECT offer_id, CASE WHEN was <> '' AND CAST(now AS DECIMAL(12,2)) < CAST(was AS DECIMAL(12,2)) AND CAST(was AS DECIMAL(12,2)) = q THEN CAST(now AS DECIMAL(12,2)) END AS sale FROM f""",
+)
 def p15(spark, sf_dir):
-    df = text_pages(_offers(spark, sf_dir))
-    return df.select("offer_id", T.sale_price((F.col("p") + 10).cast("decimal(12,2)"), F.col("text")).alias("sale"))
+    df = phrase_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", T.sale_price(F.col("q").cast("decimal(12,2)"), F.col("text")).alias("sale"))
 
 
-@query("p14_prefer_public_price", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 1 THEN p10 ELSE p END AS price FROM o")
+@query(
+    "p14_prefer_public_price",
+    PHRASES
+    + f""", f AS (SELECT offer_id, p, try_cast(nullif(replace(regexp_extract(text, {_lit(T.PUBLIC_PRICE)}, 1), ',', ''), '') AS DECIMAL(12,2)) AS pub, try_cast(nullif(replace(regexp_extract(text, {_lit(T.MEMBER_PRICE)}, 1), ',', ''), '') AS DECIMAL(12,2)) AS vip FROM pp)
+SELECT offer_id, CAST(CASE WHEN vip = p AND pub <> vip THEN pub ELSE p END AS DECIMAL(13,2)) AS price FROM f""",
+)
 def p14(spark, sf_dir):
-    df = text_pages(_offers(spark, sf_dir))
+    df = phrase_pages(_offers(spark, sf_dir))
     pub, vip = T.public_price(F.col("text")), T.member_price(F.col("text"))
     switch = F.coalesce((F.abs(vip - F.col("p")) < 0.005) & (pub != vip), F.lit(False))
     return df.select("offer_id", F.when(switch, pub).otherwise(F.col("p")).cast("decimal(13,2)").alias("price"))
 
 
-@query("p10_reject_login_gated", SQL + " SELECT offer_id, disc_seq % 4 = 2 AND marketplace IS NULL AS rejected FROM o")
+@query(
+    "p10_reject_login_gated",
+    PHRASES
+    + f""" SELECT offer_id, CASE WHEN marketplace IS NOT NULL THEN NULL WHEN regexp_matches(text, {_lit(T.LOGIN_GATE)}) THEN 'price gated behind login'
+  WHEN NOT contains(text, chr(36)) AND (regexp_matches(text, {_lit(T.LOGIN_FOR_PRICE)}) OR {' OR '.join(f"contains(lower(text), '{w}')" for w in T.LOGIN_WORDS)}) THEN 'login required for pricing' END AS reason FROM pp""",
+)
 def p10(spark, sf_dir):
-    df = text_pages(_offers(spark, sf_dir))
-    return df.select("offer_id", T.login_gated(F.col("text"), F.col("marketplace").isNotNull()).alias("rejected"))
+    df = phrase_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", T.login_reason(F.col("text"), F.col("marketplace").isNotNull()).alias("reason"))
 
 
 @query("p32_price_grounded", SQL + " SELECT offer_id, CASE WHEN disc_seq % 4 = 2 THEN true WHEN disc_seq % 8 >= 4 THEN p > 250 AND disc_seq % 4 <> 3 AND abs(p10 - (p + 5)) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR abs(-5) <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02) OR (disc_seq % 4 IN (0, 1) AND 5 <= greatest(0.01, CAST(p + 5 AS DOUBLE) * 0.02)) ELSE true END AS grounded FROM o")
@@ -81,13 +148,39 @@ def p27(spark, sf_dir):
     return flag_unseen_price(df).select("offer_id", F.col("price_unreliable").alias("unreliable"))
 
 
-@query("p33_fallback_price", SQL + " SELECT offer_id, CASE disc_seq % 4 WHEN 0 THEN p WHEN 1 THEN p10 ELSE p END AS price FROM o WHERE disc_seq % 4 <> 2")
+@query(
+    "p33_fallback_price",
+    PHRASES
+    + f""", tk AS (SELECT offer_id, text, unnest(regexp_extract_all(text, {_lit(P.TOKEN)})) AS amount, unnest(range(len(regexp_extract_all(text, {_lit(P.TOKEN)})))) AS k FROM (SELECT DISTINCT offer_id, text FROM pp)),
+pc AS (SELECT *, regexp_split_to_array(text, {_lit(P.TOKEN)}) AS pieces, regexp_extract_all(text, {_lit(P.TOKEN)}) AS amounts FROM tk),
+ps AS (SELECT *, list_sum(list_transform(pieces[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(amounts[1:k], lambda x: length(x))), 0) AS pos0 FROM pc),
+ar AS (SELECT *, CAST(pos0 AS BIGINT) AS pos, right(left(text, CAST(pos0 AS BIGINT)), 24) AS b, substr(text, CAST(pos0 AS BIGINT) + length(amount) + 1, 12) AS af, contains(text, '~~' || amount || '~~') OR len(list_filter(regexp_extract_all(text, {_lit(P.STRUCK)}), lambda z: contains(z, amount))) > 0 AS struck FROM ps),
+sc AS (SELECT *, CASE WHEN regexp_matches(b, {_lit(P.TOKEN)}) THEN substr(b, strpos(b, regexp_extract(b, {_lit(P.TOKEN)})) + length(regexp_extract(b, {_lit(P.TOKEN)}))) ELSE b END AS be FROM ar WHERE NOT struck),
+fin AS (SELECT *, CASE WHEN regexp_matches(be, {_lit(P.NEW_PRICE)}) THEN 5.0 WHEN regexp_matches(af, {_lit(P.NEW_PRICE)}) THEN 1.0 ELSE 0.0 END - CASE WHEN regexp_matches(be, {_lit(P.OLD_PRICE)}) THEN 5.0 WHEN regexp_matches(af, {_lit(P.OLD_PRICE)}) THEN 1.0 ELSE 0.0 END
+  + greatest(0.0, 1.5 - pos / 800.0) AS score FROM sc)
+SELECT pp.offer_id, CAST(f.price AS DECIMAL(13,2)) AS price FROM pp JOIN (SELECT offer_id, CAST(replace(regexp_extract(amount, {_lit(P.TOKEN)}, 1), ',', '') AS DECIMAL(12,2)) AS price FROM fin QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY score DESC, k) = 1) f USING (offer_id)""",
+)
 def p33(spark, sf_dir):
-    df = text_pages(_offers(spark, sf_dir))
+    df = phrase_pages(_offers(spark, sf_dir))
     found = P.fallback_price(df.select(F.col("offer_id").alias("url"), "text").distinct())
     return df.select("offer_id").join(found.withColumnRenamed("url", "offer_id"), "offer_id").select("offer_id", F.col("price").cast("decimal(13,2)").alias("price"))
 
 
+@query(
+    "p33_apply_fallback",
+    SQL
+    + """, f AS (SELECT *, match_type <> 'rejected' AND NOT price_locked AND price_unreliable AND disc_seq % 2 = 0 AS own FROM o),
+g AS (SELECT *, match_type <> 'rejected' AND NOT price_locked AND NOT own AND page_name IS NULL AS guess FROM f)
+SELECT offer_id, CASE WHEN own THEN unit_price WHEN guess THEN 9.99 WHEN NOT price_unreliable THEN price END AS price, variant_unverified OR own OR guess AS unverified,
+  CASE WHEN guess OR (own AND match_type = 'exact') THEN 'approximate' ELSE match_type END AS match_type, CASE WHEN guess THEN 0 ELSE confidence END AS confidence FROM g""",
+)
+def p33_apply(spark, sf_dir):
+    df = _offers(spark, sf_dir).withColumn("price", F.when(~F.col("price_unreliable"), F.col("price")))
+    df = df.withColumns({"structured_price": F.when(F.col("disc_seq") % 2 == 0, F.col("unit_price")), "price_structured": F.lit(False)})
+    found = df.select("url", F.lit("9.99").cast("decimal(12,2)").alias("price")).distinct()
+    return P.apply_fallback(df, found).select("offer_id", "price", F.col("variant_unverified").alias("unverified"), "match_type", "confidence")
+
+
 @query("p34_mask_wrong_pack", SQL + " SELECT offer_id, CASE WHEN disc_seq % 2 = 0 AND ordered_pack <> ordered_pack * 2 THEN (ordered_pack * 2) || '-pack $— ' || ordered_pack || '-pack $' || p ELSE 'one ' || ordered_pack || '-pack $' || p END AS masked FROM o")
 def p34(spark, sf_dir):
     df = _offers(spark, sf_dir)
@@ -96,26 +189,47 @@ def p34(spark, sf_dir):
     return df.select("offer_id", T.without_wrong_packs(text, F.col("ordered_pack")).alias("masked"))
 
 
-@query("p13_strip_cross_sell", SQL + " SELECT offer_id, 500 + 5 AS kept FROM o")
+CUT = r"\n\s*[#>*\-\s]*(?:" + "|".join(T.CROSS_SELL) + ")"
+
+
+@query(
+    "p13_strip_cross_sell",
+    PHRASES
+    + f""", c AS (SELECT offer_id, text, regexp_extract(substr(text, 400), {_lit('(?is)^(.*?)' + CUT)}, 1) AS first, regexp_matches(substr(text, 400), {_lit('(?is)' + CUT)}) AS hit FROM pp)
+SELECT offer_id, CAST(length(CASE WHEN hit THEN left(text, 399 + length(first) + 1) ELSE text END) AS INTEGER) AS kept FROM c""",
+)
 def p13(spark, sf_dir):
-    df = _offers(spark, sf_dir)
-    text = F.concat(F.lit("Related products\n"), F.repeat(F.lit("x"), 487), F.lit("\n"), F.lit("\nRelated products\n"), F.col("description"))
-    return df.select("offer_id", F.char_length(T.without_cross_sell(text)).alias("kept"))
+    df = phrase_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", F.char_length(T.without_cross_sell(F.col("text"))).alias("kept"))
 
 
-@query("p8_pack_from_page", SQL + " SELECT offer_id, CASE disc_seq % 3 WHEN 0 THEN 1 WHEN 1 THEN ordered_pack ELSE ordered_pack * 2 END AS pack FROM o")
+def _stated(text: str) -> str:
+    one = lambda p: f"try_cast(nullif(regexp_extract({text}, {_lit(p)}, 1), '') AS INTEGER)"
+    return f"CASE WHEN regexp_matches({text}, {_lit(T.SINGLE)}) THEN 1 ELSE coalesce({', '.join(f'CASE WHEN {one(p)} BETWEEN 1 AND 5000 THEN {one(p)} END' for p in T.PACK_COUNTS)}) END"
+
+
+@query(
+    "p8_pack_from_page",
+    PHRASES + f""" SELECT offer_id, coalesce(CASE WHEN disc_seq % 7 = 0 THEN pack_qty END, {_stated("coalesce(page_name, '') || ' ' || middle")}, {_stated('left(text, 1200)')}) AS pack FROM pp""",
+)
 def p8(spark, sf_dir):
-    df = _offers(spark, sf_dir)
-    text = F.when(F.col("disc_seq") % 3 == 0, F.lit("Sold as single unit")).when(F.col("disc_seq") % 3 == 1, F.concat(F.lit("Pack of "), F.col("ordered_pack").cast("string"))).otherwise(F.concat((F.col("ordered_pack") * 2).cast("string"), F.lit(" per box")))
-    return df.select("offer_id", T.pack_from_text(text).alias("pack"))
+    df = phrase_pages(_offers(spark, sf_dir))
+    condition = F.when(F.col("disc_seq") % 7 == 0, F.concat(F.lit(" "), F.col("pack_qty").cast("string"))).otherwise("6-pack price")
+    return df.select("offer_id", T.pack_from_page(condition, F.concat(F.coalesce("page_name", F.lit("")), F.lit(" "), "middle"), F.col("text")).alias("pack"))
+
 
+ML = "CAST(regexp_extract({x}, '(?i)(\\d+(?:\\.\\d+)?)\\s*(ml|cc|l|oz|gal)\\b', 1) AS DOUBLE) * CASE lower(regexp_extract({x}, '(?i)(\\d+(?:\\.\\d+)?)\\s*(ml|cc|l|oz|gal)\\b', 2)) WHEN 'ml' THEN 1 WHEN 'cc' THEN 1 WHEN 'l' THEN 1000 WHEN 'oz' THEN 29.5735 WHEN 'gal' THEN 3785.41 END"
 
-@query("p7_volume_compat", SQL + " SELECT offer_id, CASE disc_seq % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS same FROM o")
+
+@query(
+    "p7_volume_compat",
+    PHRASES
+    + f""", v AS (SELECT offer_id, 'Flask ' || ordered_pack * 50 || ' ml' AS a, middle AS b FROM pp),
+w AS (SELECT offer_id, {ML.format(x='a')} AS a, CASE WHEN regexp_matches(b, '(?i)\\d\\s*(ml|cc|l|oz|gal)\\b') THEN {ML.format(x='b').replace('CAST(', 'TRY_CAST(')} END AS b FROM v) SELECT offer_id, abs(a - b) <= a * 0.02 AS same FROM w""",
+)
 def p7(spark, sf_dir):
-    df = _offers(spark, sf_dir)
-    k = F.col("disc_seq") % 4
-    page = F.when(k == 0, "bottle 2L").when(k == 1, "bottle 5 l").when(k == 2, "2010ml refill").otherwise("bottle")
-    return df.select("offer_id", T.volume_compat(F.lit("Solution 2000 ml"), page).alias("same"))
+    df = phrase_pages(_offers(spark, sf_dir))
+    return df.select("offer_id", T.volume_compat(F.concat(F.lit("Flask "), (F.col("ordered_pack") * 50).cast("string"), F.lit(" ml")), F.col("middle")).alias("same"))
 
 
 @query("s11_flatten_storefront_feed", SQL + " SELECT domain, pos, title, price FROM (SELECT domain, page_name AS title, CASE WHEN p > 0 THEN p END AS price, row_number() OVER (PARTITION BY domain ORDER BY disc_seq, offer_id) - 1 AS pos FROM o) WHERE title IS NOT NULL")
@@ -164,21 +278,25 @@ def s31(spark, sf_dir):
 
 
 def _html(df: DataFrame) -> DataFrame:
-    """A page's html by kind (disc_seq modulo 5): JSON-LD, meta, microdata, script, none."""
-    k, p = F.col("disc_seq") % 5, F.col("p").cast("string")
+    """A page's html by kind (disc_seq modulo 7): JSON-LD, meta, microdata in its three forms, script, none."""
+    k, p = F.col("disc_seq") % 7, F.col("p").cast("string")
     ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("page_name").alias("name"), F.array(F.struct(p.alias("price"), F.lit("USD").alias("priceCurrency")), F.struct((F.col("p") + 1).cast("string").alias("price"), F.lit("USD").alias("priceCurrency")), F.struct(F.lit("0.01").alias("price"), F.lit("EUR").alias("priceCurrency"))).alias("offers")))
     body = (
         F.when(k == 0, F.concat(F.lit('<script type="application/ld+json">'), ld, F.lit("</script>")))
         .when(k == 1, F.concat(F.lit('<meta content="'), p, F.lit('" property="product:price:amount">')))
         .when(k == 2, F.concat(F.lit('<span itemprop="price">$'), p, F.lit("</span>")))
-        .when(k == 3, F.concat(F.lit('<script>x = {"price": '), p, F.lit("}</script>")))
+        .when(k == 3, F.concat(F.lit("<script>x = {'price': '"), p, F.lit("'}</script>")))
+        .when(k == 4, F.concat(F.lit('<b itemprop="price" data-rate="'), p, F.lit('">Call us</b>')))
+        .when(k == 5, F.concat(F.lit('<b itemprop="price" content="'), p, F.lit('"></b><b itemprop="price" content="'), (F.col("p") + 10).cast("string"), F.lit('"></b>')))
         .otherwise("<p>Call us</p>")
     )
-    stock = F.when(F.col("out_of_stock"), '<link itemprop="availability" href="https://schema.org/OutOfStock">').otherwise("")
+    n = F.col("disc_seq") % 3
+    gone = F.when(n == 0, '<link itemprop="availability" href="https://schema.org/OutOfStock">').when(n == 1, '<script>{"availability": "https://schema.org/BackOrder"}</script>').otherwise('<meta property="og:availability" content="out of stock">')
+    stock = F.when(F.col("out_of_stock"), gone).otherwise('<link itemprop="availability" href="https://schema.org/InStock">')
     return df.withColumn("html", F.concat(F.lit("<html><head><style>p {}</style></head><body><p>A &amp; B</p>"), body, stock, F.lit("</body></html>")))
 
 
-@query("s15_extract_structured_offers", SQL + " SELECT DISTINCT offer_id, p AS price, CAST(disc_seq % 5 + 1 AS INTEGER) AS tier, disc_seq % 5 <> 0 AS single_offer FROM o WHERE disc_seq % 5 < 4 AND (disc_seq % 5 < 3 OR p >= 0.5) AND p <= 100000")
+@query("s15_extract_structured_offers", SQL + " SELECT DISTINCT offer_id, p AS price, ([1, 2, 3, 4, 3, 3])[CAST(disc_seq % 7 + 1 AS INTEGER)] AS tier, disc_seq % 7 NOT IN (0, 5) AS single_offer FROM o WHERE disc_seq % 7 < 6 AND (disc_seq % 7 <> 3 OR p >= 0.5) AND p <= 100000")
 def s15(spark, sf_dir):
     pages = _html(_offers(spark, sf_dir)).select(F.col("offer_id").alias("url"), "html").distinct()
     return P.structured_offers(pages).select(F.col("url").alias("offer_id"), "price", "tier", "single_offer")
@@ -189,31 +307,52 @@ def s17(spark, sf_dir):
     return _html(_offers(spark, sf_dir)).select("offer_id", P.structured_gone(F.col("html")).alias("gone"))
 
 
-@query("s18_listing_condition", SQL + " SELECT DISTINCT offer_id, CASE WHEN disc_seq % 2 = 0 THEN 'New' ELSE 'Used' END AS condition FROM o")
+CONDITION_PAGES = ('{"itemCondition": "https://schema.org/NewCondition"}', '<link itemprop="itemCondition" href="http:\\/\\/schema.org\\/UsedCondition">', '{"conditionDisplayName": "Open box"}', '{"itemCondition": "Pre-owned"}', "<p>Condition: <b>Used</b></p>")
+
+
+@query("s18_listing_condition", SQL + " SELECT DISTINCT offer_id, (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)] AS condition, concat_ws(chr(10), page_name || chr(10) || 'Condition: ' || (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)], CASE WHEN disc_seq % 5 = 4 THEN page_name WHEN page_name IS NULL THEN 'Condition: ' || (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)] END, 'the text') AS page_text FROM o")
 def s18(spark, sf_dir):
-    df = _offers(spark, sf_dir).withColumn("html", F.when(F.col("disc_seq") % 2 == 0, '{"itemCondition": "https://schema.org/NewCondition"}').otherwise("<p>Condition: <b>Used</b></p>"))
-    return P.listing_condition(df.select(F.col("offer_id").alias("url"), "html").distinct()).select(F.col("url").alias("offer_id"), "condition")
+    df = _offers(spark, sf_dir).withColumn("html", F.get(F.array(*map(F.lit, CONDITION_PAGES)), (F.col("disc_seq") % 5).cast("int")))
+    pages = df.select(F.col("offer_id").alias("url"), "html", F.col("page_name").alias("title"), F.lit("the text").alias("page_text")).distinct()
+    return P.with_declared(pages).join(P.listing_condition(pages), "url").select(F.col("url").alias("offer_id"), "condition", "page_text")
 
 
-@query("s19_html_to_text", SQL + " SELECT offer_id, 'A & B' || CASE disc_seq % 5 WHEN 2 THEN ' $' || p WHEN 4 THEN ' Call us' ELSE '' END AS page_text FROM o")
+@query("s19_html_to_text", SQL + " SELECT offer_id, 'A & B' || CASE disc_seq % 7 WHEN 2 THEN ' $' || p WHEN 4 THEN ' Call us' WHEN 6 THEN ' Call us' ELSE '' END AS page_text FROM o")
 def s19(spark, sf_dir):
     return P.html_to_text(_html(_offers(spark, sf_dir))).select("offer_id", "page_text")
 
 
-@query("s19_pages_text")
+@query(
+    "s19_pages_text",
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'),
+  '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<template\b.*?</template\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS page_text FROM pages""",
+)
 def s19_pages(spark, sf_dir):
     return P.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "page_text")
 
 
-@query("s16_extract_variant_records", SQL + " SELECT DISTINCT offer_id, 1 AS pos, 'A' || sku AS sku, CAST(p AS DECIMAL(13,2)) AS price FROM o UNION ALL SELECT DISTINCT offer_id, 2, 'B]' || sku, p10 FROM o")
+@query(
+    "s16_extract_variant_records",
+    SQL
+    + """ SELECT DISTINCT offer_id, 1 AS pos, 'A' || sku AS sku, CAST(p AS DECIMAL(13,2)) AS price, CASE WHEN disc_seq % 3 < 2 THEN coalesce(page_name, '') ELSE '' END AS title FROM o
+UNION ALL SELECT DISTINCT offer_id, 2, 'B]' || sku, p10, CASE WHEN disc_seq % 3 < 2 THEN coalesce(page_name, '') ELSE '' END FROM o""",
+)
 def s16(spark, sf_dir):
     df = _offers(spark, sf_dir)
-    one = lambda pre, price: F.struct(F.concat(F.lit(pre), F.col("sku").cast("string")).alias("sku"), price.cast("string").alias("price"), F.col("page_name").alias("title"))
-    body = F.to_json(F.array(one("A", F.col("p")), one("B]", F.col("p") + 10), one("A", F.col("p"))))
-    escaped = F.replace(body, F.lit('"'), F.lit("&quot;"))
-    html_ = F.when(F.col("disc_seq") % 2 == 0, F.concat(F.lit('<script>{"variants": '), body, F.lit("}</script>"))).otherwise(F.concat(F.lit('<form data-product_variations="'), escaped, F.lit('"></form>')))
+    sku = lambda pre: F.concat(F.lit(pre), F.col("sku").cast("string"))
+    name = F.coalesce("page_name", F.lit(""))
+    shop = lambda pre, price: F.struct(sku(pre).alias("sku"), F.struct(price.cast("string").alias("amount")).alias("price"), name.alias("title"))
+    woo = lambda pre, price: F.struct(sku(pre).alias("sku"), price.cast("string").alias("display_price"), F.struct(name.alias("size")).alias("attributes"))
+    graph = lambda pre, price: F.concat(F.lit('{\\"sku\\":\\"'), sku(pre), F.lit('\\",\\"upc\\":null,\\"prices\\":{\\"price\\":{\\"currencyCode\\":\\"USD\\",\\"value\\":'), price.cast("string"), F.lit("}}}"))
+    three = lambda one: [one("A", F.col("p")), one("B]", F.col("p") + 10), one("A", F.col("p"))]
+    k = F.col("disc_seq") % 3
+    html_ = (
+        F.when(k == 0, F.concat(F.lit('<script>{"variants": '), F.to_json(F.array(*three(shop))), F.lit("}</script>")))
+        .when(k == 1, F.concat(F.lit('<form data-product_variations="'), F.replace(F.to_json(F.array(*three(woo))), F.lit('"'), F.lit("&quot;")), F.lit('"></form>')))
+        .otherwise(F.concat(F.lit('<script>x = "['), F.concat_ws(",", *three(graph)), F.lit(']"</script>')))
+    )
     out = P.variant_records(df.select(F.col("offer_id").alias("url"), html_.alias("html")).distinct())
-    return out.select(F.col("url").alias("offer_id"), "pos", "sku", F.col("price").cast("decimal(13,2)").alias("price"))
+    return out.select(F.col("url").alias("offer_id"), "pos", "sku", F.col("price").cast("decimal(13,2)").alias("price"), "title")
 
 
 SELLERS = SQL + """, s AS (SELECT sku, site, out_of_stock AS gone, CASE WHEN disc_seq % 3 = 0 THEN p + 4 ELSE p END AS total, lower(replace(site, '#', '-')) AS slug, disc_seq, offer_id,
@@ -312,7 +451,7 @@ def p18(spark, sf_dir):
     return rescue_gated(df).select("offer_id", "match_type", "page_name")
 
 
-@query("j16_merge_seed_hits", SQL + " SELECT offer_id, CASE WHEN is_seed OR NOT is_seed THEN price END AS price FROM o")
+@query("j16_merge_seed_hits", SQL + " SELECT offer_id, price FROM o")
 def j16(spark, sf_dir):
     df = _offers(spark, sf_dir)
     seeds = df.filter("is_seed").select("offer_id", "url", F.lit(None).cast("double").alias("price")).distinct()
