@@ -16,18 +16,20 @@ def has_primary(cands: DataFrame, key: str = "sku") -> DataFrame:
     return cands.groupBy(key).agg(F.bool_or(R.price_match_eligible()).alias("has_primary"))
 
 
-def run_stats(lines: DataFrame, options: DataFrame, key: str = "sku") -> DataFrame:
-    """One row: lines by their first option (exact, near, none) and the savings of first options."""
+def run_stats(lines: DataFrame, options: DataFrame, findings: DataFrame, key: str = "sku") -> DataFrame:
+    """One row: lines by their first option (exact, near, none), the savings of first options, and the findings that are alternates."""
     first = options.filter("option_no = 1").select(key, "price", R.exact_candidate().alias("is_exact"))
     df = lines.join(first, key, "left")
     saved = F.when(F.col("price") < F.col("unit_price"), (money("unit_price") - money("price")) * F.col("qty"))
-    return df.agg(
+    alternates = findings.filter(F.col("level").isin("exact", "close")).agg(F.count("*").alias("alternate_items"))
+    stats = df.agg(
         F.count("*").alias("items"),
         F.count_if("is_exact").alias("exact_items"),
         F.count_if(~F.col("is_exact")).alias("near_items"),
         F.count_if(F.col("price").isNull()).alias("unpriced_items"),
         F.coalesce(F.sum(saved), F.lit(0)).cast("decimal(18,2)").alias("savings"),
     )
+    return stats.join(alternates)  # a row and a row
 
 
 def group_best_savings(lines: DataFrame, options: DataFrame, key: str = "sku") -> DataFrame:

@@ -29,6 +29,11 @@ def domain_cap(cands: DataFrame, cap: int = C.DOMAIN_CAP, key: str = "sku") -> D
     return cands.withColumn("domain_rank", F.row_number().over(w)).filter(seed | (F.col("domain_rank") <= cap))
 
 
+def cached_domain_cap(cands: DataFrame, cap: int = C.DOMAIN_CAP, key: str = "sku") -> DataFrame:
+    """At most cap candidates of a line from one domain, as they were found; of cached discoveries, where seeds count."""
+    return _first(cands, [key, "domain"], [], cap, "domain_rank")
+
+
 def shortlist(cands: DataFrame, size: int = C.SHORTLIST, reserve: int = C.RESERVE, key: str = "sku") -> DataFrame:
     """Seeds, then priced candidates in the places that reserve and seeds leave, then up to reserve unpriced ones, trusted first."""
     kind = F.when(R.true("is_seed"), 0).when(F.col("price").isNotNull(), 1).otherwise(2)

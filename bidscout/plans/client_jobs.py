@@ -49,6 +49,27 @@ a AS (SELECT * FROM n UNION ALL SELECT 'amazon', 'amazon.com', true, 'marketplac
 """
 
 
+@query(
+    "s8_load_supplier_sources",
+    """WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS position, lower(replace(s_name, '#', '-')) || '.example' AS domain, s_suppkey AS k FROM supplier)
+SELECT 'stored' AS origin, domain, domain AS label, CASE WHEN k % 3 = 0 THEN 'aggregator' ELSE 'dental_supplier' END AS type, k % 2 = 0 AS enabled, CAST(position AS INTEGER) AS priority FROM s
+UNION ALL SELECT 'stored', 'amazon.com', 'The shop', 'marketplace', false, 1 UNION ALL SELECT 'stored', 'walmart.com', 'walmart.com', 'marketplace', true, 910
+UNION ALL SELECT 'sites', domain, domain, CASE WHEN domain = 'supplier-000000003.example' THEN 'aggregator' ELSE 'dental_supplier' END, true, CAST(position AS INTEGER) FROM s
+UNION ALL SELECT 'sites', 'amazon.com', 'amazon.com', 'marketplace', true, 900 UNION ALL SELECT 'sites', 'walmart.com', 'walmart.com', 'marketplace', true, 910""",
+)
+def s8(spark, sf_dir):
+    domain = F.concat(F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))), F.lit(".example"))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), domain.alias("domain"))
+    one = lambda d, label, kind, on, p: F.struct(d.alias("id"), d.alias("domain"), label.alias("label"), kind.alias("type"), on.alias("enabled"), p.cast("int").alias("priority"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "domain")))
+    rows = F.transform(ordered, lambda x, i: one(x["domain"], x["domain"], F.when(x["k"] % 3 == 0, "aggregator").otherwise("dental_supplier"), x["k"] % 2 == 0, i + 1))
+    shop = F.array(one(F.lit("amazon.com"), F.lit("The shop"), F.lit("marketplace"), F.lit(False), F.lit(1)))
+    stored = supplier.agg(F.to_json(F.concat(rows, shop)).alias("body"))  # a client's list: as short as its file
+    sites = supplier.agg(ordered.alias("l")).select(F.posexplode("l").alias("i", "x")).select((F.col("i") + 1).alias("position"), "x.domain")
+    load = lambda s, name: D.load_sources(s, sites, ("supplier-000000003.example",)).select(F.lit(name).alias("origin"), "domain", "label", "type", "enabled", "priority")
+    return load(stored, "stored").unionByName(load(stored.withColumn("body", F.lit("[]")), "sites"))
+
+
 @query("s9_normalize_supplier_sources", SOURCES + "SELECT id, domain, domain AS label, enabled, type, priority FROM a")
 def s9(spark, sf_dir):
     return D.normalize_sources(_sources(spark, sf_dir))

@@ -253,6 +253,11 @@ def w1(spark, sf_dir):
     return S.domain_cap(candidates(spark, sf_dir)).select("offer_id", "is_seed")
 
 
+@query("w1_cached_domain_cap", SQL + "SELECT offer_id FROM p QUALIFY row_number() OVER (PARTITION BY sku, domain ORDER BY disc_seq, offer_id) <= 2")
+def w1_cached(spark, sf_dir):
+    return S.cached_domain_cap(candidates(spark, sf_dir)).select("offer_id")
+
+
 W2 = """, k AS (SELECT *, CASE WHEN is_seed THEN 0 WHEN known THEN 1 ELSE 2 END AS kind FROM (SELECT *, NOT price_unreliable AS known, brand_match AS trusted FROM p)),
 k2 AS (SELECT *, count(*) FILTER (kind = 0) OVER (PARTITION BY sku) AS seeds,
   row_number() OVER (PARTITION BY sku, kind ORDER BY CASE WHEN kind = 1 THEN price END, CASE WHEN kind = 2 THEN NOT trusted END, disc_seq, offer_id) AS place FROM k)
@@ -306,7 +311,15 @@ def a4(spark, sf_dir):
     return S.flag_low_outliers(candidates(spark, sf_dir)).select("offer_id", "low_outlier")
 
 
-@query("a5_flag_lock_outliers")
+@query(
+    "a5_flag_lock_outliers",
+    SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, n AS (SELECT sku, list({'o': offer_id, 'p': price, 'named': page_name IS NOT NULL, 'bad': price_unreliable, 'suspect': price_locked AND NOT eff_exact} ORDER BY disc_seq, offer_id, price) AS l FROM r WHERE price IS NOT NULL GROUP BY sku),
+g AS (SELECT sku, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS flags FROM n
+UNION ALL SELECT sku, i + 1, CASE WHEN l[i + 1].suspect AND l[i + 1].named AND NOT l[i + 1].bad AND len(peers) >= 2 AND l[i + 1].p < list_sort(peers)[len(peers) // 2 + 1] * 0.5 THEN list_append(flags, i + 1) ELSE flags END
+  FROM (SELECT g.sku, i, flags, l, list_transform(list_filter(range(1, len(l) + 1), lambda k: k <> i + 1 AND l[k].named AND NOT l[k].bad AND NOT list_contains(flags, k)), lambda k: l[k].p) AS peers FROM g JOIN n USING (sku) WHERE i < len(l)))
+SELECT sku, l[k].o AS offer_id, l[k].p AS price FROM (SELECT g.sku, l, unnest(flags) AS k FROM g JOIN n USING (sku) WHERE i = len(l))""",
+)
 def a5(spark, sf_dir):
     return S.flag_lock_outliers(candidates(spark, sf_dir))
 
@@ -353,10 +366,11 @@ def a14(spark, sf_dir):
     OPTIONS
     + """, one AS (SELECT l.sku, o.price, o.unit_price, o.qty, o.nm AND o.sm AND o.pm AND o.brand_ok AS is_exact FROM lines l LEFT JOIN (SELECT * FROM saved WHERE option_no = 1) o USING (sku))
 SELECT count(*) AS items, count(*) FILTER (is_exact) AS exact_items, count(*) FILTER (NOT is_exact) AS near_items, count(*) FILTER (price IS NULL) AS unpriced_items,
-  CAST(coalesce(sum(CASE WHEN price < unit_price THEN (CAST(unit_price AS DECIMAL(12,2)) - CAST(price AS DECIMAL(12,2))) * qty END), 0) AS DECIMAL(18,2)) AS savings FROM one""",
+  CAST(coalesce(sum(CASE WHEN price < unit_price THEN (CAST(unit_price AS DECIMAL(12,2)) - CAST(price AS DECIMAL(12,2))) * qty END), 0) AS DECIMAL(18,2)) AS savings,
+  (SELECT count(*) FROM lines WHERE sku % 6 = 3) AS alternate_items FROM one""",
 )
 def a3(spark, sf_dir):
-    return A.run_stats(order_lines(spark, sf_dir), S.select_options(candidates(spark, sf_dir)))
+    return A.run_stats(order_lines(spark, sf_dir), S.select_options(candidates(spark, sf_dir)), _findings(spark, sf_dir))
 
 
 @query("a10_group_best_savings", OPTIONS + "SELECT l.sku, CAST(max(saved_total) AS DECIMAL(14,2)) AS best_total FROM lines l LEFT JOIN saved USING (sku) GROUP BY l.sku")

@@ -32,7 +32,24 @@ def as_job_events(events: DataFrame) -> DataFrame:
     return df.withColumn("step", step).withColumn("service", service).withColumn("message", F.lit(None).cast("string")).drop("k")
 
 
-@query("st1_job_state")
+# The fold of a job's events, one event after the other.
+FOLD = (
+    EVENTS.replace("WITH e", "WITH RECURSIVE e", 1)
+    + """, x AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n, event, step FROM v),
+f AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, ['pending', 'pending', 'pending', 'pending', 'pending', 'pending', 'pending'] AS s, false AS ended FROM x
+UNION ALL SELECT f.job_id, x.n, CASE WHEN ended THEN s WHEN event = 'upload_complete' THEN list_concat(['complete', 'active'], s[3:])
+  WHEN event = 'step_start' AND step IS NOT NULL THEN list_transform(range(1, 8), lambda i: CASE WHEN i <= step THEN 'complete' WHEN i = step + 1 THEN 'active' ELSE s[i] END)
+  WHEN event = 'step_complete' AND step IS NOT NULL THEN list_transform(range(1, 8), lambda i: CASE WHEN i = step + 1 THEN 'complete' WHEN i = step + 2 AND s[i] = 'pending' THEN 'active' ELSE s[i] END)
+  WHEN event = 'step_warning' AND step IS NOT NULL THEN list_transform(range(1, 8), lambda i: CASE WHEN i = step + 1 THEN 'warning' ELSE s[i] END)
+  WHEN event = 'pipeline_complete' THEN list_transform(range(1, 8), lambda i: 'complete')
+  WHEN event = 'pipeline_error' THEN list_transform(range(1, 8), lambda i: CASE WHEN i = list_position(s, 'active') THEN 'error' ELSE s[i] END) ELSE s END,
+  ended OR event IN ('pipeline_complete', 'pipeline_error') FROM f JOIN x ON x.job_id = f.job_id AND x.n = f.n + 1),
+folded AS (SELECT job_id, s, ended FROM f QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1)
+"""
+)
+
+
+@query("st1_job_state", FOLD + "SELECT job_id, array_to_string(s, ',') AS statuses, ended FROM folded")
 def st1(spark, sf_dir):
     return J.job_state(job_events(spark, sf_dir))
 
@@ -53,7 +70,10 @@ def st4(spark, sf_dir):
     return J.rolling_usage(calls, 3600).select("call_id", "used")
 
 
-@query("st5_progress_percent")
+@query(
+    "st5_progress_percent",
+    FOLD + "SELECT job_id, CAST(least(round(list_sum(list_transform(s, lambda x: CASE x WHEN 'complete' THEN 1.0 WHEN 'active' THEN 0.45 WHEN 'warning' THEN 0.8 ELSE 0.0 END)) / 7 * 100), 100) AS INTEGER) AS percent FROM folded",
+)
 def st5(spark, sf_dir):
     return J.progress_percent(J.job_state(job_events(spark, sf_dir)))
 

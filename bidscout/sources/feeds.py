@@ -39,20 +39,24 @@ LINKS = ("link", "product_link", "url", "source_link", "tracking_link", "redirec
 
 
 def flatten_hits(results: DataFrame, engine: str = r"google\.") -> DataFrame:
-    """results (query_id, body) -> query_id, disc_seq, section, title, url (the first link outside the engine), price, domain."""
-    out = None
-    for k, name in enumerate(HIT_ARRAYS):
-        rows = items(results.select("query_id", "body"), "body", f"$.{name}")
-        own = F.lit(None).cast("string")
-        for link in reversed(LINKS):
-            u = _variant("item", f"$.{link}", "string")
-            own = F.when((F.coalesce(u, F.lit("")) != "") & ~F.rlike(U.domain(u), F.lit(rf"(?:^|\.){engine}")), u).otherwise(own)
-        price = F.coalesce(_money(_variant("item", "$.extracted_price", "string")), _money(_variant("item", "$.price", "string")), F.get(T.dollars(_variant("item", "$.snippet", "string")), 0))
-        part = rows.select("query_id", F.lit(name).alias("section"), F.lit(k).alias("section_no"), "pos", _variant("item", "$.title", "string").alias("title"), own.alias("url"), price.alias("price"))
-        out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("query_id").orderBy("section_no", "pos")
-    out = out.filter("url IS NOT NULL").withColumn("disc_seq", F.row_number().over(w))
-    return out.select("query_id", "disc_seq", "section", "title", "url", "price", U.domain(F.col("url")).alias("domain"))
+    """results (query_id, body) -> query_id, disc_seq, section, title, url (the first link outside the engine), price, domain.
+
+    A link may also be that of the first offer or seller in a hit that has one. Bodies are parsed once.
+    """
+    section = lambda k, name: F.transform(F.try_variant_get("_doc", f"$.{name}", "array<variant>"), lambda x, i: F.struct(F.lit(k).alias("section_no"), i.alias("pos"), x.alias("item")))
+    empty = F.array().cast("array<struct<section_no:int,pos:int,item:variant>>")
+    docs = results.select("query_id", F.try_parse_json("body").alias("_doc"))
+    rows = docs.select("query_id", F.explode(F.concat(*(F.coalesce(section(k, n), empty) for k, n in enumerate(HIT_ARRAYS)))).alias("x")).select("query_id", "x.*")
+    outside = lambda u: (F.coalesce(u, F.lit("")) != "") & ~F.rlike(U.domain(u), F.lit(rf"(?:^|\.){engine}"))
+    nested = F.flatten(F.array(*(F.coalesce(F.transform(F.try_variant_get("item", f"$.{box}", "array<variant>"), lambda s: F.coalesce(F.nullif(F.try_variant_get(s, "$.link", "string"), F.lit("")), F.try_variant_get(s, "$.direct_link", "string"))), F.array().cast("array<string>")) for box in ("offers", "sellers"))))
+    own = F.get(F.filter(nested, outside), 0)
+    for link in reversed(LINKS):
+        u = _variant("item", f"$.{link}", "string")
+        own = F.when(outside(u), u).otherwise(own)
+    price = F.coalesce(_money(_variant("item", "$.extracted_price", "string")), _money(_variant("item", "$.price", "string")), F.get(T.dollars(_variant("item", "$.snippet", "string")), 0))
+    rows = rows.select("query_id", "section_no", "pos", _variant("item", "$.title", "string").alias("title"), own.alias("url"), price.alias("price")).filter("url IS NOT NULL")
+    out = rows.withColumn("disc_seq", F.row_number().over(Window.partitionBy("query_id").orderBy("section_no", "pos")))
+    return out.select("query_id", "disc_seq", F.get(F.array(*map(F.lit, HIT_ARRAYS)), F.col("section_no")).alias("section"), "title", "url", "price", U.domain(F.col("url")).alias("domain"))
 
 
 def flatten_sellers(results: DataFrame, most: int = 5) -> DataFrame:
@@ -123,6 +127,21 @@ DEFAULT_MARKETPLACES = (("amazon", "amazon.com", 900), ("walmart", "walmart.com"
 SOURCE_TYPES = ("dental_supplier", "aggregator", "marketplace", "other")
 
 
+def load_sources(stored: DataFrame, sites: DataFrame, aggregators: tuple[str, ...] = ()) -> DataFrame:
+    """stored (body: a JSON array of sources) -> position, id, domain, label, enabled, type, priority, with default
+    marketplaces that it lacks; from the list of sites (position, domain) if nothing is stored."""
+    text = lambda k: F.try_variant_get("s", f"$.{k}", "string")
+    rows = stored.select(F.posexplode(F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")).alias("position", "s"))
+    rows = rows.select((F.col("position") + 1).alias("position"), text("id").alias("id"), text("domain").alias("domain"), text("label").alias("label"), F.try_variant_get("s", "$.enabled", "boolean").alias("enabled"), text("type").alias("type"), F.try_variant_get("s", "$.priority", "int").alias("priority"))
+    kind = F.when(F.col("domain").isin(*aggregators), "aggregator").otherwise("dental_supplier") if aggregators else F.lit("dental_supplier")
+    made = sites.select(F.col("position").cast("int").alias("position"), F.col("domain").alias("id"), "domain", F.col("domain").alias("label"), F.lit(True).alias("enabled"), kind.alias("type"), F.col("position").cast("int").alias("priority"))
+    some = rows.agg((F.count("*") > 0).alias("some"))  # one row
+    rows = rows.unionByName(made.join(some).filter("NOT some").drop("some"))
+    spark = stored.sparkSession
+    known = spark.createDataFrame([(p, i, d, d, True, "marketplace", p) for i, d, p in DEFAULT_MARKETPLACES], "position int, id string, domain string, label string, enabled boolean, type string, priority int")
+    return rows.unionByName(known.join(rows.select("domain"), "domain", "left_anti").select(*rows.columns))
+
+
 def normalize_sources(sources: DataFrame) -> DataFrame:
     """sources (position, id, domain, label, enabled, type, priority) cleaned, with the default marketplaces added, in order."""
     d = F.regexp_replace(F.lower(F.trim("domain")), r"^www\.", "")
