@@ -84,28 +84,72 @@ def flag_conflicts(cands: DataFrame, house_brands: tuple[str, ...] = ()) -> Data
     return df.withColumn("variant_conflict", R.true("variant_conflict") | counts).withColumn("match_type", F.when(counts & (F.col("match_type") == "exact"), "approximate").otherwise(F.col("match_type")))
 
 
+# How headings state packs, garment sizes and the body of a material, and words that don't name a product.
 HEAD = r"(?m)^#\s+(.{10,200})$"
-HEAD_PACK = r"(?i)\b(\d{1,5})\s*(?:/|-|per\s)?\s*(?:box|bx|pk|pack|pkg|count|ct|can|cn|case|ca|carton)\b"
+HEAD_PACK = r"(?i)\b(\d{1,5})\s*(?:/\s*|-|\s+per\s+|\s+)(?:box|bx|pk|pack|pkg|count|ct|can|cn|case|ca|carton)\b|\b(\d{1,4})\s*[x×]\s*\d+(?:\.\d+)?\s*(?:ml|mls|cc|g|gr|gm|oz|lb|l)\b"
+SIZE_WORD = r"(?i)\b(x-?small|x-?large|small|medium|large)\b"
+SIZE_LETTER = r"\b(XS|XL|S|M|L)\b"
+SIZES = {"xsmall": "xs", "small": "s", "medium": "m", "large": "l", "xlarge": "xl"}
+BODY = r"(?i)\b(x-?light|extra\s+light|xlight|light|medium|heavy|mono(?:phase)?)\s+bod(?:y|ied)\b|\bputty\b"
+BODIES = {"": "putty", "extralight": "xlight", "mono": "monophase"}
+PACK_WORDS = ("bx", "pk", "bg", "ea", "bt", "box", "pack", "bag", "each", "bottle", "refill", "kit", "syringe")
+KIND_WORDS = ("universal", "dental", "adhesive", "bond", "bonding", "cement", "material", "composite", "impression", "tray", "mixing", "tips", "medium", "fine", "light", "heavy", "body", "clear", "white", "opaque", "anterior", "posterior")
+SMALL_WORDS = ("the", "and", "for", "with")
+
+
+def sizes(x: Column) -> Column:
+    """The garment sizes that a text states: words in any case, letters in upper case."""
+    words = _same(F.transform(F.regexp_extract_all(x, F.lit(SIZE_WORD), F.lit(1)), lambda w: F.replace(F.lower(w), F.lit("-"))), SIZES)
+    return F.array_union(words, F.transform(F.regexp_extract_all(x, F.lit(SIZE_LETTER), F.lit(1)), F.lower))
+
+
+def bodies(x: Column) -> Column:
+    """The bodies (viscosities) that a text states."""
+    return _same(F.transform(F.regexp_extract_all(x, F.lit(BODY), F.lit(1)), lambda w: F.regexp_replace(F.lower(w), r"[\s-]", "")), BODIES)
 
 
 def confirm_by_heading(cands: DataFrame) -> DataFrame:
-    """A page's heading that states the ordered pack and most of the ordered words, and contradicts nothing, confirms name, size and pack."""
-    head = F.regexp_extract("page_text", HEAD, 1)
-    low = F.lower(head)
-    wanted = T.tokens(F.col("description"), 2)
-    bare = lambda t: F.regexp_replace(t, "(?:es|s)$", "")
-    hits = F.size(F.filter(wanted, lambda t: F.contains(low, bare(t))))
-    numbers = F.filter(wanted, lambda t: F.rlike(t, F.lit(r"^(?=.*\d)(?=.*[a-z])[a-z0-9]{3,}$")))
-    states = F.array_contains(F.regexp_extract_all(head, F.lit(HEAD_PACK), F.lit(1)), F.col("ordered_pack").cast("string"))
-    anchor = F.exists(wanted, lambda t: (F.length(t) >= 4) & ~F.rlike(t, F.lit(r"^\d+$")) & F.contains(low, bare(t)))
-    against = conflict(F.concat_ws(" ", "variant", "description"), head, F.lit("")).isNotNull()
-    ok = (head != "") & states & (hits >= F.size(wanted) * C.TOKEN_OVERLAP) & F.forall(numbers, lambda t: F.contains(low, t)) & anchor & ~against & ~R.true("variant_conflict")
-    ok = F.coalesce(ok, F.lit(False))
-    open_ = ~R.gated() & ~R.says("sanity") & ~R.dead() & ~R.true("out_of_stock")
-    df = cands.withColumn("heading_confirms", ok)
-    for c in ("name_match", "size_form_match", "pack_match"):
-        df = df.withColumn(c, F.when(F.col("heading_confirms"), F.lit(True)).otherwise(F.col(c)))
-    return df.withColumn("match_type", F.when(F.col("heading_confirms") & open_ & (F.col("match_type") == "rejected"), "approximate").otherwise(F.col("match_type")))
+    """A page's heading, or its structured name, that states the ordered pack, most of the ordered words and every
+    identifier, and contradicts nothing, confirms name, size and pack.
+
+    Identifiers are words of three characters or more with a digit, dimensions (6x6) aside; those of the description
+    may be in the url. Of a branded product with a name, a word that is its own must be there.
+    """
+    cands = cands.withColumns({k: F.lit(None).cast("string") for k in ("structured_name", "product_name") if k not in cands.columns})
+    words = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9.]+"), F.lit(0))
+    plain = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    head = F.coalesce(F.nullif(F.trim(F.regexp_extract("page_text", HEAD, 1)), F.lit("")), F.nullif(F.col("structured_name"), F.lit("")))
+    page = F.lower(head)
+    pack = F.coalesce(*(F.nullif(F.regexp_extract(head, HEAD_PACK, k), F.lit("")).try_cast("int") for k in (1, 2)))
+    brand = words(F.col("brand"))
+    there = lambda t: F.contains(page, t) | (F.endswith(t, F.lit("s")) & F.contains(page, F.substring(t, F.lit(1), F.length(t) - 1)))
+    wanted = F.filter(words(F.concat_ws(" ", "product_name", "description")), lambda t: (F.length(t) > 2) & ~F.array_contains(brand, t))
+    share = F.try_divide(F.size(F.filter(wanted, there)), F.size(wanted))
+    ids = lambda tokens: F.filter(F.transform(tokens, plain), lambda t: (F.length(t) >= 3) & F.rlike(t, F.lit(r"\d")) & ~F.rlike(t, F.lit("^[0-9x]*x[0-9x]*$")))
+    ordered = F.concat_ws(" ", "variant", "description")
+    named = F.forall(ids(wanted), lambda t: F.contains(plain(head), t)) & F.forall(ids(words(F.concat_ws(" ", "description", "variant"))), lambda t: F.contains(plain(F.concat_ws(" ", head, "url")), t))
+    common = F.array(*(F.lit(w) for w in (*PACK_WORDS, *KIND_WORDS, *SMALL_WORDS)))
+    own = F.filter(words(F.col("product_name")), lambda t: (F.length(t) > 1) & ~F.array_contains(brand, t) & ~F.array_contains(common, t))
+    anchored = (F.coalesce("brand", F.lit("")) == "") | (F.size(own) == 0) | F.exists(own, there)
+    against = apart(sizes(ordered), sizes(head)) | apart(bodies(ordered), bodies(head)) | conflict(ordered, head, F.lit("")).isNotNull()
+    judged = R.true("name_match") & R.true("size_form_match") & R.true("pack_match")
+    ok = F.col("price").isNotNull() & ~R.true("variant_conflict") & ~judged & (pack == F.nullif(F.col("ordered_pack"), F.lit(0))) & (share >= C.TOKEN_OVERLAP) & named & anchored & ~against
+    df = cands.withColumn("heading", head).withColumn("heading_pack", pack).withColumn("heading_confirms", F.coalesce(ok, F.lit(False)))
+    sure = F.col("heading_confirms")
+    structured = F.coalesce("price_structured", F.lit(False)) if "price_structured" in cands.columns else F.lit(False)
+    open_ = (~R.gated() | structured) & ~R.says("sanity") & ~R.dead() & ~R.says("out of stock")
+    opened = sure & open_ & (F.col("match_type") == "rejected")
+    has_brand = F.contains(F.lower("heading"), F.lower(F.coalesce("brand", F.lit(""))))
+    return df.withColumns(
+        {
+            "page_name": F.when(sure, F.coalesce("page_name", "heading")).otherwise(F.col("page_name")),
+            "pack_qty": F.when(sure, F.coalesce("pack_qty", "heading_pack")).otherwise(F.col("pack_qty")),
+            "brand_match": F.when(sure & has_brand, F.lit(True)).otherwise(F.col("brand_match")),
+            **{c: F.when(sure, F.lit(True)).otherwise(F.col(c)) for c in ("name_match", "size_form_match", "pack_match")},
+            "rejected_reason": F.when(opened, F.lit(None).cast("string")).otherwise(F.col("rejected_reason")),
+            "match_type": F.when(opened, "approximate").otherwise(F.col("match_type")),
+        }
+    ).drop("heading", "heading_pack")
 
 
 USED = r"(?i)\b(?:used|open box|refurbished|for parts|pre-owned)\b"
@@ -133,7 +177,7 @@ def match_title(cands: DataFrame) -> DataFrame:
     title = F.lower(F.coalesce("title", F.lit("")))
     hay = F.concat_ws(" ", "title", "url")
     number = lambda p: F.regexp_extract(hay, p, 1).try_cast("int")
-    pack = F.coalesce("pack_qty", number(r"(?i)pack[\s-]+of[\s-]+(\d{1,5})"), number(r"(?i)\b(\d{1,5})[\s-]*pack\b"), number(HEAD_PACK), number(r"(?i)\b(\d{1,5})\s*(?:capsules?|pcs|pieces)\b"))
+    pack = F.coalesce("pack_qty", number(r"(?i)pack[\s-]+of[\s-]+(\d{1,5})"), number(r"(?i)\b(\d{1,5})[\s-]*pack\b"), number(HEAD_PACK), F.nullif(F.regexp_extract(hay, HEAD_PACK, 2), F.lit('')).try_cast('int'), number(r"(?i)\b(\d{1,5})\s*(?:capsules?|pcs|pieces)\b"))
     brand = T.tokens(F.col("brand"))
     wanted = F.filter(T.tokens(F.concat_ws(" ", "description", "variant"), 2), lambda t: ~F.array_contains(brand, t))
     named = F.coalesce(T.overlap(wanted, title) >= C.TOKEN_OVERLAP, F.lit(False))

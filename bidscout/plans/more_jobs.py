@@ -8,9 +8,9 @@ from ..functions import text as T
 from ..operators import variants as V
 from ..operators import verdicts as J
 from ..sources import pages as P
-from ..sources.views import CANDIDATES_SQL, candidates, order_lines
+from ..sources.views import CANDIDATES_SQL, candidates, order_lines, table
 from .offer_jobs import SQL
-from .page_jobs import PHRASES, _offers, phrase_pages
+from .page_jobs import PHRASES, _lit, _offers, phrase_pages
 from .registry import query
 
 ORDERED = "CASE disc_seq % 6 WHEN 0 THEN 'Gel mint' WHEN 1 THEN 'Gel teal' WHEN 2 THEN 'Bond A3' WHEN 3 THEN 'Brush X' WHEN 4 THEN 'Bond kit' ELSE 'Gel blue orange' END"
@@ -24,10 +24,49 @@ def p9(spark, sf_dir):
     return V.flag_conflicts(df).select("offer_id", "conflict_kind", "match_type")
 
 
-@query("p26_confirm_by_heading", SQL + "SELECT offer_id, disc_seq % 3 = 0 AND NOT variant_conflict AS heading_confirms, CASE WHEN disc_seq % 3 = 0 AND NOT variant_conflict AND match_type = 'rejected' AND NOT (gated OR dead OR out_of_stock) THEN 'approximate' ELSE match_type END AS match_type FROM p")
+HEADINGS = ("{d}", "{n} {k}/Bx", "{d} 9999 count", "{n} X-Large {k}-pack", "", "{n} {k} x 5 ml")
+
+
+def _heading(spark: bool):
+    if spark:
+        out = F.get(F.array(*map(F.lit, HEADINGS)), (F.col("disc_seq") % 6).cast("int"))
+        for k, c in (("{d}", "description"), ("{n}", "name"), ("{k}", "ordered_pack")):
+            out = F.replace(out, F.lit(k), F.col(c).cast("string"))
+        return out
+    out = "([" + ", ".join(f"'{h}'" for h in HEADINGS) + "])[CAST(disc_seq % 6 + 1 AS INTEGER)]"
+    for k, c in (("{d}", "description"), ("{n}", "name"), ("{k}", "CAST(ordered_pack AS VARCHAR)")):
+        out = f"replace({out}, '{k}', {c})"
+    return out
+
+
+# The rule for headings over listings that have no flavors, tools, models and the like in their names.
+HEADED = (
+    SQL
+    + rf""", h0 AS (SELECT r.*, p_name AS name FROM r JOIN part ON p_partkey = sku), h1 AS (SELECT *, CASE WHEN disc_seq % 6 = 4 THEN CASE WHEN disc_seq % 4 = 0 THEN description END ELSE {_heading(False)} END AS head FROM h0),
+h2 AS (SELECT *, lower(head) AS page, regexp_replace(lower(head), '[^a-z0-9]', '', 'g') AS bare, regexp_replace(lower(head || ' ' || url), '[^a-z0-9]', '', 'g') AS hay, regexp_extract_all(lower(coalesce(brand, '')), '[a-z0-9.]+') AS bt,
+  coalesce(try_cast(nullif(regexp_extract(head, {_lit(V.HEAD_PACK)}, 1), '') AS INTEGER), try_cast(nullif(regexp_extract(head, {_lit(V.HEAD_PACK)}, 2), '') AS INTEGER)) AS hpack, regexp_extract_all(lower(name || ' ' || description), '[a-z0-9.]+') AS w0,
+  list_transform(regexp_extract_all(lower(description || ' ' || variant), '[a-z0-9.]+'), lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')) AS w1,
+  list_transform(list_concat(list_transform(regexp_extract_all(variant || ' ' || description, {_lit(V.SIZE_WORD)}, 1), lambda x: replace(lower(x), '-', '')), list_transform(regexp_extract_all(variant || ' ' || description, {_lit(V.SIZE_LETTER)}, 1), lambda x: lower(x))), lambda x: coalesce(map {{'xsmall': 'xs', 'small': 's', 'medium': 'm', 'large': 'l', 'xlarge': 'xl'}}[x], x)) AS z0,
+  list_transform(list_concat(list_transform(regexp_extract_all(head, {_lit(V.SIZE_WORD)}, 1), lambda x: replace(lower(x), '-', '')), list_transform(regexp_extract_all(head, {_lit(V.SIZE_LETTER)}, 1), lambda x: lower(x))), lambda x: coalesce(map {{'xsmall': 'xs', 'small': 's', 'medium': 'm', 'large': 'l', 'xlarge': 'xl'}}[x], x)) AS z1 FROM h1),
+h3 AS (SELECT *, list_filter(w0, lambda t: len(t) > 2 AND NOT list_contains(bt, t)) AS want FROM h2),
+h4 AS (SELECT *, list_filter(list_transform(want, lambda t: regexp_replace(t, '[^a-z0-9]', '', 'g')), lambda t: len(t) >= 3 AND regexp_matches(t, '\d') AND NOT regexp_matches(t, '^[0-9x]*x[0-9x]*$')) AS i0,
+  list_filter(w1, lambda t: len(t) >= 3 AND regexp_matches(t, '\d') AND NOT regexp_matches(t, '^[0-9x]*x[0-9x]*$')) AS i1, list_filter(regexp_extract_all(lower(name), '[a-z0-9.]+'), lambda t: len(t) > 1 AND NOT list_contains(bt, t)
+  AND t NOT IN ({', '.join(f"'{w}'" for w in (*V.PACK_WORDS, *V.KIND_WORDS, *V.SMALL_WORDS))})) AS own FROM h3),
+h5 AS (SELECT *, coalesce(price IS NOT NULL AND NOT variant_conflict AND NOT (nm AND sm AND pm) AND hpack = nullif(ordered_pack, 0)
+  AND len(list_filter(want, lambda t: contains(page, t) OR (ends_with(t, 's') AND contains(page, t[:-2])))) / len(want) >= 0.6 AND len(list_filter(i0, lambda t: NOT contains(bare, t))) = 0 AND len(list_filter(i1, lambda t: NOT contains(hay, t))) = 0
+  AND (len(own) = 0 OR len(list_filter(own, lambda t: contains(page, t) OR (ends_with(t, 's') AND contains(page, t[:-2])))) > 0) AND NOT (len(z0) > 0 AND len(z1) > 0 AND NOT list_has_any(z0, z1)), false) AS sure FROM h4),
+h6 AS (SELECT *, sure AND match_type = 'rejected' AND NOT (gated OR dead) AS opened FROM h5)
+SELECT offer_id, sure AS heading_confirms, CASE WHEN opened THEN 'approximate' ELSE match_type END AS match_type, CASE WHEN opened THEN NULL ELSE rejected_reason END AS rejected_reason, CASE WHEN sure THEN coalesce(pack_qty, hpack) ELSE pack_qty END AS pack_qty,
+  CASE WHEN sure THEN coalesce(page_name, head) ELSE page_name END AS page_name, CASE WHEN sure THEN true ELSE name_match END AS name_match FROM h6"""
+)
+
+
+@query("p26_confirm_by_heading", HEADED)
 def p26(spark, sf_dir):
-    head = F.when(F.col("disc_seq") % 3 == 0, F.col("description")).when(F.col("disc_seq") % 3 == 1, F.lit("Something else entirely 9999/Bx")).otherwise(F.lit(""))
-    return V.confirm_by_heading(candidates(spark, sf_dir).withColumn("page_text", F.concat(F.lit("intro\n# "), head, F.lit("\nmore")))).select("offer_id", "heading_confirms", "match_type")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.col("p_name").alias("product_name"))
+    df = candidates(spark, sf_dir).join(names, "sku").withColumn("name", F.col("product_name"))
+    df = df.withColumn("page_text", F.concat(F.lit("intro\n# "), _heading(True), F.lit("\nmore"))).withColumn("structured_name", F.when((F.col("disc_seq") % 6 == 4) & (F.col("disc_seq") % 4 == 0), F.col("description")))
+    return V.confirm_by_heading(df).select("offer_id", "heading_confirms", "match_type", "rejected_reason", "pack_qty", "page_name", "name_match")
 
 
 @query("p29_condition_gate", SQL + "SELECT offer_id, CASE WHEN marketplace IS NOT NULL THEN CASE disc_seq % 5 WHEN 0 THEN 'not new' WHEN 2 THEN 'condition not confirmed' WHEN 3 THEN 'auction without a fixed price' END END AS reason FROM p")
