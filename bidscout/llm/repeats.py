@@ -198,6 +198,16 @@ def repeated_in(groups: list[list[tuple[bytes, bytes, int, int]]], order: Callab
     kinds_of: list[list[tuple[int, int, int]]] = []
     base = 2
     for group in groups:
+        if len(group) == 1:  # one symbol
+            b, a, times, window = group[0]
+            for _ in range(min(times, 2)):
+                text += (base, 1)
+                owner += [len(kinds_of)] * 2
+                kind += (0, -1)
+                span += (1, 0)
+            kinds_of.append([(0, len(b) + len(a) + 1 - window, 1)])
+            base += 1
+            continue
         symbols, columns, kinds = merged_columns([(b, a) for b, a, _, _ in group], group[0][3])
         for row, (i, j), own, (_, _, times, _) in zip((symbols + base).tolist(), columns, kinds, group, strict=True):
             for _ in range(min(times, 2)):

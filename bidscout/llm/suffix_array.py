@@ -31,6 +31,7 @@ def suffix_array(text: list[int]) -> list[int]:
     for i, g in enumerate(group):
         members[g].append(i)
     length = [1] * len(symbols)
+    size = [len(m) for m in members]  # how many members are still in a group
     below = list(range(-1, len(symbols) - 1))  # the next lower group
     above = list(range(1, len(symbols) + 1))
     above[-1] = -1
@@ -39,17 +40,22 @@ def suffix_array(text: list[int]) -> list[int]:
 
     g = len(symbols) - 1
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
-        members[g] = []
         taken[g] = True
         follows: dict[int, int] = {}
-        for i in own:
-            p = i - 1
-            while p >= 0 and taken[group[p]]:
-                p = before[p]
-            before[i] = p
-            if p >= 0:
-                follows[p] = follows.get(p, 0) + 1
+        for i in members[g]:
+            if group[i] == g:
+                p = i - 1
+                while p >= 0 and taken[group[p]]:
+                    p = before[p]
+                before[i] = p
+                if p >= 0:
+                    follows[p] = follows.get(p, 0) + 1
+        if len(follows) == 1:
+            (p, times), = follows.items()
+            if size[group[p]] == 1:  # alone in its group, which it needn't leave
+                length[group[p]] += times * length[g]
+                g = below[g]
+                continue
         # of one old group those that are followed more often are higher: they are dealt out
         # from the most often followed down, each time right above the old group
         dealt: list[list[int]] = [[] for _ in range(max(follows.values(), default=0) + 1)]
@@ -63,22 +69,21 @@ def suffix_array(text: list[int]) -> list[int]:
                 if new is None:
                     new_of[old] = new = len(length)
                     length.append(length[old] + times * length[g])
+                    size.append(0)
                     taken.append(False)
                     members.append([])
                     up = above[old]
                     below.append(old)
                     above.append(up)
                     above[old] = new
-                    if up >= 0:
-                        below[up] = new
+                    below[up] = new
                 members[new].append(p)
+                size[new] += 1
+                size[old] -= 1
                 group[p] = new
         g = below[g]
 
     # the places of each group, from the lowest group up
-    size = [0] * len(length)
-    for x in group:
-        size[x] += 1
     place = [0] * len(length)
     g, total = 0, 0
     while g >= 0:
