@@ -16,7 +16,12 @@ flight, are decided so that the words come nearest to the expected total.
 
 A block has a bounded number of rows (BLOCK), whatever a source's size, so a hot
 source is many tasks. Rows are narrow (no text). The order of blocks and rows
-comes from hashes of the ids, so that reruns agree.
+comes from hashes of the ids, so that reruns agree. A source of one block waits,
+unflown, for the last round and its landing, whatever other sources do.
+
+Sources are a table: ranked by ranges, and their targets found in rounds in which
+only two sums come to the driver. The table meets the documents in a join that
+Spark broadcasts if it is small.
 
 Defined cases: null text has size 0; a null source comes last in the order;
 documents of size 0 are sampled like others; repeated rows are rows of their
@@ -38,27 +43,34 @@ from .common import cut, table, words_of
 BLOCK = 2_000
 #: Documents of a source that are kept for its landing.
 LANDING = 10
-#: Sources whose sums the driver may hold.
-MOST_SOURCES = 1_000_000
 EPS = 1e-9
 
 
-def targets(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
-    """Shares of sum(sizes) by weight; at most cap times a size, the excess shared by weight among the others."""
-    total, out, free = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
-    rest = total
-    while free:
-        w = sum(weights[i] for i in free)
-        over = [i for i in free if rest * weights[i] / w > cap * sizes[i]]
-        if not over:
-            for i in free:
-                out[i] = rest * weights[i] / w
+def targets(sums: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """sums (source, source_size) -> with rank (code point order, null last) and target.
+
+    Shares of the whole size by weight; at most cap times a size, the excess shared by weight among the others.
+    """
+    # each range is ranked in its own task; what comes before it is a sum of as many rows as there are ranges
+    ranged = sums.withColumn("none", F.col("source").isNull()).repartitionByRange(F.col("none"), F.col("source")).withColumn("part", F.spark_partition_id())
+    ranged = cut(ranged, "ranges")
+    before = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.select(F.col("part").alias("b_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("none", "source"))
+    ranked = ranged.withColumn("within", within).join(F.broadcast(before), F.col("part") == F.col("b_part"))
+    ranked = ranked.withColumn("rank", (F.col("before") + F.col("within") - 1).cast("long")).drop("none", "part", "b_part", "before", "within")
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), F.pmod("rank", F.lit(len(weights))).cast("int"))
+    ranked = cut(ranked.withColumn("weight", weight), "ranked")
+    level = 0.0  # words for a weight of 1
+    while True:
+        full = F.lit(level) * F.col("weight") > F.lit(cap) * F.col("source_size")
+        size = F.col("source_size").cast("double")
+        r = ranked.agg(F.sum(size).alias("total"), F.sum(F.when(full, size * cap)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        more = max(level, (r["total"] - (r["held"] or 0.0)) / r["free"]) if r["free"] else level
+        if more <= level * (1 + 1e-12):
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-            free.discard(i)
-        rest = total - sum(out[i] for i in range(len(sizes)) if i not in free)
-    return out
+        level = more
+    return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), F.lit(cap) * F.col("source_size")))
 
 
 def flight(size: np.ndarray, prob: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -140,40 +152,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     Sources in code point order (null last) get the weights, repeated; the mix
     is as large as all of docs. key is docs.key, if there.
     """
-    spark = docs.sparkSession
     if "key" not in docs.columns:
         docs = docs.withColumn("key", F.lit(0).cast("long"))
     docs = cut(docs.select("doc_id", "source", F.col("key"), F.col("size").cast("long").alias("size")), "sizes")
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; mix groups of sources instead")
-    sums.sort(key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
-    found = targets([r["source_size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], cap)
-    plan = spark.createDataFrame(
-        [(r["source"], r["source_size"], t, t / r["source_size"] if r["source_size"] else 0.0, max(1, -(-r["rows"] // BLOCK))) for r, t in zip(sums, found, strict=True)],
-        "p_source string, source_size long, target double, rate double, blocks long",
-    )
-    rows = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    plan = targets(sums, weights, cap).select(F.col("source").alias("p_source"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    plan = cut(plan, "plan")
+    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     rows = rows.withColumn("times", F.floor(F.least(F.col("rate"), F.lit(cap)) + EPS).cast("long"))
     rows = rows.withColumn("prob", F.greatest(F.least(F.col("rate"), F.lit(cap)) - F.col("times"), F.lit(0.0)))
     rows = rows.withColumn("mark", F.xxhash64("doc_id", "key", "size", F.lit(seed))).withColumn("block", F.pmod("mark", "blocks"))
 
     schema = rows.schema
-    last = max((-(-r["rows"] // BLOCK) for r in sums), default=1)
-    done = None
-    while True:
-        final = last <= 1
+    last = plan.agg(F.max("blocks").alias("n")).first()["n"] or 1
+    done, alone, number = [], [], 0
+    while last > 1:
+        # a source that is one block waits for its landing
+        alone.append(rows.filter("blocks = 1"))
         # a block is bounded, so it can be one group; source and block spread hot sources
-        moved = cut(rows.groupBy("source", "block").applyInArrow(_block(seed, final), schema), "flight")
-        if final:
-            done = moved if done is None else done.unionByName(moved)
-            break
+        moved = cut(rows.filter("blocks > 1").groupBy("source", "block").applyInArrow(_block(seed, False), schema), "flight")
         decided = (F.col("prob") == 0) | (F.col("prob") == 1)
-        done = moved.filter(decided) if done is None else done.unionByName(moved.filter(decided))
+        done.append(moved.filter(decided))
         # at most three of each block are left
-        last = -(-3 * last // BLOCK)
-        rows = moved.filter(~decided).withColumn("block", F.pmod(F.xxhash64("block", F.lit(last)), F.lit(last)))
-    return done.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("times") + F.col("prob").cast("long")).alias("times"))
+        last, number = -(-3 * last // BLOCK), number + 1
+        rows = moved.filter(~decided).withColumn("blocks", F.ceil(3 * F.col("blocks") / BLOCK))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("block", F.lit(number)), F.col("blocks")))
+    for more in alone:
+        rows = rows.unionByName(more)
+    out = cut(rows.groupBy("source").applyInArrow(_block(seed, True), schema), "landing")
+    for more in done:
+        out = out.unionByName(more)
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("times") + F.col("prob").cast("long")).alias("times"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,14 +197,21 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
     inner = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_key"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "source", words_of(F.col("text")).alias("d_size"))
     narrow = inner.select(F.col("d_id").alias("doc_id"), F.col("source"), F.col("d_key").alias("key"), F.col("d_size").alias("size"))
     plan = mix(narrow, weights, cap)
-    # repeated rows share a key: they take their sum, dealt out by a running number
-    own = plan.groupBy("doc_id", "source", "key", "size").agg(F.sort_array(F.collect_list("times"), asc=False).alias("all_times"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    own = own.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("key").alias("p_key"), "size", "source_size", "target", "all_times")
+    # repeated rows share a key: their numbers of times (two at most) are dealt out among them
+    own = plan.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows"), F.min("times").alias("low"), F.max("times").alias("high"), F.sum("times").alias("all"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    own = own.withColumn("highs", F.when(F.col("high") > F.col("low"), F.col("all") - F.col("low") * F.col("rows")).otherwise(F.col("rows")))
+    own = cut(own.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("key").alias("p_key"), "size", "source_size", "target", "low", "high", "highs", "rows"), "times")
     met = inner.join(own, F.col("d_id").eqNullSafe(F.col("p_id")) & F.col("d_key").eqNullSafe(F.col("p_key")) & F.col("source").eqNullSafe(F.col("p_source")))
-    several = F.size("all_times") > 1
-    w = Window.partitionBy("p_id", "p_source", "p_key").orderBy("size")
-    extra = met.filter(several).withColumn("n", F.row_number().over(w)).withColumn("times", F.get("all_times", F.col("n") - 1)).drop("n")
-    met = met.filter(~several).withColumn("times", F.get("all_times", 0)).unionByName(extra).filter("times > 0")
+    alike = F.col("high") == F.col("low")
+    # a row's number among those repeated: within its own part of the table, after those in parts before
+    several = cut(met.filter(~alike).withColumn("part", F.spark_partition_id()), "several")
+    keys = ("p_id", "p_source", "p_key")
+    before = several.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).select(*(F.col(k).alias(f"b_{k}") for k in keys), F.col("part").alias("b_part"), "before")
+    several = several.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.xxhash64(F.to_json("row")))))
+    several = several.join(before, (F.col("part") == F.col("b_part")) & F.col("p_id").eqNullSafe(F.col("b_p_id")) & F.col("p_key").eqNullSafe(F.col("b_p_key")) & F.col("p_source").eqNullSafe(F.col("b_p_source")))
+    several = several.withColumn("times", F.when(F.col("n") + F.col("before") <= F.col("highs"), F.col("high")).otherwise(F.col("low")))
     new = ["times", "size", "source_size", "target"]
+    met = met.filter(alike).withColumn("times", F.col("high")).select("row", *new).unionByName(several.select("row", *new)).filter("times > 0")
     taken = {c.lower() for c in columns}
     return met.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), *(F.col(c).alias(c if c not in taken else f"mix_{c}") for c in new))

@@ -25,11 +25,51 @@ def counted(rows):
 # 1 mixture -----------------------------------------------------------------
 
 
-def test_targets_reshare_what_caps_leave():
-    assert mixture.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
-    got = mixture.targets([10, 500, 490], [1, 2, 3])
-    assert got[0] == 30 and sum(got) == pytest.approx(1000) and got[1] / got[2] == pytest.approx(2 / 3)
-    assert mixture.targets([], []) == [] and mixture.targets([0, 0], [1, 2]) == [0, 0]
+def brute_targets(sizes, weights, cap=3.0):
+    total, free, out = sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while free:
+        rest, w = total - sum(out[i] for i in range(len(sizes)) if i not in free), sum(weights[i] for i in free)
+        over = {i for i in free if rest * weights[i] / w > cap * sizes[i]}
+        for i in over or free:
+            out[i] = cap * sizes[i] if over else rest * weights[i] / w
+        free -= over or free
+    return out
+
+
+def test_targets_reshare_what_caps_leave(spark):
+    r = random.Random(3)
+    for names, sizes in (
+        (["a", "b", "c"], [100, 100, 100]),
+        (["a", "b", "é"], [10, 500, 490]),
+        (["Z", "a", None], [0, 0, 0]),
+        (["Z", "a", None], [5, 0, 7]),
+        ([*(f"{i:04d}" for i in range(300)), None], [r.choice([0, 1, 10, 1000, 10**6]) for _ in range(301)]),
+    ):
+        df = spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long").repartition(3)
+        got = mixture.targets(df).orderBy("rank").collect()
+        assert [x.source for x in got] == names and [x["rank"] for x in got] == list(range(len(names)))
+        assert [x.target for x in got] == pytest.approx(brute_targets(sizes, [1 + i % 3 for i in range(len(sizes))]))
+    assert mixture.targets(df.filter("false")).count() == 0
+
+
+def test_a_small_source_lands_beside_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCK", 20)
+    r = random.Random(2)
+    rows = [(i, "hot", r.randint(1, 50)) for i in range(900)] + [(1000 + i, "small", 300 if i == 3 else r.randint(1, 40)) for i in range(14)]
+    got = mixture.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), (3, 2)).collect()
+    assert len(got) == len(rows)
+    for source in ("hot", "small"):
+        own = [x for x in got if x.source == source]
+        assert abs(sum(x.times * x.size for x in own) - own[0].target) <= 5
+
+
+def test_repeated_rows_take_what_they_are_dealt(spark):
+    rows = [(1, "the same four words", "a", i % 7) for i in range(500)] + [(2 + i, "w " * (i % 9 + 1), "b", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more long").repartition(6)
+    got = mixture.mixed(docs).collect()
+    own = [x for x in got if x.doc_id == 1]
+    assert abs(sum(x.times * x.size for x in own) - own[0].target) <= 4 and len(own) <= 500
+    assert counted(got) == counted(mixture.mixed(docs).collect())
 
 
 def test_flight_keeps_both_totals():
