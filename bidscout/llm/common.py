@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,16 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
-
-    The cluster names it in spark.checkpoint.dir; a session without that
-    setting (tests, local mode) gets a temporary folder of its own.
-    """
+    """The folder that all executors share: spark.checkpoint.dir, or one in the warehouse where that isn't set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -72,7 +64,8 @@ def sieve(keys: DataFrame, h: Column) -> DataFrame:
 
     It lets through whatever is in keys, and little else while keys are fewer
     than its bits; beyond that it lets through more, and what follows it has
-    more to do, but nothing is lost.
+    more to do, but nothing is lost. Spark's own runtime filter drops rows below a
+    join; here rows that don't pass must be kept, and not be shuffled.
     """
     word, bit = _place(h)
     bits = keys.select(word.alias("word"), bit.alias("bit"))

@@ -8,8 +8,9 @@ their n-gram sets is at least 0.8.
    The number of bands follows from the rows in a band and the target recall.
 2. Sets that share a band hash meet in a bucket. A pair of sets belongs to the
    first band it shares, so that it is verified once; only members that have such
-   a pair are sent their n-grams. Buckets over BLOCK members are dealt out as
-   pairs of blocks, so that no task holds more than two blocks.
+   a pair, of sizes that allow the similarity, are sent their n-grams. Buckets of more
+   members than BLOCK, or n-grams than BLOCK_GRAMS, are dealt out as pairs of blocks,
+   so that no task holds more than two blocks.
 3. A task verifies the pairs of its bucket and emits, for each set, the number of
    documents linked to it and one edge of a spanning forest: rows grow with the
    members, not with the pairs.
@@ -31,15 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, sieve, sifted, table
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, RECALL = 5, 0.9999
-#: Members of a bucket that a task compares with as many others.
-BLOCK = 512
+#: Members of a bucket that a task compares with as many others, and their n-grams.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 20
+#: Bytes of whole groups that a task takes at once.
+AT_ONCE = 32_000_000
 #: n-grams that a task hashes at once.
 SLICE = 1 << 16
 
@@ -109,20 +112,21 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarra
 def groups_of(parts: Iterator[pa.RecordBatch], keys: list[str], most: int = 4096) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, of sorted batches; several whole runs at once, of about most rows."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for part in parts:
         if not part.num_rows:
             continue
         held.append(part)
         rows += part.num_rows
-        if rows < most:
+        size += part.nbytes
+        if rows < most and size < AT_ONCE:
             continue
         whole = pa.Table.from_batches(held)
         starts = run_starts(whole, keys)
         if len(starts) > 1:
             yield whole.slice(0, starts[-1])
             rest = whole.slice(starts[-1])
-            held, rows = rest.to_batches(), rest.num_rows
+            held, rows, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held)
 
@@ -140,10 +144,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.empty(0, np.int64)]).reshape(-1, width)
 
 
-def first_shared(bands: np.ndarray, at: int, side: np.ndarray | None) -> np.ndarray:
-    """Which pairs of rows share band `at` and none before; side: only pairs of different sides."""
+def first_shared(bands: np.ndarray, at: int, side: np.ndarray | None, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows share band `at` and none before, of sizes that can be as similar; side: only pairs of different sides."""
     n = len(bands)
     ok = np.triu(np.ones((n, n), dtype=bool), 1) if side is None else np.triu(side[:, None] != side[None, :], 1)
+    # a set much smaller than the other can't be as similar
+    ok &= np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :])
     for b in range(at):
         ok &= bands[:, None, b] != bands[None, :, b]
     return ok
@@ -196,28 +202,29 @@ def set_links(docs: DataFrame, rows: DataFrame, bands: int, similarity: float) -
     """rows: of document_sets. (set, links): documents of other sets linked to a set; (a, b): spanning edges of the links."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("raw").alias("raw"))
-    sets = rows.filter("set IS NOT NULL").groupBy("set").agg(F.count("*").alias("docs"), F.first("bands").alias("bands"), F.min(place).alias("place"))
+    sets = rows.filter("set IS NOT NULL").groupBy("set").agg(F.count("*").alias("docs"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(place).alias("place"))
     sets = cut(sets, "sets")
-    keys = sets.select("set", "docs", "bands", F.posexplode("bands").alias("band", "key"))
-    shared = cut(keys.groupBy("key", "band").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
+    keys = sets.select("set", "docs", "n", "bands", F.posexplode("bands").alias("band", "key"))
+    shared = cut(keys.groupBy("key", "band").agg(F.count("*").alias("members"), F.sum("n").alias("all")).filter("members > 1"), "buckets")
     bits = cut(sieve(shared, F.col("key")), "sieve")
     met = sifted(keys, F.col("key"), bits, "maybe").filter("maybe").drop("maybe").join(shared, ["key", "band"])
     # a bucket is one group; a large one a group for each pair of its blocks
-    blocks = F.ceil(F.col("members") / BLOCK)
+    blocks = F.when((F.col("members") > BLOCK) | (F.col("all") > BLOCK_GRAMS), F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("all") / BLOCK_GRAMS))).otherwise(F.lit(1))
     met = met.withColumn("own", F.pmod(F.xxhash64("set"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = met.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "docs", "bands")
+    met = met.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "docs", "n", "bands")
     group = ["key", "band", "i", "j"]
 
     def needed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(parts, group):
             starts = [*run_starts(t, group), t.num_rows]
             table_, own, i, j, band = _matrix(t["bands"], bands), t["own"].to_numpy(), t["i"].to_numpy(), t["j"].to_numpy(), t["band"].to_numpy()
+            size = t["n"].to_numpy()
             keep = np.zeros(t.num_rows, dtype=bool)
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a == 2 and i[a] == j[a]:
                     keep[a:b] = not (table_[a, : band[a]] == table_[a + 1, : band[a]]).any()
                 elif b - a > 1:
-                    ok = first_shared(table_[a:b], band[a], None if i[a] == j[a] else own[a:b])
+                    ok = first_shared(table_[a:b], band[a], None if i[a] == j[a] else own[a:b], size[a:b], similarity)
                     keep[a:b] = ok.any(axis=0) | ok.any(axis=1)
             yield from t.filter(pa.array(keep)).to_batches()
 
@@ -251,14 +258,11 @@ def set_links(docs: DataFrame, rows: DataFrame, bands: int, similarity: float) -
             for a, b in zip(starts, starts[1:], strict=False):
                 if b - a < 2:
                     continue
-                pairs = np.argwhere(first_shared(table_[a:b], band[a], None if i[a] == j[a] else own[a:b]))
+                pairs = np.argwhere(first_shared(table_[a:b], band[a], None if i[a] == j[a] else own[a:b], t["n"].to_numpy()[a:b], similarity))
                 if not len(pairs):
                     continue
                 sets_ = [all_grams[k].values.to_numpy().view(np.uint64) for k in range(a, b)]
-                # a set much smaller than the other can't be as similar
-                size = np.array([len(s) for s in sets_])
-                pairs = pairs[size[pairs].min(axis=1) >= similarity * size[pairs].max(axis=1)]
-                pairs = pairs[jaccard(sets_, pairs) >= similarity] if len(pairs) else pairs
+                pairs = pairs[jaccard(sets_, pairs) >= similarity]
                 links = np.zeros(b - a, dtype=np.int64)
                 np.add.at(links, pairs[:, 0], docs_[a + pairs[:, 1]])
                 np.add.at(links, pairs[:, 1], docs_[a + pairs[:, 0]])
@@ -278,7 +282,7 @@ def set_links(docs: DataFrame, rows: DataFrame, bands: int, similarity: float) -
                     out[2].append(int(links[k]))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["set", "root", "links"])
 
-    ready = need.join(full, "set").select(*group, "own", "set", "docs", "bands", "grams")
+    ready = need.join(full, "set").select(*group, "own", "set", "docs", "n", "bands", "grams")
     linked = cut(spread(ready).mapInArrow(verify, "set binary, root binary, links long"), "linked")
     return linked.groupBy("set").agg(F.sum("links").alias("links")), linked.filter("set != root").select(F.col("set").alias("a"), F.col("root").alias("b")).distinct()
 
@@ -334,17 +338,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs, with its columns, with one document of each class."""
     columns = docs.columns
-    gone = cut(classes(docs, similarity).filter("NOT first").groupBy("doc_id", "raw").agg(F.count("*").alias("gone")), "gone")
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("raw").alias("g_raw"), "gone")
+    marks = classes(docs, similarity).groupBy("doc_id", "raw").agg(F.bool_or("first").alias("stays"), F.count("*").alias("rows"))
+    marks = cut(marks.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("g_id"), F.col("raw").alias("g_raw"), "stays"), "gone")
     inner = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("raw"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    bits = cut(sieve(gone, F.xxhash64("g_id", "g_raw")), "sieve")
+    bits = cut(sieve(marks, F.xxhash64("g_id", "g_raw")), "sieve")
     inner = sifted(inner, F.xxhash64("doc_id", "raw"), bits, "maybe")
     sure = inner.filter("NOT maybe").select("row.*")
-    met = inner.filter("maybe").join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("raw") == F.col("g_raw")), "left")
-    # of repeated rows only as many go as were marked
-    w = Window.partitionBy("doc_id", "raw").orderBy(F.lit(1))
-    met = met.withColumn("n", F.row_number().over(w)).filter("n > coalesce(gone, 0)")
-    return sure.unionByName(met.select("row.*"))
+    met = inner.filter("maybe").join(marks, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("raw") == F.col("g_raw")), "left")
+    # of repeated rows one stays, if any; which, if further columns differ, is decided by all columns
+    one = met.filter("stays").groupBy("doc_id", "raw").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return sure.unionByName(met.filter("stays IS NULL").select("row.*")).unionByName(one.select("row.*"))
 
 
 def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
