@@ -22,3 +22,5 @@ REPORT_MARKETS = {"amazon": "AMAZON", "walmart": "WALMART"}
 # Words that don't tell products of a kind apart, and how names state a pack.
 GENERIC_STOP = ("the", "and", "for", "with", "non", "sterile", "premium", "brand", "dental", "dentistry", "absorbable", "disposable")
 STATED_PACK = r"(?i)\b(\d{2,5})\s*[-/]?\s*(?:bx|box|pk|pack|ct|count|ca|case)\b"
+# Sites that sell nothing that is sought.
+OFF_TOPIC = ("etsy.com", "pinterest.com", "youtube.com", "facebook.com", "reddit.com", "stadtkirche-michelstadt.de", "shelllumber.com")

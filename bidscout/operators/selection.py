@@ -80,13 +80,18 @@ def equivalents(cands: DataFrame, most: int = 2, key: str = "sku") -> DataFrame:
 
 
 def flag_low_outliers(cands: DataFrame, key: str = "sku") -> DataFrame:
-    """low_outlier: price under 0.45 of the upper median of the line's named, priced rows (three at least)."""
+    """low_outlier: price under 0.45 of the upper median of the line's named, priced rows (three at least).
+
+    The median is the row at its place in a window, which spills, not in an array.
+    """
     counted = F.when(F.col("page_name").isNotNull() & F.col("price").isNotNull() & (F.col("match_type") != "rejected"), F.col("price"))
-    stats = cands.groupBy(key).agg(F.collect_list(counted).alias("prices"))
-    stats = stats.select(key, F.when(F.size("prices") >= C.LOW_OUTLIER_ROWS, R.upper_median(F.col("prices"))).alias("line_median"))
-    out = cands.join(stats, key)
-    low = F.coalesce(counted < F.col("line_median") * C.LOW_OUTLIER, F.lit(False)) & ~R.true("price_locked")
-    return out.withColumn("low_outlier", low)
+    line = Window.partitionBy(key)
+    df = cands.withColumn("counted", counted).withColumn("n", F.count("counted").over(line))
+    df = df.withColumn("k", F.row_number().over(line.orderBy(F.col("counted").asc_nulls_last())) - 1)
+    middle = F.when((F.col("k") == F.floor(F.col("n") / 2)) & (F.col("n") >= C.LOW_OUTLIER_ROWS), F.col("counted"))
+    df = df.withColumn("line_median", F.max(middle).over(line))
+    low = F.coalesce(F.col("counted") < F.col("line_median") * C.LOW_OUTLIER, F.lit(False)) & ~R.true("price_locked")
+    return df.withColumn("low_outlier", low).drop("counted", "n", "k")
 
 
 def flag_lock_outliers(cands: DataFrame, key: str = "sku") -> DataFrame:
@@ -116,10 +121,13 @@ def best_exact(cands: DataFrame, key: str = "sku") -> DataFrame:
     """The cheapest sane exact candidate that isn't under a quarter of the upper median of those dearer than it (it included)."""
     bad = R.true("price_unreliable") | R.true("out_of_stock") | ~R.not_false("pack_match") | F.col("marketplace").isNotNull()
     pool = cands.filter((F.col("match_type") == "exact") & R.effective_exact() & F.col("price").isNotNull() & ~bad)
-    w = Window.partitionBy(key).orderBy("price", *LAST)
-    rest = F.collect_list("price").over(w.rowsBetween(0, Window.unboundedFollowing))
-    pool = pool.withColumn("floor", R.upper_median(rest) * C.BEST_FLOOR)
-    return _first(pool.filter(F.col("price") >= F.col("floor")), [key], [F.col("price")], name="best_rank").drop("floor", "best_rank")
+    # row k of n, from 0: the upper median of those from k on is row k + (n - k) // 2
+    line = Window.partitionBy(key)
+    pool = pool.withColumn("k", F.row_number().over(line.orderBy("price", *LAST)) - 1).withColumn("n", F.count("*").over(line))
+    pool = pool.withColumn("m", F.col("k") + F.floor((F.col("n") - F.col("k")) / 2).cast("int"))
+    middle = pool.select(key, F.col("k").alias("m"), (F.col("price") * C.BEST_FLOOR).alias("floor"))
+    pool = pool.join(middle, [key, "m"])
+    return _first(pool.filter(F.col("price") >= F.col("floor")), [key], [F.col("price")], name="best_rank").drop("floor", "best_rank", "k", "n", "m")
 
 
 def marketplace_pick(cands: DataFrame, key: str = "sku") -> DataFrame:

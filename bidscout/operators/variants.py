@@ -16,7 +16,7 @@ COLORS = ("teal", "turquoise", "aqua", "lavender", "violet", "magenta", "purple"
 TOOLS = ("applier", "dispensing gun", "capsule gun", "applicator gun")
 MODELS = ("plus", "ultra", "pro", "max", "mini", "lite", "nano", "premier", "select", "classic", "solo", "dual", "extra", "xtra", "xt", "xl", "xs")
 SHADE = r"\b([ABCD][1-4](?:\.5)?)\b"
-NUMBER = r"(?i)(?:#|\bsize\s+|\bsz\s+)(\d{1,2})\b"
+NUMBER = r"(?i)(?:#|\bsize\s+|\bsz\s+|pf171-)(\d{1,2})\b"
 SPEED = r"\b(rapid|fast|standard|regular)[\s-]+set\b"
 LETTER = r"(?<!\S)([B-HJ-Z])(?!\S)"
 
@@ -75,7 +75,7 @@ def conflict(ordered: Column, name: Column, url: Column, house_brands: tuple[str
     )
 
 
-def flag_conflicts(cands: DataFrame, house_brands: tuple[str, ...] = ()) -> DataFrame:
+def flag_conflicts(cands: DataFrame, house_brands: tuple[str, ...] = C.HOUSE_BRANDS) -> DataFrame:
     """conflict_kind and variant_conflict of each candidate; a conflict makes exact approximate, but for a seed's color."""
     kind = conflict(F.concat_ws(" ", "variant", "description"), F.concat_ws(" ", "page_variant", "page_name", "title"), F.col("url"), house_brands)
     df = cands.withColumn("conflict_kind", kind)

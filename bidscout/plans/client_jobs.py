@@ -163,7 +163,9 @@ def p12(spark, sf_dir):
     return G.readable(c, F.col("html_length"), F.col("marketplace").isNotNull()).select("offer_id")
 
 
-@query("s25_persist_run", SQL + "SELECT sku % 7 AS reference, count(*) AS findings FROM p GROUP BY 1")
+@query("s25_persist_run", SQL + "SELECT sku % 7 AS reference, sku % 7 < 4 AS replaced, count(*) AS findings FROM p WHERE sku % 7 >= 4 OR is_seed OR mpn_confirmed GROUP BY 1, 2")
 def s25(spark, sf_dir):
-    c = candidates(spark, sf_dir).select((F.col("sku") % 7).alias("reference"), "sku", "offer_id", "price")
-    return P.latest_run(c.limit(0), c).groupBy("reference").agg(F.count("*").alias("findings"))
+    c = candidates(spark, sf_dir).withColumn("reference", F.col("sku") % 7)
+    stored = c.select("reference", F.lit(False).alias("replaced"), "offer_id", "price")
+    new = c.filter("reference < 4 AND (is_seed OR mpn_confirmed)").select("reference", F.lit(True).alias("replaced"), "offer_id", "price")
+    return P.latest_run(stored, new).groupBy("reference", "replaced").agg(F.count("*").alias("findings"))

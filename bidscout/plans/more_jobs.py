@@ -13,14 +13,51 @@ from .offer_jobs import SQL
 from .page_jobs import PHRASES, _lit, _offers, phrase_pages
 from .registry import query
 
-ORDERED = "CASE disc_seq % 6 WHEN 0 THEN 'Gel mint' WHEN 1 THEN 'Gel teal' WHEN 2 THEN 'Bond A3' WHEN 3 THEN 'Brush X' WHEN 4 THEN 'Bond kit' ELSE 'Gel blue orange' END"
+ORDERED = (
+    "Gel flavorless", "Gel mint", "Bond A3", "Post size 5", "Post pf171-4", "Tips teal", "Tips blue orange", "Resin capsule", "Bond kit", "Bond refill", "brand#11 gloves", "Paste rapid set", "Brush plus", "Brush X", "Cement",
+)
+LISTED = (
+    "Gel watermelon", "Gel no flavor", "Bond A3.5", "Bond B1", "Post #4", "PF171-5 post", "Tips green", "Tips blue", "Capsule applier", "Bond refill", "Bond kit", "gloves", "brand#11 gloves", "Paste regular set", "Paste fast set", "Brush ultra",
+    "Brush Y", "plain paste", "Cement",
+)
 
 
-@query("p9_flag_variant_conflicts", SQL + "SELECT offer_id, CASE disc_seq % 6 WHEN 0 THEN 'flavor' WHEN 1 THEN 'color' WHEN 2 THEN 'shade' WHEN 3 THEN 'model' WHEN 4 THEN 'kit or refill' END AS conflict_kind, CASE WHEN match_type = 'exact' AND disc_seq % 6 < 5 AND NOT (is_seed AND disc_seq % 6 = 1) THEN 'approximate' ELSE match_type END AS match_type FROM p")
+def _any(x: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches(lower({x}), '{'|'.join(w.replace('-', '[- ]?') for w in words)}')"
+
+
+def _set(x: str, words: tuple[str, ...]) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '\\b({'|'.join(words)})\\b', 1))"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(len({a}) > 0 AND len({b}) > 0 AND NOT list_has_any({a}, {b}))"
+
+
+# The rules for variants over an ordered text a and a listed one b.
+CONFLICTS = (
+    SQL
+    + f""", v AS (SELECT *, ([{', '.join(f"'{x}'" for x in ORDERED)}])[CAST(disc_seq % {len(ORDERED)} + 1 AS INTEGER)] AS a, ([{', '.join(f"'{x}'" for x in LISTED)}])[CAST((disc_seq + sku) % {len(LISTED)} + 1 AS INTEGER)] AS b FROM p),
+w AS (SELECT *, {_any('a', V.NEUTRAL_FLAVORS)} AS na, {_any('b', V.NEUTRAL_FLAVORS)} AS nb, {_any('a', V.FLAVORS)} AND NOT {_any('a', V.NEUTRAL_FLAVORS)} AS fa, {_any('b', V.FLAVORS)} AND NOT {_any('b', V.NEUTRAL_FLAVORS)} AS fb,
+  nullif(regexp_extract(a, {_lit(V.SHADE)}, 1), '') AS sa, nullif(regexp_extract(b, {_lit(V.SHADE)}, 1), '') AS sb, nullif(regexp_extract(a, {_lit(V.NUMBER)}, 1), '') AS za, nullif(regexp_extract(b, {_lit(V.NUMBER)}, 1), '') AS zb,
+  {_set('a', V.COLORS)} AS ca, {_set('b', V.COLORS)} AS cb, {_any('a', V.TOOLS)} AS ta, {_any('b', V.TOOLS)} AS tb, regexp_matches(lower(a), '\\bkit\\b') AS ka, regexp_matches(lower(b), '\\bkit\\b') AS kb,
+  regexp_matches(lower(a), '\\brefill\\b') AS ra, regexp_matches(lower(b), '\\brefill\\b') AS rb, {_set('a', V.MODELS)} AS ma, {_set('b', V.MODELS)} AS mb,
+  list_transform(regexp_extract_all(lower(a), {_lit(V.SPEED)}, 1), lambda x: CASE x WHEN 'fast' THEN 'rapid' WHEN 'regular' THEN 'standard' ELSE x END) AS pa,
+  list_transform(regexp_extract_all(lower(b), {_lit(V.SPEED)}, 1), lambda x: CASE x WHEN 'fast' THEN 'rapid' WHEN 'regular' THEN 'standard' ELSE x END) AS pb,
+  list_filter(regexp_split_to_array(a, '\\s+'), lambda x: regexp_matches(x, '^[B-HJ-Z]$')) AS la, list_filter(regexp_split_to_array(b, '\\s+'), lambda x: regexp_matches(x, '^[B-HJ-Z]$')) AS lb FROM v),
+x AS (SELECT *, CASE WHEN (na AND fb) OR (fa AND nb) THEN 'flavor' WHEN sa <> sb THEN 'shade' WHEN za <> zb THEN 'size' WHEN {_apart('ca', 'cb')} THEN 'color' WHEN tb AND NOT ta THEN 'tool'
+  WHEN (ka AND NOT ra AND rb AND NOT kb) OR (ra AND NOT ka AND kb AND NOT rb) THEN 'kit or refill' WHEN contains(a, 'brand#11') AND NOT contains(b, 'brand#11') THEN 'house brand' WHEN {_apart('pa', 'pb')} THEN 'set speed'
+  WHEN {_apart('ma', 'mb')} THEN 'model' WHEN {_apart('la', 'lb')} THEN 'model letter' WHEN (len(la) > 0 AND len(mb) > 0 AND len(ma) = 0) OR (len(ma) > 0 AND len(lb) > 0 AND len(la) = 0) THEN 'model' END AS conflict_kind FROM w)
+SELECT offer_id, conflict_kind, CASE WHEN match_type = 'exact' AND conflict_kind IS NOT NULL AND NOT (is_seed AND conflict_kind = 'color') THEN 'approximate' ELSE match_type END AS match_type FROM x"""
+)
+
+
+@query("p9_flag_variant_conflicts", CONFLICTS)
 def p9(spark, sf_dir):
-    k = F.col("disc_seq") % 6
-    pick = lambda *words: F.get(F.array(*map(F.lit, words)), k.cast("int"))
-    df = candidates(spark, sf_dir).withColumns({"description": pick("Gel mint", "Gel teal", "Bond A3", "Brush X", "Bond kit", "Gel blue orange"), "variant": F.lit(""), "page_variant": F.lit(None).cast("string"), "page_name": pick("Gel unflavored", "Gel green", "Bond A3.5", "Brush Plus", "Bond refill", "Gel blue"), "title": F.lit(""), "url": F.lit("")})
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), (i % len(words)).cast("int"))
+    df = candidates(spark, sf_dir).withColumns(
+        {"description": pick(ORDERED, F.col("disc_seq")), "variant": F.lit(""), "page_variant": F.lit(None).cast("string"), "page_name": pick(LISTED, F.col("disc_seq") + F.col("sku")), "title": F.lit(""), "url": F.lit("")}
+    )
     return V.flag_conflicts(df).select("offer_id", "conflict_kind", "match_type")
 
 
@@ -124,8 +161,8 @@ def j3(spark, sf_dir):
 def j4(spark, sf_dir):
     c = candidates(spark, sf_dir)
     cache = c.groupBy("sku").agg(F.max("ts").alias("ts"), F.array_sort(F.collect_set("url")).alias("urls"))
-    now = c.agg(F.max("ts")).first()[0]
-    hits, _ = J.cached_discovery(order_lines(spark, sf_dir), cache, F.lit(now), 60)
+    cache = cache.join(c.agg(F.max("ts").alias("now")))  # one row
+    hits, _ = J.cached_discovery(order_lines(spark, sf_dir), cache, F.col("now"), 60)
     return hits.groupBy("sku").agg(F.count("*").alias("urls"))
 
 

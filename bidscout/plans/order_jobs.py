@@ -49,12 +49,12 @@ COLUMNS = ("doc_id", "qty", "sku", "description", "unit_price", "extended_price"
 
 @query("s2_parse_cells", PARSED + " AND n % 2 = 1")
 def s2(spark, sf_dir):
-    return O.parse_cells(O.scan_text(order_documents(spark, sf_dir))).select(*COLUMNS)
+    return O.parse_cells(order_documents(spark, sf_dir)).select(*COLUMNS)
 
 
 @query("s3_parse_single", PARSED + " AND n % 2 = 0")
 def s3(spark, sf_dir):
-    return O.parse_single(O.scan_text(order_documents(spark, sf_dir))).select(*COLUMNS)
+    return O.parse_single(order_documents(spark, sf_dir)).select(*COLUMNS)
 
 
 @query("s4_validate_lines", PARSED + " QUALIFY row_number() OVER (PARTITION BY doc_id, sku, qty, unit, ext ORDER BY n % 2 = 0, n) = 1")

@@ -7,7 +7,7 @@ unit, $ price, $ total), or all in one line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -17,49 +17,69 @@ MONEY = r"\$([\d,]+\.\d{2})"
 MOST_CELLS = 5
 
 
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with tokens array<struct<pos, token>>: trimmed lines that aren't empty. A document is a row, so nothing is shuffled."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("token")))
+    return docs.withColumn("tokens", F.filter(lines, lambda t: t["token"] != ""))
+
+
 def scan_text(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, pos, token: trimmed lines that aren't empty."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "token"))
-    return lines.withColumn("token", F.regexp_replace("token", r"^\s+|\s+$", "")).filter("token != ''")
+    """docs (doc_id, text) -> doc_id, pos, token."""
+    return with_tokens(docs).select("doc_id", F.inline("tokens"))
 
 
 def _money(c):
     return F.replace(F.regexp_extract(c, MONEY, 1), F.lit(",")).try_cast("decimal(12,2)")
 
 
-def parse_cells(tokens: DataFrame) -> DataFrame:
+def cell_rows(tokens: Column) -> Column:
     """The cell grammar: rows in place, of cells that no earlier row has taken.
 
     A row starts at a quantity whose next cell is a sku; the description may take
-    one to five cells up to a unit cell that two money cells follow. Rows are found
-    at every place by lead(); a fold over the few starts of a document drops those
-    that begin inside a row before them.
+    one to five cells up to a unit cell that two money cells follow. A fold over the
+    few rows that fit somewhere drops those that begin inside a row before them.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    df = tokens.withColumn("n", F.row_number().over(w))
-    for k in range(1, MOST_CELLS + 5):
-        df = df.withColumn(f"c{k}", F.lead("token", k).over(w))
-    cell = lambda k: F.col(f"c{k}")
-    row = F.lit(None).cast("struct<cells:int,description:string,uom:string,unit_price:decimal(12,2),extended_price:decimal(12,2)>")
-    for d in range(MOST_CELLS, 0, -1):
-        fits = F.rlike(cell(d + 2), F.lit("^[A-Z]{2,3}$")) & F.rlike(cell(d + 3), F.lit(f"^{MONEY}$")) & F.rlike(cell(d + 4), F.lit(f"^{MONEY}$"))
-        made = F.struct(F.lit(d + 5).alias("cells"), F.concat_ws(" ", *(cell(k) for k in range(2, d + 2))).alias("description"), cell(d + 2).alias("uom"), _money(cell(d + 3)).alias("unit_price"), _money(cell(d + 4)).alias("extended_price"))
-        row = F.when(F.coalesce(fits, F.lit(False)), made).otherwise(row)
-    starts = df.filter(F.rlike("token", F.lit(r"^\d{1,5}$")) & F.rlike("c1", F.lit(r"^\d{6,8}$"))).withColumn("row", row).filter("row IS NOT NULL")
-    starts = starts.select("doc_id", "pos", "n", F.col("token").cast("int").alias("qty"), F.col("c1").alias("sku"), "row.*")
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("kept"))
-    take = lambda a, x: F.struct((x["n"] + x["cells"] - 1).alias("end"), F.concat(a["kept"], F.array(x["n"])).alias("kept"))
-    rows = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("rows"))
-    kept = rows.select("doc_id", F.explode(F.aggregate("rows", none, lambda a, x: F.when(x["n"] > a["end"], take(a, x)).otherwise(a), lambda a: a["kept"])).alias("n"))
-    return starts.join(kept, ["doc_id", "n"]).select("doc_id", "pos", F.lit(0).alias("pass"), "qty", "sku", "description", "uom", "unit_price", "extended_price")
-
-
-def parse_single(tokens: DataFrame) -> DataFrame:
+    at = lambda i, k=0: F.get(tokens, i + k)["token"]
+
+    def row(i: Column) -> Column:
+        out = F.lit(None).cast(f"struct<n:int,cells:int,line:{LINE}>")
+        for d in range(MOST_CELLS, 0, -1):
+            fits = F.rlike(at(i, d + 2), F.lit("^[A-Z]{2,3}$")) & F.rlike(at(i, d + 3), F.lit(f"^{MONEY}$")) & F.rlike(at(i, d + 4), F.lit(f"^{MONEY}$"))
+            line = _line(F.get(tokens, i)["pos"], 0, at(i), at(i, 1), F.concat_ws(" ", *(at(i, k) for k in range(2, d + 2))), at(i, d + 2), _money(at(i, d + 3)), _money(at(i, d + 4)))
+            out = F.when(F.coalesce(fits, F.lit(False)), F.struct(i.alias("n"), F.lit(d + 5).alias("cells"), line.alias("line"))).otherwise(out)
+        return out
+
+    starts = F.filter(F.transform(tokens, lambda t, i: i), lambda i: F.rlike(at(i), F.lit(r"^\d{1,5}$")) & F.coalesce(F.rlike(at(i, 1), F.lit(r"^\d{6,8}$")), F.lit(False)))
+    none = F.struct(F.lit(-1).alias("end"), F.array().cast(f"array<{LINE}>").alias("kept"))
+    take = lambda a, x: F.struct((x["n"] + x["cells"] - 1).alias("end"), F.concat(a["kept"], F.array(x["line"])).alias("kept"))
+    return F.aggregate(F.array_compact(F.transform(starts, row)), none, lambda a, x: F.when(x["n"] > a["end"], take(a, x)).otherwise(a), lambda a: a["kept"])
+
+
+def single_rows(tokens: Column) -> Column:
     """The grammar of one line to a row."""
     pattern = rf"^(\d{{1,5}})\s+(\d{{6,8}})\s+(.+?)\s+([A-Z]{{2,3}})\s+{MONEY}\s+{MONEY}$"
-    g = lambda k: F.regexp_extract("token", pattern, k)
-    number = lambda k: F.replace(g(k), F.lit(",")).try_cast("decimal(12,2)")
-    return tokens.filter(F.rlike("token", F.lit(pattern))).select("doc_id", "pos", F.lit(1).alias("pass"), g(1).cast("int").alias("qty"), g(2).alias("sku"), g(3).alias("description"), g(4).alias("uom"), number(5).alias("unit_price"), number(6).alias("extended_price"))
+
+    def line(t: Column) -> Column:
+        g = lambda k: F.regexp_extract(t["token"], pattern, k)
+        number = lambda k: F.replace(g(k), F.lit(",")).try_cast("decimal(12,2)")
+        return _line(t["pos"], 1, g(1), g(2), g(3), g(4), number(5), number(6))
+
+    return F.transform(F.filter(tokens, lambda t: F.rlike(t["token"], F.lit(pattern))), line)
+
+
+LINE = "struct<pos:int,pass:int,qty:int,sku:string,description:string,uom:string,unit_price:decimal(12,2),extended_price:decimal(12,2)>"
+
+
+def _line(pos, number: int, qty, sku, description, uom, unit, total) -> Column:
+    return F.struct(pos.alias("pos"), F.lit(number).alias("pass"), qty.cast("int").alias("qty"), sku.alias("sku"), description.alias("description"), uom.alias("uom"), unit.alias("unit_price"), total.alias("extended_price"))
+
+
+def parse_cells(docs: DataFrame) -> DataFrame:
+    return with_tokens(docs).select("doc_id", F.inline(cell_rows(F.col("tokens"))))
+
+
+def parse_single(docs: DataFrame) -> DataFrame:
+    return with_tokens(docs).select("doc_id", F.inline(single_rows(F.col("tokens"))))
 
 
 def validate(lines: DataFrame) -> DataFrame:
@@ -71,24 +91,22 @@ def validate(lines: DataFrame) -> DataFrame:
 
 def order_lines(docs: DataFrame) -> DataFrame:
     """docs -> validated lines of both grammars, with the pack that the description states."""
-    tokens = scan_text(docs)
-    lines = validate(parse_cells(tokens).unionByName(parse_single(tokens)))
+    tokens = F.col("tokens")
+    lines = validate(with_tokens(docs).select("doc_id", F.inline(F.concat(cell_rows(tokens), single_rows(tokens)))))
     return lines.withColumn("pack_qty", T.pack_of(F.col("description"))["count"])
 
 
 def headers(docs: DataFrame) -> DataFrame:
     """reference, printed_total, order_date, ship_to: the first of each in a document."""
-    tokens = scan_text(docs)
-    after = F.lead("token").over(Window.partitionBy("doc_id").orderBy("pos"))
-    ship = tokens.withColumn("after", after).filter(F.lower("token") == "ship to").groupBy("doc_id").agg(F.min_by("after", "pos").alias("ship_to"))
+    ship = F.array_position(F.transform("tokens", lambda t: F.lower(t["token"])), "ship to").cast("int")
     text = F.col("text")
-    out = docs.select(
+    return with_tokens(docs).select(
         "doc_id",
         F.nullif(F.regexp_extract(text, r"OR\d{16,22}", 0), F.lit("")).alias("reference"),
         F.replace(F.regexp_extract(text, rf"Total(?: Price)?:?\s*{MONEY}", 1), F.lit(",")).try_cast("decimal(14,2)").alias("printed_total"),
         F.try_to_date(F.regexp_extract(text, r"\b\d{2}/\d{2}/\d{4}\b", 0), "MM/dd/yyyy").alias("order_date"),
+        F.when(ship > 0, F.get("tokens", ship)["token"]).alias("ship_to"),
     )
-    return out.join(ship, "doc_id", "left")
 
 
 def cross_check(orders: DataFrame, lines: DataFrame, expected: DataFrame, words: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.caches import upsert_latest
@@ -157,17 +157,31 @@ def lifecycle(events: DataFrame) -> DataFrame:
     return df.select("job_id", "started", F.col("end.ts").alias("ended"), F.floor((F.unix_micros(F.col("end.ts").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1_000_000).alias("seconds"), status.alias("status"))
 
 
+BUCKETS = 64
+
+
+def upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table that upsert_batches keeps at path: the newest version of each bucket (of batches before a number)."""
+    df = spark.read.parquet(path)
+    df = df if before is None else df.filter(F.col("v") < before)
+    newest = df.groupBy("bucket").agg(F.max("v").alias("v"))  # partition columns only
+    return df.join(F.broadcast(newest), ["bucket", "v"])  # BUCKETS rows at most
+
+
 def upsert_batches(updates: DataFrame, path: str, key: list[str], order: list[str]):
     """A sink for ST6: each micro-batch's last rows merged into a table by key. Returns the stream's writer.
 
-    A batch writes a new version of the table beside the old one, named by its
-    number, so that a batch that is run again gives the same version.
+    The table is cut into buckets by a hash of the key; a batch rewrites only those
+    it has rows for, as versions named by its number, so that a batch that is run
+    again gives the same versions. upserted() reads the table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = [spark.read.parquet(f"{path}/v={number - 1}")] if number else []
-        both = upsert_latest(old[0], batch, key, order) if old else upsert_latest(batch.filter(F.lit(False)), batch, key, order)
-        both.write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        old = upserted(spark, path, number).filter(F.col("bucket").isin(touched)).drop("v").select(*new.columns) if number else new.filter(F.lit(False))
+        both = upsert_latest(old, new, [*key, "bucket"], order).withColumn("v", F.lit(number))
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
 
     return updates.writeStream.foreachBatch(merge)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from bidscout.functions import rules as R
 from bidscout.functions import text as T
 from bidscout.functions import urls as U
 from bidscout.operators import caches as K
@@ -108,10 +109,23 @@ def test_seller_tables(spark):
 
 
 def test_seller_table_without_links(spark):
-    text = "Acme $12.00 ~~$15.00~~ In stock\nBolt $9.50 Out of stock\nCog $11.00 Special order"
+    text = "Acme In stock ~~$15.00~~ $12.00 + $5.00 Flat Rate\nBolt Out of stock $9.50\nCog Special order $11.00"
     pages = spark.createDataFrame([("u", text)], "url string, text string")
     got = P.aggregator_price(P.seller_rows(pages), pages).first()
     assert (float(got.price), got.n_rows) == (11.0, 2)
+    assert {float(r.total) for r in P.seller_rows(pages, include_shipping=True).collect()} == {17.0, 11.0}
+
+
+def test_seller_table_of_cart_rows(spark):
+    text = "Acme ~~$15.00~~ $12.00 1 @ $3.00\nAdd to Cart\nBolt backordered $9.50\nadd  to cart Cog $11.00 lowest price ADD TO CART footer $1.00"
+    rows = P.seller_rows(spark.createDataFrame([("u", text.replace("backordered", "notify me"))], "url string, text string")).collect()
+    assert [(float(r.total), r.badge) for r in rows] == [(12.0, False), (11.0, True)]
+
+
+def test_seller_price_without_a_link_looks_back(spark):
+    text = "Backordered" + " " * 390 + "$5.00/ea" + " " * 250 + "shipping surcharge $4.00 Backordered" + " " * 401 + "$6.00/ea"
+    rows = P.seller_rows(spark.createDataFrame([("u", text)], "url string, text string")).collect()
+    assert [(float(r.total), r.status) for r in rows] == [(5.0, "Backordered"), (6.0, None)]
 
 
 def test_structured_offers(spark):
@@ -187,3 +201,44 @@ def test_reports_are_overwritten_by_order(spark, tmp_path):
     write_reports({"a": rows(("x", 3))}, str(tmp_path))
     assert {(r.sku, r.reference) for r in spark.read.parquet(f"{tmp_path}/a").collect()} == {(3, "x"), (2, "y")}
     assert {tuple(r) for r in latest_run(rows(("x", 1), ("x", 2), ("y", 2)), rows(("x", 3))).collect()} == {("x", 3), ("y", 2)}
+
+
+def test_generic_listings_of_house_brands(spark):
+    line = dict(description="Cotton Rolls #2 Non Sterile 2000/Bx", ordered_pack=2000, unit_price=20.0, rejected_reason=None, out_of_stock=False, price_unreliable=False, structured_name=None, pack_qty=None, title=None, price=9.0, url="https://m.example/x")
+    kind = "description string, ordered_pack int, unit_price double, rejected_reason string, out_of_stock boolean, price_unreliable boolean, structured_name string, pack_qty int, title string, price double, url string, page_name string"
+    cases = [
+        (dict(page_name="Plain cotton rolls # 2, 2000/bx"), True),
+        (dict(page_name="Plain cotton rolls #4, 2000/bx"), False),  # another grade
+        (dict(page_name="Gauze sponge #2 2000 2000/bx"), False),  # another product
+        (dict(page_name="Cotton rolls #2", url="https://m.example/cotton-2000-bx"), True),  # the pack is in the url
+        (dict(page_name="Cotton rolls #2", pack_qty=200), False),
+        (dict(page_name=None, title="Cotton rolls #2 2000 count"), True),
+        (dict(page_name=None), False),
+        (dict(page_name="Cotton rolls #2 2000/bx", price=0.5), False),
+        (dict(page_name="Cotton rolls #2 2000/bx", rejected_reason="login required"), False),
+    ]
+    df = spark.createDataFrame([{**line, **c} for c, _ in cases], kind)
+    assert [r.ok for r in df.select(R.generic_eligible().alias("ok")).collect()] == [ok for _, ok in cases]
+
+
+def test_reports_are_written_by_order(spark, tmp_path):
+    from bidscout.operators.reports import write_reports
+
+    df = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "reference string, price int")
+    write_reports({"price_match": df, "alternates": df}, str(tmp_path))
+    write_reports({"price_match": df.filter("reference = 'A' AND price = 2")}, str(tmp_path))
+    got = lambda name: sorted((r.reference, r.price) for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+    assert got("price_match") == [("A", 2), ("B", 3)] and got("alternates") == [("A", 1), ("A", 2), ("B", 3)]
+
+
+def test_pack_phrases(spark):
+    pack = lambda t: one(spark, T.pack_from_text(F.col("t")), t=t)
+    assert [pack(t) for t in ("Pack of 12, $3.10 each", "Contains: 5 per Package", "sold individually", "50mL PF171-5 Size 5", "100/Bx")] == [12, 5, 1, None, 100]
+
+
+def test_cross_sell_is_cut_at_a_line_after_the_start(spark):
+    cut = lambda t: len(one(spark, T.without_cross_sell(F.col("t")), t=t))
+    assert cut("Related products\n" + "x" * 500) == 517
+    assert cut("x" * 399 + "\nRelated products") == 400  # the line begins at 400
+    assert cut("x" * 398 + "\nRelated products") == 415  # at 399
+    assert cut("x" * 500 + " related products") == 517

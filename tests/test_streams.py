@@ -10,7 +10,7 @@ from bidscout.streaming import jobs as J
 
 def replay(spark, sf, tmp_path, parts=3):
     """The events as a stream of files in time order."""
-    events = spark.read.parquet(f"{sf}/events.parquet").limit(600)
+    events = spark.read.parquet(f"{sf}/events.parquet")
     part = events.withColumn("part", F.ntile(parts).over(Window.orderBy("ts")))
     for k in range(1, parts + 1):
         part.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
@@ -50,6 +50,6 @@ def test_upserts(spark, sf, tmp_path):
     keep = ["user_id", "event_id", "event_type"]
     q = J.upsert_batches(stream.select(*keep), f"{tmp_path}/table", ["user_id"], ["event_id"]).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    last = spark.read.parquet(f"{tmp_path}/table/v=2")
+    last = J.upserted(spark, f"{tmp_path}/table")
     want = upsert_latest(events.select(*keep).limit(0), events.select(*keep), ["user_id"], ["event_id"])
     assert last.select(*keep).exceptAll(want.select(*keep)).isEmpty() and last.count() == want.count()
