@@ -143,101 +143,91 @@ def blocks_of(text: bytes, first: int, last: int, anchor: int, window: int = WIN
             yield xxhash.xxh3_128_digest(core + bytes([b])), lo, text[lo:high], text[low + window : hi + window]
 
 
-def merged_columns(group: list[tuple[bytes, bytes]], window: int) -> tuple[np.ndarray, list[tuple[int, int]], list[list[tuple[int, int, int]]]]:
-    """Strings (before, after a common symbol) of a group, in few symbols.
+def merged_columns(before: list[bytes], after: list[bytes], group: np.ndarray, shown: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Strings (bytes before and after a common symbol) of groups, in few symbols; shown: the strings in the order of the text.
 
-    Two neighbouring columns are one symbol if all strings that have them agree in
-    both, unless a string begins or ends between them, or a window that begins or
-    ends between them would be told apart by it. So windows that begin in one symbol
-    are alike: either all or none of them are repeated.
+    Two neighbouring columns of a group are one symbol if all strings that have them
+    agree in both, unless a string begins or ends between them, or a window that
+    begins or ends between them would be told apart by it. So windows that begin in
+    one symbol are alike: either all or none of them are repeated.
 
-    -> symbols by string and column; the columns (from, to) of each string; for each
-    string its kinds of windows, by column: (first window, last window, symbols of a window).
+    -> for each symbol of the text: its row in shown, the symbol (from 0), the first and
+    the last window that begin in it, and the symbols of a window (0: none begins).
     """
-    left = max(len(b) for b, _ in group)
-    width = left + 1 + max(len(a) for _, a in group)
-    begin = np.array([left - len(b) for b, _ in group])
-    end = np.array([left + 1 + len(a) for _, a in group])
-    chars = np.frombuffer(b"".join(bytes(left - len(b)) + b + b"\0" + a + bytes(width - left - 1 - len(a)) for b, a in group), np.uint8).reshape(len(group), width)
-    at = np.arange(width)
+    left, right = (np.fromiter(map(len, x), np.int64, len(x)) for x in (before, after))
+    most, width = int(left.max()), int(left.max() + 1 + right.max())
+    chars = np.frombuffer(b"".join(bytes(most - len(b)) + b + b"\0" + a + bytes(width - most - 1 - len(a)) for b, a in zip(before, after, strict=True)), np.uint8).reshape(-1, width)
+    begin, end, at = most - left, most + 1 + right, np.arange(width)
     has = (at >= begin[:, None]) & (at < end[:, None])
-    differ = np.where(has, chars, 255).min(axis=0) < np.where(has, chars, 0).max(axis=0)
-    edge = np.zeros(width + window + 2, dtype=bool)
-    edge[:width] |= differ
-    edge[1 : width + 1] |= differ
-    edge[begin] = edge[end] = edge[end + 1] = True
-    cuts = edge[: width + 1].copy()
-    cuts |= edge[window : window + width + 1]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    differ = np.minimum.reduceat(np.where(has, chars, 255), first) < np.maximum.reduceat(np.where(has, chars, 0), first)
+    edge = np.zeros((len(first), width + window + 2), dtype=bool)
+    edge[:, :width] |= differ
+    edge[:, 1 : width + 1] |= differ
+    for x in (begin, end, end + 1):
+        edge[group, x] = True
+    cuts = edge[:, : width + 1] | edge[:, window : window + width + 1]
     if width >= window:
-        cuts[window:] |= edge[: width + 1 - window]
-    cuts = np.flatnonzero(cuts)
-    number = np.arange(len(cuts) - 1)
-    symbols = number * 257 + np.where(differ[cuts[:-1]], chars[:, cuts[:-1]].astype(np.int64), 256)
-    till = np.searchsorted(cuts, cuts + window)
-    columns, kinds = [], []
-    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-        i, j = int(np.searchsorted(cuts, b)), int(np.searchsorted(cuts, e))
-        columns.append((i, j))
-        own = []
-        for k in range(i, j):
-            c = int(cuts[k])
-            if c > e - window:
-                break
-            own.append((c - b, min(int(cuts[k + 1]) - 1, e - window) - b, int(till[k]) - k))
-        kinds.append(own)
-    return symbols, columns, kinds
-
-
-def repeated_in(groups: list[list[tuple[bytes, bytes, int, int]]], order: Callable[[list[int]], list[int]] = suffix_array) -> list[list[tuple[int, int]]]:
-    """Groups of distinct strings (before, after a common symbol, number of occurrences, symbols of a window)
-    -> for each string, in order, the windows (from its first) that are repeated, as runs, by a suffix array."""
-    text: list[int] = []
-    owner: list[int] = []  # by place in text: the string
-    kind: list[int] = []  # its kind of window; -1: no window begins there
-    span: list[int] = []
-    kinds_of: list[list[tuple[int, int, int]]] = []
-    base = 2
-    for group in groups:
-        if len(group) == 1:  # one symbol
-            b, a, times, window = group[0]
-            for _ in range(min(times, 2)):
-                text += (base, 1)
-                owner += [len(kinds_of)] * 2
-                kind += (0, -1)
-                span += (1, 0)
-            kinds_of.append([(0, len(b) + len(a) + 1 - window, 1)])
-            base += 1
-            continue
-        symbols, columns, kinds = merged_columns([(b, a) for b, a, _, _ in group], group[0][3])
-        for row, (i, j), own, (_, _, times, _) in zip((symbols + base).tolist(), columns, kinds, group, strict=True):
-            for _ in range(min(times, 2)):
-                text += row[i:j]
-                text.append(1)
-                owner += [len(kinds_of)] * (j - i + 1)
-                kind += [*range(len(own)), *[-1] * (j - i + 1 - len(own))]
-                span += [*(n for _, _, n in own), *[0] * (j - i + 1 - len(own))]
-            kinds_of.append(own)
-        base += 257 * symbols.shape[1]
-    text.append(0)
-    span.append(0)
-    hit: list[set[int]] = [set() for _ in kinds_of]
-    begins = [s for s in order(text) if span[s]]
-    for s, r in zip(begins, begins[1:], strict=False):
-        n = span[s]
-        if n == span[r] and text[s : s + n] == text[r : r + n]:
-            hit[owner[s]].add(kind[s])
-            hit[owner[r]].add(kind[r])
-    return [_runs([own[k][:2] for k in sorted(h)]) for own, h in zip(kinds_of, hit, strict=True)]
-
-
-def _runs(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in found:
-        if out and out[-1][1] >= a - 1:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+        cuts[:, window:] |= edge[:, : width + 1 - window]
+    number = np.cumsum(cuts, axis=1) - 1
+    base = 257 * np.r_[0, np.cumsum(number[:-1, -1] + 1)]
+    row, c = np.nonzero(cuts[group[shown], :width] & has[shown])
+    string = shown[row]
+    g, b, e = group[string], begin[string], end[string]
+    symbol = base[g] + 257 * number[g, c] + np.where(differ[g, c], chars[string, c], 256)
+    span = np.where(c <= e - window, number[g, np.minimum(c + window, width)] - number[g, c], 0)
+    following = np.where(np.r_[row[1:] == row[:-1], False], np.r_[c[1:], 0], e)
+    return row, symbol, c - b, np.minimum(following - 1, e - window) - b, span
+
+
+def repeated_in(before: list[bytes], after: list[bytes], times: np.ndarray, windows: np.ndarray, starts: np.ndarray, order: Callable[[list[int]], list[int]] = suffix_array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups (that begin at starts) of distinct strings: before and after a symbol that the group has in common, with the
+    number of their occurrences and the length of a window, which is one for all groups of several strings.
+
+    -> (string, first window, last window) of each run of repeated windows, decided by a suffix array. What occurs
+    several times stands in the text twice; a string that is its group's only one is one symbol.
+    """
+    n = len(before)
+    size = np.diff(np.r_[starts, n])
+    alone = np.repeat(size == 1, size)
+    shown = np.repeat(np.arange(n), np.minimum(times, 2))
+    some, lone = shown[~alone[shown]], shown[alone[shown]]
+    strings, symbols, xs, ys, spans = [], [], [], [], []
+
+    def add(string, at, symbol, x, y, span, rows) -> None:
+        """Rows of symbols, with a separator (1) behind each."""
+        place = np.arange(len(at)) + at
+        for out, value, rest in ((strings, string, 0), (symbols, symbol, 1), (xs, x, 0), (ys, y, 0), (spans, span, 0)):
+            filled = np.full(len(at) + rows, rest, dtype=np.int64)
+            filled[place] = value
+            out.append(filled)
+
+    highest = 2
+    if len(some):
+        own = np.flatnonzero(~alone)
+        index = np.cumsum(~alone) - 1
+        group = np.repeat(np.arange((size > 1).sum()), size[size > 1])
+        row, symbol, x, y, span = merged_columns([before[k] for k in own], [after[k] for k in own], group, index[some], int(windows[own[0]]))
+        add(some[row], row, symbol + highest, x, y, span, len(some))
+        highest += int(symbol.max()) + 1
+    if len(lone):
+        last = np.array([len(before[k]) + len(after[k]) + 1 - windows[k] for k in lone])
+        add(lone, np.arange(len(lone)), lone + highest, 0, last, 1, len(lone))
+    if not strings:
+        return (np.empty(0, np.int64),) * 3
+    string, text, x, y, span = (np.r_[np.concatenate(v), 0] for v in (strings, symbols, xs, ys, spans))
+    plain = text.tolist()
+    sorted_ = np.array(order(plain), dtype=np.int64)
+    sorted_ = sorted_[span[sorted_] > 0]
+    a, b = sorted_[:-1], sorted_[1:]
+    near = np.flatnonzero((span[a] == span[b]) & (text[a] == text[b]))
+    equal = [i for i, p, q, k in zip(near.tolist(), a[near].tolist(), b[near].tolist(), span[a[near]].tolist(), strict=True) if plain[p : p + k] == plain[q : q + k]]
+    hit = np.unique(np.r_[a[equal], b[equal]])
+    found = np.unique(np.c_[string[hit], x[hit], y[hit]], axis=0)
+    if not len(found):
+        return (np.empty(0, np.int64),) * 3
+    new = np.r_[True, (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] > found[:-1, 2] + 1)]
+    return found[new, 0], found[new, 1], found[np.r_[new[1:], True], 2]
 
 
 def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] = suffix_array) -> DataFrame:
@@ -250,18 +240,18 @@ def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] =
         for part in parts:
             for row, lo, hi, anchor, h, names in regions(part.column(2), most=most):
                 of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lo), pa.array(hi), pa.array(anchor), pa.array(h), pa.array(names, pa.binary())], names=["doc_id", "raw", "lo", "hi", "anchor", "h", "name"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(lo, pa.int32()), pa.array(hi - lo, pa.int16()), pa.array(anchor - lo, pa.int16()), pa.array(h), pa.array(names, pa.binary())], names=["doc_id", "raw", "lo", "more", "off", "h", "name"])
 
-    every = cut(keyed.mapInArrow(cut_up, f"doc_id {kind}, raw long, lo long, hi long, anchor long, h long, name binary"), "every")
+    every = cut(keyed.mapInArrow(cut_up, f"doc_id {kind}, raw long, lo int, more short, off short, h long, name binary"), "every")
     often = cut(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     bits = cut(sieve(often, F.col("h")), "sieve")
     found = sifted(every, F.col("h"), bits, "maybe").filter("maybe").drop("maybe").join(often, "h", "left_semi")
     found = cut(found, "regions")
     # equal regions are one kind; one of them takes part for all
-    place = ("doc_id", "raw", "lo", "hi", "anchor")
+    place = ("doc_id", "raw", "lo", "more", "off")
     names = cut(found.groupBy("h", "name").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in place)), "names")
     several = names.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-    asked = names.join(several, "h", "left_semi").groupBy("doc_id", "raw").agg(F.collect_set(F.struct("lo", "hi", "anchor", "copies")).alias("open"))
+    asked = names.join(several, "h", "left_semi").groupBy("doc_id", "raw").agg(F.collect_set(F.struct("lo", "more", "off", "copies")).alias("open"))
     asked = cut(asked.select(F.col("doc_id").alias("a_id"), F.col("raw").alias("a_raw"), "open"), "asked")
     bits = cut(sieve(asked, F.xxhash64("a_id", "a_raw")), "sieve")
     texts = sifted(keyed, F.xxhash64("doc_id", "raw"), bits, "maybe").filter("maybe").drop("maybe")
@@ -273,7 +263,7 @@ def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] =
             cols: list[list] = [[] for _ in range(7)]
             for i, (text, open_) in enumerate(zip(_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
                 for r in open_:
-                    for core, lo, before, after in blocks_of(text, r["lo"], r["hi"], r["anchor"]):
+                    for core, lo, before, after in blocks_of(text, r["lo"], r["lo"] + r["more"], r["lo"] + r["off"]):
                         for c, v in zip(cols, (i, core, lo, before, after, r["copies"], xxhash.xxh3_128_digest(core + bytes([len(before)]) + before + after)), strict=True):
                             c.append(v)
             of = pa.array(cols[0], pa.int64())
@@ -289,23 +279,24 @@ def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] =
 
     def sort(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(parts, ["core"], GROUP):
-            starts = [*run_starts(t, ["core"]).tolist(), t.num_rows]
-            rows = list(zip(t["before"].to_pylist(), t["after"].to_pylist(), t["times"].to_pylist(), t["wide"].to_pylist(), strict=True))
-            out: tuple[list, list, list] = ([], [], [])
-            held: list[tuple[int, int]] = []
-            size = 0
-            for a, b in zip(starts, starts[1:], strict=False):
-                if b - a > 1 or rows[a][2] > 1:
-                    held.append((a, b))
-                    size += sum(len(r[0]) + len(r[1]) + 2 for r in rows[a:b])
-                if held and (size >= TEXT or b == t.num_rows):
-                    at = [k for x, y in held for k in range(x, y)]
-                    for k, runs in zip(at, repeated_in([rows[x:y] for x, y in held], order), strict=True):
-                        for x, y in runs:
-                            for c, v in zip(out, (k, x, y), strict=True):
-                                c.append(v)
-                    held, size = [], 0
-            yield from pa.table([t["same"].take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["same", "x", "y"]).to_batches()
+            starts = run_starts(t, ["core"])
+            size = np.diff(np.r_[starts, t.num_rows])
+            # a lone block of a core that no other has isn't repeated
+            open_ = np.repeat((size > 1) | (t["times"].to_numpy()[starts] > 1), size)
+            t = t.filter(pa.array(open_))
+            starts = run_starts(t, ["core"])
+            before, after, times, windows = t["before"].to_pylist(), t["after"].to_pylist(), t["times"].to_numpy(), t["wide"].to_numpy()
+            length = np.cumsum([len(b) + len(a) + 2 for b, a in zip(before, after, strict=True)])
+            a = 0
+            while a < len(starts):  # whole groups, of about TEXT symbols
+                low = int(starts[a])
+                b = a + 1
+                while b < len(starts) and length[starts[b] - 1] - (length[low - 1] if low else 0) < TEXT:
+                    b += 1
+                high = int(starts[b]) if b < len(starts) else t.num_rows
+                k, x, y = repeated_in(before[low:high], after[low:high], times[low:high], windows[low:high], starts[a:b] - low, order)
+                yield from pa.table([t["same"].take(pa.array(k + low)), pa.array(x), pa.array(y)], names=["same", "x", "y"]).to_batches()
+                a = b
 
     answers = cut(small.select("core", "same", "before", "after", "times", "wide").mapInArrow(sort, "same binary, x long, y long"), "answers")
     # cores with very many blocks: a window is its core and what is around it
@@ -313,7 +304,7 @@ def repeated_windows(docs: DataFrame, order: Callable[[list[int]], list[int]] =
     large = large.withColumn("pre", F.expr("substring(before, k + 1)")).withColumn("post", F.expr(f"substring(after, 1, {BLOCK - 1} - (length(before) - k))"))
     counted = large.groupBy("core", "pre", "post").agg(F.sum("times").alias("n")).filter("n > 1").select("core", "pre", "post")
     counted = large.join(counted, ["core", "pre", "post"], "left_semi").select("same", F.col("k").cast("long").alias("x"), F.col("k").cast("long").alias("y"))
-    full = found.join(answers.select(F.col("same").alias("name")), "name", "left_semi").select("doc_id", "raw", "lo", "hi")
+    full = found.join(answers.select(F.col("same").alias("name")), "name", "left_semi").select("doc_id", "raw", F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("more")).cast("long").alias("hi"))
     part = made.filter("copies = 1").join(answers.unionByName(counted), "same").select("doc_id", "raw", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi"))
     return full.unionByName(part)
 

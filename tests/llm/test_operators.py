@@ -267,6 +267,20 @@ def test_chats_round_trip(spark):
     assert chat_format.format_chats(df.filter("false")).count() == 0
 
 
+def test_chats_with_nulls_ties_and_clashing_names(spark):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (1, None, "user", "first"), (1, 0, "assistant", "second"), (2, 5, "user", "b"), (2, 5, "user", "a"), (2, 5, "assistant", "z"), (3, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, None, None)]
+    kind = "conv_id long, turn long, role string, text string, segments int, valid string, ts int, formatted int, loss_spans string"
+    df = spark.createDataFrame([(*r, 1, "v", 2, 3, "s") for r in rows], kind)
+    got = {x.conv_id: [tuple(t) for t in x.t] for x in chat_format.format_chats(df).select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {
+        None: [("user", "a"), ("assistant", "b")],
+        1: [("user", "first"), ("assistant", "second")],  # a null turn is first
+        2: [("assistant", "z"), ("user", "a"), ("user", "b")],  # equal turns by role, then text
+        3: [("user", "x"), ("user", "x")],
+        4: [("", "")],
+    }
+
+
 # 6 near copies --------------------------------------------------------------
 
 
@@ -321,19 +335,29 @@ def test_suffix_arrays():
 
 
 def test_repeated_strings():
+    import numpy as np
+
     r = random.Random(9)
     for _ in range(300):
-        core, wide, group = "c", r.choice([1, 2, 5, 25]), set()
-        for _ in range(r.randint(1, 7)):
-            b, a = (bytes(r.choice(b"ab") for _ in range(r.randint(0, wide - 1))) for _ in range(2))
-            group.add((b, a, r.randint(1, 3), wide))
-        group = [g for g in {(g[0], g[1]): g for g in group}.values() if len(g[0]) + len(g[1]) + 1 >= wide]
-        if not group:
+        wide, groups = r.choice([1, 2, 5, 25]), []
+        for _ in range(r.randint(1, 4)):
+            group = {}
+            for _ in range(r.randint(1, 7)):
+                b, a = (bytes(r.choice(b"ab") for _ in range(r.randint(0, wide - 1))) for _ in range(2))
+                if len(b) + len(a) + 1 >= wide:
+                    group[b, a] = r.randint(1, 3)
+            if group:
+                groups.append(group)
+        if not groups:
             continue
-        seen = collections.Counter((k - len(b), (b + core.encode() + a)[k : k + wide]) for b, a, n, _ in group for k in range(len(b) + len(a) + 2 - wide) for _ in range(n))
-        want = [{k for k in range(len(b) + len(a) + 2 - wide) if seen[k - len(b), (b + core.encode() + a)[k : k + wide]] > 1} for b, a, *_ in group]
-        got = [{k for x, y in runs for k in range(x, y + 1)} for runs in repeats.repeated_in([group, [(b"", b"", 2, 1)], group])]
-        assert got[: len(group)] == got[len(group) + 1 :] == want and got[len(group)] == {0}
+        rows = [(g, b, a, n) for g, group in enumerate(groups) for (b, a), n in group.items()]
+        whole = lambda b, a, k: (b + b"c" + a)[k : k + wide]
+        places = lambda b, a: range(len(b) + len(a) + 2 - wide)
+        seen = collections.Counter((g, k - len(b), whole(b, a, k)) for g, b, a, n in rows for k in places(b, a) for _ in range(n))
+        want = {(i, k) for i, (g, b, a, n) in enumerate(rows) for k in places(b, a) if seen[g, k - len(b), whole(b, a, k)] > 1}
+        starts = np.cumsum([0, *map(len, groups)])[:-1]
+        found = repeats.repeated_in([x[1] for x in rows], [x[2] for x in rows], np.array([x[3] for x in rows]), np.full(len(rows), wide), starts)
+        assert {(int(i), k) for i, x, y in zip(*found) for k in range(x, y + 1)} == want
 
 
 def test_nothing_is_repeated_without_the_array(docs):
