@@ -82,6 +82,7 @@ def test_best_exact(spark):
 
 
 SELLERS = """**$41.94**/ea
+Vendor options
 [Alpha Supply](https://m.example/vendor/alpha-supply/1 "x")
 Stocked. **$41.94**/ea + FREE Standard Shipping
 $41.94
@@ -123,7 +124,7 @@ def test_seller_table_of_cart_rows(spark):
 
 
 def test_seller_price_without_a_link_looks_back(spark):
-    text = "Backordered" + " " * 390 + "$5.00/ea" + " " * 250 + "shipping surcharge $4.00 Backordered" + " " * 401 + "$6.00/ea"
+    text = "Backordered" + " " * 380 + "$5.00/ea" + " " * 250 + "shipping surcharge $4.00 Backordered" + " " * 401 + "$6.00/ea"
     rows = P.seller_rows(spark.createDataFrame([("u", text)], "url string, text string")).collect()
     assert [(float(r.total), r.status) for r in rows] == [(5.0, "Backordered"), (6.0, None)]
 
