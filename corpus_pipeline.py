@@ -4,7 +4,13 @@ Each stage is one operator of bidscout.llm on all its predecessor kept. A stage
 takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as
 Parquet to the shared folder and reads it again as the next one's docs. All but
 the last return the columns of documents; the last adds times (how often the mix
-takes a row), size, source_size and target.
+takes a row), size, source_size and target; names that clash are prefixed mix_.
+
+Defined cases: null and empty texts are documents without words, which the
+classifier judges, which are nobody's copies and aren't contaminated; null doc_ids
+and sources are kept; repeated rows are copies of each other, of which one stays;
+labels and benchmark items of no document change nothing; an empty table gives an
+empty table; further columns are kept.
 """
 
 from __future__ import annotations
