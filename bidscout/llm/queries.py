@@ -9,6 +9,7 @@ from .html_extract import op4_html_extract
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
 from .near_join import op6_near_join
+from .phrases import OP11_SQL, op11_phrases
 from .quality import op10_quality
 from .repeats import op7_suffix_dedup
 from .token_count import op3_token_count
@@ -24,6 +25,7 @@ QUERIES = {
     "op3_token_count": op3_token_count,
     "op4_html_extract": op4_html_extract,
     "op5_chat_format": op5_chat_format,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLES = {
@@ -31,4 +33,5 @@ ORACLES = {
     "op9_line_dedup": OP9_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op5_chat_format": OP5_SQL,
+    "op11_phrases": OP11_SQL,
 }
