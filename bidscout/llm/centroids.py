@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, table
 
 #: Components are within plus or minus SPAN, so that 64 squared differences are within a long.
 SPAN = 1 << 27
@@ -54,7 +54,7 @@ def whole_vectors(df: DataFrame, id_col: str, vector_col: str, size: int, scale:
 
 def first_centroids(vectors: DataFrame, k: int, seed: str) -> np.ndarray:
     """The k vectors with the smallest SHA-256 of seed:id, in that order."""
-    rank = F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), text_of("id")), "UTF-8"), 256)
+    rank = F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), "UTF-8"), 256)
     rows = vectors.select(rank.alias("rank"), "v").orderBy(F.asc_nulls_last("rank"), "v").limit(k).collect()
     return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
 
@@ -133,9 +133,9 @@ def assigned(state: DataFrame, centroids: np.ndarray, loosened: np.ndarray | Non
 
 def sums(state: DataFrame, size: int) -> dict[int, tuple[int, int, list[int]]]:
     """By cluster: vectors, the largest squared distance, the sum of each component."""
-    columns = [F.sum(F.get("v", F.lit(i)).cast("decimal(19,0)")).alias(f"s{i}") for i in range(size)]
+    columns = [F.sum(F.get("v", F.lit(i)).cast("long")).alias(f"s{i}") for i in range(size)]
     rows = state.groupBy("cluster").agg(F.count("*").alias("n"), F.max("distance").alias("far"), *columns).collect()
-    return {r["cluster"]: (r["n"], r["far"], [int(r[f"s{i}"]) for i in range(size)]) for r in rows}
+    return {r["cluster"]: (r["n"], r["far"], [r[f"s{i}"] for i in range(size)]) for r in rows}
 
 
 def clustered(df: DataFrame, k: int = 40, rounds: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", size: int = 64, scale: float = 256.0, seed: str = "2") -> tuple[DataFrame, np.ndarray]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_cluster
 from .chat_format import OP5_SQL, op5_chat_format
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op4_html_extract
+from .licenses import op13_licenses
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixture import op1_mix_sources
 from .near_join import op6_near_join
@@ -26,6 +28,8 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op5_chat_format": op5_chat_format,
     "op11_phrases": op11_phrases,
+    "op12_cluster": op12_cluster,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLES = {
@@ -34,4 +38,5 @@ ORACLES = {
     "op2_exact_dedup": OP2_SQL,
     "op5_chat_format": OP5_SQL,
     "op11_phrases": OP11_SQL,
+    "op12_cluster": OP12_SQL,
 }
