@@ -215,7 +215,8 @@ def marginals(windows: DataFrame, keys: list[str], longest: int, pad: object, le
     names = [f"c{k + 1}" for k in range(longest)]
     first = [strange.alias("strange")] if strange is not None else []
     counts = windows.groupBy(*keys, *names).agg(F.count("*").alias("n"), *(F.min(s).alias("strange") for s in first))
-    whole = counts.filter((F.col("n") >= least) & (F.col(names[-1]) != pad)).select(*keys, *names, F.lit(longest).alias("words"), "n")
+    # one condition, which needs the counts: a filter of the last word alone would move below the shuffle, which both uses share
+    whole = counts.filter(F.when(F.col("n") >= least, F.col(names[-1]) != pad)).select(*keys, *names, F.lit(longest).alias("words"), "n")
     if longest == 1:
         return whole
     rolled = counts.rollup(*keys, *names[:-1]).agg(F.sum("n").alias("n"), F.grouping_id().alias("gone"), *(F.min("strange").alias("strange") for _ in first))
