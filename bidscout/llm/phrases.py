@@ -36,7 +36,7 @@ from .common import cut, table
 #: Numbered words at most, and the bytes of the longest: the bound of what is sent to every task.
 VOCABULARY, LONGEST_WORD = 1 << 20, 64
 #: Bytes of text that are cut into words at once.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
 #: Characters that end a piece, and that part words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 END = re.compile(rb"[.,;:!?\x0A-\x0D]")
