@@ -56,7 +56,7 @@ def first_centroids(vectors: DataFrame, k: int, seed: str) -> np.ndarray:
     """The k vectors with the smallest SHA-256 of seed:id, in that order."""
     rank = F.sha2(F.encode(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), "UTF-8"), 256)
     rows = vectors.select(rank.alias("rank"), "v").orderBy(F.asc_nulls_last("rank"), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64)
 
 
 def squares(v: np.ndarray, c: np.ndarray) -> np.ndarray:
