@@ -187,11 +187,27 @@ def p35(spark, sf_dir):
     return P.window_text(df, F.lit("ANCHOR"), F.col("price_locked")).select("offer_id", F.char_length("window").alias("n"))
 
 
-@query("p16_apply_seller_lock", "WITH " + CANDIDATES_SQL + ", a AS (SELECT site, min(CAST(price AS DECIMAL(12,2))) AS least FROM cands WHERE NOT out_of_stock GROUP BY site HAVING count(*) % 2 = 0) SELECT offer_id, coalesce(CAST(least AS DOUBLE), price) AS price, least IS NOT NULL OR price_locked AS locked FROM cands LEFT JOIN a USING (site)")
+@query(
+    "p16_apply_seller_lock",
+    "WITH "
+    + CANDIDATES_SQL
+    + """, a AS (SELECT site, min(CAST(price AS DECIMAL(12,2))) FILTER (NOT out_of_stock) AS least, min(CAST(price AS DECIMAL(12,2))) FILTER (NOT out_of_stock AND is_seed) AS badged, count(*) FILTER (NOT out_of_stock) AS n, count(*) FILTER (out_of_stock AND is_seed) AS n_late FROM cands GROUP BY site),
+f AS (SELECT * FROM a WHERE n % 2 = 0 AND n > 0)
+SELECT offer_id, coalesce(CAST(least AS DOUBLE), price) AS price, least IS NOT NULL OR price_locked AS locked, CASE WHEN least IS NOT NULL THEN true ELSE NOT out_of_stock END AS in_stock, CASE WHEN least IS NOT NULL THEN n_late WHEN out_of_stock THEN 1 ELSE 0 END AS n_backorders,
+  CASE WHEN least IS NULL THEN rejected_reason ELSE concat_ws(' · ', rejected_reason, 'price of the seller table: lowest of ' || n || CASE WHEN n = 1 THEN ' available seller' ELSE ' available sellers' END || CASE WHEN badged IS NOT NULL AND badged = least THEN ', by its badge' ELSE ', by total' END, CASE WHEN least + 0.02 < badged THEN 'verify: the badge said $' || badged END) END AS notes
+FROM cands LEFT JOIN f USING (site)""",
+)
 def p16(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    found = c.filter("NOT out_of_stock").groupBy(F.col("site").alias("url")).agg(F.min(F.col("price").cast("decimal(12,2)")).alias("price"), F.count("*").alias("n")).filter("n % 2 = 0").select("url", "price", F.array().cast("array<string>").alias("backorder"))
-    return P.apply_seller_lock(c.withColumn("url", F.col("site")), found).select("offer_id", "price", F.col("price_locked").alias("locked"))
+    late = lambda *c: F.array(F.struct(*c))
+    c = candidates(spark, sf_dir).withColumn("url", F.col("site")).withColumn("in_stock", ~F.col("out_of_stock")).withColumn("notes", F.col("rejected_reason"))
+    c = c.withColumn("backorder", F.when(F.col("out_of_stock"), late("price", F.lit("Backordered").alias("status"), F.col("site").alias("vendor"))).otherwise(F.array().cast("array<struct<price:double,status:string,vendor:string>>")))
+    p, ok = F.col("price").cast("decimal(12,2)"), ~F.col("out_of_stock")
+    found = c.groupBy("url").agg(
+        F.min(F.when(ok, p)).alias("price"), F.min(F.when(ok & F.col("is_seed"), p)).alias("badge_price"), F.count_if(ok).alias("n_rows"),
+        F.collect_list(F.when(~ok & F.col("is_seed"), F.struct(p.alias("total"), F.lit("Backordered").alias("status"), F.col("site").alias("vendor")))).alias("backorder"),
+    )
+    found = found.filter("n_rows % 2 = 0 AND n_rows > 0").withColumn("badge", F.coalesce(F.col("badge_price") == F.col("price"), F.lit(False)))
+    return P.apply_seller_lock(c, found).select("offer_id", "price", F.col("price_locked").alias("locked"), "in_stock", F.size("backorder").cast("long").alias("n_backorders"), "notes")
 
 
 @query(

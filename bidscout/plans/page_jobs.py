@@ -355,34 +355,72 @@ def s16(spark, sf_dir):
     return out.select(F.col("url").alias("offer_id"), "pos", "sku", F.col("price").cast("decimal(13,2)").alias("price"), "title")
 
 
-SELLERS = SQL + """, s AS (SELECT sku, site, out_of_stock AS gone, CASE WHEN disc_seq % 3 = 0 THEN p + 4 ELSE p END AS total, lower(replace(site, '#', '-')) AS slug, disc_seq, offer_id,
-  row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) AS n FROM o)"""
+# Pages with a table of a part's sellers, of three kinds by sku, which the SQL cuts and reads for itself.
+SELLERS = (
+    SQL
+    + r""", pt AS (SELECT sku, 'Featured $5.00' || chr(10) || 'Vendor options' || chr(10) || chr(10) || string_agg(CASE sku % 3
+    WHEN 0 THEN CASE WHEN disc_seq % 5 > 0 THEN '[' || site || '](https://www.shop.example/vendor/' || lower(replace(site, '#', '-')) || '/1)' ELSE site END || chr(10) || CASE WHEN out_of_stock THEN 'Backordered.' ELSE 'Stocked.' END || chr(10) || '**$' || p || '**/ea + FREE Standard Shipping' || chr(10)
+      || CASE WHEN disc_seq % 3 = 0 THEN 'Heavy shipping surcharge $4.00' ELSE '1 @ $0.01' END || chr(10) || CASE WHEN disc_seq % 7 = 0 THEN '$' || p || 'LOWEST PRICE' || chr(10) ELSE '' END || 'Add to Cart' || chr(10)
+    WHEN 1 THEN site || CASE WHEN out_of_stock THEN ' Out of stock' WHEN disc_seq % 2 = 0 THEN ' In stock' ELSE ' Special  order' END || ' ~~$' || p10 || '~~ $' || p || ' + $5.00 Flat Rate' || CASE WHEN disc_seq % 7 = 0 THEN ' lowest price' ELSE '' END || chr(10)
+    ELSE site || ' ~~$' || p10 || '~~ $' || p || ' 1 @ $0.01' || CASE WHEN out_of_stock THEN ' notify me' WHEN disc_seq % 7 = 0 THEN ' Lowest Price' ELSE '' END || chr(10) || 'add to cart' || chr(10) END, '' ORDER BY disc_seq, offer_id) || chr(10) || '## Related products' || chr(10) || 'Other In stock $0.02 add to cart end' AS text FROM o GROUP BY sku),
+tt AS MATERIALIZED (SELECT sku, text[instr(text, 'Vendor options'):] AS text FROM pt),
+a0 AS (SELECT sku, regexp_split_to_array(text, '(?i)\$\s?[\d,]+\.\d{2}\s*\*{0,2}\s*/\s*ea') AS cut, regexp_extract_all(text, '(?i)\$\s?[\d,]+\.\d{2}\s*\*{0,2}\s*/\s*ea') AS ea FROM tt),
+a1 AS (SELECT sku, unnest(range(len(ea))) AS i, unnest(cut[:-2]) AS before, unnest(ea) AS ea, unnest(cut[2:]) AS rest FROM a0),
+a2 AS (SELECT sku, i, ea, ea || rest AS after, contains(before, '/vendor/') AS linked, CASE WHEN contains(before, '/vendor/') THEN regexp_extract(before, '(?s)^.*/vendor/(.*)$', 1) ELSE right(before, 400) END AS behind FROM a1),
+a3 AS (SELECT sku, i, CASE WHEN linked THEN upper(behind[1]) || replace(split_part(behind, '/', 1)[2:], '-', ' ') END AS vendor,
+  CAST(CAST(replace(regexp_extract(ea, '[\d,]+\.\d{2}'), ',', '') AS DECIMAL(12,2)) + coalesce(TRY_CAST(replace(regexp_extract(left(after, 220), '(?i)shipping\s+surcharge\s+\$\s?([\d,]+\.\d{2})', 1), ',', '') AS DECIMAL(12,2)), 0) AS DECIMAL(12,2)) AS total,
+  regexp_matches(after, '(?i)lowest\s+price') AS badge, nullif(regexp_extract(behind, '(?i)out\s+of\s+stock|back[\s-]?order(?:ed)?|sold\s+out|unavailable|notify\s+me|discontinued'), '') AS status,
+  TRY_CAST(regexp_extract(after, '(?i)\$\s?([\d,]+\.\d{2})\s*LOWEST\s+PRICE', 1) AS DECIMAL(12,2)) AS badge_price FROM a2),
+ow AS (SELECT sku, split_part(text, chr(10) || '## Related products', 1) AS own FROM tt),
+b0 AS (SELECT sku, regexp_split_to_array(own, '(?i)\b(?:in\s+stock|in-stock|special\s+order|available|back[\s-]?order(?:ed)?|out\s+of\s+stock|sold\s+out|unavailable|discontinued)\b') AS cut, regexp_extract_all(own, '(?i)\b(?:in\s+stock|in-stock|special\s+order|available|back[\s-]?order(?:ed)?|out\s+of\s+stock|sold\s+out|unavailable|discontinued)\b') AS words FROM ow),
+b1 AS (SELECT sku, unnest(range(len(words))) AS i, unnest(words) AS word, regexp_replace(unnest(cut[2:]), '~~\s*\$\s?\d[\d,]*(?:\.\d{2})?\s*~~', ' ', 'g') AS block FROM b0),
+b2 AS (SELECT sku, i, list_min(list_transform(regexp_extract_all(regexp_replace(block, '\+\s*\$\s?[\d,]+\.\d{2}\b', ' ', 'g'), '\$\s?([\d,]+\.\d{2})', 1), lambda x: CAST(replace(x, ',', '') AS DECIMAL(12,2)))) AS total, regexp_matches(block, '(?i)lowest\s+price') AS badge FROM b1 WHERE NOT regexp_matches(word, '(?i)out|back|unavailable|discontinued')),
+c0 AS (SELECT sku, regexp_split_to_array(own, '(?i)add\s+to\s+cart') AS cut FROM ow),
+c1 AS (SELECT sku, unnest(range(len(cut) - 1)) AS i, unnest(cut[:-2]) AS part FROM c0),
+c2 AS (SELECT sku, i, part, regexp_replace(regexp_replace(part, '~~\s*\$\s?\d[\d,]*(?:\.\d{2})?\s*~~', ' ', 'g'), '\d+\s*@\s*\$\s?[\d,]+\.\d{2}', ' ', 'g') AS clean FROM c1 WHERE NOT regexp_matches(part, '(?i)out\s+of\s+stock|back[\s-]?order|notify\s+me')),
+c3 AS (SELECT sku, i, list_min(list_transform(regexp_extract_all(clean, '\$\s?([\d,]+\.\d{2})', 1), lambda x: CAST(replace(x, ',', '') AS DECIMAL(12,2)))) AS total, regexp_matches(part, '(?i)lowest\s+price') AS badge FROM c2),
+n AS (SELECT sku, (SELECT count(*) FROM a3 WHERE a3.sku = tt.sku) AS na, (SELECT count(*) FROM a3 WHERE a3.sku = tt.sku AND status IS NULL) AS oka, (SELECT count(*) FROM b2 WHERE b2.sku = tt.sku AND total > 0) AS nb FROM tt),
+s AS MATERIALIZED (SELECT sku, row_number() OVER (PARTITION BY sku ORDER BY k, i) AS seller_no, vendor, total, badge, badge_price, status FROM (
+  SELECT sku, 2 AS k, i, vendor, total, badge, CASE WHEN status IS NULL THEN badge_price END AS badge_price, status FROM a3
+  UNION ALL SELECT sku, 0, i, NULL, total, badge, NULL, NULL FROM b2 JOIN n USING (sku) WHERE oka = 0 AND na = 0 AND total > 0
+  UNION ALL SELECT sku, 1, i, NULL, total, badge, NULL, NULL FROM c3 JOIN n USING (sku) WHERE oka = 0 AND NOT (na = 0 AND nb > 0) AND total > 0))"""
+)
 
 
 def seller_pages(df: DataFrame) -> DataFrame:
-    """For each sku a page (url: the sku) with a table of its sellers, with vendor links."""
+    """For each sku a page (url: the sku) with a table of its sellers, of one of three kinds."""
+    seq = F.col("disc_seq")
+    line = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
     slug = F.lower(F.replace("site", F.lit("#"), F.lit("-")))
-    row = F.concat(F.lit("["), F.col("site"), F.lit("](https://www.shop.example/vendor/"), slug, F.lit("/1)\n"), F.when(F.col("out_of_stock"), "Backordered.").otherwise("Stocked."), F.lit("\n**"), _usd(F.col("p")), F.lit("**/ea + FREE Standard Shipping\n"), F.when(F.col("disc_seq") % 3 == 0, "Heavy shipping surcharge $4.00\n").otherwise("1 @ $0.01\n"), F.lit("Add to Cart\n"))
-    rows = df.groupBy("sku").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("disc_seq", "offer_id", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
-    return rows.select(F.col("sku").cast("string").alias("url"), F.concat(F.lit("Vendor options\n\n"), "body").alias("text"))
+    linked = F.when(seq % 5 > 0, line("[", F.col("site"), "](https://www.shop.example/vendor/", slug, "/1)")).otherwise(F.col("site"))
+    priced = line(linked, "\n", F.when(F.col("out_of_stock"), "Backordered.").otherwise("Stocked."), "\n**", _usd(F.col("p")), "**/ea + FREE Standard Shipping\n", F.when(seq % 3 == 0, "Heavy shipping surcharge $4.00").otherwise("1 @ $0.01"), "\n", F.when(seq % 7 == 0, line(_usd(F.col("p")), "LOWEST PRICE\n")).otherwise(""), "Add to Cart\n")
+    stock = F.when(F.col("out_of_stock"), " Out of stock").when(seq % 2 == 0, " In stock").otherwise(" Special  order")
+    worded = line(F.col("site"), stock, " ~~", _usd(F.col("p10")), "~~ ", _usd(F.col("p")), " + $5.00 Flat Rate", F.when(seq % 7 == 0, " lowest price").otherwise(""), "\n")
+    cart = line(F.col("site"), " ~~", _usd(F.col("p10")), "~~ ", _usd(F.col("p")), " 1 @ $0.01", F.when(F.col("out_of_stock"), " notify me").when(seq % 7 == 0, " Lowest Price").otherwise(""), "\nadd to cart\n")
+    row = F.when(F.col("sku") % 3 == 0, priced).when(F.col("sku") % 3 == 1, worded).otherwise(cart)
+    rows = df.withColumn("p10", F.col("p") + 10).groupBy("sku").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("disc_seq", "offer_id", row.alias("row")))), lambda x: x["row"]), "").alias("body"))
+    return rows.select(F.col("sku").cast("string").alias("url"), line("Featured $5.00\nVendor options\n\n", F.col("body"), "\n## Related products\nOther In stock $0.02 add to cart end").alias("text"))
 
 
-@query("s20_parse_seller_tables", SELLERS + " SELECT sku, n AS seller_no, CAST(total AS DECIMAL(12,2)) AS total, CASE WHEN gone THEN 'Backordered' END AS status FROM s")
+@query("s20_parse_seller_tables", SELLERS + " SELECT sku, seller_no, vendor, CAST(total AS DECIMAL(12,2)) AS total, badge, badge_price, status FROM s")
 def s20(spark, sf_dir):
     out = P.seller_rows(seller_pages(_offers(spark, sf_dir)))
-    return out.select(F.col("url").cast("long").alias("sku"), (F.col("seller_no") + 1).cast("long").alias("seller_no"), "total", "status")
+    return out.select(F.col("url").cast("long").alias("sku"), (F.col("seller_no") + 1).cast("long").alias("seller_no"), "vendor", "total", "badge", "badge_price", "status")
 
 
 @query(
     "s21_aggregator_price",
     SELLERS
-    + """, h AS (SELECT s.sku, o.p AS headline FROM s JOIN o USING (offer_id) WHERE n = 1 GROUP BY ALL), x AS (SELECT s.*, headline, NOT gone AND CAST(total AS DOUBLE) BETWEEN CAST(headline AS DOUBLE) * 0.30 AND CAST(headline AS DOUBLE) * 1.05 AS likely FROM s JOIN h USING (sku))
-SELECT sku, count(*) FILTER (NOT gone) AS n_rows, CAST(coalesce(CASE WHEN CAST(min(total) FILTER (NOT gone) AS DOUBLE) < CAST(any_value(headline) AS DOUBLE) * 0.30 THEN min(total) FILTER (likely) END, min(total) FILTER (NOT gone)) AS DECIMAL(12,2)) AS price FROM x GROUP BY sku HAVING count(*) FILTER (NOT gone) > 0""",
+    + r""", h AS (SELECT sku, TRY_CAST(replace(regexp_extract(text, '(?i)\$\s?([\d,]+\.\d{2})\s*\*{0,2}\s*/\s*ea', 1), ',', '') AS DOUBLE) AS headline FROM pt),
+x AS (SELECT s.*, headline, status IS NULL AS ok, headline IS NULL OR CAST(total AS DOUBLE) BETWEEN headline * 0.30 AND headline * 1.05 AS likely FROM s JOIN h USING (sku)),
+g AS (SELECT sku, any_value(headline) AS headline, count(*) FILTER (ok) AS n_rows, count(*) FILTER (NOT ok) AS n_late, least(min(total) FILTER (ok AND badge), min(badge_price)) AS badge_price, min(total) FILTER (ok) AS lowest, min(total) FILTER (ok AND likely) AS fair FROM x GROUP BY sku HAVING count(*) FILTER (ok) > 0),
+d AS (SELECT *, badge_price IS NOT NULL AND (headline IS NULL OR CAST(badge_price AS DOUBLE) BETWEEN headline * 0.30 AND headline * 1.05) AS badge FROM g)
+SELECT sku, n_rows, n_late, badge, badge_price, CAST(CASE WHEN badge THEN badge_price WHEN lowest < headline * 0.30 THEN coalesce(fair, lowest) ELSE lowest END AS DECIMAL(12,2)) AS price FROM d""",
 )
 def s21(spark, sf_dir):
     pages = seller_pages(_offers(spark, sf_dir))
     out = P.aggregator_price(P.seller_rows(pages), pages)
-    return out.select(F.col("url").cast("long").alias("sku"), "n_rows", "price")
+    return out.select(F.col("url").cast("long").alias("sku"), "n_rows", F.size("backorder").cast("long").alias("n_late"), "badge", "badge_price", "price")
 
 
 @query("j10_serve_cached_verdicts", SQL + " SELECT offer_id, sha1(concat_ws('|', 'v1', url || '/' || offer_id, lower(coalesce(variant, '')), ordered_pack::VARCHAR)) AS key FROM o")

@@ -109,6 +109,29 @@ def test_seller_tables(spark):
     assert float(P.seller_rows(pages, include_shipping=True).filter("vendor = 'Beta Goods'").first().total) == 45.95
 
 
+def test_a_page_of_many_sellers(spark):
+    """Each piece is cut once: a table of 3,000 sellers is no more work for a seller than one of 30."""
+    rows = "".join(f"[S{i}](https://m.example/vendor/s-{i}/1) Stocked **${i + 1}.00**/ea\nAdd to Cart\n" for i in range(3_000))
+    pages = spark.createDataFrame([("u", "Vendor options\n" + rows)], "url string, text string")
+    got = P.seller_rows(pages).agg(F.count("*").alias("n"), F.sum("total").alias("sum"), F.count_distinct("vendor").alias("vendors")).first()
+    assert (got.n, float(got["sum"]), got.vendors) == (3_000, 3_000 * 3_001 / 2, 3_000)
+
+
+def test_badge_beside_another_total(spark):
+    """A badge's own amount counts, unless its seller has no stock; a lock keeps what other candidates have."""
+    text = "[A](/vendor/a-one/1) Stocked $30.00/ea shipping surcharge $2.00\n$31.00LOWEST PRICE\n[B](/vendor/b-two/2) Backordered $29.00/ea\n$20.00 lowest price"
+    pages = spark.createDataFrame([("u", text)], "url string, text string")
+    got = P.aggregator_price(P.seller_rows(pages), pages)
+    row = got.first()
+    assert (float(row.price), row.badge, float(row.badge_price), row.n_rows, [float(o.total) for o in row.backorder]) == (31.0, True, 31.0, 1, [29.0])
+    rows = [("u", 99.0, None, None, [], "old"), ("v", 5.0, True, None, [(7.0, "Backordered", "C")], "kept"), ("w", None, False, True, None, None)]
+    df = spark.createDataFrame(rows, "url string, price double, in_stock boolean, price_locked boolean, backorder array<struct<price:double,status:string,vendor:string>>, notes string")
+    u, v, w = P.apply_seller_lock(df, got).orderBy("url").collect()
+    assert (u.price, u.in_stock, u.price_locked, u.backorder[0].vendor, u.notes) == (31.0, True, True, "B Two", "old · price of the seller table: lowest of 1 available seller, by its badge")
+    assert (v.price, v.in_stock, v.price_locked, v.backorder[0].price, v.notes) == (5.0, True, False, 7.0, "kept")
+    assert (w.price, w.in_stock, w.price_locked, w.backorder, w.notes) == (None, False, True, None, None)
+
+
 def test_seller_table_without_links(spark):
     text = "Acme In stock ~~$15.00~~ $12.00 + $5.00 Flat Rate\nBolt Out of stock $9.50\nCog Special order $11.00"
     pages = spark.createDataFrame([("u", text)], "url string, text string")
