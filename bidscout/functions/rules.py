@@ -13,55 +13,68 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-c = F.col
+#: Columns don't change, so a rule is built once; each of its parts is a call to the JVM.
+rule = functools.cache
+c = functools.cache(F.col)
 
 
+@rule
 def true(name: str) -> Column:
     """The flag is set; a missing one isn't."""
     return F.coalesce(c(name), F.lit(False))
 
 
+@rule
 def not_false(name: str) -> Column:
     """The flag isn't denied; a missing one is fine."""
     return F.coalesce(c(name), F.lit(True))
 
 
+@rule
 def sane_price(low: float = C.SANE_LOW, high: float = C.SANE_HIGH) -> Column:
     ok = (c("price") > 0) & (c("price") >= c("unit_price") * low) & (c("price") <= c("unit_price") * high)
     return F.coalesce(ok, F.lit(False))
 
 
+@rule
 def pack_compat() -> Column:
     """null if either pack is unknown."""
     return c("pack_qty") == c("ordered_pack")
 
 
+@rule
 def says(word: str) -> Column:
     return F.coalesce(F.contains(F.lower("rejected_reason"), F.lit(word)), F.lit(False))
 
 
+@rule
 def gated() -> Column:
     return says("login")
 
 
+@rule
 def dead() -> Column:
     return says("page not found")
 
 
+@rule
 def reviewable() -> Column:
     return c("price").isNotNull() & ~gated() & ~says("sanity")
 
 
+@rule
 def brand_confirmed() -> Column:
     """As reports take it: matched, or the line has no brand."""
     return true("brand_match") | (F.coalesce(c("brand"), F.lit("")) == "")
 
 
+@rule
 def pack_mismatch() -> Column:
     known = F.coalesce((c("pack_qty") != 0) & (c("ordered_pack") != 0) & ~pack_compat(), F.lit(False))
     return ~not_false("pack_match") | known
 
 
+@rule
 def exact_candidate() -> Column:
     return true("name_match") & true("size_form_match") & true("pack_match") & brand_confirmed()
 
@@ -75,6 +88,7 @@ def effective_exact(volume: Column | None = None) -> Column:
     return by_number | (true("name_match") & size_ok & true("pack_match") & brand_ok)
 
 
+@rule
 def bulk_value() -> Column:
     """A larger pack of the same product for less money."""
     known = (c("pack_qty") > 0) & (c("ordered_pack") > 0) & (c("price") > 0) & (c("unit_price") > 0)
@@ -85,6 +99,7 @@ def bulk_value() -> Column:
     return F.coalesce(known & better, F.lit(False)) & ~bad & same & brand
 
 
+@rule
 def price_match_eligible() -> Column:
     ready = c("price").isNotNull() & c("page_name").isNotNull() & ~true("price_unreliable") & ~true("out_of_stock") & sane_price() & ~gated()
     by_criteria = ~true("variant_unverified") & true("name_match") & true("size_form_match") & true("pack_match")
@@ -92,12 +107,14 @@ def price_match_eligible() -> Column:
     return ready & (bulk_value() | like_for_like)
 
 
+@rule
 def pack_conflict() -> Column:
     """Packs differ by a factor of three or more."""
     big, small = F.greatest("pack_qty", "ordered_pack"), F.least("pack_qty", "ordered_pack")
     return F.coalesce((small > 0) & (big >= C.PACK_CONFLICT_RATIO * small) & c("pack_qty").isNotNull() & c("ordered_pack").isNotNull(), F.lit(False))
 
 
+@rule
 def poolable(savings_only: bool = True) -> Column:
     """May be shown as an option."""
     strong = c("match_type").isin("exact", "approximate") | true("mpn_confirmed")
@@ -109,6 +126,7 @@ def poolable(savings_only: bool = True) -> Column:
     return F.coalesce(priced, F.lit(False)) & c("page_name").isNotNull() & ~barred
 
 
+@rule
 def option_tier() -> Column:
     """0 eligible, 1 pack and variant match, 2 pack matches, 3 the rest; unreliable or unavailable ones 2 at best."""
     variant_ok = ~true("variant_unverified") & not_false("name_match")
@@ -116,14 +134,17 @@ def option_tier() -> Column:
     return F.when(true("price_unreliable") | true("out_of_stock"), F.greatest(tier, F.lit(2))).otherwise(tier)
 
 
+@rule
 def criteria_met() -> Column:
     return sum((true(k).cast("int") for k in ("name_match", "size_form_match", "pack_match")), true("brand_match").cast("int"))
 
 
+@rule
 def match_score() -> Column:
     return F.round(criteria_met() * 15 + F.coalesce("confidence", F.lit(0)) * F.lit(0.4)).cast("int")
 
 
+@rule
 def score_label() -> Column:
     """The first label that holds, with the score."""
     with_score = lambda label: F.format_string(f"{label} (%d%%)", match_score())
@@ -142,11 +163,13 @@ def score_label() -> Column:
     )
 
 
+@rule
 def generic_tag() -> Column:
     """Same product, size and pack under another brand."""
     return true("name_match") & true("size_form_match") & true("pack_match") & ~true("brand_match") & (F.coalesce(c("brand"), F.lit("")) != "")
 
 
+@rule
 def mismatch_reason() -> Column:
     """Why a candidate isn't in the price-match report."""
     pack = F.coalesce(F.nullif(c("pack_qty"), F.lit(0)).cast("string"), F.lit("?"))
@@ -161,16 +184,19 @@ def mismatch_reason() -> Column:
     )
 
 
+@rule
 def marketplace_eligible() -> Column:
     return price_match_eligible() & (brand_confirmed() | true("mpn_confirmed"))
 
 
+@rule
 def house_brand() -> Column:
     """The line is of a house brand, which nobody else sells."""
     low = F.lower(F.coalesce(c("brand"), F.lit("")))
     return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in C.HOUSE_BRANDS), F.lit(False))
 
 
+@rule
 def generic_eligible() -> Column:
     """For house brands: another product of the same kind, grade and pack at a sane price, whatever its name and brand.
 
