@@ -7,6 +7,11 @@ results don't depend on the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,27 +99,96 @@ def flag_low_outliers(cands: DataFrame, key: str = "sku") -> DataFrame:
     return df.withColumn("low_outlier", low).drop("counted", "n", "k")
 
 
+class OrderStatistics:
+    """Prices of a line in order, of which some go: the k-th that is left, in log n (counts of what is left, by powers of two)."""
+
+    def __init__(self, prices: np.ndarray):
+        self.order = np.argsort(prices, kind="stable")
+        self.place = np.empty(len(prices), np.int64)
+        self.place[self.order] = np.arange(len(prices))
+        self.left = len(prices)
+        i = np.arange(1, len(prices) + 1)
+        self.counts = [0, *(i & -i).tolist()]
+
+    def before(self, place: int) -> int:
+        n = 0
+        while place > 0:
+            n, place = n + self.counts[place], place & (place - 1)
+        return n
+
+    def kth(self, k: int) -> int:
+        """The row with k of those that are left before it."""
+        at, step = 0, 1 << (len(self.order).bit_length())
+        while step:
+            if at + step < len(self.counts) and self.counts[at + step] <= k:
+                at += step
+                k -= self.counts[at]
+            step >>= 1
+        return int(self.order[at])
+
+    def remove(self, row: int) -> None:
+        place, self.left = int(self.place[row]) + 1, self.left - 1
+        while place < len(self.counts):
+            self.counts[place] -= 1
+            place += place & -place
+
+    def upper_median_without(self, row: int) -> int:
+        k = (self.left - 1) // 2
+        return self.kth(k + (k >= self.before(int(self.place[row]))))
+
+
+def lock_outliers_of(prices: np.ndarray, suspect: np.ndarray, low: float = C.LOCK_OUTLIER, peers: int = C.LOCK_PEERS) -> list[int]:
+    """The rows (in discovery order) that are flagged: suspects under low of the upper median of the others that aren't flagged."""
+    rows = np.flatnonzero(suspect)
+    out: list[int] = []
+    if len(rows) and len(prices) > peers:
+        left = OrderStatistics(prices)
+        for i in rows.tolist():
+            if left.left > peers and prices[i] < prices[left.upper_median_without(i)] * low:
+                out.append(i)
+                left.remove(i)
+    return out
+
+
 def flag_lock_outliers(cands: DataFrame, key: str = "sku") -> DataFrame:
-    """lock_outlier: a locked price, not effectively exact, under half the upper median of the line's other reliable prices.
+    """The locked rows (key, offer_id, price), not effectively exact, under half the upper median of the line's other reliable prices.
 
-    Rows are judged in discovery order, and one that is flagged no longer counts
-    as reliable for the next: a fold over the line's array of rows.
+    Rows are judged in discovery order, and one that is flagged no longer counts as reliable for the next.
+    Lines lie together and in order within partitions; a task holds the prices of one line, of which the
+    median is found in log n when a row goes. Rows without price or page name and unreliable ones have no part.
     """
-    row = F.struct("disc_seq", "offer_id", "price", F.col("page_name").isNotNull().alias("named"), R.true("price_unreliable").alias("bad"), (R.true("price_locked") & ~R.effective_exact()).alias("suspect"))
-    lines = cands.filter("price IS NOT NULL").groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-
-    def step(flags: Column, i: Column) -> Column:
-        own = F.get("rows", i)
-        peers = F.filter("rows", lambda r, k: (k != i) & r["named"] & ~r["bad"] & ~F.coalesce(F.array_contains(flags, k), F.lit(False)))
-        prices = F.transform(peers, lambda r: r["price"])
-        flagged = own["suspect"] & own["named"] & ~own["bad"] & (F.size(prices) >= C.LOCK_PEERS) & (own["price"] < R.upper_median(prices) * C.LOCK_OUTLIER)
-        return F.when(F.coalesce(flagged, F.lit(False)), F.concat(flags, F.array(i))).otherwise(flags)
-
-    start = F.array().cast("array<int>")
-    flags = F.aggregate(F.transform("rows", lambda r, k: k), start, step)
-    lines = lines.withColumn("flags", flags)
-    hit = lines.select(key, F.posexplode("rows").alias("k", "r"), "flags").filter(F.array_contains("flags", F.col("k")))
-    return hit.select(key, F.col("r.offer_id").alias("offer_id"), F.col("r.price").alias("price"))
+    suspect = F.coalesce(R.true("price_locked") & ~R.effective_exact(), F.lit(False))
+    rows = cands.filter(F.col("price").isNotNull() & F.col("page_name").isNotNull() & ~R.true("price_unreliable"))
+    rows = rows.select(key, "disc_seq", "offer_id", F.col("price").cast("double").alias("price"), suspect.alias("suspect"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "disc_seq", "offer_id", "price").select(key, "offer_id", "price", "suspect")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in parts:
+            table = pa.Table.from_batches([part])
+            held = table if held is None else pa.concat_tables([held, table])
+            # all lines but the last are whole
+            ends = pc.run_end_encode(held.column(0).combine_chunks()).run_ends
+            if len(ends) > 1:
+                whole = ends[-2].as_py()
+                yield from flagged(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield from flagged(held)
+
+    def flagged(lines: pa.Table) -> Iterator[pa.RecordBatch]:
+        ends = pc.run_end_encode(lines.column(0).combine_chunks()).run_ends.to_numpy()
+        prices, suspect = lines.column(2).to_numpy(), lines.column(3).to_numpy()
+        hit: list[int] = []
+        start = 0
+        for end in ends.tolist():
+            hit += [start + i for i in lock_outliers_of(prices[start:end], suspect[start:end])]
+            start = end
+        if hit:
+            yield from lines.select([0, 1, 2]).take(pa.array(hit)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, kinds)
 
 
 def best_exact(cands: DataFrame, key: str = "sku") -> DataFrame:

@@ -518,10 +518,10 @@ def j11(spark, sf_dir):
     sold = li.select(F.col("l_suppkey").alias("shop"), F.col("l_partkey").alias("item")).distinct()
     catalog = sold.join(part.select(F.col("p_partkey").alias("item"), text.alias("title")), "item")
     site = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"), F.lit(".example"))
-    sites = table(spark, sf_dir, "supplier").select(site("s_suppkey").alias("domain"))
+    sites = table(spark, sf_dir, "supplier").select(site("s_suppkey").alias("domain"), F.col("s_suppkey").alias("place"))
     seen = sold.select(F.col("item").alias("sku"), F.concat(F.lit("https://"), site("shop"), F.lit("/")).alias("url"))
-    shop = F.regexp_extract("domain", r"^s(\d+)\.", 1).cast("long")
-    shops = J.supplier_gap(seen, sites, lines).select("sku", shop.alias("shop"), shop.alias("place"))
+    # only the first dozen shops of each line are expanded
+    shops = J.supplier_gap(seen, sites, lines, first=12, order="place").select("sku", F.col("place").alias("shop"), "place")
     return K.fuzzy_match(lines, catalog, shops).select("sku", "shop", "item", "hits")
 
 
