@@ -54,9 +54,35 @@ def st1(spark, sf_dir):
     return J.job_state(job_events(spark, sf_dir))
 
 
-@query("st2_activity_feed", EVENTS + """SELECT job_id, seq, coalesce(service, 'pipeline') AS service, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS k FROM v QUALIFY k <= 200""")
+# Every kind of event, with the data that it has, by the event's number.
+FEED = """WITH x AS (SELECT user_id AS job_id, ts, event_id AS seq, event_id % 24 AS kind, event_id AS i, event_type AS t, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+m AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'said ' || i END AS said, repeat(t || ' ', 20) AS long, CASE k % 4 WHEN 0 THEN 'parse' WHEN 1 THEN 'mpn' ELSE 'search' END AS step FROM x),
+f AS (SELECT job_id, ts, seq, CASE kind WHEN 1 THEN CASE WHEN k % 4 < 2 THEN step ELSE 'system' END WHEN 4 THEN 'model' WHEN 5 THEN 'model' WHEN 6 THEN 'model' WHEN 7 THEN 'model' WHEN 8 THEN 'search' WHEN 14 THEN 'search' WHEN 9 THEN 'pages' WHEN 10 THEN 'pages' WHEN 11 THEN 'pages' WHEN 12 THEN 'pages' ELSE 'system' END AS service,
+  CASE kind WHEN 0 THEN 'PDF uploaded' WHEN 1 THEN coalesce(said, 'Starting ' || step) WHEN 2 THEN coalesce(said, 'Completed ' || step) WHEN 3 THEN coalesce(said, 'Warning') WHEN 4 THEN coalesce(said, upper(t) || ' request started') WHEN 5 THEN upper(t) || ' parsing chunk ' || k
+    WHEN 6 THEN coalesce(said, upper(t) || ' finished') WHEN 7 THEN 'AI retry' WHEN 8 THEN 'Search' WHEN 9 THEN 'Scraping ' || t WHEN 10 THEN 'Page search (' || t || ')' WHEN 11 THEN 'Page credits exhausted' WHEN 12 THEN 'Page run complete' WHEN 13 THEN coalesce(said, 'API credit limit reached')
+    WHEN 14 THEN 'Discovery for SKU ' || i WHEN 15 THEN 'SKU ' || i || ': ' || k || ' candidates shortlisted' WHEN 16 THEN 'Item ' || k || '/100 — SKU ' || i WHEN 17 THEN 'SKU ' || i || ' done' WHEN 18 THEN 'SKU ' || i || ' timed out (' || k || 's)' WHEN 19 THEN 'Equivalency: SKU ' || i WHEN 20 THEN 'Pipeline complete' WHEN 21 THEN coalesce(said, 'Error') END AS message,
+  nullif(CASE kind WHEN 0 THEN t || '.pdf' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'Ref R' || i END WHEN 4 THEN CASE WHEN k % 2 = 0 THEN 'SKU ' || i ELSE 'phase' END WHEN 5 THEN k || ' items' WHEN 7 THEN CASE WHEN k % 2 = 0 THEN 'SKU ' || i END WHEN 8 THEN left(long, 80) WHEN 9 THEN left('https://' || long, 70) WHEN 10 THEN k || ' results · ' || left(long, 50)
+    WHEN 11 THEN k || ' scrapes · ' || i || ' credits' WHEN 12 THEN k || ' scrapes · ' || i || ' credits' WHEN 13 THEN said WHEN 14 THEN said WHEN 16 THEN left(long, 60) WHEN 17 THEN coalesce(said, k || ' candidates') WHEN 19 THEN t WHEN 20 THEN 'R' || i END, '') AS detail FROM m WHERE kind < 22)
+"""
+KINDS = ("upload_complete", "step_start", "step_complete", "step_warning", "model", "model", "model", "model", "search", "page", "page", "page_summary", "page_summary", "quota_limit", "discovery_start", "discovery_complete", "item_start", "item_complete", "item_timeout", "equivalency_found", "pipeline_complete", "pipeline_error", "unheard_of", "other")
+
+
+@query("st2_activity_feed", FEED + "SELECT job_id, seq, service, message, detail, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, seq DESC) AS k FROM f QUALIFY k <= 200")
 def st2(spark, sf_dir):
-    return J.activity_feed(job_events(spark, sf_dir)).select("job_id", "seq", "service", "k")
+    i, k, t = F.col("event_id"), F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    kind = (i % 24).cast("int")
+    said = F.when(k % 3 == 0, F.concat(F.lit("said "), i))
+    long = F.repeat(F.concat(t, F.lit(" ")), F.lit(20))
+    only = lambda value, *kinds: F.when(kind.isin(*kinds), value.cast("string"))
+    even = lambda value: F.when(k % 2 == 0, value)
+    action = F.get(F.array(F.lit("start"), F.lit("chunk"), F.lit("complete"), F.lit("retry"), F.lit(None), F.lit("scrape"), F.lit("find")), kind - 4)
+    data = {
+        "filename": only(F.concat(t, F.lit(".pdf")), 0), "step": F.when(k % 4 == 0, "parse").when(k % 4 == 1, "mpn").otherwise("search"), "message": only(said, 1, 2, 3, 4, 6, 13, 14, 21), "reference": F.when(kind == 20, F.concat(F.lit("R"), i)).otherwise(even(F.concat(F.lit("R"), i))),
+        "action": only(action, *range(4, 11)), "provider": only(t, 4, 5, 6), "sku": F.when(kind.isin(4, 7), even(i)).otherwise(i), "phase": F.lit("phase"), "chunk": k, "items": k, "query": long, "site": t, "url": F.concat(F.lit("https://"), long), "stage": t, "results": k,
+        "scrapes": k, "credits": i, "exhausted": kind == 11, "detail": said, "shortlisted": k, "index": k, "total": F.lit(100), "description": long, "best_exact": said, "candidates": k, "seconds": k, "level": t,
+    }
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", i.alias("seq"), F.get(F.array(*map(F.lit, KINDS)), kind).alias("event"), F.to_json(F.struct(*(v.alias(n) for n, v in data.items()))).alias("data"))
+    return J.activity_feed(e).select("job_id", "seq", "service", "message", "detail", F.col("k").cast("long").alias("k"))
 
 
 @query("st3_quota_alerts", EVENTS + "SELECT job_id, service, seq FROM v WHERE event = 'quota_limit' QUALIFY row_number() OVER (PARTITION BY job_id, service ORDER BY ts, seq) = 1")
@@ -96,6 +122,18 @@ def st7(spark, sf_dir):
     return J.lifecycle(job_events(spark, sf_dir)).select("job_id", "started", "status", "seconds")
 
 
+@query(
+    "st7_job_sessions",
+    EVENTS
+    + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS fresh FROM v),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, seq) AS part FROM g),
+x AS (SELECT job_id, part, min(ts) AS started, max(ts) AS last, min((ts, seq, event)) FILTER (event IN ('pipeline_complete', 'pipeline_error')) AS fin FROM n GROUP BY ALL)
+SELECT job_id, started, last, fin[1] AS ended, CAST(floor((epoch_us(coalesce(fin[1], last)) - epoch_us(started)) / 1000000) AS BIGINT) AS seconds, CASE WHEN fin IS NULL THEN 'silent' WHEN fin[3] = 'pipeline_complete' THEN 'complete' ELSE 'failed' END AS status FROM x""",
+)
+def st7_sessions(spark, sf_dir):
+    return J.sessions(job_events(spark, sf_dir), "1 day").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "last", "ended")})
+
+
 @query("a13_usage_summary", "SELECT user_id AS run_id, count(*) AS calls, count(*) FILTER (event_type = 'view') AS skipped, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS credits, bool_or(event_type = 'error' AND event_id % 40 = 0) AS exhausted FROM events GROUP BY 1")
 def a13(spark, sf_dir):
     from ..operators.aggregates import usage_summary
