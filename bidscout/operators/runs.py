@@ -24,7 +24,18 @@ def history_view(runs: DataFrame) -> DataFrame:
     return runs.withColumn("reference", F.coalesce(F.nullif(F.trim("reference"), F.lit("")), name)).withColumn("reports", F.when(F.col("status") == "complete", reports))
 
 
-def backfill(files: DataFrame, runs: DataFrame, items: DataFrame) -> DataFrame:
-    """Completed runs for report files that have none, with the number of their order's items."""
-    counts = items.groupBy("id").agg(F.count("*").alias("items"))
-    return files.join(runs, "id", "left_anti").join(counts, "id", "left").withColumn("items", F.coalesce("items", F.lit(0))).withColumn("status", F.lit("complete"))
+def backfill(files: DataFrame, runs: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Completed runs for orders whose reports (files: reference, written_at) no run has.
+
+    orders (id, reference, filename, total_price, created_at) and items (order_id): of the latest order of that
+    reference come file name, total, time and the number of items; without an order the reference names the file,
+    and the time is when the report was written.
+    """
+    known = files.withColumn("id", F.concat(F.lit("legacy-"), "reference")).join(runs.select("id"), "id", "left_anti")
+    latest = orders.groupBy("reference").agg(F.max_by(F.struct("id", "filename", "total_price", "created_at"), F.col("id")).alias("o"))
+    counts = items.groupBy(F.col("order_id")).agg(F.count("*").alias("items"))
+    df = known.join(latest, "reference", "left").join(counts, F.col("o.id") == F.col("order_id"), "left")
+    return df.select(
+        "id", "reference", F.coalesce("o.filename", F.concat("reference", F.lit(".pdf"))).alias("filename"), F.lit("complete").alias("status"), F.coalesce("items", F.lit(0)).alias("items"),
+        F.col("o.total_price").alias("total_price"), F.coalesce("o.created_at", "written_at").alias("created_at"),
+    )

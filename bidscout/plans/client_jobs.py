@@ -10,6 +10,7 @@ from ..operators import reports as P
 from ..operators import selection as S
 from ..operators import urls as U
 from ..sources import feeds as D
+from ..sources import files as L
 from ..sources import pages as G
 from ..sources.views import CANDIDATES_SQL, candidates, order_lines, table
 from .offer_jobs import OPTIONS, SQL
@@ -22,7 +23,9 @@ def s6(spark, sf_dir):
     k = F.col("p_partkey").cast("string")
     maker = F.when(F.col("p_partkey") % 2 == 0, F.replace("p_brand", F.lit("#"), F.lit("no"))).otherwise("  ")
     line = F.when(F.col("p_partkey") % 5 == 0, F.concat(k, F.lit(" | # nothing"))).otherwise(F.concat(k, F.lit(" | M-"), k, F.lit(" | "), maker, F.lit(" # a note | x")))
-    rows = D.pipe_table(part.select(F.col("p_partkey").alias("line_no"), line.alias("value")), ["sku", "mpn", "maker"])
+    at = L.shared_folder(spark, "pipe-table")
+    part.select(line.alias("value")).write.text(at)
+    rows = L.pipe_table(spark, at, ["sku", "mpn", "maker"])
     return rows.select("sku", "mpn", F.replace("maker", F.lit("no"), F.lit("#")).alias("maker"))
 
 
@@ -31,7 +34,9 @@ def s7(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     name = F.concat(F.replace("s_name", F.lit("#"), F.lit("-")), F.lit(".example"))
     line = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("WWW."), name)).when(F.col("s_suppkey") % 4 == 3, F.concat(F.lit("# "), name)).otherwise(F.concat(F.lit(" "), name, F.lit(" # good")))
-    return D.domain_list(s.select(line.alias("value")))
+    at = L.shared_folder(spark, "domain-list")
+    s.select(line.alias("value")).write.text(at)
+    return L.domain_list(spark, at)
 
 
 def _sources(spark, sf_dir):
@@ -66,8 +71,10 @@ def s8(spark, sf_dir):
     shop = F.array(one(F.lit("amazon.com"), F.lit("The shop"), F.lit("marketplace"), F.lit(False), F.lit(1)))
     stored = supplier.agg(F.to_json(F.concat(rows, shop)).alias("body"))  # a client's list: as short as its file
     sites = supplier.agg(ordered.alias("l")).select(F.posexplode("l").alias("i", "x")).select((F.col("i") + 1).alias("position"), "x.domain")
-    load = lambda s, name: D.load_sources(s, sites, ("supplier-000000003.example",)).select(F.lit(name).alias("origin"), "domain", "label", "type", "enabled", "priority")
-    return load(stored, "stored").unionByName(load(stored.withColumn("body", F.lit("[]")), "sites"))
+    at = L.shared_folder(spark, "sources")
+    stored.write.text(at)
+    load = lambda path, name: L.supplier_sources(spark, path, sites, ("supplier-000000003.example",)).select(F.lit(name).alias("origin"), "domain", "label", "type", "enabled", "priority")
+    return load(at, "stored").unionByName(load(f"{at}-none", "sites"))
 
 
 @query("s9_normalize_supplier_sources", SOURCES + "SELECT id, domain, domain AS label, enabled, type, priority FROM a")

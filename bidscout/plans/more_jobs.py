@@ -120,15 +120,38 @@ def p30(spark, sf_dir):
     return V.match_title(df).select("offer_id", "name_match", F.col("pack_qty").alias("pack"))
 
 
-@query("p31_apply_verdicts", SQL + """SELECT offer_id, CASE WHEN disc_seq % 4 = 0 THEN price + 1 WHEN disc_seq % 4 = 1 THEN price * 3 ELSE price END = CASE WHEN price_locked THEN price + 0.5 ELSE CASE WHEN disc_seq % 4 = 0 THEN price + 1 WHEN disc_seq % 4 = 1 THEN price * 3 ELSE price END END AS took,
-  price_unreliable OR (NOT price_locked AND disc_seq % 4 IN (1, 2)) AS unreliable, CASE WHEN disc_seq % 4 = 3 THEN match_type WHEN is_seed THEN 'rejected' ELSE 'approximate' END AS match_type FROM p""")
+# Verdicts by the offer's number: which prices are read, on which pages, and what else the reader says.
+@query(
+    "p31_apply_verdicts",
+    SQL
+    + r""", x AS (SELECT *, disc_seq % 7 AS k, disc_seq % 5 AS j, price_locked AS locked, CASE disc_seq % 7 WHEN 0 THEN price + 1 WHEN 1 THEN floor(price * 300) / 100 WHEN 4 THEN price END AS q, CASE WHEN disc_seq % 3 = 0 THEN price * 2 END AS op FROM p),
+y AS (SELECT *, k <> 6 AS has, k <> 6 AND is_seed AND j <> 4 AS gone, CASE WHEN j < 3 THEN 'page says $' || CAST(CAST(CASE WHEN j = 0 THEN coalesce(q, 1) ELSE price END AS DECIMAL(12,2)) AS VARCHAR) END AS page FROM x),
+z AS (SELECT *, has AND NOT gone AS rd, has AND NOT gone AND NOT locked AND q > 0 AS took,
+  page IS NOT NULL AND (abs(CAST(regexp_extract(page, '[\d.]+') AS DOUBLE) - q) <= greatest(0.01, q * 0.02) OR (floor(q) = CAST(regexp_extract(page, '[\d.]+') AS DOUBLE))) AS shown FROM y),
+w AS (SELECT *, coalesce(took, false) AS t, coalesce(took AND page IS NOT NULL AND NOT shown, false) AS absent, coalesce(took AND NOT coalesce(shown, false) AND (q / price > 1.8 OR q / price < 0.55), false) AS apart, rd AND NOT locked AND NOT coalesce(took, false) AND price > 0 AND page IS NOT NULL AS alone,
+  CASE WHEN k = 2 THEN 'rejected' ELSE 'approximate' END AS verdict, CASE WHEN k = 2 THEN 'members only' WHEN k = 3 THEN 'fine' END AS said FROM z),
+v AS (SELECT *, CASE WHEN t THEN q ELSE price END AS np, coalesce(rd AND NOT locked AND op > 0, false) AS sale, rd AND verdict = 'rejected' AND j = 4 AND CASE WHEN t THEN q ELSE price END > 0 AS kept FROM w)
+SELECT offer_id, np AS price, price_unreliable OR absent OR apart OR alone AS unreliable, CASE WHEN gone THEN 'rejected' WHEN kept THEN 'approximate' WHEN rd THEN verdict ELSE match_type END AS match_type, CASE WHEN rd THEN CASE WHEN k = 5 THEN 0 ELSE CAST(disc_seq % 101 AS INTEGER) END ELSE confidence END AS confidence,
+  CASE WHEN gone THEN 'login required for pricing (public pricing only)' WHEN kept THEN NULL WHEN rd AND verdict = 'rejected' THEN said ELSE rejected_reason END AS rejected_reason, CASE WHEN rd THEN CASE WHEN k < 4 THEN 'Thing ' || variant ELSE 'title' END ELSE page_name END AS page_name,
+  variant_unverified OR (rd AND k >= 4) AS variant_unverified, CASE WHEN sale THEN op END AS original_price, CASE WHEN rd AND k <> 5 THEN CAST(disc_seq % 9 AS INTEGER) ELSE pack_qty END AS pack_qty, CASE WHEN rd AND NOT locked AND k <> 3 THEN k % 2 = 0 END AS in_stock,
+  CASE WHEN rd AND k = 1 THEN 'two at least' WHEN sale AND op > np THEN 'on sale: was $' || CAST(CAST(op AS DECIMAL(12,2)) AS VARCHAR) || ', now $' || CAST(CAST(np AS DECIMAL(12,2)) AS VARCHAR) || ' (' || CAST(round((op - np) / op * 100) AS INTEGER) || '% off)' END AS pack_condition,
+  CASE WHEN rd THEN k % 2 = 0 ELSE brand_match END AS brand_match, CASE WHEN rd THEN k % 3 = 0 ELSE name_match END AS name_match, CASE WHEN rd THEN false ELSE size_form_match END AS size_form_match, CASE WHEN rd THEN true ELSE pack_match END AS pack_match,
+  CASE WHEN rd THEN nullif(concat_ws(' · ', CASE WHEN absent THEN 'price unreliable: $' || CAST(CAST(q AS DECIMAL(12,2)) AS VARCHAR) || ' isn''t on the page' END, CASE WHEN apart THEN 'price unreliable: page $' || CAST(CAST(q AS DECIMAL(12,2)) AS VARCHAR) || ', listing $' || CAST(CAST(price AS DECIMAL(12,2)) AS VARCHAR) END,
+    CASE WHEN alone THEN 'price unverified: the listing''s, no price was read on the page' END, said, CASE WHEN kept THEN 'kept despite a login note: verify the total in the cart' END), '') END AS notes FROM v""",
+)
 def p31(spark, sf_dir):
-    k = F.col("disc_seq") % 4
-    c = candidates(spark, sf_dir).withColumns({"key": F.concat_ws("-", "offer_id", "disc_seq"), "page_text": F.when(k == 1, "only $0.01 here").otherwise("no amounts"), "price_structured": F.lit(False), "aggregator": F.lit(False)})
-    expected = F.when(k == 0, F.col("price") + 1).when(k == 1, F.col("price") * 3).otherwise(F.col("price"))
-    v = c.filter(k != 3).select("key", F.when(k == 2, F.lit(None).cast("double")).otherwise(expected).alias("price"), F.lit("approximate").alias("match_type"), F.lit(None).cast("int").alias("confidence"), F.col("is_seed").alias("requires_login"), F.lit(True).alias("in_stock")).dropDuplicates(["key"])
-    out = J.apply_verdicts(c.withColumn("expected", expected), v)
-    return out.select("offer_id", (~F.col("price_locked") & (F.col("price") == F.col("expected"))).alias("took"), F.col("price_unreliable").alias("unreliable"), "match_type")
+    k, j, p = F.col("disc_seq") % 7, F.col("disc_seq") % 5, F.col("price")
+    q = F.when(k == 0, p + 1).when(k == 1, F.floor(p * 300).cast("double") / 100).when(k == 4, p)
+    on_page = F.when(j == 0, F.coalesce(q, F.lit(1.0))).otherwise(p).cast("decimal(12,2)").cast("string")
+    c = candidates(spark, sf_dir).withColumns({"key": F.concat_ws("-", "offer_id", "disc_seq"), "page_text": F.when(j < 3, F.concat(F.lit("page says $"), on_page)), "price_structured": F.lit(False), "aggregator": j == 4, "title": F.lit("title")})
+    one = lambda *kinds, value: F.when(k.isin(*kinds), value)
+    v = c.filter(k != 6).select(
+        "key", F.concat(F.lit("$"), F.format_string("%.2f", q)).alias("price"), F.when(F.col("disc_seq") % 3 == 0, (p * 2)).cast("string").alias("original_price"), F.when(k < 4, F.concat(F.lit("Thing "), "variant")).alias("product_name"), F.when(k == 2, "rejected").otherwise("approximate").alias("match_type"),
+        F.when(k == 5, "sure").otherwise((F.col("disc_seq") % 101).cast("string")).alias("confidence"), F.col("is_seed").alias("requires_login"), F.when(k != 3, k % 2 == 0).alias("in_stock"), one(1, value="two at least").alias("min_order"), F.when(k == 5, "many").otherwise(F.concat((F.col("disc_seq") % 9).cast("string"), F.lit(".0"))).alias("pack_quantity"),
+        (k % 2 == 0).alias("brand_match"), (k % 3 == 0).alias("name_match"), F.lit(True).alias("pack_match"), F.when(k == 2, "members only").when(k == 3, "fine").alias("notes"),
+    ).dropDuplicates(["key"])
+    out = J.apply_verdicts(c, v)
+    return out.select("offer_id", "price", F.col("price_unreliable").alias("unreliable"), "match_type", "confidence", "rejected_reason", "page_name", "variant_unverified", "original_price", "pack_qty", "in_stock", "pack_condition", "brand_match", "name_match", "size_form_match", "pack_match", "notes")
 
 
 @query("t9_cheapest_of_first", "WITH " + CANDIDATES_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY disc_seq, offer_id) AS k FROM cands QUALIFY k <= 3) SELECT sku, offer_id, price FROM k QUALIFY row_number() OVER (PARTITION BY sku ORDER BY price, k) = 1")

@@ -13,6 +13,7 @@ from ..operators import reports as P
 from ..operators import selection as S
 from ..operators import urls as J
 from ..operators import verdicts as E
+from ..sources import files as L
 from ..sources.views import CANDIDATES_SQL, LINES_SQL, candidates, order_lines, table
 from .registry import query
 
@@ -451,6 +452,55 @@ def r2(spark, sf_dir):
     return P.alternates(order_lines(spark, sf_dir), candidates(spark, sf_dir), _findings(spark, sf_dir))
 
 
+def _written(spark, sf_dir, name: str):
+    """A report table of orders (sku % 7) as read back after a first run of all and a second one of two orders, of which half the lines are left."""
+    lines = order_lines(spark, sf_dir)
+    orders = lines.select(F.concat(F.lit("PO ") , (F.col("sku") % 7).cast("string")).alias("reference"), "sku")
+    again = orders.filter("sku % 7 < 2 AND sku div 7 % 2 = 0")
+    at = L.shared_folder(spark, "reports")
+    for of in (orders, again):
+        tables = P.run_reports(of, lines, candidates(spark, sf_dir), _findings(spark, sf_dir))
+        P.write_reports({name: tables[name]}, at)
+    return spark.read.parquet(f"{at}/{name}")
+
+
+WRITTEN = " CROSS JOIN LATERAL (SELECT 'PO ' || (sku % 7) AS reference) WHERE sku % 7 > 1 OR sku // 7 % 2 = 0"
+
+
+@query(
+    "s22_write_price_match",
+    REPORT
+    + """, t AS (SELECT sku, row_kind, CAST(no AS INTEGER) AS row_no, offer_id, price AS found_price FROM kinds WHERE row_kind <> 'BACKORDER'
+UNION ALL SELECT sku, 'NO SUPPLIER MATCH', 1, NULL, NULL FROM lines WHERE sku NOT IN (SELECT sku FROM options) AND sku NOT IN (SELECT sku FROM ref)
+UNION ALL SELECT l.sku, 'MARKET', m.no, NULL, NULL FROM lines l CROSS JOIN (VALUES (1, 'amazon'), (2, 'walmart')) m(no, name) WHERE (l.sku, m.name) NOT IN (SELECT (sku, marketplace) FROM mk))
+SELECT reference, sku, row_kind, row_no, offer_id, found_price FROM t"""
+    + WRITTEN,
+)
+def s22(spark, sf_dir):
+    return _written(spark, sf_dir, "price_match").select("reference", "sku", "row_kind", "row_no", "offer_id", "found_price")
+
+
+@query(
+    "s23_write_alternates",
+    REPORT
+    + FINDINGS
+    + """, shown AS (SELECT sku, url FROM options UNION SELECT sku, url FROM ref),
+u AS (SELECT * FROM reg WHERE sku NOT IN (SELECT sku FROM found WHERE level = 'close') QUALIFY row_number() OVER (PARTITION BY sku, url ORDER BY disc_seq, offer_id) = 1),
+w AS (SELECT sku, offer_id, price, CASE match_type WHEN 'exact' THEN 0 WHEN 'approximate' THEN 1 WHEN 'rejected' THEN 2 ELSE 3 END AS alt_tier FROM u WHERE NOT gated AND NOT coalesce(contains(lower(rejected_reason), 'sanity'), false) AND NOT EXISTS (SELECT 1 FROM shown o WHERE o.sku = u.sku AND o.url = u.url)),
+t AS (SELECT sku, offer_id, price, -1 AS alt_tier FROM found WHERE level = 'close' UNION ALL SELECT sku, offer_id, price, alt_tier FROM w
+UNION ALL SELECT sku, NULL, NULL, 9 FROM lines WHERE sku NOT IN (SELECT sku FROM w) AND sku NOT IN (SELECT sku FROM reg WHERE eligible) AND sku NOT IN (SELECT sku FROM found WHERE level = 'close'))
+SELECT reference, sku, offer_id, price, alt_tier FROM t"""
+    + WRITTEN,
+)
+def s23(spark, sf_dir):
+    return _written(spark, sf_dir, "alternates").select("reference", "sku", "offer_id", "price", "alt_tier")
+
+
+@query("s24_write_evidence", SQL + "SELECT reference, sku, offer_id, price, match_type, score FROM (SELECT sku, offer_id, price, match_type, score FROM r UNION ALL SELECT sku, NULL, NULL, 'none', 0 FROM lines WHERE sku NOT IN (SELECT sku FROM r))" + WRITTEN)
+def s24(spark, sf_dir):
+    return _written(spark, sf_dir, "evidence").select("reference", "sku", "offer_id", "price", "match_type", "score")
+
+
 @query(
     "r3_evidence",
     SQL + """SELECT sku, description, unit_price, CAST(NULL AS VARCHAR) AS title, site, CASE WHEN nm AND sm AND pm AND NOT bm AND coalesce(brand, '') <> '' THEN 'Generic Alternative' WHEN marketplace IS NOT NULL THEN 'Marketplace' WHEN contains(domain, 'dent') THEN 'Dental Supplier' ELSE 'Other' END AS source_type,

@@ -156,14 +156,25 @@ def s30(spark, sf_dir):
     return history_view(runs).select("id", "reference", F.col("reports.price_match").alias("price_match"))
 
 
+# Reports of ninety references, of which every third has a run; orders of two references of three.
 @query(
     "s28_backfill_runs",
-    "SELECT c_custkey AS id, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1",
+    """WITH f AS (SELECT DISTINCT c_custkey % 90 AS r FROM customer), o AS (SELECT o_custkey % 90 AS r, max(o_orderkey) AS id FROM orders WHERE o_custkey % 90 % 3 > 0 AND o_custkey % 90 % 4 > 0 GROUP BY 1),
+n AS (SELECT l_orderkey AS id, count(*) AS items FROM lineitem GROUP BY 1)
+SELECT 'legacy-R ' || r AS id, 'R ' || r AS reference, CASE WHEN o.id IS NULL THEN 'R ' || r || '.pdf' ELSE 'order ' || o.id || '.pdf' END AS filename, 'complete' AS status, coalesce(items, 0) AS items, CAST(o_totalprice AS DECIMAL(14,2)) AS total_price, o_orderdate AS created_at
+FROM f LEFT JOIN o USING (r) LEFT JOIN n ON n.id = o.id LEFT JOIN orders ON o_orderkey = o.id WHERE r % 3 > 0""",
 )
 def s28(spark, sf_dir):
+    from ..operators.reports import write_reports
     from ..operators.runs import backfill
+    from ..sources import files as L
 
+    name = lambda c: F.concat(F.lit("R "), (F.col(c) % 90).cast("string"))
+    at = L.shared_folder(spark, "reports")
+    write_reports({"price_match": table(spark, sf_dir, "customer").select(name("c_custkey").alias("reference"), "c_custkey").repartition("reference")}, at)
     o = table(spark, sf_dir, "orders")
-    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    runs = o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("id"))
-    return backfill(files, runs, o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("item"))).select("id", "items")
+    runs = o.filter("o_custkey % 90 % 3 = 0").select(F.concat(F.lit("legacy-"), name("o_custkey")).alias("id")).distinct()
+    orders = o.filter("o_custkey % 90 % 3 > 0 AND o_custkey % 90 % 4 > 0").select(F.col("o_orderkey").alias("id"), name("o_custkey").alias("reference"), F.concat(F.lit("order "), F.col("o_orderkey"), F.lit(".pdf")).alias("filename"), F.col("o_totalprice").cast("decimal(14,2)").alias("total_price"), F.col("o_orderdate").alias("created_at"))
+    out = backfill(L.written_reports(spark, at), runs, orders, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id")))
+    # where no order tells the time, it is that of the file, which SQL can't know
+    return out.withColumn("created_at", F.when(F.col("total_price").isNotNull(), F.col("created_at").cast("timestamp_ntz")))

@@ -266,3 +266,52 @@ def test_cross_sell_is_cut_at_a_line_after_the_start(spark):
     assert cut("x" * 399 + "\nRelated products") == 400  # the line begins at 400
     assert cut("x" * 398 + "\nRelated products") == 415  # at 399
     assert cut("x" * 500 + " related products") == 517
+
+
+def test_entities(spark):
+    """As html.unescape: named with and without a semicolon, numeric, hexadecimal, unknown and broken ones."""
+    import html as H
+
+    odd = ["&eacute;", "&eacute", "&#233;", "&#xE9;", "&#x1F600;", "&notit;", "&unknown;", "&;", "&#0;", "&#128;", "&#x110000;", "&amp;lt;", "&NotEqualTilde;", "a & b", "&ThickSpace;x", "&nbsp;&nbsp;x", "&copy2", "&#38;amp;"]
+    pages = spark.createDataFrame([(i, f"<p>{x}</p><script>{x}</script>y") for i, x in enumerate(odd)] + [(99, None), (98, "")], "page_id int, html string")
+    got = {r.page_id: r.page_text for r in P.html_to_text(pages).collect()}
+    assert [got[i] for i in range(len(odd))] == [" ".join(H.unescape(f" {x} y").split()) for x in odd]
+    assert got[99] is None and got[98] == ""
+
+
+def test_sources_are_files(spark, tmp_path):
+    from bidscout.sources import files as L
+    from bidscout.sources import orders as O
+
+    (tmp_path / "orders").mkdir()
+    body = "OR1234567890123456\nShip To\nClinic\n01/02/2026\n3\n1234567\nGauze\n200/Bx\nBX\n$10.00\n$30.00\nTotal Price $30.00\n"
+    for name in ("a 1.txt", "b.txt"):
+        (tmp_path / "orders" / name).write_text(body)
+    docs = L.order_documents(spark, f"{tmp_path}/orders")
+    assert sorted((r.doc_id, r.sku, r.qty) for r in O.order_lines(docs).collect()) == [("a 1", "1234567", 3), ("b", "1234567", 3)]
+    assert {(r.doc_id, r.reference, str(r.printed_total)) for r in O.headers(docs).collect()} == {("a 1", "OR1234567890123456", "30.00"), ("b", "OR1234567890123456", "30.00")}
+    (tmp_path / "mpn.txt").write_text("# sku | mpn\r\n1 | A | x # note\r\n\r\n2 | | \n1 | B\n")
+    rows = K.last_wins(L.pipe_table(spark, f"{tmp_path}/mpn.txt", ["sku", "mpn", "maker"]), "sku", "line_no")
+    assert [tuple(r) for r in rows.select("sku", "mpn", "maker").collect()] == [("1", "B", None)]
+    (tmp_path / "sites.txt").write_text("WWW.A.com # x\n#b.com\n c.com\n")
+    assert {r.domain for r in L.domain_list(spark, f"{tmp_path}/sites.txt").collect()} == {"a.com", "c.com"}
+    sites = spark.createDataFrame([(1, "a.com")], "position int, domain string")
+    assert [r.domain for r in L.supplier_sources(spark, f"{tmp_path}/none.json", sites).orderBy("priority").collect()] == ["a.com", "amazon.com", "walmart.com"]
+    (tmp_path / "s.json").write_text('[\n {"id": "z", "domain": "z.com", "enabled": false}\n]')
+    assert [(r.domain, r.enabled) for r in L.supplier_sources(spark, f"{tmp_path}/s.json", sites).orderBy("priority").collect()][0] == ("z.com", False)
+    for empty in (L.order_documents(spark, f"{tmp_path}/no"), L.pipe_table(spark, f"{tmp_path}/no", ["sku", "mpn"]), L.domain_list(spark, f"{tmp_path}/no"), L.written_reports(spark, f"{tmp_path}/no")):
+        assert empty.isEmpty()
+
+
+def test_backfilled_runs(spark, tmp_path):
+    from bidscout.operators.reports import write_reports
+    from bidscout.operators.runs import backfill
+    from bidscout.sources import files as L
+
+    write_reports({"price_match": spark.createDataFrame([("PO 1/a", 1), ("PO 2", 2), ("PO 3", 3)], "reference string, sku int")}, str(tmp_path))
+    files = L.written_reports(spark, str(tmp_path))
+    assert {r.reference for r in files.collect()} == {"PO 1/a", "PO 2", "PO 3"}
+    runs = spark.createDataFrame([("legacy-PO 3",)], "id string")
+    orders = spark.createDataFrame([(1, "PO 2", "old.pdf", 1.0, None), (5, "PO 2", "new.pdf", 2.0, None)], "id long, reference string, filename string, total_price double, created_at timestamp")
+    got = {r.reference: (r.id, r.filename, r["items"], r.total_price, r.created_at is not None) for r in backfill(files, runs, orders, spark.createDataFrame([(5,), (5,), (1,)], "order_id long")).collect()}
+    assert got == {"PO 1/a": ("legacy-PO 1/a", "PO 1/a.pdf", 0, None, True), "PO 2": ("legacy-PO 2", "new.pdf", 2, 2.0, True)}
