@@ -147,21 +147,33 @@ def w8(spark, sf_dir):
     return S.select_options(candidates(spark, sf_dir)).select("sku", "option_no", (F.col("option_no") % 2 == 0).alias("band"))
 
 
-@query("p25_likely_exact", SQL + "SELECT offer_id, page_name IS NOT NULL AND coalesce(pack_qty = ordered_pack, true) AND disc_seq % 2 = 0 AS likely FROM p")
+@query(
+    "p25_likely_exact",
+    SQL
+    + """, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(description), '[a-z0-9]+'), lambda t: length(t) > 2)) AS words, lower(coalesce(page_name || ' ', '') || array_to_string(string_split(description, ' ')[2:CAST(disc_seq % 8 AS INTEGER) + 1], ' ')) AS page FROM p)
+SELECT offer_id, page_name IS NOT NULL AND coalesce(pack_qty = ordered_pack, true) AND len(words) > 0 AND len(list_filter(words, lambda t: contains(page, t))) >= 0.6 * len(words) AS likely FROM w""",
+)
 def p25(spark, sf_dir):
     from ..functions.text import likely_exact
 
-    title = F.when(F.col("disc_seq") % 2 == 0, F.col("description")).otherwise("-")
-    c = candidates(spark, sf_dir).withColumns({"title": title, "page_name": F.when(F.col("page_name").isNotNull(), "zz")})
-    return c.select("offer_id", likely_exact().alias("likely"))
+    some = F.array_join(F.slice(F.split("description", " "), F.lit(2), (F.col("disc_seq") % 8).cast("int")), " ")
+    return candidates(spark, sf_dir).withColumn("title", some).select("offer_id", likely_exact().alias("likely"))
+
 
+MARKET_URLS = ("https://www.amazon.com/dp/B000000{n}", "https://amazon.co.uk/thing/gp/product/b00{n}00?x=1", "https://www.amazon.com/s?k={n}", "https://www.amazon.com/dp/B{n}", "https://amazon.example/dp/B000000{n}.pdf", "https://www.walmart.com/ip/thing/{n}", "https://walmart.com/browse/ip-{n}", "https://other.example/?u=https://www.amazon.com/dp/B000000{n}", "https://notamazon.com/dp/B000000{n}")
 
-@query("p48_filter_marketplace_pages", "WITH " + CANDIDATES_SQL + " SELECT offer_id FROM cands WHERE marketplace IS NOT NULL AND disc_seq % 3 = 0")
+
+@query(
+    "p48_filter_marketplace_pages",
+    "WITH "
+    + CANDIDATES_SQL
+    + f""", u AS (SELECT *, replace((['{"', '".join(MARKET_URLS)}'])[CAST((disc_seq + sku) % {len(MARKET_URLS)} + 1 AS INTEGER)], '{{n}}', CAST(sku AS VARCHAR)) AS link FROM cands WHERE marketplace IS NOT NULL),
+h AS (SELECT *, regexp_extract(link, '^https://([^/?]*)', 1) AS host FROM u)
+SELECT offer_id, link AS url FROM h WHERE NOT regexp_matches(link, '(?i)[.]pdf($|[?#])') AND CASE marketplace WHEN 'amazon' THEN regexp_matches(host, '(^|[.])amazon[.]') AND regexp_matches(link, '(?i)/(dp|gp/product)/[A-Z0-9]{{8,}}') ELSE regexp_matches(host, '(^|[.])walmart[.]') AND contains(link, '/ip/') END""",
+)
 def p48(spark, sf_dir):
-    k = F.col("disc_seq") % 3
-    page = F.when(F.col("marketplace") == "amazon", "https://www.amazon.com/dp/B000000001").otherwise("https://www.walmart.com/ip/thing/12345")
-    url = F.when(k == 0, page).when(k == 1, F.concat(F.lit("https://other.example/?u="), page)).otherwise("https://www.amazon.com/s?k=thing")
-    return U.marketplace_pages(candidates(spark, sf_dir).filter("marketplace IS NOT NULL").withColumn("url", url)).select("offer_id")
+    link = F.get(F.array(*map(F.lit, MARKET_URLS)), ((F.col("disc_seq") + F.col("sku")) % len(MARKET_URLS)).cast("int"))
+    return U.marketplace_pages(candidates(spark, sf_dir).filter("marketplace IS NOT NULL").withColumn("url", F.replace(link, F.lit("{n}"), F.col("sku").cast("string")))).select("offer_id", "url")
 
 
 @query("p12_skip_oversized", "WITH " + CANDIDATES_SQL + " SELECT offer_id FROM cands WHERE CASE WHEN marketplace IS NULL THEN disc_seq % 1000 * 300 <= 150000 ELSE disc_seq % 1000 * 300 <= 600000 END")

@@ -106,11 +106,25 @@ def p26(spark, sf_dir):
     return V.confirm_by_heading(df).select("offer_id", "heading_confirms", "match_type", "rejected_reason", "pack_qty", "page_name", "name_match")
 
 
-@query("p29_condition_gate", SQL + "SELECT offer_id, CASE WHEN marketplace IS NOT NULL THEN CASE disc_seq % 5 WHEN 0 THEN 'not new' WHEN 2 THEN 'condition not confirmed' WHEN 3 THEN 'auction without a fixed price' END END AS reason FROM p")
+CONDITIONS = ("New", "brand new, sealed", "Open Box", "Used - good", "Renewed", "", "pre-owned, like new", "for parts")
+LISTINGS = ("", "Brand new in box. Buy it now", "A listing. 12 bids", "New. 3 bids, place bid", "New. Current bid $4, or Buy It Now", "refurbished, as new", "ships today")
+
+
+@query(
+    "p29_condition_gate",
+    SQL
+    + f""", c AS (SELECT *, (['{"', '".join(CONDITIONS)}'])[CAST(disc_seq % {len(CONDITIONS)} + 1 AS INTEGER)] AS said, (['{"', '".join(LISTINGS)}'])[CAST((disc_seq + sku) % {len(LISTINGS)} + 1 AS INTEGER)] || CASE WHEN sku % 5 = 0 THEN ' ' || description ELSE '' END AS body FROM p),
+r9 AS (SELECT *, CASE WHEN marketplace IS NULL THEN NULL WHEN said <> '' THEN CASE WHEN regexp_matches(said, '(?i)\\b(used|open box|refurbished|for parts|pre-owned)\\b') THEN 'not new' WHEN NOT regexp_matches(said, '(?i)\\bnew\\b') THEN 'condition not confirmed' END
+  WHEN body = '' THEN NULL WHEN regexp_matches(body, '(?i)\\b(used|open box|refurbished|for parts|pre-owned)\\b') THEN 'not new' WHEN NOT regexp_matches(body, '(?i)\\bnew\\b') THEN 'condition not confirmed'
+  WHEN regexp_matches(body, '(?i)\\b(current bid|place bid|[0-9]+ bids?)\\b') AND NOT contains(lower(body), 'buy it now') THEN 'auction without a fixed price' END AS reason FROM c)
+SELECT offer_id, reason, CASE WHEN reason IS NOT NULL THEN 'rejected' ELSE match_type END AS match_type, coalesce(reason, rejected_reason) AS rejected_reason FROM r9""",
+)
 def p29(spark, sf_dir):
-    k = F.col("disc_seq") % 5
-    df = candidates(spark, sf_dir).withColumn("condition", F.when(k == 0, "Open box").when(k == 1, "New")).withColumn("page_text", F.when(k == 2, "a listing").when(k == 3, "Brand new. 3 bids").when(k == 4, ""))
-    return V.condition_gate(df).select("offer_id", F.col("condition_reason").alias("reason"))
+    o, k = F.col("disc_seq"), F.col("sku")
+    said = F.get(F.array(*map(F.lit, CONDITIONS)), (o % len(CONDITIONS)).cast("int"))
+    body = F.concat(F.get(F.array(*map(F.lit, LISTINGS)), ((o + k) % len(LISTINGS)).cast("int")), F.when(k % 5 == 0, F.concat(F.lit(" "), "description")).otherwise(""))
+    df = candidates(spark, sf_dir).withColumns({"condition": said, "page_text": body})
+    return V.condition_gate(df).select("offer_id", F.col("condition_reason").alias("reason"), "match_type", "rejected_reason")
 
 
 @query("p30_match_marketplace_title", SQL + "SELECT offer_id, is_seed OR disc_seq % 2 = 0 AS name_match, coalesce(pack_qty, CASE WHEN disc_seq % 2 = 0 THEN ordered_pack END) AS pack FROM p")

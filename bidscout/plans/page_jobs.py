@@ -132,19 +132,32 @@ def p32(spark, sf_dir):
     return df.select("offer_id", T.grounded(asked, F.col("text")).alias("grounded"))
 
 
-@query("p28_flag_out_of_stock", SQL + " SELECT offer_id, disc_seq % 4 = 2 AS gone, CASE WHEN disc_seq % 4 = 2 AND match_type = 'exact' THEN 'approximate' ELSE match_type END AS match_type FROM o")
+STOCK = ("Out of stock", "SOLD OUT", "Currently unavailable", "on back-order", "Discontinued", "stock is out", "backordered", "temporarily  unavailable", "No longer available")
+
+
+@query(
+    "p28_flag_out_of_stock",
+    PHRASES
+    + f""", st AS (SELECT *, CASE WHEN disc_seq % 11 = 0 THEN repeat('filler ', 900) ELSE '' END || text || ' ' || (['{"', '".join(STOCK)}'])[CAST((disc_seq + sku) % {len(STOCK)} + 1 AS INTEGER)] || CASE WHEN disc_seq % 4 = 0 THEN ' Add To Cart' ELSE '' END AS body, CASE disc_seq % 13 WHEN 0 THEN false WHEN 1 THEN true END AS stock FROM pp),
+lo AS (SELECT *, lower(left(body, 6000)) AS low FROM st),
+go AS (SELECT *, coalesce(stock = false, false) OR (regexp_matches(low, 'out of stock|sold out|currently unavailable|no longer available|temporarily unavailable|discontinued|back-?order(?:ed)?') AND NOT contains(low, 'add to cart')) AS gone FROM lo)
+SELECT offer_id, out_of_stock OR (gone AND NOT (price_locked AND disc_seq % 2 = 0)) AS gone, CASE WHEN gone AND NOT (price_locked AND disc_seq % 2 = 0) AND match_type = 'exact' THEN 'approximate' ELSE match_type END AS match_type FROM go""",
+)
 def p28(spark, sf_dir):
     from ..operators.matching import flag_out_of_stock
 
-    df = text_pages(_offers(spark, sf_dir)).withColumns({"page_text": F.col("text"), "in_stock": F.lit(None).cast("boolean"), "aggregator": F.lit(False), "out_of_stock": F.lit(False)})
+    o, k = F.col("disc_seq"), F.col("sku")
+    said = F.get(F.array(*map(F.lit, STOCK)), ((o + k) % len(STOCK)).cast("int"))
+    body = F.concat(F.when(o % 11 == 0, F.repeat(F.lit("filler "), 900)).otherwise(""), "text", F.lit(" "), said, F.when(o % 4 == 0, " Add To Cart").otherwise(""))
+    df = phrase_pages(_offers(spark, sf_dir)).withColumns({"page_text": body, "in_stock": F.when(o % 13 == 0, F.lit(False)).when(o % 13 == 1, F.lit(True)), "aggregator": o % 2 == 0})
     return flag_out_of_stock(df).select("offer_id", F.col("out_of_stock").alias("gone"), "match_type")
 
 
-@query("p27_flag_unseen_price", SQL + " SELECT offer_id, price_unreliable OR (disc_seq % 4 = 2 AND NOT price_locked) AS unreliable FROM o")
+@query("p27_flag_unseen_price", PHRASES + r" SELECT offer_id, price_unreliable OR (length(text) > 200 AND NOT regexp_matches(text, '\$\s?\d') AND price IS NOT NULL AND disc_seq % 9 > 0 AND NOT price_locked) AS unreliable FROM pp")
 def p27(spark, sf_dir):
     from ..operators.matching import flag_unseen_price
 
-    df = text_pages(_offers(spark, sf_dir)).withColumn("page_text", F.concat(F.col("text"), F.repeat(F.lit(" filler"), 40))).withColumn("price_structured", F.lit(False))
+    df = phrase_pages(_offers(spark, sf_dir)).withColumn("page_text", F.col("text")).withColumn("price_structured", F.col("disc_seq") % 9 == 0)
     return flag_unseen_price(df).select("offer_id", F.col("price_unreliable").alias("unreliable"))
 
 
@@ -181,11 +194,21 @@ def p33_apply(spark, sf_dir):
     return P.apply_fallback(df, found).select("offer_id", "price", F.col("variant_unverified").alias("unverified"), "match_type", "confidence")
 
 
-@query("p34_mask_wrong_pack", SQL + " SELECT offer_id, CASE WHEN disc_seq % 2 = 0 AND ordered_pack <> ordered_pack * 2 THEN (ordered_pack * 2) || '-pack $— ' || ordered_pack || '-pack $' || p ELSE 'one ' || ordered_pack || '-pack $' || p END AS masked FROM o")
+@query(
+    "p34_mask_wrong_pack",
+    SQL
+    + r""", t AS (SELECT *, ordered_pack * (1 + disc_seq % 3) AS other, CASE WHEN disc_seq % 5 = 0 THEN repeat(' far away', 21) ELSE '' END AS gap FROM o),
+x AS (SELECT *, 'from $1.50 ' || other || '-pack' || gap || ' $' || p10 || ' or $' || p || ' ' || CASE WHEN disc_seq % 4 = 3 THEN 'single' ELSE ordered_pack || '/Bx' END || ', ' || ordered_pack || CASE WHEN disc_seq % 7 = 0 THEN ' Count' ELSE ' in all' END || ' $' || p AS text FROM t),
+y AS (SELECT *, regexp_extract_all(text, '(?i)(\d{1,4})[- ]?(?:pack|pk|count|ct|box|bx)\b') AS heads, regexp_split_to_array(text, '(?i)\d{1,4}[- ]?(?:pack|pk|count|ct|box|bx)\b') AS pieces FROM x),
+z AS (SELECT *, list_transform(heads, lambda h: CAST(regexp_extract(h, '\d+') AS INTEGER)) AS sizes FROM y)
+SELECT offer_id, CASE WHEN list_contains(sizes, ordered_pack) AND len(list_distinct(sizes)) >= 2 THEN pieces[1] || array_to_string(list_transform(range(1, len(heads) + 1), lambda i: heads[i] || CASE WHEN sizes[i] <> ordered_pack
+  THEN regexp_replace(left(pieces[i + 1], 180), '\$\s?\d[\d,]*(?:\.\d{1,2})?', '$—', 'g') || pieces[i + 1][181:] ELSE pieces[i + 1] END), '') ELSE text END AS masked FROM z""",
+)
 def p34(spark, sf_dir):
-    df = _offers(spark, sf_dir)
-    own, other = F.col("ordered_pack").cast("string"), (F.col("ordered_pack") * 2).cast("string")
-    text = F.when(F.col("disc_seq") % 2 == 0, F.concat(other, F.lit("-pack "), _usd(F.col("p") + 10), F.lit(" "), own, F.lit("-pack "), _usd(F.col("p")))).otherwise(F.concat(F.lit("one "), own, F.lit("-pack "), _usd(F.col("p"))))
+    df, o = _offers(spark, sf_dir), F.col("disc_seq")
+    own, other = F.col("ordered_pack").cast("string"), (F.col("ordered_pack") * (1 + o % 3)).cast("string")
+    gap = F.when(o % 5 == 0, F.repeat(F.lit(" far away"), 21)).otherwise("")
+    text = F.concat(F.lit("from $1.50 "), other, F.lit("-pack"), gap, F.lit(" "), _usd(F.col("p") + 10), F.lit(" or "), _usd(F.col("p")), F.lit(" "), F.when(o % 4 == 3, "single").otherwise(F.concat(own, F.lit("/Bx"))), F.lit(", "), own, F.when(o % 7 == 0, " Count").otherwise(" in all"), F.lit(" "), _usd(F.col("p")))
     return df.select("offer_id", T.without_wrong_packs(text, F.col("ordered_pack")).alias("masked"))
 
 
@@ -423,9 +446,18 @@ def s21(spark, sf_dir):
     return out.select(F.col("url").cast("long").alias("sku"), "n_rows", F.size("backorder").cast("long").alias("n_late"), "badge", "badge_price", "price")
 
 
-@query("j10_serve_cached_verdicts", SQL + " SELECT offer_id, sha1(concat_ws('|', 'v1', url || '/' || offer_id, lower(coalesce(variant, '')), ordered_pack::VARCHAR)) AS key FROM o")
+@query(
+    "j10_serve_cached_verdicts",
+    "WITH "
+    + CANDIDATES_SQL
+    + """, k AS (SELECT *, sha1(concat_ws('|', 'v1', url, lower(coalesce(variant, '')), coalesce(ordered_pack::VARCHAR, ''))) AS key FROM cands), c AS (SELECT key, max(ts) AS cached_at FROM k WHERE disc_seq % 2 = 0 GROUP BY key)
+SELECT offer_id, k.key, coalesce(cached_at <= ts AND cached_at >= ts - INTERVAL 720 HOURS AND NOT price_locked, false) AS hit FROM k LEFT JOIN c USING (key)""",
+)
 def j10(spark, sf_dir):
-    return K.verdict_key(_offers(spark, sf_dir), "v1").select("offer_id", "key")
+    asked = K.verdict_key(candidates(spark, sf_dir), "v1")
+    kept = asked.filter("disc_seq % 2 = 0").groupBy("key").agg(F.max("ts").alias("cached_at"))
+    asked = asked.select("offer_id", "key", F.when(F.col("price_locked"), 0).otherwise(720).alias("ttl_hours"), F.col("ts").alias("asked_at"))
+    return K.serve_cached(asked, kept, "key").select("offer_id", "key", "hit")
 
 
 @query("j12_match_variant_by_id", SQL + " SELECT sku, arg_min(p, (disc_seq, p)) AS price FROM o GROUP BY sku")
@@ -489,12 +521,17 @@ def p18(spark, sf_dir):
     return rescue_gated(df).select("offer_id", "match_type", "page_name")
 
 
-@query("j16_merge_seed_hits", SQL + " SELECT offer_id, price FROM o")
+@query(
+    "j16_merge_seed_hits",
+    SQL
+    + """, s AS (SELECT DISTINCT offer_id, url || '/' || offer_id AS url, CASE WHEN disc_seq % 2 = 0 THEN price + 1 END AS price FROM o WHERE is_seed), h AS (SELECT DISTINCT offer_id, url || '/' || offer_id AS url, price FROM o WHERE disc_seq % 5 > 0)
+SELECT s.offer_id, coalesce(s.price, h.price) AS price, true AS seeded FROM s LEFT JOIN h USING (url) UNION ALL SELECT offer_id, price, false FROM h WHERE url NOT IN (SELECT url FROM s)""",
+)
 def j16(spark, sf_dir):
     df = _offers(spark, sf_dir)
-    seeds = df.filter("is_seed").select("offer_id", "url", F.lit(None).cast("double").alias("price")).distinct()
-    hits = df.select("offer_id", "url", "price")
-    return K.merge_seed_hits(seeds, hits, ["price"]).select("offer_id", "price")
+    seeds = df.filter("is_seed").select("offer_id", "url", F.when(F.col("disc_seq") % 2 == 0, F.col("price") + 1).alias("price"), F.lit(True).alias("seeded")).distinct()
+    hits = df.filter("disc_seq % 5 > 0").select("offer_id", "url", "price", F.lit(False).alias("seeded")).distinct()
+    return K.merge_seed_hits(seeds, hits, ["price"]).select("offer_id", "price", "seeded")
 
 
 @query("j18_purge_cache", SQL + ", u AS (SELECT DISTINCT url, sku FROM o) SELECT url FROM (SELECT DISTINCT url FROM u) WHERE url NOT IN (SELECT url FROM u WHERE sku IN (1, 2, 3))")
