@@ -216,12 +216,24 @@ def u3(spark, sf_dir):
     return J.evidence_rows(order_lines(spark, sf_dir), c.filter("marketplace IS NULL"), c.filter("marketplace IS NOT NULL"))
 
 
-@query("p35_window_page_text", "WITH " + CANDIDATES_SQL + " SELECT offer_id, CASE WHEN price_locked THEN 1500 WHEN disc_seq % 2 = 0 THEN 600 + 3 + 806 WHEN NOT price_locked THEN 1333 + 3 + 801 + length('$' || CAST(CAST(price AS DECIMAL(12,2)) AS VARCHAR)) - 1 + 5 END AS n FROM cands")
+@query(
+    "p35_window_page_text",
+    "WITH "
+    + CANDIDATES_SQL
+    + r""", t AS (SELECT *, 'Top $1.25 of ' || description || CASE disc_seq % 5 WHEN 0 THEN '' WHEN 1 THEN ' anchor here' || repeat(' filler', 900) ELSE repeat(' filler', 560 + CAST(disc_seq % 90 AS INTEGER)) END || CASE disc_seq % 5 WHEN 2 THEN ' the ANCHOR' WHEN 3 THEN ' now $' || CAST(CAST(price AS DECIMAL(12,2)) AS VARCHAR) ELSE '' END || repeat(' tail', 600) AS raw FROM cands),
+x AS (SELECT *, CASE WHEN disc_seq % 5 IN (3, 4) THEN replace(raw, '$1.25', 'none') ELSE raw END AS text FROM t),
+y AS (SELECT *, instr(lower(text), 'anchor') AS anchor, CASE WHEN regexp_matches(text, '\$\s?\d') THEN length(regexp_extract(text, '(?s)^(.*?)\$\s?\d', 1)) + 1 ELSE 0 END AS money FROM x)
+SELECT offer_id, md5(CASE WHEN price_locked THEN left(text, 1500) WHEN anchor > 4000 THEN regexp_replace(left(text, 600), '\$\s?\d[\d,]*(?:\.\d{1,2})?', '', 'g') || chr(10) || '…' || chr(10) || substr(text, greatest(anchor - 800, 1), 3400)
+  WHEN money > 4000 THEN left(text, 1333) || chr(10) || '…' || chr(10) || substr(text, greatest(money - 800, 1), 2600) ELSE left(text, 4000) END) AS shown FROM y""",
+)
 def p35(spark, sf_dir):
-    filler = F.repeat(F.lit("x "), 2500)
-    text = F.when(F.col("disc_seq") % 2 == 0, F.concat(filler, F.lit("anchor"))).otherwise(F.concat(filler, F.lit("$"), F.col("price").cast("decimal(12,2)").cast("string"), F.lit(" each")))
+    o = F.col("disc_seq")
+    k = o % 5
+    deep = F.when(k == 2, " the ANCHOR").when(k == 3, F.concat(F.lit(" now $"), F.col("price").cast("decimal(12,2)").cast("string"))).otherwise("")
+    middle = F.when(k == 0, "").when(k == 1, F.concat(F.lit(" anchor here"), F.repeat(F.lit(" filler"), 900))).otherwise(F.repeat(F.lit(" filler"), (560 + o % 90).cast("int")))
+    text = F.concat(F.lit("Top "), F.when(k.isin(3, 4), "none").otherwise("$1.25"), F.lit(" of "), "description", middle, deep, F.repeat(F.lit(" tail"), 600))
     df = candidates(spark, sf_dir).withColumn("text", text)
-    return P.window_text(df, F.lit("ANCHOR"), F.col("price_locked")).select("offer_id", F.char_length("window").alias("n"))
+    return P.window_text(df, F.lit("ANCHOR"), F.col("price_locked")).select("offer_id", F.md5("window").alias("shown"))
 
 
 @query(
