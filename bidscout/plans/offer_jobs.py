@@ -455,12 +455,11 @@ def r2(spark, sf_dir):
 def _written(spark, sf_dir, name: str):
     """A report table of orders (sku % 7) as read back after a first run of all and a second one of two orders, of which half the lines are left."""
     lines = order_lines(spark, sf_dir)
-    orders = lines.select(F.concat(F.lit("PO ") , (F.col("sku") % 7).cast("string")).alias("reference"), "sku")
+    orders = lines.select(F.concat(F.lit("PO "), (F.col("sku") % 7).cast("string")).alias("reference"), "sku")
     again = orders.filter("sku % 7 < 2 AND sku div 7 % 2 = 0")
     at = L.shared_folder(spark, "reports")
     for of in (orders, again):
-        tables = P.run_reports(of, lines, candidates(spark, sf_dir), _findings(spark, sf_dir))
-        P.write_reports({name: tables[name]}, at)
+        P.write_reports(P.run_reports(of, lines, candidates(spark, sf_dir), _findings(spark, sf_dir), names=(name,)), at)
     return spark.read.parquet(f"{at}/{name}")
 
 

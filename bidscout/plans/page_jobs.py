@@ -90,6 +90,10 @@ def _lit(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# The login gate without its look ahead, which SQL hasn't; none of the words that it bars begins one of those that follow it.
+GATE = r"(?i)(?:log\s?in|login|sign\s?in|register)\s+(?:(?:to|and)?\s*(?:see|view|reveal|unlock|check)\s+(?:the\s+|our\s+)?(?:price|pricing|cost)|for\s+(?:your\s+|our\s+)?(?:price|pricing|cost))\b"
+
+
 @query(
     "p15_prefer_sale_price",
     PHRASES
@@ -117,7 +121,7 @@ def p14(spark, sf_dir):
 @query(
     "p10_reject_login_gated",
     PHRASES
-    + f""" SELECT offer_id, CASE WHEN marketplace IS NOT NULL THEN NULL WHEN regexp_matches(text, {_lit(T.LOGIN_GATE)}) THEN 'price gated behind login'
+    + f""" SELECT offer_id, CASE WHEN marketplace IS NOT NULL THEN NULL WHEN regexp_matches(text, {_lit(GATE)}) THEN 'price gated behind login'
   WHEN NOT contains(text, chr(36)) AND (regexp_matches(text, {_lit(T.LOGIN_FOR_PRICE)}) OR {' OR '.join(f"contains(lower(text), '{w}')" for w in T.LOGIN_WORDS)}) THEN 'login required for pricing' END AS reason FROM pp""",
 )
 def p10(spark, sf_dir):
@@ -212,7 +216,7 @@ def p34(spark, sf_dir):
     return df.select("offer_id", T.without_wrong_packs(text, F.col("ordered_pack")).alias("masked"))
 
 
-CUT = r"\n\s*[#>*\-\s]*(?:" + "|".join(T.CROSS_SELL) + ")"
+CUT = r"(?im)\n" + T.CROSS_SELL.removeprefix("(?im)^")
 
 
 @query(

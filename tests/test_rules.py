@@ -315,3 +315,17 @@ def test_backfilled_runs(spark, tmp_path):
     orders = spark.createDataFrame([(1, "PO 2", "old.pdf", 1.0, None), (5, "PO 2", "new.pdf", 2.0, None)], "id long, reference string, filename string, total_price double, created_at timestamp")
     got = {r.reference: (r.id, r.filename, r["items"], r.total_price, r.created_at is not None) for r in backfill(files, runs, orders, spark.createDataFrame([(5,), (5,), (1,)], "order_id long")).collect()}
     assert got == {"PO 1/a": ("legacy-PO 1/a", "PO 1/a.pdf", 0, None, True), "PO 2": ("legacy-PO 2", "new.pdf", 2, 2.0, True)}
+
+
+def test_listing_urls_of_one_site(spark):
+    urls = [("https://www.net32.com/ec/gloves-d-123", False), ("https://www.net32.com/ec/gloves-t-12", True), ("https://www.net32.com/gloves", True), ("https://shop.net32.com/x-d-9", False), ("https://www.other.example/gloves", False)]
+    df = spark.createDataFrame([(u,) for u, _ in urls], "url string")
+    assert [r.c for r in df.select(U.is_category(F.col("url")).alias("c")).collect()] == [c for _, c in urls]
+
+
+def test_cross_sell_from_its_line_on(spark):
+    """A heading counts only at the start of a line, and only behind what is kept; a line break right before that is seen."""
+    head = "h" * 399
+    cases = [(f"{head}\n## Similar items $1", f"{head}\n"), (f"{head}x Similar items $1", None), (f"{head}Similar items", None), (f"Related products\n{head}", None), (f"{head}\ntext\nRelated:\n$2", f"{head}\ntext\n"), (f"{head}\nrelated sizes", None), ("short", None)]
+    df = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    assert [r.c for r in df.select(T.without_cross_sell(F.col("t")).alias("c")).collect()] == [t if c is None else c for t, c in cases]
