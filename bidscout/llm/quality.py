@@ -11,11 +11,12 @@ Training reads every labelled row (narrow: numbers only) and is distributed; the
 driver holds the forest's nodes and the weights, whose number is set by TREES
 and DEPTH, not by the data. Scoring is a projection.
 
-Defined cases: a word of more than PART bytes counts once for each part; null text is the empty text, and it gets a score; labels other
-than 0 and 1, or null, aren't learnt from; a document labelled twice counts
-twice; with labels of one class only (or none) the score is that class's share
-(0.5 for none); an empty table gives no rows; further columns are kept by
-keep_good().
+Defined cases: statistics don't depend on the parts that a long text is counted
+in, as words and neighbours that a cut goes through are put together again; null
+text is the empty text, and it gets a score; labels other than 0 and 1, or null,
+aren't learnt from; a document labelled twice counts twice; with labels of one
+class only (or none) the score is that class's share (0.5 for none); an empty
+table gives no rows; further columns are kept by keep_good().
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ for _kind, _chars in ((LETTER, b"abcdefghijklmnopqrstuvwxyz"), (SPACE, b" \t\x0b
 
 
 def parts_of(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, the text that each is of) of at most PART bytes; a longer text is cut at white space, if there is any."""
+    """(bytes, the text that each is of) of at most PART bytes, and of one text only if it is longer. No character is cut."""
     i, n = 0, len(ends) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + PART, side="right")) - 1)
@@ -63,21 +64,59 @@ def parts_of(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
         else:
             while a < b:
                 to = min(a + PART, b)
-                if to < b:
-                    blank = np.flatnonzero((_class[data[a:to]] == SPACE) | (_class[data[a:to]] == NEWLINE))
-                    to = a + int(blank[-1]) + 1 if len(blank) else to
+                while to < b and _class[data[to]] == REST:
+                    to -= 1
                 yield data[a:to], np.full(to - a, i)
                 a = to
         i = j
 
 
+class LongText:
+    """The words of a text that comes in parts, counted as if it came at once."""
+
+    def __init__(self) -> None:
+        self.open: tuple[int, int] | None = None  # hash and length of a word that the next part may go on with
+        self.last = np.empty(0, np.uint64)  # the last whole word
+        self.words = self.longest = self.repeated = 0
+        self.distinct: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []
+
+    def add(self, word: np.ndarray, length: np.ndarray, begun: bool, unfinished: bool) -> None:
+        """word: hashes without their lengths. begun: the part starts within a word, or at one; unfinished: it ends so."""
+        if self.open:
+            before, n = self.open
+            if begun:
+                word[0] = (before + int(word[0]) * pow(_base, n, 2**64)) % 2**64
+                length[0] += n
+            else:
+                word, length = np.r_[np.uint64(before), word], np.r_[n, length]
+        self.open = (int(word[-1]), int(length[-1])) if unfinished else None
+        if unfinished:
+            word, length = word[:-1], length[:-1]
+        self.words += len(word)
+        self.longest = max(self.longest, int(length.max(initial=0)))
+        all_ = np.r_[self.last, word + length.astype(np.uint64)]
+        self.repeated += int((all_[1:] == all_[:-1]).sum())
+        self.distinct.append(np.unique(all_))
+        self.pairs.append(np.unique(two_of(all_)))
+        self.last = all_[-1:]
+
+    def end(self) -> None:
+        self.add(np.empty(0, np.uint64), np.empty(0, np.int64), False, False)
+
+
+def two_of(word: np.ndarray) -> np.ndarray:
+    """Hashes of words beside each other."""
+    return word[:-1] * np.uint64(31) ^ word[1:]
+
+
 def counted(column: pa.Array) -> dict[str, np.ndarray]:
     """The statistics of each text."""
     data, ends = bytes_of(column)
     n = len(ends) - 1
     classes, accents = np.zeros((n, 12)), np.zeros(n)
     words, repeated, longest, distinct, pairs = (np.zeros(n) for _ in range(5))
-    of_long: dict[int, tuple[list, list]] = {}
+    of_long: dict[int, LongText] = {}
     for part, text in parts_of(data, ends):
         if not len(part):
             continue
@@ -91,23 +130,23 @@ def counted(column: pa.Array) -> dict[str, np.ndarray]:
         stops = np.r_[blank[1:] | (text[1:] != text[:-1]), True] & ~blank
         first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         sums = np.r_[np.uint64(0), np.cumsum(_mixed[part] * _power[: len(part)], dtype=np.uint64)]
-        word = (sums[last] - sums[first]) * _inverse[first] + (last - first).astype(np.uint64)
+        word, length = (sums[last] - sums[first]) * _inverse[first], last - first
+        if ends[low + 1] - ends[low] > PART:
+            of_long.setdefault(low, LongText()).add(word, length, not blank[0], not blank[-1])
+            continue
+        word = word + length.astype(np.uint64)
         of = text[first] - low
         words[low:high] += np.bincount(of, minlength=high - low)
-        np.maximum.at(longest, text[first], last - first)
+        np.maximum.at(longest, text[first], length)
         near = of[1:] == of[:-1]
         repeated[low:high] += np.bincount(of[1:][near & (word[1:] == word[:-1])], minlength=high - low)
-        two, of_two = (word[:-1] * np.uint64(31) ^ word[1:])[near], of[1:][near]
-        if ends[low + 1] - ends[low] > PART:
-            own = of_long.setdefault(low, ([], []))
-            own[0].append(np.unique(word))
-            own[1].append(np.unique(two))
-            continue
+        two, of_two = two_of(word)[near], of[1:][near]
         for out, hashes, at in ((distinct, word, of), (pairs, two, of_two)):
             _, unique = np.unique(hashes + at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
             out[low:high] += np.bincount(at[unique], minlength=high - low)
-    for i, (one, two) in of_long.items():
-        distinct[i], pairs[i] = len(np.unique(np.concatenate(one))), len(np.unique(np.concatenate(two)))
+    for i, own in of_long.items():
+        own.end()
+        words[i], longest[i], repeated[i], distinct[i], pairs[i] = own.words, own.longest, own.repeated, len(np.unique(np.concatenate(own.distinct))), len(np.unique(np.concatenate(own.pairs)))
     chars = classes.sum(axis=1) - classes[:, REST]
 
     def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:

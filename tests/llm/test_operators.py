@@ -510,20 +510,20 @@ def test_quality(spark):
 def test_statistics_of_texts(corpus, monkeypatch):
     import pyarrow as pa
 
-    texts = [c[1] for c in corpus] + ["É|é!! #1, ok. a a b a a b\n\tÀ" * 3, "x" * 5000, " " * 3000]
-    for part in (100, 1 << 18):
+    texts = [c[1] for c in corpus] + ["É|é!! #1, ok. a a b a a b\n\tÀ" * 3, "x" * 5000, " " * 3000, "same " * 5000, "äÀ€ " * 400 + "ä" * 301]
+    whole = None
+    for part in (1 << 18, 64, 101):
         monkeypatch.setattr(quality, "PART", part)
         got = quality.counted(pa.array(texts))
+        whole = whole or got
+        assert all((got[k] == whole[k]).all() for k in quality.STATISTICS), part
         for i, t in enumerate(t or "" for t in texts):
-            words = t_words = WORD.findall(t)
-            if part == 100 and any(len(w.encode()) > part for w in words):
-                continue  # words of over a part count for each part
+            words = WORD.findall(t)
             n, w = max(len(t), 1), max(len(words), 1)
             want = {"chars": len(t), "words": len(words), "word_length": len(t) / w if words else 0, "longest": max((len(x.encode()) for x in words), default=0), "bars": t.count("|") / w, "shouts": t.count("!") / w}
             want |= {"digits": sum(c in "0123456789" for c in t) / n, "capitals": sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in t) / n, "lines": t.count("\n") / w if words else 0}
             want |= {"distinct": len(set(words)) / w, "foreign": sum(ord(c) > 127 for c in t) / n}
-            if part > 100 or len(t.encode()) <= part:
-                want |= {"repeated": sum(a == b for a, b in zip(words, t_words[1:])) / w, "pairs": len(set(zip(words, words[1:]))) / w}
+            want |= {"repeated": sum(a == b for a, b in zip(words, words[1:])) / w, "pairs": len(set(zip(words, words[1:]))) / w}
             assert {k: float(got[k][i]) for k in want} == pytest.approx(want), (i, part)
 
 
