@@ -14,8 +14,9 @@ the undecided of many blocks form the next round's blocks, until a source is one
 block. Landing: the last two or three, with ten that sat out the last block's
 flight, are decided so that the words come nearest to the expected total.
 
-A block has a bounded number of rows (BLOCK), whatever a source's size, so a hot
-source is many tasks. Rows are narrow (no text). The order of blocks and rows
+Repeated rows are counted first and are one row of a block. So a block has a
+bounded number of rows (BLOCK, about), whatever a source's size, and a hot source
+is many tasks. Rows are narrow (no text). The order of blocks and rows
 comes from hashes of the ids, so that reruns agree. A source of one block waits,
 unflown, for the last round and its landing, whatever other sources do.
 
@@ -25,7 +26,9 @@ Spark broadcasts if it is small.
 
 Defined cases: null text has size 0; a null source comes last in the order;
 documents of size 0 are sampled like others; repeated rows are rows of their
-own; a source without words, or an empty table, takes nothing; no document is
+own, and as many of them are taken as their probabilities sum up to, give or take
+one (of those with different further columns, which ones depends on how the table
+is partitioned); a source without words, or an empty table, takes nothing; no document is
 taken more than `cap` times. Further columns are ignored by mix() and kept by
 mixed().
 """
@@ -41,6 +44,8 @@ from .common import cut, table, words_of
 
 #: Rows of a block, about.
 BLOCK = 2_000
+#: Repeated rows that one task writes out.
+SLICE = 1 << 16
 #: Documents of a source that are kept for its landing.
 LANDING = 10
 EPS = 1e-9
@@ -146,22 +151,26 @@ def _block(seed: int, final: bool):
     return fly
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs (doc_id, source, size) -> for every row: doc_id, source, key, size, source_size, target, times.
+def mix_units(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
+    """docs (doc_id, source, size) -> for each set of repeated rows: doc_id, source, key, size, rows, source_size, target, times, more.
 
-    Sources in code point order (null last) get the weights, repeated; the mix
-    is as large as all of docs. key is docs.key, if there.
+    Each of the rows is taken `times` times, and `more` of them once more. They
+    are one unit of the sample: of rows * probability the whole part is sure and
+    the fraction is the unit's own probability.
     """
     if "key" not in docs.columns:
         docs = docs.withColumn("key", F.lit(0).cast("long"))
-    docs = cut(docs.select("doc_id", "source", F.col("key"), F.col("size").cast("long").alias("size")), "sizes")
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    docs = docs.select("doc_id", "source", F.col("key"), F.col("size").cast("long").alias("size"))
+    docs = cut(docs.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows")), "sizes")
+    sums = docs.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = targets(sums, weights, cap).select(F.col("source").alias("p_source"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    plan = targets(sums, weights, cap).select(F.col("source").alias("p_source"), "source_size", "target", rate.alias("rate"), F.ceil(F.col("units") / BLOCK).alias("blocks"))
     plan = cut(plan, "plan")
     rows = docs.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     rows = rows.withColumn("times", F.floor(F.least(F.col("rate"), F.lit(cap)) + EPS).cast("long"))
-    rows = rows.withColumn("prob", F.greatest(F.least(F.col("rate"), F.lit(cap)) - F.col("times"), F.lit(0.0)))
+    expected = F.greatest(F.least(F.col("rate"), F.lit(cap)) - F.col("times"), F.lit(0.0)) * F.col("rows")
+    rows = rows.withColumn("prob", expected).withColumn("more", F.floor(F.col("prob") + EPS).cast("long"))
+    rows = rows.withColumn("prob", F.greatest(F.col("prob") - F.col("more"), F.lit(0.0)))
     rows = rows.withColumn("mark", F.xxhash64("doc_id", "key", "size", F.lit(seed))).withColumn("block", F.pmod("mark", "blocks"))
 
     schema = rows.schema
@@ -183,7 +192,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.
     out = cut(rows.groupBy("source").applyInArrow(_block(seed, True), schema), "landing")
     for more in done:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("times") + F.col("prob").cast("long")).alias("times"))
+    return out.select("doc_id", "source", "key", "size", "rows", "source_size", "target", "times", (F.col("more") + F.col("prob").cast("long")).alias("more"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
+    """docs (doc_id, source, size) -> for every row: doc_id, source, key, size, source_size, target, times.
+
+    Sources in code point order (null last) get the weights, repeated; the mix
+    is as large as all of docs. key is docs.key, if there.
+    """
+    units = mix_units(docs, weights, cap, seed)
+    # a unit of very many rows is written out by many tasks
+    few = units.filter(F.col("rows") <= SLICE).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    slices = units.filter(F.col("rows") > SLICE).withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(SLICE).cast("long"))))
+    slices = slices.repartition(F.xxhash64("doc_id", "source", "key", "from"))
+    many = slices.withColumn("n", F.explode(F.sequence("from", F.least(F.col("from") + SLICE - 1, F.col("rows"))))).drop("from")
+    again = (F.col("n") <= F.col("more")).cast("long")
+    return few.unionByName(many).select("doc_id", "source", "key", "size", "source_size", "target", (F.col("times") + again).alias("times"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,11 +221,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float =
     columns = docs.columns
     inner = docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_key"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "source", words_of(F.col("text")).alias("d_size"))
     narrow = inner.select(F.col("d_id").alias("doc_id"), F.col("source"), F.col("d_key").alias("key"), F.col("d_size").alias("size"))
-    plan = mix(narrow, weights, cap)
     # repeated rows share a key: their numbers of times (two at most) are dealt out among them
-    own = plan.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows"), F.min("times").alias("low"), F.max("times").alias("high"), F.sum("times").alias("all"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    own = own.withColumn("highs", F.when(F.col("high") > F.col("low"), F.col("all") - F.col("low") * F.col("rows")).otherwise(F.col("rows")))
-    own = cut(own.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("key").alias("p_key"), "size", "source_size", "target", "low", "high", "highs", "rows"), "times")
+    own = mix_units(narrow, weights, cap).withColumn("low", F.col("times") + (F.col("more") == F.col("rows")).cast("long")).withColumn("high", F.col("times") + (F.col("more") > 0).cast("long"))
+    own = cut(own.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("key").alias("p_key"), "size", "source_size", "target", "low", "high", F.col("more").alias("highs")), "times")
     met = inner.join(own, F.col("d_id").eqNullSafe(F.col("p_id")) & F.col("d_key").eqNullSafe(F.col("p_key")) & F.col("source").eqNullSafe(F.col("p_source")))
     alike = F.col("high") == F.col("low")
     # a row's number among those repeated: within its own part of the table, after those in parts before

@@ -72,6 +72,27 @@ def test_repeated_rows_take_what_they_are_dealt(spark):
     assert counted(got) == counted(mixture.mixed(docs).collect())
 
 
+def test_very_many_repeated_rows_are_one_row_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "SLICE", 1000)
+    flown = []
+    grouped = mixture.cut
+    monkeypatch.setattr(mixture, "cut", lambda df, name="stage": flown.append((name, grouped(df, name))) or flown[-1][1])
+    copies, others = 200_001, [(10 + i, "hot", i % 30 + 1) for i in range(5_000)] + [(9_000 + i, "b", 40) for i in range(300)]
+    same = spark.range(copies).select(F.lit(None).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.lit(7).cast("long").alias("size"))
+    docs = same.unionByName(spark.createDataFrame(others, "doc_id long, source string, size long"))
+    got = mixture.mix(docs, (1, 2)).groupBy("source", "doc_id", "size", "target", "times").count().collect()
+    for name, df in flown:
+        if name in ("flight", "landing") and df.count():
+            assert df.groupBy("source", "block").count().agg(F.max("count")).first()[0] < 2 * mixture.BLOCK
+    for source in ("hot", "b"):
+        own = [x for x in got if x.source == source]
+        assert abs(sum(x.times * x.size * x["count"] for x in own) - own[0].target) <= 40
+    hot = [x for x in got if x.doc_id is None]
+    size = sum(s for _, f, s in others if f == "hot") + 7 * copies
+    assert sum(x["count"] for x in hot) == copies and {x.times for x in hot} <= {0, 1}
+    assert abs(sum(x.times * x["count"] for x in hot) - copies * hot[0].target / size) <= 1
+
+
 def test_flight_keeps_both_totals():
     import numpy as np
 
