@@ -68,7 +68,10 @@ NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion banner banners nav navs navbar navigation menu menus submenu breadcrumb breadcrumbs header masthead footer foot sidebar aside rail widget widgets cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations teaser teasers comment comments disqus replies reply respond pagination pager skip toolbar copyright disclaimer".split()
 )
 #: Words that such a name may have beside them ("promo-box", "site-footer"); with any other word it says nothing ("tag-spark", "share-price").
-BESIDE = frozenset("area bar block bottom box center column container content entry form global group heading holder icons inner item items left link links list main outer page panel post primary region right row section secondary side site slot top unit wrap wrapper".split())
+BESIDE = frozenset(
+    "area bar block bottom box center column container content entry form global group heading holder icons inner item items left link links list main outer page panel post primary region right row section secondary side site slot top unit wrap wrapper"
+    " articles author avatar count customer customers guest guests member members posts public reader readers stories thread threads user users visitor visitors".split()
+)
 #: An article element is one unless it is of these.
 NOT_AN_ARTICLE = frozenset("ad ads advert advertisement sponsor sponsored promo related recommended teaser comment comments reply replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())

@@ -211,6 +211,9 @@ def test_pages(spark):
         ("<p title='a>Hello</p><p>x</p>", "Hello x"),
         ('<div class="a>b"><p>in</p></div>out', "in out"),
         ('<div class="site-footer">no</div><div id="comments-list">no</div><div class="share-price">yes</div>', "yes"),
+        ('<section class="user-comments"><p>reader</p></section><p>t</p>', "t"),
+        ('<p>t</p><div id="disqus_thread">no</div><ul class="reader_comments">no</ul><div class="related-posts">no</div>', "t"),
+        ('<div class="public-posts"><p>yes</p></div><div class="comments-open"><p>yes</p></div>', "yes yes"),
         ("<div>" * 20_000 + "deep" + "</div>" * 20_000, "deep"),
         ("<p>" + "word " * 300_000, "word " * 299_999 + "word"),
         ('<a "' * 2_000 + ">t", "t"),
