@@ -337,7 +337,13 @@ def s17(spark, sf_dir):
 CONDITION_PAGES = ('{"itemCondition": "https://schema.org/NewCondition"}', '<link itemprop="itemCondition" href="http:\\/\\/schema.org\\/UsedCondition">', '{"conditionDisplayName": "Open box"}', '{"itemCondition": "Pre-owned"}', "<p>Condition: <b>Used</b></p>")
 
 
-@query("s18_listing_condition", SQL + " SELECT DISTINCT offer_id, (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)] AS condition, concat_ws(chr(10), page_name || chr(10) || 'Condition: ' || (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)], CASE WHEN disc_seq % 5 = 4 THEN page_name WHEN page_name IS NULL THEN 'Condition: ' || (['New', 'Used', 'Open box', 'Pre-owned', NULL])[CAST(disc_seq % 5 + 1 AS INTEGER)] END, 'the text') AS page_text FROM o")
+@query(
+    "s18_listing_condition",
+    SQL
+    + r""", h AS (SELECT *, (['{"itemCondition": "https://schema.org/NewCondition"}', '<link itemprop="itemCondition" href="http:\/\/schema.org\/UsedCondition">', '{"conditionDisplayName": "Open box"}', '{"itemCondition": "Pre-owned"}', '<p>Condition: <b>Used</b></p>'])[CAST(disc_seq % 5 + 1 AS INTEGER)] AS html FROM o),
+f AS (SELECT *, coalesce(nullif(regexp_extract(html, '(?i)schema\.org\\?/+(new|used|refurbished|damaged)condition', 1), ''), nullif(trim(regexp_extract(html, '"conditionDisplayName"\s*:\s*"([^"]{2,40})"', 1)), ''), nullif(trim(regexp_extract(html, '"itemCondition"\s*:\s*"([^"]{2,60})"', 1)), '')) AS condition FROM h)
+SELECT DISTINCT offer_id, condition, concat_ws(chr(10), nullif(page_name, ''), 'Condition: ' || condition, 'the text') AS page_text FROM f""",
+)
 def s18(spark, sf_dir):
     df = _offers(spark, sf_dir).withColumn("html", F.get(F.array(*map(F.lit, CONDITION_PAGES)), (F.col("disc_seq") % 5).cast("int")))
     pages = df.select(F.col("offer_id").alias("url"), "html", F.col("page_name").alias("title"), F.lit("the text").alias("page_text")).distinct()
