@@ -127,7 +127,14 @@ def p29(spark, sf_dir):
     return V.condition_gate(df).select("offer_id", F.col("condition_reason").alias("reason"), "match_type", "rejected_reason")
 
 
-@query("p30_match_marketplace_title", SQL + "SELECT offer_id, is_seed OR disc_seq % 2 = 0 AS name_match, coalesce(pack_qty, CASE WHEN disc_seq % 2 = 0 THEN ordered_pack END) AS pack FROM p")
+@query(
+    "p30_match_marketplace_title",
+    SQL
+    + r""", t AS (SELECT *, CASE WHEN disc_seq % 2 = 0 THEN description || ' Pack of ' || ordered_pack ELSE 'zzz' END AS title, list_distinct(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]+')) AS words, regexp_extract_all(lower(coalesce(brand, '')), '[a-z0-9]+') AS own FROM p),
+w AS (SELECT *, list_filter(words, lambda x: length(x) >= 2 AND NOT list_contains(own, x)) AS wanted FROM t)
+SELECT offer_id, is_seed OR coalesce(len(list_filter(wanted, lambda x: contains(lower(title), x))) >= 0.6 * len(wanted) AND len(wanted) > 0, false) AS name_match,
+  coalesce(pack_qty, TRY_CAST(nullif(regexp_extract(title, '(?i)pack[\s-]+of[\s-]+(\d{1,5})', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(title, '(?i)\b(\d{1,5})[\s-]*pack\b', 1), '') AS INTEGER)) AS pack FROM w""",
+)
 def p30(spark, sf_dir):
     title = F.when(F.col("disc_seq") % 2 == 0, F.concat(F.col("description"), F.lit(" Pack of "), F.col("ordered_pack").cast("string"))).otherwise("zzz")
     df = candidates(spark, sf_dir).withColumns({"title": title, "url": F.lit("https://m.example/x"), "variant": F.lit(None).cast("string")})

@@ -329,7 +329,12 @@ def s15(spark, sf_dir):
     return P.structured_offers(pages).select(F.col("url").alias("offer_id"), "price", "tier", "single_offer")
 
 
-@query("s17_structured_stock", SQL + " SELECT offer_id, out_of_stock AS gone FROM o")
+@query(
+    "s17_structured_stock",
+    SQL
+    + r""", h AS (SELECT *, CASE WHEN out_of_stock THEN (['<link itemprop="availability" href="https://schema.org/OutOfStock">', '<script>{"availability": "https://schema.org/BackOrder"}</script>', '<meta property="og:availability" content="out of stock">'])[CAST(disc_seq % 3 + 1 AS INTEGER)] ELSE '<link itemprop="availability" href="https://schema.org/InStock">' END AS html FROM o)
+SELECT offer_id, regexp_matches(html, '(?i)"availability"\s*:\s*"[^"]*(outofstock|soldout|discontinued|backorder|preorder)') OR regexp_matches(html, '(?i)itemprop="availability"[^>]*(outofstock|soldout)') OR regexp_matches(html, '(?i)og:availability"[^>]*content="(oos|outofstock|out\s*of\s*stock)') AS gone FROM h""",
+)
 def s17(spark, sf_dir):
     return _html(_offers(spark, sf_dir)).select("offer_id", P.structured_gone(F.col("html")).alias("gone"))
 
