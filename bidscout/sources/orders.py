@@ -29,7 +29,7 @@ def scan_text(docs: DataFrame) -> DataFrame:
 
 
 def _money(c):
-    return F.replace(F.regexp_extract(c, MONEY, 1), F.lit(",")).try_cast("decimal(12,2)")
+    return T.number(F.replace(F.regexp_extract(c, MONEY, 1), F.lit(",")), "decimal(12,2)")
 
 
 def cell_rows(tokens: Column) -> Column:
@@ -61,7 +61,7 @@ def single_rows(tokens: Column) -> Column:
 
     def line(t: Column) -> Column:
         g = lambda k: F.regexp_extract(t["token"], pattern, k)
-        number = lambda k: F.replace(g(k), F.lit(",")).try_cast("decimal(12,2)")
+        number = lambda k: T.number(F.replace(g(k), F.lit(",")), "decimal(12,2)")
         return _line(t["pos"], 1, g(1), g(2), g(3), g(4), number(5), number(6))
 
     return F.transform(F.filter(tokens, lambda t: F.rlike(t["token"], F.lit(pattern))), line)
@@ -103,7 +103,7 @@ def headers(docs: DataFrame) -> DataFrame:
     return with_tokens(docs).select(
         "doc_id",
         F.nullif(F.regexp_extract(text, r"OR\d{16,22}", 0), F.lit("")).alias("reference"),
-        F.replace(F.regexp_extract(text, rf"Total(?: Price)?:?\s*{MONEY}", 1), F.lit(",")).try_cast("decimal(14,2)").alias("printed_total"),
+        T.number(F.replace(F.regexp_extract(text, rf"Total(?: Price)?:?\s*{MONEY}", 1), F.lit(",")), "decimal(14,2)").alias("printed_total"),
         F.try_to_date(F.regexp_extract(text, r"\b\d{2}/\d{2}/\d{4}\b", 0), "MM/dd/yyyy").alias("order_date"),
         F.when(ship > 0, F.get("tokens", ship)["token"]).alias("ship_to"),
     )
