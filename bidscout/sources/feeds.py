@@ -15,7 +15,7 @@ def _variant(json: str, path: str, kind: str) -> Column:
 
 def _money(c: Column) -> Column:
     """A number, or the first number in a text."""
-    return F.replace(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)", 1), F.lit(",")).try_cast("decimal(12,2)")
+    return T.number(F.replace(F.regexp_extract(c, r"(\d[\d,]*(?:\.\d+)?)", 1), F.lit(",")), "decimal(12,2)")
 
 
 def items(df: DataFrame, json: str, path: str) -> DataFrame:
@@ -90,7 +90,9 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
     list (results, items, candidates, data) or one object; page numbers count from 1.
     """
     plain = F.regexp_replace("reply", r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    doc = F.coalesce(F.try_parse_json(plain), F.try_parse_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0)))
+    # only what begins as JSON does is tried, as a failure costs an exception
+    begins = r"^\s*\x{FEFF}?\s*[\[{\"\-0-9tfnNI]"
+    doc = F.coalesce(F.when(F.rlike(plain, F.lit(begins)), F.try_parse_json(plain)), F.try_parse_json(F.regexp_extract(plain, r"(?s)\{.*\}", 0)))
     # exploded, so that the document is parsed once and not again in each place that reads it
     df = replies.select("key", "urls", F.explode(F.array(doc)).alias("doc"))
     lists = [F.try_variant_get("doc", p, "array<variant>") for p in ("$", "$.results", "$.items", "$.candidates", "$.data")]
@@ -102,9 +104,9 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
         F.coalesce(_variant("item", "$.url", "string"), F.get("urls", page - 1)).alias("url"),
         _variant("item", "$.product_name", "string").alias("product_name"),
         _money(_variant("item", "$.price", "string")).alias("price"),
-        _variant("item", "$.pack_quantity", "string").try_cast("int").alias("pack_quantity"),
+        T.number(_variant("item", "$.pack_quantity", "string"), "int").alias("pack_quantity"),
         _variant("item", "$.match_type", "string").alias("match_type"),
-        _variant("item", "$.confidence", "string").try_cast("int").alias("confidence"),
+        T.number(_variant("item", "$.confidence", "string"), "int").alias("confidence"),
     )
 
 
