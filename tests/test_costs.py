@@ -31,3 +31,16 @@ def test_spread_candidates(spark):
     """Only suppliers may be broadcast."""
     assert plan(candidates(spark, SF, spread=True)).count("BroadcastExchange") <= 1
     assert plan(candidates(spark, SF, spread=True)).count("SortMergeJoin") == 2
+
+
+def test_first_gaps_do_not_grow_with_sites(spark):
+    """Only the first places are looked at (before: every bit of all sites of a line)."""
+    from bidscout.operators import urls as J
+
+    sites = spark.range(100_000).select(F.format_string("s%06d.example", "id").alias("domain"))
+    cands = spark.createDataFrame([(1, "https://s000000.example/a"), (1, "https://s000002.example/"), (2, "https://s099999.example/")], "sku int, url string")
+    lines = spark.createDataFrame([(1,), (2,), (3,)], "sku int")
+    gaps = J.first_gaps(cands, J.numbered_sites(sites), lines, 3)
+    assert {r.sku: r.gaps for r in gaps.collect()} == {1: [1, 3, 4], 2: [0, 1, 2], 3: [0, 1, 2]}
+    assert J.first_gaps(cands, J.numbered_sites(sites.filter("false")), lines, 3).filter("size(gaps) > 0").isEmpty()
+    assert J.first_gaps(cands, J.numbered_sites(sites.limit(2)), lines, 3).filter("size(gaps) > 2").isEmpty()
