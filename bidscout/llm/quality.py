@@ -21,6 +21,7 @@ table gives no rows; further columns are kept by keep_good().
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -196,18 +197,30 @@ class RuleModel:
     rules: list[tuple[float, tuple[Bound, ...]]] = field(default_factory=list)
 
     def score(self, stats: str = "stats") -> Column:
-        total = F.lit(self.intercept)
-        for weight, rule in self.rules:
-            total = total + F.when(holds(rule, stats), F.lit(weight)).otherwise(F.lit(0.0))
+        weighed = [{"weight": w, "bounds": numbered(r)} for w, r in self.rules]
+        x = F.array(*(F.col(f"{stats}.{name}") for name in STATISTICS))
+        rules = F.from_json(F.lit(json.dumps(weighed)), f"array<struct<weight:double,bounds:{BOUNDS}>>")
+        total = F.aggregate(rules, F.lit(self.intercept), lambda sum_, r: sum_ + F.when(all_hold(r["bounds"], x), r["weight"]).otherwise(F.lit(0.0)))
         return 1 / (1 + F.exp(-total))
 
 
-def holds(rule: tuple[Bound, ...], stats: str) -> Column:
-    out = F.lit(True)
-    for name, above, bound in rule:
-        c = F.col(f"{stats}.{name}")
-        out = out & ((c > bound) if above else (c <= bound))
-    return out
+#: A rule as a value: numbers of statistics (from 0), sides and bounds. Expressions of all rules filled the driver.
+BOUNDS = "array<struct<stat:int,above:boolean,bound:double>>"
+
+
+def numbered(rule: tuple[Bound, ...]) -> list[dict]:
+    return [{"stat": STATISTICS.index(name), "above": bool(above), "bound": float(bound)} for name, above, bound in rule]
+
+
+def all_hold(bounds: Column, x: Column) -> Column:
+    """Whether the statistics x (array<double>, in their order) are within all bounds of a rule."""
+    return F.forall(bounds, lambda b: (F.get(x, b["stat"]) > b["bound"]) == b["above"])
+
+
+def all_held(rules: list[tuple[Bound, ...]], x: Column) -> Column:
+    """array<double>: 1 for each rule that holds, else 0."""
+    values = F.from_json(F.lit(json.dumps([numbered(r) for r in rules])), f"array<{BOUNDS}>")
+    return F.transform(values, lambda bounds: all_hold(bounds, x).cast("double"))
 
 
 def paths(node, names: tuple[str, ...], so_far: tuple[Bound, ...] = ()) -> list[tuple[Bound, ...]]:
@@ -243,7 +256,7 @@ def fit(labelled: DataFrame) -> RuleModel:
     x = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(data)
     forest = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, subsamplingRate=0.7, featureSubsetStrategy="onethird", seed=SEED).fit(x)
     rules = sorted({r for tree in forest.trees for r in paths(tree._java_obj.rootNode(), STATISTICS)})
-    held = data.select("label", F.struct(*STATISTICS).alias("stats")).select("label", F.array(*(holds(r, "stats").cast("double") for r in rules)).alias("held"))
+    held = data.select("label", F.array(*STATISTICS).alias("x")).select("label", all_held(rules, F.col("x")).alias("held"))
     from pyspark.ml.functions import array_to_vector
 
     held = held.select("label", array_to_vector("held").alias("x"))

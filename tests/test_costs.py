@@ -44,3 +44,14 @@ def test_first_gaps_do_not_grow_with_sites(spark):
     assert {r.sku: r.gaps for r in gaps.collect()} == {1: [1, 3, 4], 2: [0, 1, 2], 3: [0, 1, 2]}
     assert J.first_gaps(cands, J.numbered_sites(sites.filter("false")), lines, 3).filter("size(gaps) > 0").isEmpty()
     assert J.first_gaps(cands, J.numbered_sites(sites.limit(2)), lines, 3).filter("size(gaps) > 2").isEmpty()
+
+
+def test_rules_are_a_value(spark):
+    """The plan of a score doesn't grow by an expression for each rule."""
+    from bidscout.llm import quality as Q
+
+    model = Q.RuleModel(0.5, [(0.1, (("words", True, float(i)), ("chars", False, 100.0 + i))) for i in range(200)])
+    stats = spark.createDataFrame([(50.0,) * len(Q.STATISTICS)], ", ".join(f"{k} double" for k in Q.STATISTICS)).select(F.struct("*").alias("stats"))
+    df = stats.select(model.score().alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("CASE WHEN") == 1
+    assert abs(df.first().s - 1 / (1 + 2.718281828459045 ** -5.5)) < 1e-9
