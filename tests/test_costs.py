@@ -55,3 +55,15 @@ def test_rules_are_a_value(spark):
     df = stats.select(model.score().alias("s"))
     assert df._jdf.queryExecution().analyzed().toString().count("CASE WHEN") == 1
     assert abs(df.first().s - 1 / (1 + 2.718281828459045 ** -5.5)) < 1e-9
+
+
+def test_listings_and_logins_by_their_words(spark):
+    """Patterns are tried only on texts that have their words; what they find stays."""
+    rows = ["Filter Products. SORT BY price", "Items 1 - 16 of 40", "SHOP by Price", "16 products per page", "sort by price", "items of", None, ""]
+    df = spark.createDataFrame([(r,) for r in rows], "x string")
+    assert [r.y for r in df.select(T.is_listing(F.col("x")).alias("y")).collect()] == [True, True, True, True, False, False, None, False]
+    rows = [("LOG IN to see price $5", "price gated behind login"), ("Register to view our Cost", "price gated behind login"), ("create an account to see the price", "login required for pricing"), ("sign in", "login required for pricing"), ("sign in $ 4", None), ("price $", None), (None, None)]
+    df = spark.createDataFrame(rows, "x string, y string")
+    found = df.select("y", T.login_reason(F.col("x"), F.lit(False)).alias("z"))
+    assert all(r.y == r.z for r in found.collect())
+    assert plan(found).count("lower(") == 1 and plan(df.select(T.is_listing(F.col("x")).alias("y"))).count("lower(") == 1
