@@ -43,18 +43,27 @@ def flatten_hits(results: DataFrame, engine: str = r"google\.") -> DataFrame:
 
     A link may also be that of the first offer or seller in a hit that has one. Bodies are parsed once.
     """
-    section = lambda k, name: F.transform(F.try_variant_get("_doc", f"$.{name}", "array<variant>"), lambda x, i: F.struct(F.lit(k).alias("section_no"), i.alias("pos"), x.alias("item")))
-    empty = F.array().cast("array<struct<section_no:int,pos:int,item:variant>>")
-    docs = results.select("query_id", F.try_parse_json("body").alias("_doc"))
-    rows = docs.select("query_id", F.explode(F.concat(*(F.coalesce(section(k, n), empty) for k, n in enumerate(HIT_ARRAYS)))).alias("x")).select("query_id", "x.*")
+    text = lambda v, p: F.try_variant_get(v, p, "string")
     outside = lambda u: (F.coalesce(u, F.lit("")) != "") & ~F.rlike(U.domain(u), F.lit(rf"(?:^|\.){engine}"))
-    nested = F.flatten(F.array(*(F.coalesce(F.transform(F.try_variant_get("item", f"$.{box}", "array<variant>"), lambda s: F.coalesce(F.nullif(F.try_variant_get(s, "$.link", "string"), F.lit("")), F.try_variant_get(s, "$.direct_link", "string"))), F.array().cast("array<string>")) for box in ("offers", "sellers"))))
-    own = F.get(F.filter(nested, outside), 0)
-    for link in reversed(LINKS):
-        u = _variant("item", f"$.{link}", "string")
-        own = F.when(outside(u), u).otherwise(own)
-    price = F.coalesce(_money(_variant("item", "$.extracted_price", "string")), _money(_variant("item", "$.price", "string")), F.get(T.dollars(_variant("item", "$.snippet", "string")), 0))
-    rows = rows.select("query_id", "section_no", "pos", _variant("item", "$.title", "string").alias("title"), own.alias("url"), price.alias("price")).filter("url IS NOT NULL")
+    first = lambda links: F.get(F.filter(links, outside), 0)
+
+    def nested(v: Column) -> Column:
+        link = lambda s: F.coalesce(F.nullif(text(s, "$.link"), F.lit("")), text(s, "$.direct_link"))
+        return F.flatten(F.array(*(F.coalesce(F.transform(F.try_variant_get(v, f"$.{box}", "array<variant>"), link), F.array().cast("array<string>")) for box in ("offers", "sellers"))))
+
+    def hit(section_no: int):
+        def one(v: Column, pos: Column) -> Column:
+            url = F.coalesce(first(F.array(*(text(v, f"$.{k}") for k in LINKS))), first(nested(v)))
+            price = F.coalesce(_money(text(v, "$.extracted_price")), _money(text(v, "$.price")), F.get(T.dollars(text(v, "$.snippet")), 0))
+            return F.struct(F.lit(section_no).alias("section_no"), pos.alias("pos"), text(v, "$.title").alias("title"), url.alias("url"), price.alias("price"))
+
+        return one
+
+    empty = F.array().cast("array<struct<section_no:int,pos:int,title:string,url:string,price:decimal(12,2)>>")
+    docs = results.select("query_id", F.explode(F.array(F.try_parse_json("body"))).alias("_doc"))
+    # a hit is read once, in its array: a filter of rows would read its links again
+    hits = F.concat(*(F.coalesce(F.transform(F.try_variant_get("_doc", f"$.{n}", "array<variant>"), hit(k)), empty) for k, n in enumerate(HIT_ARRAYS)))
+    rows = docs.select("query_id", F.inline(F.filter(hits, lambda h: h["url"].isNotNull())))
     out = rows.withColumn("disc_seq", F.row_number().over(Window.partitionBy("query_id").orderBy("section_no", "pos")))
     return out.select("query_id", "disc_seq", F.get(F.array(*map(F.lit, HIT_ARRAYS)), F.col("section_no")).alias("section"), "title", "url", "price", U.domain(F.col("url")).alias("domain"))
 

@@ -104,3 +104,15 @@ def test_structured_offers_take_one_row(spark):
     got = {r.url: (float(r.price), r.name, r.single_offer, r.tier) for r in found.collect()}
     assert got == {"a": (2.0, "x", False, 1), "b": (4.5, None, True, 2), "c": (5.0, None, True, 3), "d": (6.0, None, True, 4), "g": (8.0, None, False, 1)}
     assert "Join" not in plan(found) and "Exchange" not in plan(found)
+
+
+def test_a_hit_is_read_once(spark):
+    """The links of a hit were read for the filter and again for the row."""
+    import json
+
+    from bidscout.sources import feeds as D
+
+    body = {"organic_results": [{"link": "https://www.google.com/x", "product_link": "https://a.com/1", "price": "$2"}, {"title": "t"}], "ads": [{"offers": [{"link": ""}, {"direct_link": "https://b.com/2"}], "snippet": "for $3.50"}]}
+    found = D.flatten_hits(spark.createDataFrame([("q", json.dumps(body)), ("r", "no")], "query_id string, body string"))
+    assert [(r.disc_seq, r.section, r.url, float(r.price), r.domain) for r in found.orderBy("disc_seq").collect()] == [(1, "organic_results", "https://a.com/1", 2.0, "a.com"), (2, "ads", "https://b.com/2", 3.5, "b.com")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("product_link") <= 4
