@@ -116,3 +116,12 @@ def test_a_hit_is_read_once(spark):
     found = D.flatten_hits(spark.createDataFrame([("q", json.dumps(body)), ("r", "no")], "query_id string, body string"))
     assert [(r.disc_seq, r.section, r.url, float(r.price), r.domain) for r in found.orderBy("disc_seq").collect()] == [(1, "organic_results", "https://a.com/1", 2.0, "a.com"), (2, "ads", "https://b.com/2", 3.5, "b.com")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("product_link") <= 4
+
+
+def test_a_sorted_report_is_made_once(spark):
+    """The sample that a sort takes reads a shuffle (before: it made the report, which was then made again)."""
+    from bidscout.plans.registry import QUERIES
+
+    for name in ("r1_price_match", "r2_alternates"):
+        first = [x for x in plan(QUERIES[name](spark, SF)).split("\n") if "Exchange" in x]
+        assert "rangepartitioning" in first[0] and "REPARTITION_BY_COL" in first[1], name
