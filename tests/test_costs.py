@@ -125,3 +125,17 @@ def test_a_sorted_report_is_made_once(spark):
     for name in ("r1_price_match", "r2_alternates"):
         first = [x for x in plan(QUERIES[name](spark, SF)).split("\n") if "Exchange" in x]
         assert "rangepartitioning" in first[0] and "REPARTITION_BY_COL" in first[1], name
+
+
+def test_a_verdicts_numbers_are_read_once(spark):
+    """The price of a verdict was read anew by each column that it bears on."""
+    from bidscout.operators import verdicts as E
+
+    c = spark.createDataFrame([("k", 5.0, "page says $6.00", False, False, False, "exact", 1, "", 2)], "key string, price double, page_text string, price_locked boolean, price_structured boolean, aggregator boolean, match_type string, confidence int, rejected_reason string, pack_qty int")
+    c = c.selectExpr("*", *(f"false AS {x}_match" for x in ("brand", "name", "size_form", "pack")), "false AS price_unreliable")
+    v = spark.createDataFrame([("k", "$6.00", "$8.00", "3.0", "80")], "key string, price string, original_price string, pack_quantity string, confidence string")
+    out = E.apply_verdicts(c, v)
+    r = out.first()
+    assert (r.price, r.original_price, r.pack_qty, r.confidence, r.pack_condition, r.price_unreliable) == (6.0, 8.0, 3, 80, "on sale: was $8.00, now $6.00 (25% off)", False)
+    assert not [x for x in out.columns if x.startswith("v_")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(v_price") <= 1
