@@ -19,7 +19,7 @@ MOST_CELLS = 5
 
 def with_tokens(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with tokens array<struct<pos, token>>: trimmed lines that aren't empty. A document is a row, so nothing is shuffled."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("token")))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t\n\x0b\f\r")).alias("token")))
     return docs.withColumn("tokens", F.filter(lines, lambda t: t["token"] != ""))
 
 
@@ -59,12 +59,16 @@ def single_rows(tokens: Column) -> Column:
     """The grammar of one line to a row."""
     pattern = rf"^(\d{{1,5}})\s+(\d{{6,8}})\s+(.+?)\s+([A-Z]{{2,3}})\s+{MONEY}\s+{MONEY}$"
 
-    def line(t: Column) -> Column:
-        g = lambda k: F.regexp_extract(t["token"], pattern, k)
-        number = lambda k: T.number(F.replace(g(k), F.lit(",")), "decimal(12,2)")
-        return _line(t["pos"], 1, g(1), g(2), g(3), g(4), number(5), number(6))
+    # one match puts a separator between its groups; a description may hold it, the others can't
+    cut, last = "\x01", lambda g, k: F.get(g, F.size(g) - k)
 
-    return F.transform(F.filter(tokens, lambda t: F.rlike(t["token"], F.lit(pattern))), line)
+    def line(t: Column, g: Column) -> Column:
+        number = lambda x: T.number(F.replace(x, F.lit(",")), "decimal(12,2)")
+        description = F.array_join(F.slice(g, F.lit(3), F.size(g) - 5), cut)
+        return _line(t["pos"], 1, F.get(g, 0), F.get(g, 1), description, last(g, 3), number(last(g, 2)), number(last(g, 1)))
+
+    groups = lambda t: F.split(F.regexp_replace(t["token"], pattern + r"\R?", cut.join(f"${k}" for k in range(1, 7))), cut)
+    return F.transform(F.filter(tokens, lambda t: F.rlike(t["token"], F.lit(pattern))), lambda t: T.let(groups(t), lambda g: line(t, g)))
 
 
 LINE = "struct<pos:int,pass:int,qty:int,sku:string,description:string,uom:string,unit_price:decimal(12,2),extended_price:decimal(12,2)>"

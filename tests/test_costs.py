@@ -127,6 +127,18 @@ def test_a_sorted_report_is_made_once(spark):
         assert "rangepartitioning" in first[0] and "REPARTITION_BY_COL" in first[1], name
 
 
+def test_single_rows_match_twice(spark):
+    """A line was matched anew for each of its six groups."""
+    from bidscout.sources import orders as O
+
+    docs = spark.createDataFrame([(1, "\t 2 1000001  Part \x01 7  10/Bx BX $1,000.50 $2,001.00\r\n3 100002 x BX $1 $2.00\n\x0b\n4 1000003 y CA $1.00 $4.00")], "doc_id int, text string")
+    found = O.parse_single(docs)
+    rows = [(r.pos, r.qty, r.sku, r.description, r.uom, str(r.unit_price), str(r.extended_price)) for r in found.collect()]
+    assert rows == [(0, 2, "1000001", "Part \x01 7  10/Bx", "BX", "1000.50", "2001.00"), (3, 4, "1000003", "y", "CA", "1.00", "4.00")]
+    logical = found._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("d{6,8}") <= 2
+
+
 def test_a_verdicts_numbers_are_read_once(spark):
     """The price of a verdict was read anew by each column that it bears on."""
     from bidscout.operators import verdicts as E
