@@ -151,3 +151,15 @@ def test_a_verdicts_numbers_are_read_once(spark):
     assert (r.price, r.original_price, r.pack_qty, r.confidence, r.pack_condition, r.price_unreliable) == (6.0, 8.0, 3, 80, "on sale: was $8.00, now $6.00 (25% off)", False)
     assert not [x for x in out.columns if x.startswith("v_")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("translate(v_price") <= 1
+
+
+def test_gaps_are_named_where_they_are(spark):
+    """Gaps were joined with the names of their sites row by row: a shuffle of lines x sites rows, if sites weren't broadcast."""
+    from bidscout.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        above, below = plan(QUERIES["j7_supplier_gap"](spark, SF)).split("Generate explode(own", 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in above and "Join" not in above and "Exchange" in below
