@@ -3,6 +3,7 @@
 from oracle import SF
 from pyspark.sql import functions as F
 
+from bidscout import config as C
 from bidscout.functions import text as T
 from bidscout.sources.views import candidates
 
@@ -186,3 +187,19 @@ def test_a_seller_table_is_cut_once(spark):
     assert "Exchange" not in plan(kept) and "Join" not in plan(kept)
     assert sorted(map(str, kept.collect())) == sorted(map(str, P.aggregator_price(rows, pages).collect()))
     assert plan(QUERIES["s21_aggregator_price"](spark, SF)).count("Exchange hash") == 1
+
+
+def test_only_what_can_be_chosen_is_shuffled(spark):
+    """Every candidate was shuffled and sorted for the price match, which can choose one in four; the table is the same."""
+    from bidscout.operators import reports as E
+    from bidscout.sources.views import order_lines
+
+    late = F.array(F.struct("price", F.lit("Backordered").alias("status"), F.col("site").alias("vendor")))
+    cands = candidates(spark, SF).withColumn("backorder", F.when(F.col("out_of_stock"), late))
+    lines = order_lines(spark, SF).filter("sku % 5 > 0")  # candidates of other lines stay
+    few, every = (E.choices(lines, cands, every=e) for e in (False, True))
+    below = lambda df: df._jdf.queryExecution().optimizedPlan().toString().rsplit("RepartitionByExpression", 1)[1]
+    assert ["rejected,unverified" in below(x).replace(", ", ",") for x in (few, every)] == [True, False]
+    assert every.count() == cands.select("sku").union(lines.select("sku")).distinct().count()
+    tables = [E.price_match(lines, cands, chosen=x, ordered=False) for x in (None, every)]
+    assert sorted(map(str, tables[0].collect())) == sorted(map(str, tables[1].collect()))
