@@ -203,3 +203,20 @@ def test_only_what_can_be_chosen_is_shuffled(spark):
     assert every.count() == cands.select("sku").union(lines.select("sku")).distinct().count()
     tables = [E.price_match(lines, cands, chosen=x, ordered=False) for x in (None, every)]
     assert sorted(map(str, tables[0].collect())) == sorted(map(str, tables[1].collect()))
+
+
+def test_narrow_rows_of_evidence_are_dealt(spark):
+    """What the evidence table says by words was made before its rows were dealt to their orders, and shuffled with them."""
+    from bidscout.operators import reports as E
+    from bidscout.sources.views import order_lines
+
+    lines = order_lines(spark, SF)
+    cands = candidates(spark, SF).filter("sku % 9 > 0").withColumn("offer_id", F.when(F.col("disc_seq") % 2 == 0, F.col("offer_id")).when(F.col("disc_seq") % 3 == 0, F.concat(F.lit("A"), "offer_id")).when(F.col("disc_seq") % 3 == 1, F.concat("offer_id", F.lit("\n"))))
+    orders = lines.select(F.concat(F.lit("PO "), (F.col("sku") % 2).cast("string")).alias("reference"), "sku")
+    rows, make = E.run_reports(orders, lines, cands, lines, names=("evidence",))["evidence"]
+    above, below = make(rows.hint("rebalance", "reference"))._jdf.queryExecution().optimizedPlan().toString().split("RebalancePartitions")
+    assert "THEN Y" in above and "THEN Y" not in below and "Dental Supplier" in above
+    got, want = make(rows), E.evidence(lines, cands)
+    assert [c for c in got.columns if c != "reference"] == want.columns
+    assert sorted(map(str, got.drop("reference").collect())) == sorted(map(str, want.collect()))
+    assert want.filter("offer_id IS NOT NULL").select("offer_id").exceptAll(cands.select("offer_id")).isEmpty()
