@@ -1,5 +1,8 @@
 """What plans must not do: repeat what is dear, or broadcast what grows."""
 
+import itertools
+import re
+
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -240,3 +243,22 @@ def test_a_window_of_a_text_is_cut_at_once(spark):
     assert [got[i] for i in (2, 3)] == [rows[i][0][:1333] + gap + far[-800:] + rows[i][0][4500 + i :][:1800] for i in (2, 3)]
     assert [got[i] for i in (4, 5, 6, 8)] == [start(i) for i in (4, 5, 6, 8)] and got[7] == far[:1333] + gap + far[:800] + "$7" + far[:1798] and got[9:] == [None, ""]
     assert "instr" not in plan(found).lower() and "substring" not in plan(found).lower()
+
+
+def broadcast_lines(text: str) -> int:
+    """How many broadcasts of a plan read the lines (parts) and join nothing."""
+    rows, n = text.split("\n"), 0
+    for i, row in enumerate(rows):
+        if "BroadcastExchange" in row:
+            at = row.index("BroadcastExchange")
+            below = list(itertools.takewhile(lambda x: re.search("[A-Za-z*]", x) and re.search("[A-Za-z*]", x).start() > at, rows[i + 1 :]))
+            n += any("part.parquet" in x for x in below) and not any("Join" in x for x in below)
+    return n
+
+
+def test_alternates_broadcast_no_lines(spark):
+    """Lines were broadcast for each of four reads of the candidates: files of few bytes hold many lines."""
+    from bidscout.plans.registry import QUERIES
+
+    assert broadcast_lines(plan(candidates(spark, SF))) == 2
+    assert broadcast_lines(plan(QUERIES["r2_alternates"](spark, SF))) == 0
