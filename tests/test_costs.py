@@ -271,3 +271,13 @@ def test_seller_tables_broadcast_no_lines(spark):
     found = plan(QUERIES["s20_parse_seller_tables"](spark, SF))
     assert broadcast_lines(found) == 0
     assert "Exchange hash" not in found.split("SortMergeJoin", 1)[0]
+
+
+def test_verdicts_are_shuffled_narrow(spark):
+    """Candidates were shuffled with an id of letters beside a key of letters that has it again."""
+    from bidscout.plans.registry import QUERIES
+
+    found = QUERIES["p31_apply_verdicts"](spark, SF)
+    join = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1]
+    dealt = join.split("Project", 2)[1]
+    assert "unhex(" in dealt and not re.search(r"[\[ ]offer_id#\d+[,\]]", dealt)
